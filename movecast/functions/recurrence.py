@@ -7,9 +7,11 @@ vector (and Newton matrix) per live track, however long the tracks are.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 
-from ..config import ModelConfig
+from ..config import ATTRIBUTES, ModelConfig
 
 
 def dot(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -166,3 +168,13 @@ def forecasts(cfg: ModelConfig, w: np.ndarray, values, levels, observed, residua
         track = np.cumsum(np.concatenate([observed[:, :2, None], out[:, :2]], axis=2), axis=2)
         out[:, :2] = track[:, :, 1:]
     return out
+
+
+def random_weights(cfg: ModelConfig, key: int, segment: int) -> np.ndarray:
+    """Start weights from {-1.00 .. 1.00}: the same hash as the column expression of the batch jobs."""
+    draws = []
+    for name in ATTRIBUTES:
+        for j in range(cfg.train):
+            text = f"{cfg.seed}|{key}|{segment}|{name}|{j}"
+            draws.append(int(md5(text.encode()).hexdigest()[:8], 16) % 201 - 100)
+    return np.array(draws) / 100

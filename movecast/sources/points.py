@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..schema import POINT
 
 
-def decode_points(df: DataFrame, fields: int = 6, value: str = "value") -> DataFrame:
+def decode_points(df: DataFrame, fields: int = 6, value: str = "value", seq: str | None = None) -> DataFrame:
     """Comma-separated text (or bytes) -> points.
 
     Six fields: id, timestamp, longitude, latitude, speed, heading. Four: the first four, with speed = heading = 0.
-    A field that is not a number fails the query, as a malformed record should.
+    ``seq`` names a column that numbers the arrivals. A field that is not a number fails the query, as a malformed
+    record should.
     """
     if fields not in (4, 6):
         raise ValueError("fields is 4 or 6")
@@ -23,7 +24,7 @@ def decode_points(df: DataFrame, fields: int = 6, value: str = "value") -> DataF
         text = F.trim(F.element_at(part, k + 1)) if k < fields else F.lit("0")
         return text.cast(f.dataType).alias(f.name)
 
-    return df.select(*[field(k) for k in range(6)])
+    return df.select(*[field(k) for k in range(6)], *([F.col(seq).alias("seq")] if seq else []))
 
 
 def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +43,13 @@ def read_points_kafka(
 ) -> DataFrame:
     """Point stream from Kafka topics (needs the Kafka connector on the class path).
 
+    Records of one object must share a topic partition, as they do when keyed by id: their offset is the arrival order.
     The consumer group is passed through ``options`` (``kafka.group.id``), as are starting offsets and rate limits.
     """
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics)
     for key, text in (options or {}).items():
         reader = reader.option(key, text)
-    return decode_points(reader.load(), fields)
+    return decode_points(reader.load(), fields, seq="offset")
 
 
 def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
