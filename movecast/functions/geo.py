@@ -46,7 +46,8 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.degrees((F.atan2(y, x) + full) % full)
 
 
-def speed_error(speed: Column, threshold: float) -> Column:
+def speed_error(speed: Column, threshold: Column | float) -> Column:
     """True for forecast speeds that are too high, NaN or infinite."""
     infinite = F.abs(speed) == F.lit(float("inf"))
-    return (speed > F.lit(float(threshold))) | F.isnan(speed) | infinite
+    bound = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
+    return (speed > bound) | F.isnan(speed) | infinite

@@ -1,8 +1,8 @@
 """Arrow tasks that carry per-track model state through one partition (used with ``mapInArrow``).
 
-Input rows are trainable events sorted by (t, track), where ``t`` counts the events of a track from 1 and ``m`` is its
-last ``t``. A track that was active at ``t`` is active at ``t + 1`` exactly when ``m > t``, and the order of tracks is the
-same in every round, so rows find their state by position alone.
+Input rows are trainable events sorted by (t, track), where ``t`` counts the events of a track from 1 and ``more`` tells
+whether the track has another one. The tracks of round ``t + 1`` are those of round ``t`` with ``more``, in the same
+order, so rows find their state by position alone.
 """
 
 from __future__ import annotations
@@ -49,30 +49,26 @@ def rounds(t: np.ndarray) -> Iterator[slice]:
 
 
 class Front:
-    """Position of the wavefront: which tracks are live and how far the current round has come."""
+    """Position of the wavefront: how far the current round has come, and which of its tracks go on."""
 
     def __init__(self):
         self.t = 0
-        self.ends: list[np.ndarray] = []
-        self.m = np.empty(0, dtype=np.int64)
+        self.more: list[np.ndarray] = []
         self.done = 0
 
     def enter(self, t: int) -> np.ndarray | None:
-        """Mask of the tracks that stay live when round ``t`` begins, None within a round."""
+        """Mask of the last round's tracks that are in round ``t`` when it begins, None within a round."""
         if t == self.t:
             return None
-        if self.ends:
-            self.m = np.concatenate(self.ends)
-            self.ends = []
-        live = self.m >= t
-        self.m, self.t, self.done = self.m[live], t, 0
+        live = np.concatenate(self.more) if self.more else np.empty(0, dtype=bool)
+        self.more, self.t, self.done = [], t, 0
         return live
 
-    def take(self, m: np.ndarray) -> slice:
-        """State rows of the next ``len(m)`` input rows."""
-        n = len(m)
+    def take(self, more: np.ndarray) -> slice:
+        """State rows of the next ``len(more)`` input rows."""
+        n = len(more)
+        self.more.append(more)
         if self.t == 1:
-            self.ends.append(m)
             return slice(0, n)
         at = slice(self.done, self.done + n)
         self.done += n
@@ -91,7 +87,7 @@ def model_task(configs: list[ModelConfig], want: str, state: bool) -> Callable:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            t, m, i = numbers(batch, "t"), numbers(batch, "m"), numbers(batch, "i")
+            t, more, i = numbers(batch, "t"), numbers(batch, "more"), numbers(batch, "i")
             c0 = configs[0]
             sampled = sampled_levels(batch.column("history"), numbers(batch, "irregular"), c0.window, c0.sampling)
             series = [windows(*sampled, c.train, c.diff) for c in configs]
@@ -101,7 +97,7 @@ def model_task(configs: list[ModelConfig], want: str, state: bool) -> Callable:
             with np.errstate(all="ignore"):
                 for rows in rounds(t):
                     live = front.enter(t[rows.start])
-                    at = front.take(m[rows])
+                    at = front.take(more[rows])
                     for k, model in enumerate(models):
                         if live is not None:
                             model.keep(live)
@@ -121,7 +117,7 @@ def model_task(configs: list[ModelConfig], want: str, state: bool) -> Callable:
                     elif want == "backtest":
                         out |= {n: lists(pairs[k][j].reshape(len(t), -1)) for j, n in enumerate(("predicted", "actual"))}
                     if want == "weights" or state:
-                        last = None if want == "weights" else t == m
+                        last = None if want == "weights" else ~more
                         out["w"] = lists(weights[k].reshape(len(t), -1), last)
                         if cfg.newton:
                             out["a"] = lists(matrices[k].reshape(len(t), -1), last)
@@ -175,7 +171,7 @@ def map_task(cfg: ModelConfig) -> Callable:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            t, m, i = numbers(batch, "t"), numbers(batch, "m"), numbers(batch, "i")
+            t, more, i = numbers(batch, "t"), numbers(batch, "more"), numbers(batch, "i")
             sampled = sampled_levels(batch.column("history"), numbers(batch, "irregular"), cfg.window, cfg.sampling)
             values = windows(*sampled, cfg.train, cfg.diff).values
             ended, maps = [], []
@@ -186,7 +182,7 @@ def map_task(cfg: ModelConfig) -> Callable:
                         if opened:
                             state, opened = np.concatenate(opened), []
                         state = state[live]
-                    at = front.take(m[rows])
+                    at = front.take(more[rows])
                     n = rows.stop - rows.start
                     before = recurrence.identity_map(n, cfg.train) if front.t == 1 else state[at]
                     after = recurrence.gradient_map(values[rows], i[rows], cfg, before)
@@ -194,7 +190,7 @@ def map_task(cfg: ModelConfig) -> Callable:
                         opened.append(after)
                     else:
                         state[at] = after
-                    over = np.flatnonzero(m[rows] == front.t)
+                    over = np.flatnonzero(~more[rows])
                     ended.append(over + rows.start)
                     maps.append(after[over])
             ended, maps = np.concatenate(ended), np.concatenate(maps)
@@ -220,12 +216,12 @@ def carry_task(cfg: ModelConfig) -> Callable:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            t, m = numbers(batch, "t"), numbers(batch, "m")
+            t, more = numbers(batch, "t"), numbers(batch, "more")
             maps = batch.column("map").flatten().to_numpy(zero_copy_only=False).reshape(-1, p + 1, 4, p)
             start = np.empty((len(t), 4, p))
             for rows in rounds(t):
                 live = front.enter(t[rows.start])
-                at = front.take(m[rows])
+                at = front.take(more[rows])
                 if live is not None:
                     model.keep(live)
                 if front.t == 1:

@@ -49,24 +49,28 @@ def forecast_rows(runs: DataFrame, configs: list[ModelConfig]) -> DataFrame:
     )
     runs = runs.withColumn("job", facts)
     sampling = configs[0].sampling
-    if any(c.motion == "derived" for c in configs):
-        moved = _derived_motion(sampling)
-        for name, legs in moved.items():
-            runs = runs.withColumn(f"{name}_legs", legs)
-        for name in moved:
-            runs = runs.withColumn(name, F.when(F.col("job.derived"), F.col(f"{name}_legs")).otherwise(F.col(name)))
+    derived = any(c.motion == "derived" for c in configs)
+    parts = list(ATTRIBUTES)
+    if derived:  # the position before each one travels with it
+        for name in ("longitude", "latitude"):
+            shifted = F.concat(F.slice(name, 1, 1), F.slice(name, 1, F.size(name) - 1))
+            runs = runs.withColumn(f"from_{name}", shifted)
+            parts.append(f"from_{name}")
     rows = runs.select(
-        "id", "segment", "origin_timestamp", "base_ts", "job", F.posexplode(F.arrays_zip(*ATTRIBUTES)).alias("at", "p")
+        "id", "segment", "origin_timestamp", "base_ts", "job", F.posexplode(F.arrays_zip(*parts)).alias("at", "p")
     ).where(~(F.col("job.skip_first") & (F.col("at") == 0)))
     step = F.col("at") + F.when(F.col("job.from_observed"), 0).otherwise(1)
     rows = rows.withColumn("step", step.cast("int"))
     observed = F.col("step") == 0
     ahead = F.col("base_ts") + F.col("step").cast("bigint") * F.lit(sampling)
+    rows = rows.withColumns({a: F.col("p")[a] for a in ATTRIBUTES})
+    if derived:
+        rows = _derived_motion(rows, sampling)
     return rows.select(
         "id",
         F.when(observed, F.col("origin_timestamp")).otherwise(ahead).alias("timestamp"),
-        *[F.col("p")[a].alias(a) for a in ATTRIBUTES],
-        (~observed & _flag(F.col("p.speed"), F.col("job.speed_threshold"))).alias("error"),
+        *ATTRIBUTES,
+        (~observed & speed_error(F.col("speed"), F.col("job.speed_threshold"))).alias("error"),
         F.col("at").cast("int").alias("horizon"),
         "step",
         "origin_timestamp",
@@ -76,27 +80,14 @@ def forecast_rows(runs: DataFrame, configs: list[ModelConfig]) -> DataFrame:
     ).select(*FORECAST_COLUMNS)
 
 
-def _flag(speed: Column, threshold: Column) -> Column:
-    return (speed > threshold) | speed_error(speed, float("inf"))
-
-
-def _derived_motion(sampling: int) -> dict[str, Column]:
+def _derived_motion(rows: DataFrame, sampling: int) -> DataFrame:
     """Speed and heading of each forecast from the leg that leads to it; step 0 keeps the observed values."""
-    lon, lat = F.col("longitude"), F.col("latitude")
-    origin, base = F.col("origin_timestamp"), F.col("base_ts")
-
-    def leg(name: str, k: Column) -> Column:
-        before = F.greatest(k - 1, F.lit(0))
-        at = (F.get(lat, before), F.get(lon, before), F.get(lat, k), F.get(lon, k))
-        if name == "heading":
-            return bearing_deg(*at)
-        dt = F.when(k == 1, base + sampling - origin).otherwise(F.lit(sampling))
-        return speed_knots(haversine_m(*at), dt)
-
-    def legs(name: str) -> Column:
-        return F.transform(name, lambda seen, k: F.when(k == 0, seen).otherwise(leg(name, k)))
-
-    return {"speed": legs("speed"), "heading": legs("heading")}
+    leg = (F.col("p.from_latitude"), F.col("p.from_longitude"), F.col("latitude"), F.col("longitude"))
+    first = F.col("base_ts") + F.lit(sampling) - F.col("origin_timestamp")
+    dt = F.when(F.col("step") == 1, first).otherwise(F.lit(sampling))
+    moved = {"speed": speed_knots(haversine_m(*leg), dt), "heading": bearing_deg(*leg)}
+    use = F.col("job.derived") & (F.col("step") > 0)
+    return rows.withColumns({name: F.when(use, leg_value).otherwise(F.col(name)) for name, leg_value in moved.items()})
 
 
 def fit_weights(points: DataFrame, cfg: ModelConfig, **layout) -> DataFrame:
@@ -157,7 +148,7 @@ def training_pairs(points: DataFrame, cfg: ModelConfig, diff: bool | None = None
     task = wf.window_task(cfg.window, cfg.sampling, cfg.train, diff)
     series = union_parts(
         [
-            trainable(p, cfg).drop("place").select("id", "segment", "timestamp", "irregular", "history")
+            trainable(p, cfg).select("id", "segment", "timestamp", "irregular", "history")
             for p in event_parts(points, cfg, **layout)
         ]
     ).mapInArrow(task, wf.WINDOW_SCHEMA)

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from ..config import ATTRIBUTES, ModelConfig
 from ..functions import wavefront as wf
-from .tracks import Part, durable, event_parts, scratch_path, union_parts
+from .tracks import Part, chunk_links, durable, events, scratch_path, track_parts, union_parts
 
 LARGEST_MAP = 10.0
 ROUND_CHUNKS = 64
 
 _EVENT = ["id", "segment", "timestamp", *ATTRIBUTES, "i", "irregular", "history"]
+_STATE = "id int, segment bigint, w array<double>, a array<double>"
 
 
 def check_together(configs: list[ModelConfig]) -> None:
@@ -32,9 +33,28 @@ def check_together(configs: list[ModelConfig]) -> None:
 
 
 def trainable(part: Part, cfg: ModelConfig) -> DataFrame:
-    keep = [*_EVENT, "chunk"] if part.chunked else _EVENT
-    df = part.df.where(F.col("z_len") >= cfg.window).withColumn("place", F.struct(*part.order))
-    return df.select(*[F.col(c).cast("bigint") if c in ("segment", "i") else F.col(c) for c in keep], "place")
+    """Events of a part of ``event_parts`` that train the model, numbered along their track (or chunk).
+
+    ``t`` counts the trainable events of a (segment, chunk) from 1; ``more`` tells whether another one follows. Both
+    come from the order the part already has, so nothing is sorted again.
+    """
+    starts = [c for c in part.df.columns if c.startswith(("w0_", "a0_"))]
+    keep = [*_EVENT, *starts, *(["chunk"] if part.chunked else [])]
+    w = part.window()
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = part.df.where(F.col("z_len") >= cfg.window)
+    df = df.withColumns(
+        {
+            "nth": F.row_number().over(w),
+            "new": ~F.lag("segment").over(w).eqNullSafe(F.col("segment")),
+            "more": F.lead("segment").over(w).eqNullSafe(F.col("segment")),
+        }
+    )
+    start = F.max(F.when(F.col("new"), F.col("nth"))).over(running)
+    df = df.withColumn("t", F.col("nth") - start + 1)
+    return df.select(
+        *[F.col(c).cast("bigint") if c in ("segment", "i") else F.col(c) for c in keep], "t", "more"
+    )
 
 
 def random_start(cfg: ModelConfig) -> Column:
@@ -51,30 +71,25 @@ def random_start(cfg: ModelConfig) -> Column:
 def run_models(points: DataFrame, configs: list[ModelConfig], want: str, **layout) -> DataFrame:
     """One row per (configuration, trainable event) with what ``model_task`` returns for ``want``."""
     check_together(configs)
+    cfg = configs[0]
     round_chunks = layout.pop("round_chunks", ROUND_CHUNKS)
     frames = []
-    for part in event_parts(points, configs[0], **layout):
-        rows = trainable(part, configs[0])
+    for part in track_parts(points, cfg.order, **layout):
         if part.chunked:
-            frames.append(_hot(rows, configs, want, round_chunks))
+            frames.append(_hot(part, configs, want, round_chunks))
         else:
-            frames.append(_pass(rows, configs, ("id", "segment"), want))
+            frames.append(_pass(trainable(events(part, cfg), cfg), configs, ("id", "segment"), want))
     return union_parts(frames)
 
 
-def _numbered(df: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
-    """Rows numbered along each track (``t`` of ``m``), in wavefront order within each partition.
-
-    The windows are the last step before the task, so a track is whole within its partition.
-    """
-    w = Window.partitionBy(*keys)
-    return df.withColumns({"t": F.row_number().over(w.orderBy(by)), "m": F.count(F.lit(1)).over(w)})
-
-
 def _pass(
     rows: DataFrame, configs: list[ModelConfig], keys: tuple[str, ...], want: str, state: bool = False
 ) -> DataFrame:
-    df = _numbered(rows, keys, "place")
+    """Run the model task over numbered rows.
+
+    The windows that number the rows are the last step with a distribution, so a track is whole within its partition;
+    the sort puts the partition in wavefront order.
+    """
     starts = {}
     first = F.col("t") == 1
     for k, cfg in enumerate(configs):
@@ -84,60 +99,80 @@ def _pass(
             starts[f"w0_{k}"] = F.when(first, random_start(cfg))
         if f"a0_{k}" in rows.columns:
             starts[f"a0_{k}"] = F.when(first, F.col(f"a0_{k}"))
-    df = df.withColumns(starts) if starts else df
-    df = df.drop("place").sortWithinPartitions("t", *keys)
-    return df.mapInArrow(wf.model_task(configs, want, state), wf.model_schema(want, state))
+    rows = rows.withColumns(starts) if starts else rows
+    rows = rows.sortWithinPartitions("t", *keys)
+    return rows.mapInArrow(wf.model_task(configs, want, state), wf.model_schema(want, state))
 
 
-def _hot(rows: DataFrame, configs: list[ModelConfig], want: str, round_chunks: int) -> DataFrame:
-    rows = durable(rows)
+def _renumber(rows: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(by)
+    return rows.withColumns({"t": F.row_number().over(w), "more": F.lead(by).over(w).isNotNull()})
+
+
+def _hot(part: Part, configs: list[ModelConfig], want: str, round_chunks: int) -> DataFrame:
+    links = chunk_links(part, configs[0])
     frames = []
     for k, cfg in enumerate(configs):
-        starts = None if cfg.newton else _chunk_starts(rows, cfg)
+        starts = None if cfg.newton else _chunk_starts(part, links, cfg)
         if starts is None:
-            out = _relay(rows, cfg, want, round_chunks)
+            out = _relay(part, links, cfg, want, round_chunks)
         else:
-            joined = rows.join(starts, ["id", "segment", "chunk"])
-            out = _pass(joined, [cfg], ("id", "segment", "chunk"), want)
+            rows = trainable(events(part, cfg, links.join(starts, ["id", "chunk"], "left")), cfg)
+            out = _pass(rows, [cfg], ("id", "segment", "chunk"), want)
         frames.append(out.withColumn("config", F.lit(k)))
     return union_parts(frames)
 
 
-def _chunk_starts(rows: DataFrame, cfg: ModelConfig) -> DataFrame | None:
-    """Weights every chunk starts from, or None when the chunk maps are too large to be trusted."""
-    keys = ("id", "segment", "chunk")
-    events = _numbered(rows, keys, "place").drop("place").sortWithinPartitions("t", *keys)
-    maps = durable(events.mapInArrow(wf.map_task(cfg), wf.MAP_SCHEMA))
+def _chunk_starts(part: Part, links: DataFrame, cfg: ModelConfig) -> DataFrame | None:
+    """Weights with which every chunk goes on in the segment it inherits.
+
+    None when a chunk map is too large to be accurate.
+    """
+    rows = trainable(events(part, cfg, links), cfg).sortWithinPartitions("t", "id", "segment", "chunk")
+    maps = durable(rows.mapInArrow(wf.map_task(cfg), wf.MAP_SCHEMA))
     if not maps.where(~(F.col("size") <= LARGEST_MAP)).isEmpty():
         return None
-    maps = _numbered(maps.drop("size"), ("id", "segment"), "chunk")
+    maps = _renumber(maps.drop("size"), ("id", "segment"), "chunk")
     if cfg.vector_init == "random":
         maps = maps.withColumn("w0_0", F.when(F.col("t") == 1, random_start(cfg)))
-    return maps.sortWithinPartitions("t", "id", "segment").mapInArrow(wf.carry_task(cfg), wf.CARRY_SCHEMA)
+    starts = maps.sortWithinPartitions("t", "id", "segment").mapInArrow(wf.carry_task(cfg), wf.CARRY_SCHEMA)
+    inherited = links.select("id", "chunk", F.col("segment_before").alias("segment"))
+    return durable(starts.join(inherited, ["id", "chunk", "segment"]).select("id", "chunk", "w0_0"))
 
 
-def _relay(rows: DataFrame, cfg: ModelConfig, want: str, round_chunks: int) -> DataFrame:
-    """Round by round over stretches of ``round_chunks`` chunks; every round is stored before the next one starts."""
-    spark = rows.sparkSession
-    along = Window.partitionBy("id", "segment").orderBy("chunk")
-    stretches = (
-        rows.select("id", "segment", "chunk")
-        .distinct()
-        .withColumn("stretch", ((F.row_number().over(along) - 1) / round_chunks).cast("int"))
-    )
-    staged, results = scratch_path(spark, "stretches"), scratch_path(spark, "rounds")
-    rows.join(stretches, ["id", "segment", "chunk"]).write.partitionBy("stretch").parquet(staged)
-    total = stretches.agg(F.max("stretch")).first()[0]
+def _relay(part: Part, links: DataFrame, cfg: ModelConfig, want: str, round_chunks: int) -> DataFrame:
+    """Round by round over stretches of ``round_chunks`` chunks per track.
+
+    Each round is stored before the next one starts, and hands on one row per track: the weights of its last segment.
+    """
+    spark = part.df.sparkSession
+    along = Window.partitionBy("id").orderBy("chunk")
+    stretch = ((F.row_number().over(along) - 1) / round_chunks).cast("int")
+    stretches = durable(links.select("id", "chunk", stretch.alias("stretch")))
+    staged, results, states = (scratch_path(spark, n) for n in ("stretches", "rounds", "weights"))
+    part.df.join(stretches, ["id", "chunk"]).write.partitionBy("stretch").parquet(staged)
     schema = wf.model_schema(want, True)
-    columns = [c.split()[0] for c in wf.model_schema(want, False).split(", ")]
-    if total is None:
-        return spark.createDataFrame([], schema).select(*columns)
-    for r in range(total + 1):
-        batch = spark.read.parquet(f"{staged}/stretch={r}")
+    for r in range(stretches.agg(F.max("stretch")).first()[0] + 1):
+        batch = spark.read.schema(part.df.schema).parquet(f"{staged}/stretch={r}")
+        rows = events(part.with_df(batch), cfg, links).df
+        before = None
         if r > 0:
-            before = spark.read.schema(schema).parquet(f"{results}/round={r - 1}").where("w is not null")
-            starts = [F.col("w").alias("w0_0")] + ([F.col("a").alias("a0_0")] if cfg.newton else [])
-            batch = batch.join(before.select("id", "segment", *starts), ["id", "segment"], "left")
-        out = _pass(batch, [cfg], ("id", "segment"), want, state=True)
-        out.write.parquet(f"{results}/round={r}")
+            before = spark.read.schema(_STATE).parquet(f"{states}/round={r - 1}")
+            known = before.select(
+                "id", F.col("segment").alias("at"), F.col("w").alias("w0_0"), F.col("a").alias("a0_0")
+            )
+            same = F.col("at") == F.col("segment")
+            rows = rows.join(known, "id", "left").withColumns(
+                {c: F.when(same, F.col(c)) for c in (("w0_0", "a0_0") if cfg.newton else ("w0_0",))}
+            )
+            rows = rows.drop("at") if cfg.newton else rows.drop("at", "a0_0")
+        whole = Part(rows.drop("chunk"), ("id",), ("segment", "pos"))
+        _pass(trainable(whole, cfg), [cfg], ("id", "segment"), want, state=True).write.parquet(f"{results}/round={r}")
+        after = spark.read.schema(schema).parquet(f"{results}/round={r}").where("w is not null")
+        after = after.select("id", "segment", "w", "a", F.lit(1).alias("age"))
+        if before is not None:
+            after = after.unionByName(before.withColumn("age", F.lit(0)))
+        newest = F.max_by(F.struct("segment", "w", "a"), F.struct("segment", "age")).alias("s")
+        after.groupBy("id").agg(newest).select("id", "s.*").write.parquet(f"{states}/round={r}")
+    columns = [c.split()[0] for c in wf.model_schema(want, False).split(", ")]
     return spark.read.schema(schema + ", round int").parquet(results).select(*columns)

@@ -24,11 +24,6 @@ BROADCAST_IDS = 100_000
 ENDLESS = 1 << 62  # a gap no track has
 
 POINT_COLUMNS = ("timestamp", "longitude", "latitude", "speed", "heading")
-_POINT_ARRAY = (
-    "array<struct<timestamp:bigint,longitude:double,latitude:double,speed:double,heading:double>>"
-)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session; a local one is made only for local runs that have none."""
     sc = spark.sparkContext
@@ -107,14 +102,11 @@ def track_parts(
     return [Part(cold, ("id",), by), Part(durable(heavy), ("id", "chunk"), by_heavy)]
 
 
-def with_halo(part: Part, size: int, gap: int) -> Part:
-    """Give every point of a chunk the last ``size`` points before that chunk (``halo``, oldest first).
+def _halos(part: Part, size: int, gap: int) -> DataFrame:
+    """Per chunk: the last ``size`` points before it (``halo``, oldest first).
 
     ``halo_open`` counts how many of them belong to the segment that is still open when the chunk starts.
     """
-    if not part.chunked:
-        empty = F.array().cast(_POINT_ARRAY)
-        return part.with_df(part.df.withColumns({"halo": empty, "halo_open": F.lit(0)}))
     latest = Window.partitionBy(*part.keys).orderBy(*[F.col(c).desc() for c in part.order])
     point = F.struct(*POINT_COLUMNS)
     tails = (
@@ -126,12 +118,11 @@ def with_halo(part: Part, size: int, gap: int) -> Part:
     )
     before = Window.partitionBy("id").orderBy("chunk").rowsBetween(-size, -1)
     halo = F.flatten(F.collect_list("tail").over(before))
-    halos = (
+    return (
         tails.withColumn("halo", halo)
         .withColumn("halo", F.when(F.size("halo") <= size, F.col("halo")).otherwise(F.slice("halo", -size, size)))
         .select("id", "chunk", "halo", _open_points(F.col("halo"), gap).alias("halo_open"))
     )
-    return part.with_df(part.df.join(halos, ["id", "chunk"]))
 
 
 def _open_points(halo: Column, gap: int) -> Column:
@@ -146,10 +137,51 @@ def _open_points(halo: Column, gap: int) -> Column:
     return F.coalesce(F.size(halo) - last, F.lit(0))
 
 
-def events(part: Part, cfg: ModelConfig) -> Part:
+def chunk_links(part: Part, cfg: ModelConfig) -> DataFrame:
+    """What every chunk takes over from the earlier chunks of its track: one stored row per chunk."""
+    halos = durable(_halos(part, cfg.window, cfg.gap_threshold))
+    rows = _within(part.with_df(part.df.join(halos, ["id", "chunk"])), cfg)
+    last = F.max_by(F.struct("segment", "pos", "grown"), "rn")
+    ends = rows.groupBy("id", "chunk").agg(last.alias("end")).select("id", "chunk", "end.*")
+    upto = Window.partitionBy("id").orderBy("chunk")
+    ends = ends.withColumn("segment_end", F.sum("segment").over(upto))
+    same = Window.partitionBy("id", "segment_end").orderBy("chunk")
+    ends = ends.withColumns({"pos_end": F.sum("pos").over(same), "grown_end": F.sum("grown").over(same)})
+    before = {
+        f"{c}_before": F.coalesce(F.lag(f"{c}_end").over(upto), F.lit(0)) for c in ("segment", "pos", "grown")
+    }
+    return durable(halos.join(ends.select("id", "chunk", *[v.alias(k) for k, v in before.items()]), ["id", "chunk"]))
+
+
+def events(part: Part, cfg: ModelConfig, links: DataFrame | None = None) -> Part:
     """Every point with its segment, visible history and step counter (see ``track_history``)."""
+    if not part.chunked:
+        df = _within(part, cfg)
+    else:
+        links = chunk_links(part, cfg) if links is None else links
+        df = _within(part.with_df(part.df.join(links, ["id", "chunk"])), cfg)
+        still_open = F.col("segment") == 0
+        df = df.withColumns(
+            {
+                "pos": F.col("pos") + F.when(still_open, F.col("pos_before")).otherwise(0),
+                "grown": F.col("grown") + F.when(still_open, F.col("grown_before")).otherwise(0),
+                "segment": F.col("segment") + F.col("segment_before"),
+            }
+        )
+        if "w0_0" in df.columns:
+            df = df.withColumn("w0_0", F.when(F.col("segment") == F.col("segment_before"), F.col("w0_0")))
+    keep = [c for c in part.df.columns if c not in POINT_COLUMNS] + [c for c in ("w0_0",) if c in df.columns]
+    return part.with_df(
+        df.select(
+            *keep, *POINT_COLUMNS, "segment", "pos", "n_visible", "history", "prior", "first_ts", "irregular", "span_ok",
+            "z_len", (F.col("pos") + F.col("grown")).alias("i"),
+        )
+    )
+
+
+def _within(part: Part, cfg: ModelConfig) -> DataFrame:
+    """``events`` as far as one id or one chunk (with its ``halo``) can tell: counts start at the chunk."""
     h, step, gap = cfg.window, cfg.sampling, cfg.gap_threshold
-    part = with_halo(part, h, gap)
     w = part.window()
     ts = F.col("timestamp")
     df = (
@@ -168,8 +200,10 @@ def events(part: Part, cfg: ModelConfig) -> Part:
             "opened": F.coalesce(F.max(F.when(F.col("fresh") == 1, F.col("rn"))).over(running), F.lit(1)),
         }
     ).withColumn("pos", F.col("rn") - F.col("opened") + 1)
-    inherited = F.when(F.col("segment") == 0, F.col("halo_open")).otherwise(0)
-    df = df.withColumn("n_visible", F.least(F.lit(h + 1), F.col("pos") + inherited))
+    known = F.col("pos")
+    if part.chunked:
+        known = known + F.when(F.col("segment") == 0, F.col("halo_open")).otherwise(0)
+    df = df.withColumn("n_visible", F.least(F.lit(h + 1), known))
     df = df.withColumns(
         {
             "history": F.slice("recent", -F.col("n_visible"), F.col("n_visible")),
@@ -202,42 +236,7 @@ def events(part: Part, cfg: ModelConfig) -> Part:
     df = df.withColumn("extra", F.when(F.col("irregular"), F.col("z_len")).otherwise(0))
     df = df.withColumn("total", F.sum("extra").over(running))
     spent = F.max(F.when(F.col("fresh") == 1, F.col("total") - F.col("extra"))).over(running)
-    df = df.withColumn("grown", F.col("total") - F.coalesce(spent, F.lit(0)))
-    if part.chunked:
-        df = _carry_counts(part.with_df(df))
-    df = df.withColumn("i", F.col("pos") + F.col("grown"))
-    return part.with_df(
-        df.drop("rn", "previous", "recent", "fresh", "opened", "extra", "total", "grown", "halo", "halo_open")
-    )
-
-
-def _carry_counts(part: Part) -> DataFrame:
-    """Add to ``segment``, ``pos`` and ``grown`` what the earlier chunks of the track contribute."""
-    last = F.max_by(F.struct("segment", "pos", "grown"), "rn")
-    ends = part.df.groupBy(*part.keys).agg(last.alias("end")).select("id", "chunk", "end.*")
-    upto = Window.partitionBy("id").orderBy("chunk")
-    ends = ends.withColumn("segment_end", F.sum("segment").over(upto))
-    same = Window.partitionBy("id", "segment_end").orderBy("chunk")
-    ends = ends.withColumns({"pos_end": F.sum("pos").over(same), "grown_end": F.sum("grown").over(same)})
-    carried = ends.select(
-        "id",
-        "chunk",
-        F.coalesce(F.lag("segment_end").over(upto), F.lit(0)).alias("segment_before"),
-        F.coalesce(F.lag("pos_end").over(upto), F.lit(0)).alias("pos_before"),
-        F.coalesce(F.lag("grown_end").over(upto), F.lit(0)).alias("grown_before"),
-    )
-    still_open = F.col("segment") == 0
-    return (
-        part.df.join(carried, ["id", "chunk"])
-        .withColumns(
-            {
-                "pos": F.col("pos") + F.when(still_open, F.col("pos_before")).otherwise(0),
-                "grown": F.col("grown") + F.when(still_open, F.col("grown_before")).otherwise(0),
-                "segment": F.col("segment") + F.col("segment_before"),
-            }
-        )
-        .drop("segment_before", "pos_before", "grown_before")
-    )
+    return df.withColumn("grown", F.col("total") - F.coalesce(spent, F.lit(0)))
 
 
 def event_parts(points: DataFrame, cfg: ModelConfig, **layout) -> list[Part]:
