@@ -3,6 +3,8 @@
 Rows reach a task in wavefront order: the first trainable event of every track, then the second of every track, and so
 on. One numpy step then updates all tracks of the partition together, and tracks never mix. The state held is one weight
 vector (and Newton matrix) per live track, however long the tracks are.
+
+State and series keep the weight index first - (train, rows, 4) - so that every term of a sum is one contiguous block.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from ..config import ATTRIBUTES, ModelConfig
 
 
 def dot(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Sum of products along the last axis, added from left to right."""
-    total = w[..., 0] * x[..., 0]
-    for j in range(1, w.shape[-1]):
-        total = total + w[..., j] * x[..., j]
+    """Sum of products along the first axis, added from first to last."""
+    terms = w * x
+    total = terms[0]
+    for term in terms[1:]:
+        total = total + term
     return total
 
 
@@ -27,143 +30,159 @@ def linear_start(train: int) -> np.ndarray:
     return np.array([2.0, -1.0] + [0.0] * (train - 2))
 
 
+class Series:
+    """Training pairs of a batch: features newest first (train, rows, 4), targets (rows, 4), step roots (rows, 1)."""
+
+    def __init__(self, values: np.ndarray, i: np.ndarray, train: int):
+        v = np.ascontiguousarray(values.transpose(2, 0, 1))
+        ends = range(train, v.shape[0])
+        self.features = [v[k - train : k][::-1] for k in ends]
+        self.targets = [v[k] for k in ends]
+        self.root = np.sqrt((i - train).astype(float))[:, None]
+
+
 class Weights:
     """Weights of one configuration for all live tracks of a partition."""
 
     def __init__(self, cfg: ModelConfig):
         self.cfg = cfg
         p = cfg.train
-        self.start = np.tile(linear_start(p), (4, 1))
-        self.start_matrix = np.tile(np.eye(p) * cfg.epsilon, (4, 1, 1))
-        self.w = np.empty((0, 4, p))
-        self.a = np.empty((0, 4, p, p)) if cfg.newton else None
+        self.w = np.empty((p, 0, 4))
+        self.a = np.empty((p, p, 0, 4)) if cfg.newton else None
         self.opened: list = []
 
     def open(self, n: int, w0=None, a0=None) -> None:
         """Start ``n`` tracks. ``w0``/``a0`` are (mask, values of the masked rows) that replace the configured start."""
         p = self.cfg.train
-        self.w = np.tile(self.start, (n, 1, 1))
+        self.w = np.empty((p, n, 4))
+        self.w[:] = linear_start(p)[:, None, None]
         if w0 is not None:
-            self.w[w0[0]] = w0[1].reshape(-1, 4, p)
+            self.w[:, w0[0]] = w0[1].reshape(-1, 4, p).transpose(2, 0, 1)
         if self.cfg.newton:
-            self.a = np.tile(self.start_matrix, (n, 1, 1, 1))
+            self.a = np.empty((p, p, n, 4))
+            self.a[:] = (np.eye(p) * self.cfg.epsilon)[:, :, None, None]
             if a0 is not None:
-                self.a[a0[0]] = a0[1].reshape(-1, 4, p, p)
+                self.a[:, :, a0[0]] = a0[1].reshape(-1, 4, p, p).transpose(2, 3, 0, 1)
 
     def park(self) -> None:
         self.opened.append((self.w, self.a))
 
     def keep(self, live: np.ndarray) -> None:
         if self.opened:
-            self.w = np.concatenate([w for w, _ in self.opened])
+            self.w = np.concatenate([w for w, _ in self.opened], axis=1)
             if self.a is not None:
-                self.a = np.concatenate([a for _, a in self.opened])
+                self.a = np.concatenate([a for _, a in self.opened], axis=2)
             self.opened = []
-        self.w = self.w[live]
-        if self.a is not None:
-            self.a = self.a[live]
-
-    def learn(self, at: slice, values: np.ndarray, i: np.ndarray):
-        """Train tracks ``at`` on one event each; returns predictions and targets (rows, 4, pairs)."""
-        cfg = self.cfg
-        p, h = cfg.train, values.shape[2]
-        root = np.sqrt((i - p).astype(float))[:, None, None]
-        predicted, actual = [], []
-        w = self.w[at]
-        a = None if self.a is None else self.a[at]
-        for k in range(p, h):
-            x = values[:, :, k - p : k][:, :, ::-1]
-            y = values[:, :, k]
+        if not live.all():
+            self.w = self.w[:, live]
+            if self.a is not None:
+                self.a = self.a[:, :, live]
+
+    def learn(self, at: slice, series: Series, rows: slice, predicted: np.ndarray) -> None:
+        """Train tracks ``at`` on the events ``rows``, one each; predictions go to ``predicted`` (pairs, rows, 4)."""
+        w = self.w[:, at]
+        a = None if self.a is None else self.a[:, :, at]
+        root, lrate = series.root[rows], self.cfg.lrate
+        for k, features in enumerate(series.features):
+            x = features[:, rows]
             guess = dot(w, x)
-            error = (guess - y)[..., None]
+            error = guess - series.targets[k][rows]
             if a is None:
-                w = w - (x * 2 * error / root) * cfg.lrate
+                w -= x * 2 * error / root * lrate
             else:
-                g = 2 * x * error
-                a, w = newton_step(a, w, g, cfg.lrate)
-            predicted.append(guess)
-            actual.append(y)
-        self.w[at] = w
-        if a is not None:
-            self.a[at] = a
-        return np.stack(predicted, axis=2), np.stack(actual, axis=2)
-
-
-def newton_step(a: np.ndarray, w: np.ndarray, g: np.ndarray, lrate: float):
-    """Rank-one update of the inverse matrix, then a step along ``g A``."""
-    p = g.shape[-1]
-    column = a[..., :, 0] * g[..., None, 0]
-    row = g[..., 0, None] * a[..., 0, :]
-    for k in range(1, p):
-        column = column + a[..., :, k] * g[..., None, k]
-        row = row + g[..., k, None] * a[..., k, :]
+                newton_step(a, w, 2 * x * error, lrate)
+            predicted[k, rows] = guess
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray | None]:
+        return flat_weights(self.w), None if self.a is None else flat_matrix(self.a)
+
+
+def flat_weights(w: np.ndarray) -> np.ndarray:
+    """(train, rows, 4) -> (rows, 4 * train), attribute by attribute."""
+    return w.transpose(1, 2, 0).reshape(w.shape[1], -1)
+
+
+def flat_matrix(a: np.ndarray) -> np.ndarray:
+    return a.transpose(2, 3, 0, 1).reshape(a.shape[2], -1)
+
+
+def newton_step(a: np.ndarray, w: np.ndarray, g: np.ndarray, lrate: float) -> None:
+    """Rank-one update of the inverse matrix, then a step along ``g A``; both in place."""
+    column, row = a[:, 0] * g[0], g[0] * a[0]
+    for k in range(1, len(g)):
+        column = column + a[:, k] * g[k]
+        row = row + g[k] * a[k]
     scale = dot(row, g) + 1
-    change = (column * g[..., 0, None])[..., :, None] * a[..., 0, None, :]
-    for k in range(1, p):
-        change = change + (column * g[..., k, None])[..., :, None] * a[..., k, None, :]
-    a = a - change / scale[..., None, None]
-    move = g[..., 0, None] * a[..., 0, :]
-    for k in range(1, p):
-        move = move + g[..., k, None] * a[..., k, :]
-    return a, w - move * lrate
+    change = (column * g[0])[:, None] * a[0]
+    for k in range(1, len(g)):
+        change = change + (column * g[k])[:, None] * a[k]
+    a -= change / scale
+    move = g[0] * a[0]
+    for k in range(1, len(g)):
+        move = move + g[k] * a[k]
+    w -= move * lrate
 
 
-def gradient_map(values: np.ndarray, i: np.ndarray, cfg: ModelConfig, state: np.ndarray) -> np.ndarray:
-    """Advance affine maps of the gradient step by one event.
+def gradient_map(state: np.ndarray, series: Series, rows: slice, lrate: float) -> None:
+    """Advance affine maps of the gradient step by one event, in place.
 
-    ``state`` is (rows, train + 1, 4, train): entry 0 is the image of the zero vector, the others are the images of the
-    unit vectors under the linear part. A whole chunk of events thus becomes one affine map of the start weights.
+    ``state`` is (train, rows, train + 1, 4): entry 0 is the image of the zero vector, the others are the images of the
+    unit vectors under the linear part. A whole chunk of events thus becomes one affine map of its start weights.
     """
-    p, h = cfg.train, values.shape[2]
-    root = np.sqrt((i - p).astype(float))[:, None, None, None]
-    target = np.zeros((1, p + 1, 1))
-    target[0, 0] = 1.0
-    for k in range(p, h):
-        x = values[:, None, :, k - p : k][..., ::-1]
-        y = values[:, None, :, k] * target
-        error = (dot(state, x) - y)[..., None]
-        state = state - (x * 2 * error / root) * cfg.lrate
-    return state
+    root = series.root[rows][:, None]
+    for k, features in enumerate(series.features):
+        x = features[:, rows][:, :, None]
+        error = dot(state, x)
+        error[:, 0] -= series.targets[k][rows]
+        state -= x * 2 * error / root * lrate
 
 
 def identity_map(rows: int, train: int) -> np.ndarray:
-    state = np.zeros((rows, train + 1, 4, train))
+    state = np.zeros((train, rows, train + 1, 4))
     for j in range(train):
-        state[:, j + 1, :, j] = 1.0
+        state[j, :, j + 1] = 1.0
     return state
 
 
-def apply_map(state: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weights after a chunk from the weights before it."""
-    out = state[:, 0].copy()
-    for j in range(w.shape[-1]):
-        out += state[:, j + 1] * w[..., j, None]
+def flat_map(state: np.ndarray) -> np.ndarray:
+    """(train, rows, train + 1, 4) -> (rows, (train + 1) * 4 * train)."""
+    return state.transpose(1, 2, 3, 0).reshape(state.shape[1], -1)
+
+
+def apply_map(maps: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weights after a chunk from the weights (train, rows, 4) before it; ``maps`` as flattened."""
+    p = w.shape[0]
+    parts = maps.reshape(-1, p + 1, 4, p).transpose(3, 0, 1, 2)
+    out = parts[:, :, 0].copy()
+    for j in range(p):
+        out += parts[:, :, j + 1] * w[j]
     return out
 
 
 def forecasts(cfg: ModelConfig, w: np.ndarray, values, levels, observed, residual) -> np.ndarray:
-    """Forecast series (rows, 4, steps) of one event per row.
+    """Forecast series (rows, 4, steps) of one event per row, from its weights (train, rows, 4).
 
     Plain jobs feed each forecast back as the newest feature. Corrected jobs keep the last sampled window for every
     step and subtract the size of the mean residual; their first entry is the observed point.
     """
     p, horizon = cfg.train, cfg.horizon
+    newest_first = lambda v: v[:, :, -p:][:, :, ::-1].transpose(2, 0, 1)
     if cfg.from_observed:
         on_diffs = cfg.diff and cfg.corrected and cfg.semantics == "fixed"
-        source = values[:, :, -p:] if on_diffs else levels
-        step = dot(w, source[:, :, ::-1])
+        step = dot(w, newest_first(values if on_diffs else levels))
         if cfg.corrected:
             step = step - np.abs(residual)
         steps = np.repeat(step[:, :, None], horizon, axis=2)
-        if cfg.diff and cfg.corrected:
-            return np.cumsum(np.concatenate([observed[:, :, None], steps], axis=2), axis=2)
-        return np.concatenate([observed[:, :, None], steps], axis=2)
-    recent = values[:, :, -p:][:, :, ::-1]
-    out = np.empty((*w.shape[:2], horizon))
+        path = np.concatenate([observed[:, :, None], steps], axis=2)
+        return np.cumsum(path, axis=2) if cfg.diff and cfg.corrected else path
+    recent = list(newest_first(values))
+    out = np.empty((*w.shape[1:], horizon))
     for k in range(horizon):
-        ahead = dot(w, recent)
+        ahead = w[0] * recent[0]
+        for j in range(1, p):
+            ahead = ahead + w[j] * recent[j]
         out[:, :, k] = ahead
-        recent = np.concatenate([ahead[:, :, None], recent[:, :, :-1]], axis=2)
+        recent = [ahead, *recent[:-1]]
     if cfg.diff:  # positions are summed up from the last observed point; speed and heading stay differences
         track = np.cumsum(np.concatenate([observed[:, :2, None], out[:, :2]], axis=2), axis=2)
         out[:, :2] = track[:, :, 1:]

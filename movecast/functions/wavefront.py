@@ -90,10 +90,12 @@ def model_task(configs: list[ModelConfig], want: str, state: bool) -> Callable:
             t, more, i = numbers(batch, "t"), numbers(batch, "more"), numbers(batch, "i")
             c0 = configs[0]
             sampled = sampled_levels(batch.column("history"), numbers(batch, "irregular"), c0.window, c0.sampling)
-            series = [windows(*sampled, c.train, c.diff) for c in configs]
-            weights = [np.empty((len(t), 4, c.train)) for c in configs]
-            matrices = [np.empty((len(t), 4, c.train, c.train)) if c.newton else None for c in configs]
-            pairs = [np.empty((2, len(t), 4, c.window - c.train)) for c in configs]
+            inputs = [windows(*sampled, c.train, c.diff) for c in configs]
+            series = [recurrence.Series(v.values, i, c.train) for v, c in zip(inputs, configs, strict=True)]
+            weights = [np.empty((c.train, len(t), 4)) for c in configs]
+            keep = want == "weights" or state
+            matrices = [np.empty((c.train, c.train, len(t), 4)) if keep and c.newton else None for c in configs]
+            predicted = [np.empty((c.window - c.train, len(t), 4)) for c in configs]
             with np.errstate(all="ignore"):
                 for rows in rounds(t):
                     live = front.enter(t[rows.start])
@@ -104,23 +106,25 @@ def model_task(configs: list[ModelConfig], want: str, state: bool) -> Callable:
                         if front.t == 1:
                             n = rows.stop - rows.start
                             model.open(n, _given(batch, f"w0_{k}", rows), _given(batch, f"a0_{k}", rows))
-                        pairs[k][:, rows] = model.learn(at, series[k].values[rows], i[rows])
-                        weights[k][rows] = model.w[at]
-                        if model.a is not None:
-                            matrices[k][rows] = model.a[at]
+                        model.learn(at, series[k], rows, predicted[k])
+                        weights[k][:, rows] = model.w[:, at]
+                        if matrices[k] is not None:
+                            matrices[k][:, :, rows] = model.a[:, :, at]
                         if front.t == 1:
                             model.park()
                 for k, cfg in enumerate(configs):
                     out = _base(batch, k)
+                    actual = np.stack(series[k].targets)
                     if want == "forecast":
-                        out |= _forecast(batch, cfg, weights[k], pairs[k], series[k])
+                        out |= _forecast(batch, cfg, weights[k], predicted[k] - actual, inputs[k])
                     elif want == "backtest":
-                        out |= {n: lists(pairs[k][j].reshape(len(t), -1)) for j, n in enumerate(("predicted", "actual"))}
-                    if want == "weights" or state:
+                        for name, v in (("predicted", predicted[k]), ("actual", actual)):
+                            out[name] = lists(v.transpose(1, 2, 0).reshape(len(t), -1))
+                    if keep:
                         last = None if want == "weights" else ~more
-                        out["w"] = lists(weights[k].reshape(len(t), -1), last)
+                        out["w"] = lists(recurrence.flat_weights(weights[k]), last)
                         if cfg.newton:
-                            out["a"] = lists(matrices[k].reshape(len(t), -1), last)
+                            out["a"] = lists(recurrence.flat_matrix(matrices[k]), last)
                         else:
                             out["a"] = pa.nulls(len(t), pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_pydict(out)
@@ -148,15 +152,14 @@ def _base(batch: pa.RecordBatch, config: int) -> dict:
     }
 
 
-def _forecast(batch, cfg: ModelConfig, weights, pairs, series) -> dict:
+def _forecast(batch, cfg: ModelConfig, weights, residual, inputs) -> dict:
     observed = np.stack([numbers(batch, a) for a in ATTRIBUTES], axis=1)
-    residual = pairs[0] - pairs[1]
-    mean = residual[..., 0].copy()
-    for k in range(1, residual.shape[2]):
-        mean += residual[..., k]
-    mean /= residual.shape[2]
-    path = recurrence.forecasts(cfg, weights, series.values, series.levels, observed, mean)
-    return {"base_ts": pa.array(series.base_ts)} | {a: lists(path[:, j]) for j, a in enumerate(ATTRIBUTES)}
+    mean = residual[0].copy()
+    for r in residual[1:]:
+        mean += r
+    mean /= len(residual)
+    path = recurrence.forecasts(cfg, weights, inputs.values, inputs.levels, observed, mean)
+    return {"base_ts": pa.array(inputs.base_ts)} | {a: lists(path[:, j]) for j, a in enumerate(ATTRIBUTES)}
 
 
 def map_task(cfg: ModelConfig) -> Callable:
@@ -173,33 +176,33 @@ def map_task(cfg: ModelConfig) -> Callable:
                 continue
             t, more, i = numbers(batch, "t"), numbers(batch, "more"), numbers(batch, "i")
             sampled = sampled_levels(batch.column("history"), numbers(batch, "irregular"), cfg.window, cfg.sampling)
-            values = windows(*sampled, cfg.train, cfg.diff).values
+            series = recurrence.Series(windows(*sampled, cfg.train, cfg.diff).values, i, cfg.train)
             ended, maps = [], []
             with np.errstate(all="ignore"):
                 for rows in rounds(t):
                     live = front.enter(t[rows.start])
                     if live is not None:
                         if opened:
-                            state, opened = np.concatenate(opened), []
-                        state = state[live]
+                            state, opened = np.concatenate(opened, axis=1), []
+                        if not live.all():
+                            state = state[:, live]
                     at = front.take(more[rows])
-                    n = rows.stop - rows.start
-                    before = recurrence.identity_map(n, cfg.train) if front.t == 1 else state[at]
-                    after = recurrence.gradient_map(values[rows], i[rows], cfg, before)
                     if front.t == 1:
-                        opened.append(after)
+                        now = recurrence.identity_map(rows.stop - rows.start, cfg.train)
+                        opened.append(now)
                     else:
-                        state[at] = after
+                        now = state[:, at]
+                    recurrence.gradient_map(now, series, rows, cfg.lrate)
                     over = np.flatnonzero(~more[rows])
-                    ended.append(over + rows.start)
-                    maps.append(after[over])
-            ended, maps = np.concatenate(ended), np.concatenate(maps)
-            if len(ended):
-                flat = maps.reshape(len(ended), -1)
-                size = np.abs(maps[:, 1:]).reshape(len(ended), -1).max(axis=1)
-                size[~np.isfinite(flat).all(axis=1)] = np.inf
+                    if len(over):
+                        ended.append(over + rows.start)
+                        maps.append(recurrence.flat_map(now[:, over]))
+            if ended:
+                ended, maps = np.concatenate(ended), np.concatenate(maps)
+                size = np.abs(maps[:, 4 * cfg.train :]).max(axis=1)
+                size[~np.isfinite(maps).all(axis=1)] = np.inf
                 out = {n: batch.column(n).take(pa.array(ended)) for n in ("id", "segment", "chunk")}
-                yield pa.RecordBatch.from_pydict(out | {"map": lists(flat), "size": pa.array(size)})
+                yield pa.RecordBatch.from_pydict(out | {"map": lists(maps), "size": pa.array(size)})
 
     return run
 
@@ -217,8 +220,8 @@ def carry_task(cfg: ModelConfig) -> Callable:
             if batch.num_rows == 0:
                 continue
             t, more = numbers(batch, "t"), numbers(batch, "more")
-            maps = batch.column("map").flatten().to_numpy(zero_copy_only=False).reshape(-1, p + 1, 4, p)
-            start = np.empty((len(t), 4, p))
+            maps = batch.column("map").flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+            start = np.empty((p, len(t), 4))
             for rows in rounds(t):
                 live = front.enter(t[rows.start])
                 at = front.take(more[rows])
@@ -226,12 +229,12 @@ def carry_task(cfg: ModelConfig) -> Callable:
                     model.keep(live)
                 if front.t == 1:
                     model.open(rows.stop - rows.start, _given(batch, "w0_0", rows))
-                start[rows] = model.w[at]
-                model.w[at] = recurrence.apply_map(maps[rows], model.w[at])
+                start[:, rows] = model.w[:, at]
+                model.w[:, at] = recurrence.apply_map(maps[rows], model.w[:, at])
                 if front.t == 1:
                     model.park()
             out = {n: batch.column(n) for n in ("id", "segment", "chunk")}
-            yield pa.RecordBatch.from_pydict(out | {"w0_0": lists(start.reshape(len(t), -1))})
+            yield pa.RecordBatch.from_pydict(out | {"w0_0": lists(recurrence.flat_weights(start))})
 
     return run
 

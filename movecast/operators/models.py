@@ -19,7 +19,7 @@ from ..functions import wavefront as wf
 from .tracks import Part, chunk_links, durable, events, scratch_path, track_parts, union_parts
 
 LARGEST_MAP = 10.0
-ROUND_CHUNKS = 64
+ROUND_CHUNKS = 256
 
 _EVENT = ["id", "segment", "timestamp", *ATTRIBUTES, "i", "irregular", "history"]
 _STATE = "id int, segment bigint, w array<double>, a array<double>"

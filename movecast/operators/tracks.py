@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..config import ModelConfig
 
-HOT_ROWS = 4_194_304
-CHUNK_ROWS = 65_536  # a power of two, so chunks never straddle the partitions that number them
+HOT_ROWS = 1_048_576
+CHUNK_ROWS = 16_384  # a power of two, so chunks never straddle the partitions that number them
 BROADCAST_IDS = 100_000
 ENDLESS = 1 << 62  # a gap no track has
 

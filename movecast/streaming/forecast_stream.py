@@ -71,8 +71,8 @@ class _Object:
 
     def stored(self) -> tuple:
         columns = [list(c) for c in zip(*self.points, strict=True)]
-        a = self.model.a.reshape(-1).tolist() if self.cfg.newton else []
-        return (self.ts, *columns, self.model.w.reshape(-1).tolist(), a, self.i, self.segment)
+        w, a = self.model.flat()
+        return (self.ts, *columns, w[0].tolist(), [] if a is None else a[0].tolist(), self.i, self.segment)
 
 
 def _per_point(obj: _Object, ts: list[int], points: list[tuple]) -> Iterator[tuple]:
@@ -117,13 +117,15 @@ def _advance(obj: _Object, ts: list[int], points: list[tuple]) -> pd.DataFrame |
                 [[{"timestamp": t} | dict(zip(ATTRIBUTES, p, strict=True)) for t, p in obj.sorted_history()]]
             )
             sampled = sampled_levels(history, np.array([irregular]), cfg.window, cfg.sampling)
-            series = windows(*sampled, cfg.train, cfg.diff)
-            predicted, actual = obj.model.learn(slice(0, 1), series.values, np.array([obj.i]))
-            mean = (predicted - actual).cumsum(axis=2)[..., -1] / predicted.shape[2]
+            inputs = windows(*sampled, cfg.train, cfg.diff)
+            series = recurrence.Series(inputs.values, np.array([obj.i]), cfg.train)
+            predicted = np.empty((cfg.window - cfg.train, 1, 4))
+            obj.model.learn(slice(0, 1), series, slice(0, 1), predicted)
+            mean = (predicted - np.stack(series.targets)).cumsum(axis=0)[-1] / len(predicted)
             path = recurrence.forecasts(
-                cfg, obj.model.w, series.values, series.levels, np.array([point], dtype=float), mean
+                cfg, obj.model.w, inputs.values, inputs.levels, np.array([point], dtype=float), mean
             )
-            rows.append((obj.key, obj.segment, at, 0, int(series.base_ts[0]), *path[0].tolist()))
+            rows.append((obj.key, obj.segment, at, 0, int(inputs.base_ts[0]), *path[0].tolist()))
     if not rows:
         return None
     return pd.DataFrame(rows, columns=[c.split()[0] for c in model_schema("forecast", False).split(", ")])

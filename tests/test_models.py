@@ -207,14 +207,15 @@ def test_worked_gradient_and_newton_values():
     a = np.eye(3) * 0.0003
     g = 2 * x * error
     new_a = a - (a @ np.outer(g, g) @ a) / (1 + g @ a @ g)
-    got_a, got_w = newton_step(a[None, None], w[None, None], g[None, None], 0.1)
-    assert np.allclose(got_a[0, 0], new_a, rtol=0, atol=1e-18)
-    assert np.allclose(got_w[0, 0], w - 0.1 * (g @ new_a), rtol=0, atol=1e-15)
+    got_a, got_w = a.copy()[:, :, None, None], w.copy()[:, None, None]
+    newton_step(got_a, got_w, g[:, None, None], 0.1)
+    assert np.allclose(got_a[:, :, 0, 0], new_a, rtol=0, atol=1e-18)
+    assert np.allclose(got_w[:, 0, 0], w - 0.1 * (g @ new_a), rtol=0, atol=1e-15)
 
 
 def test_correction_lowers_by_size_of_residual():
     cfg = ModelConfig(variant="corr_arma_gd", horizon=2)
-    w = np.tile([1.0, 0.0, 0.0], (1, 4, 1))
+    w = np.tile(np.array([1.0, 0.0, 0.0])[:, None, None], (1, 1, 4))
     levels = np.ones((1, 4, 3)) * 5
     out = forecast_arrays(cfg, w, np.ones((1, 4, 4)), levels, np.zeros((1, 4)), np.array([[0.5, -0.5, 0.0, 1.0]]))
     assert out[0, :, 1].tolist() == [4.5, 4.5, 5.0, 4.0]
