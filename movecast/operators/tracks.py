@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import ModelConfig
 
 HOT_ROWS = 1_048_576
-CHUNK_ROWS = 16_384  # a power of two, so chunks never straddle the partitions that number them
+CHUNK_ROWS = 4_096  # a power of two, so chunks never straddle the partitions that number them
 BROADCAST_IDS = 100_000
 ENDLESS = 1 << 62  # a gap no track has
 
@@ -189,9 +189,16 @@ def _within(part: Part, cfg: ModelConfig) -> DataFrame:
         .withColumn("previous", F.lag("timestamp").over(w))
         .withColumn("recent", F.collect_list(F.struct(*POINT_COLUMNS)).over(w.rowsBetween(-h, 0)))
     )
-    if part.chunked:
-        df = df.withColumn("previous", F.coalesce("previous", F.get("halo", F.size("halo") - 1)["timestamp"]))
-        df = df.withColumn("recent", F.concat("halo", "recent"))
+    if part.chunked:  # only the first points of a chunk look back into its halo
+        first = F.col("rn") <= h
+        df = df.withColumns(
+            {
+                "previous": F.coalesce(
+                    "previous", F.when(F.col("rn") == 1, F.get("halo", F.size("halo") - 1)["timestamp"])
+                ),
+                "recent": F.when(first, F.concat("halo", "recent")).otherwise(F.col("recent")),
+            }
+        ).drop("halo")
     df = df.withColumn("fresh", F.coalesce((ts - F.col("previous") > gap).cast("int"), F.lit(0)))
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns(
