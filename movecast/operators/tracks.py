@@ -170,15 +170,20 @@ def events(part: Part, cfg: ModelConfig, links: DataFrame | None = None) -> Part
         )
         if "w0_0" in df.columns:
             df = df.withColumn("w0_0", F.when(F.col("segment") == F.col("segment_before"), F.col("w0_0")))
+    history = F.array_sort(_visible()) if cfg.order == "arrival" else _visible()
     keep = [c for c in part.df.columns if c not in POINT_COLUMNS] + [c for c in ("w0_0",) if c in df.columns]
     return part.with_df(
         df.select(
-            *keep, *POINT_COLUMNS, "segment", "pos", "n_visible", "history", "prior", "first_ts", "irregular", "span_ok",
+            *keep, *POINT_COLUMNS, "segment", "pos", "n_visible", history.alias("history"), "prior", "first_ts", "irregular", "span_ok",
             "z_len", (F.col("pos") + F.col("grown")).alias("i"),
         )
     )
 
 
+def _visible() -> Column:
+    return F.slice("recent", -F.col("n_visible"), F.col("n_visible"))
+
+
 def _within(part: Part, cfg: ModelConfig) -> DataFrame:
     """``events`` as far as one id or one chunk (with its ``halo``) can tell: counts start at the chunk."""
     h, step, gap = cfg.window, cfg.sampling, cfg.gap_threshold
@@ -199,45 +204,49 @@ def _within(part: Part, cfg: ModelConfig) -> DataFrame:
                 "recent": F.when(first, F.concat("halo", "recent")).otherwise(F.col("recent")),
             }
         ).drop("halo")
-    df = df.withColumn("fresh", F.coalesce((ts - F.col("previous") > gap).cast("int"), F.lit(0)))
+    dt = ts - F.col("previous")
+    df = df.withColumn("fresh", F.coalesce((dt > gap).cast("int"), F.lit(0)))
     running = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def latest(condition: Column) -> Column:
+        """Number of the last row so far where ``condition`` holds."""
+        return F.max(F.when(condition, F.col("rn"))).over(running)
+
     df = df.withColumns(
         {
             "segment": F.sum("fresh").over(running),
-            "opened": F.coalesce(F.max(F.when(F.col("fresh") == 1, F.col("rn"))).over(running), F.lit(1)),
+            "opened": F.coalesce(latest(F.col("fresh") == 1), F.lit(1)),
+            "last_off": latest((F.col("fresh") == 0) & (dt != step)),
+            "last_same": latest(dt == 0),
         }
     ).withColumn("pos", F.col("rn") - F.col("opened") + 1)
     known = F.col("pos")
     if part.chunked:
         known = known + F.when(F.col("segment") == 0, F.col("halo_open")).otherwise(0)
     df = df.withColumn("n_visible", F.least(F.lit(h + 1), known))
+    oldest = F.col("rn") - F.col("n_visible") + 1
+    irregular = F.coalesce(F.col("last_off") > oldest, F.lit(False))
+    apart = ~F.coalesce(F.col("last_same") > oldest, F.lit(False))
+    visible = _visible()
+    times = visible["timestamp"]
+    distinct = F.size(F.array_distinct(times)) == F.col("n_visible")
+    if part.chunked:  # a history that starts in the halo is looked at point by point
+        steps = F.zip_with(F.slice(times, 2, h), F.slice(times, 1, F.size(times) - 1), lambda b, a: b - a)
+        irregular = F.when(oldest < 1, F.exists(steps, lambda d: d != step)).otherwise(irregular)
+        apart = F.when(oldest < 1, distinct).otherwise(apart)
     df = df.withColumns(
         {
-            "history": F.slice("recent", -F.col("n_visible"), F.col("n_visible")),
             "prior": F.when(F.col("n_visible") > 1, F.get("recent", F.size("recent") - 2)),
-        }
-    )
-    df = df.withColumns(
-        {
-            "first_ts": F.get("history", F.lit(0))["timestamp"],
-            "irregular": F.exists(
-                F.transform(
-                    "history",
-                    lambda p, k: (k > 0)
-                    & (p["timestamp"] - F.get("history", F.greatest(k - 1, F.lit(0)))["timestamp"] != step),
-                ),
-                lambda off: off,
-            ),
+            "first_ts": F.get("recent", F.size("recent") - F.col("n_visible"))["timestamp"],
+            "irregular": irregular,
         }
     )
     df = df.withColumn("span_ok", F.floor((ts - F.col("first_ts")) / F.lit(float(step))) + 1 > h)
-    times = F.col("history")["timestamp"]
-    usable = (F.col("n_visible") >= 3) & (F.size(F.array_distinct(times)) == F.col("n_visible"))
     if cfg.order == "arrival":
-        df = df.withColumn("history", F.array_sort("history"))
-        span = F.array_max(times) - F.array_min(times)
+        span, apart = F.array_max(times) - F.array_min(times), distinct
     else:
         span = ts - F.col("first_ts")
+    usable = (F.col("n_visible") >= 3) & apart
     resampled = F.when(F.col("span_ok") & usable, F.floor(span / F.lit(float(step))) + 1).otherwise(0)
     df = df.withColumn("z_len", F.when(F.col("irregular"), resampled).otherwise(F.col("n_visible")).cast("bigint"))
     df = df.withColumn("extra", F.when(F.col("irregular"), F.col("z_len")).otherwise(0))
