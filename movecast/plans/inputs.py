@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig
@@ -14,12 +14,18 @@ REGULAR = ModelConfig(horizon=8, lrate=1e-6, speed_threshold=40.0)
 REGULAR_START = 1_704_067_200_000
 
 
+def epoch_ms(column: str) -> Column:
+    """Milliseconds of a time without zone, read as UTC whatever the session's zone is."""
+    local = F.col(column).cast("timestamp")
+    return F.unix_millis(F.from_utc_timestamp(local, F.current_timezone()))
+
+
 def traj_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One track per user, at the times of its events."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").cast("int").alias("id"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+        epoch_ms("ts").alias("timestamp"),
         (F.lit(-5.0) + F.col("value") / 100).alias("longitude"),
         (F.lit(36.0) + k / 100).alias("latitude"),
         (F.col("value") / 10).alias("speed"),

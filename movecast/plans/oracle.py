@@ -176,7 +176,6 @@ rec as (select distinct id, segment, attr, cast(-1 as bigint) q, {", ".join(star
             f"w{j} - (" + " + ".join(f"g{k}*a{k}{j}" for k in ones) + f")*{lr} w{j}" for j in ones
         )
         gs = ", ".join(f"g{j}" for j in ones)
-        us = ", ".join(f"u{j}, s{j}" for j in ones)
         k0 = "id, segment, attr, q"
         body = f"""
 rec as (select distinct id, segment, attr, cast(-1 as bigint) q, {", ".join(start)}, 0.0::double pred, 0.0::double y, {a0} from pairs
@@ -189,7 +188,6 @@ rec as (select distinct id, segment, attr, cast(-1 as bigint) q, {", ".join(star
       from rec join pairs on rec.id = pairs.id and rec.segment = pairs.segment and rec.attr = pairs.attr
         and pairs.q = rec.q + 1)))))"""
         matrix = ", " + ", ".join(f"max(a{r}{c}) filter (where q % {per} = {per - 1}) a{r}{c}" for r, c in cells)
-        del us
     last = ", ".join(f"max(w{j}) filter (where q % {per} = {per - 1}) w{j}" for j in ones)
     return f"""{windows_sql(source, cfg)},
 pairs as ({pairs}),{body},

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ATTRIBUTES, VARIANTS, ModelConfig
+from ..config import VARIANTS, ModelConfig
 from ..operators.evaluate import (
     accuracy_by_horizon,
     error_counts,
@@ -24,7 +24,7 @@ from ..schema import FORECAST_COLUMNS, POINT
 from ..sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
 from ..sources.sinks import stream_forecasts_to, write_accuracy, write_forecasts
 from ..streaming.forecast_stream import forecast_stream
-from .inputs import RAW, REGULAR, actuals, traj_raw, traj_regular
+from .inputs import RAW, REGULAR, actuals, epoch_ms, traj_raw, traj_regular
 
 SCORED = REGULAR.with_(variant="corr_arma_gd", path="events.csv")
 RATE_TEXT = "10E-6"  # the learning rate of SCORED as the label shows it
@@ -69,7 +69,7 @@ def _decode(fields: int) -> Query:
         text = F.concat_ws(
             ",",
             F.col("user_id").cast("string"),
-            F.unix_millis(F.col("ts").cast("timestamp")).cast("string"),
+            epoch_ms("ts").cast("string"),
             *[c.cast("string") for c in (v, v + 1, v * 2, F.col("event_id") % 360)],
         )
         return decode_points(events.select(F.encode(text, "UTF-8").alias("value")), fields)
