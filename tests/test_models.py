@@ -222,8 +222,17 @@ def test_correction_lowers_by_size_of_residual():
     assert out[0, :, 0].tolist() == [0.0] * 4
 
 
+@pytest.mark.parametrize("variant", ["corr_arima_gd", "corr_arima_ns"])
+def test_fixed_semantics_forecasts_from_differences(spark, variant):
+    cfg = ModelConfig(variant=variant, horizon=3, lrate=1e-6, semantics="fixed")
+    rows = walk(seed=12, tracks=2, n=30)
+    got = run(made(spark, rows), cfg)
+    assert_same(got, forecasts(rows, cfg))
+    assert got != run(made(spark, rows), cfg.with_(semantics="reference"))
+
+
 def test_config_rules():
-    for bad in ({"train": 1}, {"train": 4}, {"variant": "x"}, {"horizon": 0}, {"vector_init": "x"}, {"order": "x"}):
+    for bad in ({"train": 1}, {"train": 4}, {"variant": "x"}, {"horizon": 0}, {"vector_init": "x"}, {"order": "x"}, {"motion": "derived", "variant": "corr_arma_gd"}):
         with pytest.raises(ValueError):
             ModelConfig(**bad)
 
