@@ -53,7 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: op4: every 50 words of every document, looked up in full.
 SUBSTRING = r"""
 with words as (
-  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
 ), stretches as (
   select doc_id, i, array_to_string(w[i : i + 49], ' ') as s
   from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)
