@@ -27,9 +27,10 @@ BITS = 18
 #: Most labelled documents that the fit reads, whatever the table.
 SAMPLE = 8_000
 ROUNDS = 150
-RATE = 0.1
-L2 = 1e-5
-LEAST_DOCS = 3
+RATE = 0.05
+L2 = 2e-3
+#: A feature has a weight if at least this share of the sample, and three documents, have it.
+LEAST_SHARE = 1 / 400
 TAIL = 0.5
 GRADES = 3
 
@@ -59,9 +60,9 @@ class Ordinal:
 
     @staticmethod
     def fit(places: np.ndarray, offsets: np.ndarray, grades: np.ndarray, grades_n: int = GRADES) -> Ordinal:
-        """Adam on the log-likelihood with an L2 penalty. Features of fewer than LEAST_DOCS documents keep weight 0."""
+        """Adam on the log-likelihood with an L2 penalty. Rare features keep weight 0."""
         size = 1 << BITS
-        often = np.bincount(places, minlength=size) >= LEAST_DOCS
+        often = np.bincount(places, minlength=size) >= max(3, LEAST_SHARE * len(grades))
         row = np.repeat(np.arange(len(grades)), np.diff(offsets))
         use = often[places]
         row, places = row[use], places[use]
@@ -72,7 +73,6 @@ class Ordinal:
         first = -np.log(share / (1 - share))
         gaps = np.append(first[0], np.log(np.maximum(np.diff(first), 1e-2)))  # thresholds: the first, and logs of their gaps
         m, v = np.zeros(len(w) + len(gaps)), np.zeros(len(w) + len(gaps))
-        above = grades[:, None] >= np.arange(1, grades_n)
         for t in range(1, ROUNDS + 1):
             cuts = np.cumsum(np.append(gaps[0], np.exp(gaps[1:])))
             z = np.bincount(row, weights=w[at], minlength=n)
@@ -92,7 +92,6 @@ class Ordinal:
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             move = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             w, gaps = w + move[: len(w)], gaps + move[len(w) :]
-        assert above.shape[1] == len(gaps)
         weights = np.zeros(size, np.float32)
         weights[used] = w
         return Ordinal(weights, np.cumsum(np.append(gaps[0], np.exp(gaps[1:]))))

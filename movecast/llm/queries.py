@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, license_scan, line_dedup, lz_fingerprints, ring_shards, secret_ledger, substring_dedup
+from . import (
+    best_fit_packing,
+    chosen_path_join,
+    license_scan,
+    line_dedup,
+    lz_fingerprints,
+    ordinal_quality,
+    ring_shards,
+    secret_ledger,
+    simhash_decontamination,
+    substring_dedup,
+)
 from .common import documents
 
 
@@ -17,6 +28,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.quality_digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints.edit_digest(documents(spark, sf_dir))
 
@@ -33,6 +52,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_digest(documents(spark, sf_dir))
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path_join.classes(documents(spark, sf_dir))
+
+
 def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards.shard_digest(documents(spark, sf_dir))
 
