@@ -157,7 +157,8 @@ def forecast_stream(
         new = pd.concat(list(batches)).sort_values(by, kind="stable")
         obj = _Object(cfg, int(key[0]), state.get if state.exists else None)
         if late == "drop":
-            past = new["timestamp"].cummax().shift(fill_value=obj.ts[-1] if obj.ts else new["timestamp"].min())
+            last = obj.ts[-1] if obj.ts else new["timestamp"].min()
+            past = new["timestamp"].cummax().clip(lower=last).shift(fill_value=last)
             new = new[new["timestamp"] >= past]
         if len(new):
             columns = [new[n].tolist() for n in names]
