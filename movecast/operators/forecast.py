@@ -14,18 +14,20 @@ from .models import random_start, run_models, trainable
 from .tracks import event_parts, track_segments, union_parts
 
 
-def forecast(points: DataFrame, cfg: ModelConfig, **layout) -> DataFrame:
-    """Forecast rows of one configuration: one per (trainable event, step)."""
-    return forecast_many(points, [cfg], **layout)
+def forecast(points: DataFrame, cfg: ModelConfig, horizons: tuple[int, ...] | None = None, **layout) -> DataFrame:
+    """Forecast rows of one configuration: one per (trainable event, step), or those of the wanted horizon labels only."""
+    return forecast_many(points, [cfg], horizons, **layout)
 
 
-def forecast_many(points: DataFrame, configs: list[ModelConfig], **layout) -> DataFrame:
+def forecast_many(
+    points: DataFrame, configs: list[ModelConfig], horizons: tuple[int, ...] | None = None, **layout
+) -> DataFrame:
     """Forecast rows of several configurations that share their windows, in one pass over the points."""
-    return forecast_rows(run_models(points, configs, "forecast", **layout), configs)
+    return forecast_rows(run_models(points, configs, "forecast", **layout), configs, horizons)
 
 
-def forecast_rows(runs: DataFrame, configs: list[ModelConfig]) -> DataFrame:
-    """Explode the forecast arrays of ``run_models``.
+def forecast_rows(runs: DataFrame, configs: list[ModelConfig], horizons: tuple[int, ...] | None = None) -> DataFrame:
+    """Explode the forecast arrays of ``run_models``; with ``horizons`` only their entries become rows.
 
     ``step`` counts from the observed point (0). ``horizon`` is the label under which the job stores the row: plain jobs
     count from 0 = one step ahead, and the plain level gradient job leaves that first row out; jobs that start from the
@@ -56,9 +58,14 @@ def forecast_rows(runs: DataFrame, configs: list[ModelConfig]) -> DataFrame:
             shifted = F.concat(F.slice(name, 1, 1), F.slice(name, 1, F.size(name) - 1))
             runs = runs.withColumn(f"from_{name}", shifted)
             parts.append(f"from_{name}")
-    rows = runs.select(
-        "id", "segment", "origin_timestamp", "base_ts", "job", F.posexplode(F.arrays_zip(*parts)).alias("at", "p")
-    ).where(~(F.col("job.skip_first") & (F.col("at") == 0)))
+    keep = ["id", "segment", "origin_timestamp", "base_ts", "job"]
+    if horizons is None:
+        rows = runs.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("at", "p"))
+    else:
+        wanted = F.explode(F.array(*[F.lit(h) for h in sorted(set(horizons))])).alias("at")
+        rows = runs.select(*keep, *parts, wanted).where((F.col("at") >= 0) & (F.col("at") < F.size(parts[0])))
+        rows = rows.select(*keep, "at", F.struct(*[F.get(c, F.col("at")).alias(c) for c in parts]).alias("p"))
+    rows = rows.where(~(F.col("job.skip_first") & (F.col("at") == 0)))
     step = F.col("at") + F.when(F.col("job.from_observed"), 0).otherwise(1)
     rows = rows.withColumn("step", step.cast("int"))
     observed = F.col("step") == 0

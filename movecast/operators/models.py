@@ -5,7 +5,7 @@ Cold tracks: one pass, one exchange (by id). Hot tracks are chunked, and the chu
 * gradient jobs - a gradient step is an affine map of the weights, so every chunk is folded into one map (in parallel),
   the maps are run in order (one small row per chunk), and all chunks are then replayed in parallel from the weights
   they start with;
-* Newton jobs (and gradient jobs whose maps grow too large to be accurate) are not affine: they go round by round,
+* Newton jobs are not affine: they go round by round (as do the objects of gradient jobs whose maps grow too large),
   a bounded stretch of every hot track at a time, handing the stored weights on.
 """
 
@@ -113,31 +113,38 @@ def _hot(part: Part, configs: list[ModelConfig], want: str, round_chunks: int) -
     links = chunk_links(part, configs[0])
     frames = []
     for k, cfg in enumerate(configs):
-        starts = None if cfg.newton else _chunk_starts(part, links, cfg)
-        if starts is None:
+        if cfg.newton:
             out = _relay(part, links, cfg, want, round_chunks)
         else:
-            rows = trainable(events(part, cfg, links.join(starts, ["id", "chunk"], "left")), cfg)
+            starts, wild = _chunk_starts(part, links, cfg)
+            calm = part if wild is None else part.with_df(part.df.join(wild, "id", "left_anti"))
+            rows = trainable(events(calm, cfg, links.join(starts, ["id", "chunk"], "left")), cfg)
             out = _pass(rows, [cfg], ("id", "segment", "chunk"), want)
+            if wild is not None:
+                tracks = part.with_df(part.df.join(wild, "id", "left_semi"))
+                out = out.unionByName(_relay(tracks, links.join(wild, "id", "left_semi"), cfg, want, round_chunks))
         frames.append(out.withColumn("config", F.lit(k)))
     return union_parts(frames)
 
 
-def _chunk_starts(part: Part, links: DataFrame, cfg: ModelConfig) -> DataFrame | None:
-    """Weights with which every chunk goes on in the segment it inherits.
+def _chunk_starts(part: Part, links: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, DataFrame | None]:
+    """Weights with which every chunk goes on in the segment it inherits, and the ids that need the rounds.
 
-    None when a chunk map is too large to be accurate.
+    An id needs them if one of its chunk maps is too large to be accurate; None if there is no such id.
     """
     rows = trainable(events(part, cfg, links), cfg).sortWithinPartitions("t", "id", "segment", "chunk")
     maps = durable(rows.mapInArrow(wf.map_task(cfg), wf.MAP_SCHEMA))
-    if not maps.where(~(F.col("size") <= LARGEST_MAP)).isEmpty():
-        return None
+    wild = durable(maps.where(~(F.col("size") <= LARGEST_MAP)).select("id").distinct())
+    if wild.isEmpty():
+        wild = None
+    else:
+        maps = maps.join(wild, "id", "left_anti")
     maps = _renumber(maps.drop("size"), ("id", "segment"), "chunk")
     if cfg.vector_init == "random":
         maps = maps.withColumn("w0_0", F.when(F.col("t") == 1, random_start(cfg)))
     starts = maps.sortWithinPartitions("t", "id", "segment").mapInArrow(wf.carry_task(cfg), wf.CARRY_SCHEMA)
     inherited = links.select("id", "chunk", F.col("segment_before").alias("segment"))
-    return durable(starts.join(inherited, ["id", "chunk", "segment"]).select("id", "chunk", "w0_0"))
+    return durable(starts.join(inherited, ["id", "chunk", "segment"]).select("id", "chunk", "w0_0")), wild
 
 
 def _relay(part: Part, links: DataFrame, cfg: ModelConfig, want: str, round_chunks: int) -> DataFrame:

@@ -24,12 +24,14 @@ BROADCAST_IDS = 100_000
 ENDLESS = 1 << 62  # a gap no track has
 
 POINT_COLUMNS = ("timestamp", "longitude", "latitude", "speed", "heading")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Checkpoint folder of the session; a local one is made only for local runs that have none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not sc.master.startswith("local"):
+        if configured is None and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="movecast-"))
     return sc.getCheckpointDir()

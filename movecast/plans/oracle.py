@@ -285,7 +285,8 @@ def label(cfg: ModelConfig, rate: str) -> str:
 
 
 def sql() -> dict[str, str]:
-    from .queries import DERIVED, RATE_TEXT, SCORED, SUMMARY_HORIZONS, SWEEP_CONFIGS, forecast_config
+    from ..operators.evaluate import EVALUATED_HORIZONS
+    from .queries import DERIVED, PUBLISHED, RATE_TEXT, SCORED, SWEEP_CONFIGS, forecast_config
 
     out: dict[str, str] = {}
     text = "concat_ws(',', user_id, epoch_us(ts)//1000, value, value + 1, value * 2, event_id % 360)"
@@ -352,7 +353,8 @@ select id, segment, "timestamp",
     tracks = f"with {ev}, tk as (select distinct id, segment from ev), att as (select unnest([{attrs}]) attribute)"
     out["init_linear"] = (
         f"{tracks} select id, segment, attribute, 2.0::double w1, -1.0::double w2, 0.0::double w3, "
-        f"{eps}::double a11, 0.0::double a12, {eps}::double a33 from tk, att"
+        + ", ".join(f"{eps if r == c else 0.0}::double a{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3))
+        + " from tk, att"
     )
     draw = ", ".join(
         f"(cast('0x' || substr(md5(concat_ws('|', '7', id, segment, attribute, {j})), 1, 8) as bigint) % 201 - 100)"
@@ -372,7 +374,8 @@ select id, segment, "timestamp",
         ("arma_gd", "gd_level"), ("arma_ns", "ns_level"), ("arima_gd", "gd_diff"), ("arima_ns", "ns_diff"),
     ):
         cfg = REGULAR.with_(variant=variant)
-        matrix = ", (round(a11, 9) + 0.0) a11, (round(a12, 9) + 0.0) a12, (round(a33, 9) + 0.0) a33" if cfg.newton else ""
+        cells = [f"a{r}{c}" for r in (1, 2, 3) for c in (1, 2, 3)] if cfg.newton else []
+        matrix = "".join(f", (round({c}, 9) + 0.0) {c}" for c in cells)
         out[f"weights_{name}"] = (
             f"with recursive {weights_sql('reg', cfg)} select wts.id, wts.segment, origin \"timestamp\", "
             f"wts.attr attribute, (round(w1, 9) + 0.0) w1, (round(w2, 9) + 0.0) w2, (round(w3, 9) + 0.0) w3{matrix} "
@@ -381,7 +384,7 @@ select id, segment, "timestamp",
     for variant in (
         "arma_gd", "arma_ns", "arima_gd", "arima_ns", "corr_arma_gd", "corr_arma_ns", "corr_arima_gd", "corr_arima_ns",
     ):
-        out[f"forecast_{variant}"] = forecast_sql("reg", forecast_config(variant))
+        out[f"forecast_{variant}"] = out[f"forecast_{variant}_hot"] = forecast_sql("reg", forecast_config(variant))
         out[f"forecast_{variant}_irregular"] = forecast_sql("raw", forecast_config(variant, irregular=True))
     out["forecast_wide_window"] = forecast_sql("reg", forecast_config("arima_ns").with_(window=6, train=3))
     derived = DERIVED.with_()
@@ -413,13 +416,13 @@ select {FORECAST_OUT} from fl"""
     out["accuracy_summary"] = (
         f"with recursive {scored} select '{run}_Horizon_' || horizon settings, horizon, {stats} from sc group by horizon"
     )
-    horizons = ", ".join(map(str, SUMMARY_HORIZONS))
-    out["accuracy_by_horizon"] = f"""with recursive {forecast_cte("reg", SCORED)},
+    horizons = ", ".join(map(str, EVALUATED_HORIZONS))
+    out["accuracy_by_horizon"] = f"""with recursive {forecast_cte("reg", PUBLISHED)},
 ac as (select id, "timestamp", longitude, latitude, 'clean' actuals from reg
   union all select id, "timestamp", longitude + 0.001, latitude, 'shifted' from reg),
 sc as (select actuals, horizon, {haversine("fc.latitude", "fc.longitude", "ac.latitude", "ac.longitude")} dist_lon_lat
   from fc join ac on fc.id = ac.id and fc."timestamp" = ac."timestamp" where not error and horizon in ({horizons}))
-select actuals, '{run}' settings, horizon, {stats} from sc group by actuals, horizon"""
+select actuals, '{label(PUBLISHED, RATE_TEXT)}' settings, horizon, {stats} from sc group by actuals, horizon"""
     cells = []
     for k, cfg in enumerate(SWEEP_CONFIGS):
         cells.append(
@@ -430,6 +433,13 @@ select actuals, '{run}' settings, horizon, {stats} from sc group by actuals, hor
     out["sweep_accuracy"] = f"with {', '.join(cells)} {everything}"
     out["sink_roundtrip"] = forecast_sql("reg", forecast_config("corr_arma_gd"))
     out["stream_forecast"] = forecast_sql("reg", forecast_config("corr_arima_gd"))
+    out["stream_forecast_irregular"] = out["forecast_arima_gd_irregular"]
+    out["accuracy_stored"] = out["accuracy"]
+    out["track_history_hot"] = (
+        f'with {ev} select id, "timestamp", segment, n_visible, first_ts, irregular, span_ok, z_len, i from ev'
+    )
+    out["track_legs_hot"] = out["track_legs"]
+    out["resample_spline_hot"] = out["resample_spline"]
     out["csv_roundtrip"] = (
         f'with {RAW_POINTS} select id, "timestamp", longitude, latitude, speed, heading from raw'
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import VARIANTS, ModelConfig
 from ..operators.evaluate import (
+    EVALUATED_HORIZONS,
     accuracy_by_horizon,
     error_counts,
     score,
@@ -20,7 +21,7 @@ from ..operators.legs import track_legs
 from ..operators.resample import resample
 from ..operators.sweep import sweep
 from ..operators.tracks import scratch_path, track_diff, track_history, track_segments
-from ..schema import FORECAST_COLUMNS, POINT
+from ..schema import ACCURACY, FORECAST_COLUMNS, POINT
 from ..sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
 from ..sources.sinks import stream_forecasts_to, write_accuracy, write_forecasts
 from ..streaming.forecast_stream import forecast_stream
@@ -29,7 +30,10 @@ from .inputs import RAW, REGULAR, actuals, epoch_ms, traj_raw, traj_regular
 SCORED = REGULAR.with_(variant="corr_arma_gd", path="events.csv")
 RATE_TEXT = "10E-6"  # the learning rate of SCORED as the label shows it
 DERIVED = REGULAR.with_(variant="arima_gd", motion="derived")
-SUMMARY_HORIZONS = (1, 2, 4, 8)
+PUBLISHED = SCORED.with_(horizon=max(EVALUATED_HORIZONS))
+#: A layout in which every track of the given tables is hot: chunks of 16 points, rounds of two chunks.
+HOT = {"hot_rows": 16, "chunk_rows": 16}
+HOT_ROUNDS = HOT | {"round_chunks": 2}
 SWEEP_CONFIGS = [
     REGULAR.with_(variant=v, window=h, train=p, lrate=r, horizon=4, config_id=f"{v}-{h}-{p}-{r}")
     for v in ("arma_gd", "arima_ns")
@@ -54,6 +58,10 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[_r(c, digits) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _cells(p: int) -> dict[str, int]:
+    return {f"a{r + 1}{c + 1}": r * p + c for r in range(p) for c in range(p)}
+
+
 def _entries(array: str, picks: dict[str, int], digits: int = 9) -> list[Column]:
     return [(F.round(F.get(array, F.lit(k)), digits) + 0.0).alias(n) for n, k in picks.items()]
 
@@ -77,9 +85,9 @@ def _decode(fields: int) -> Query:
     return query
 
 
-def _history(*columns: str) -> Query:
+def _history(*columns: str, **layout) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return track_history(traj_raw(spark, sf_dir), RAW).select("id", "timestamp", "segment", *columns)
+        return track_history(traj_raw(spark, sf_dir), RAW, **layout).select("id", "timestamp", "segment", *columns)
 
     return query
 
@@ -99,7 +107,7 @@ def _weights(variant: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         cfg = REGULAR.with_(variant=variant)
         rows = fit_weights(traj_regular(spark, sf_dir), cfg)
-        matrix = _entries("a", {"a11": 0, "a12": 1, "a33": 8}) if cfg.newton else []
+        matrix = _entries("a", _cells(3)) if cfg.newton else []
         return rows.select(
             "id", "segment", "timestamp", "attribute", *_entries("w", {f"w{j + 1}": j for j in range(3)}), *matrix
         )
@@ -115,17 +123,17 @@ def _backtest(variant: str) -> Query:
     return query
 
 
-def _forecast(cfg: ModelConfig, irregular: bool = False) -> Query:
+def _forecast(cfg: ModelConfig, irregular: bool = False, **layout) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         points = traj_raw(spark, sf_dir) if irregular else traj_regular(spark, sf_dir)
-        return _forecast_out(forecast(points, cfg))
+        return _forecast_out(forecast(points, cfg, **layout))
 
     return query
 
 
-def _legs(*columns: str, digits: int = 6) -> Query:
+def _legs(*columns: str, digits: int = 6, **layout) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = track_legs(traj_raw(spark, sf_dir)).select("id", "timestamp", *columns)
+        rows = track_legs(traj_raw(spark, sf_dir), **layout).select("id", "timestamp", *columns)
         return rows.select(*[_r(c, 9 if c == "distance_units" else digits) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
     return query
@@ -139,15 +147,18 @@ def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(track_diff(traj_raw(spark, sf_dir), RAW.gap_threshold), 9)
 
 
-def _resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(resample(traj_raw(spark, sf_dir), RAW.sampling, RAW.gap_threshold))
+def _resample(**layout) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(resample(traj_raw(spark, sf_dir), RAW.sampling, RAW.gap_threshold, **layout))
+
+    return query
 
 
 def _init_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = init_weights(traj_raw(spark, sf_dir), RAW)
     return rows.select(
         "id", "segment", "attribute",
-        *_entries("w", {"w1": 0, "w2": 1, "w3": 2}), *_entries("a", {"a11": 0, "a12": 1, "a33": 8}),
+        *_entries("w", {"w1": 0, "w2": 1, "w3": 2}), *_entries("a", _cells(3)),
     )
 
 
@@ -159,7 +170,8 @@ def _init_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str, horizon: int | None = None) -> DataFrame:
     points = traj_regular(spark, sf_dir)
     label = settings_label(SCORED, F.col("horizon"))
-    return score(forecast(points, SCORED), actuals(spark, sf_dir), label, horizon)
+    wanted = None if horizon is None else (horizon,)
+    return score(forecast(points, SCORED, wanted), actuals(spark, sf_dir), label, horizon)
 
 
 def _accuracy(horizon: int | None = None) -> Query:
@@ -176,8 +188,8 @@ def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     true = actuals(spark, sf_dir)
     tables = {"clean": true, "shifted": true.withColumn("longitude", F.col("longitude") + 0.001)}
-    forecasts = forecast(traj_regular(spark, sf_dir), SCORED)
-    return _rounded(accuracy_by_horizon(forecasts, tables, settings_label(SCORED), SUMMARY_HORIZONS), 3)
+    forecasts = forecast(traj_regular(spark, sf_dir), PUBLISHED, EVALUATED_HORIZONS)
+    return _rounded(accuracy_by_horizon(forecasts, tables, settings_label(PUBLISHED)), 3)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,15 +217,28 @@ def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forecast_out(stored.select(*FORECAST_COLUMNS))
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as read back from the accuracy table, of stored forecasts against stored true positions."""
+    path, truth, scores = (scratch_path(spark, n) for n in ("forecasts", "actuals", "accuracy"))
+    write_forecasts(forecast(traj_regular(spark, sf_dir), SCORED), path)
+    actuals(spark, sf_dir).write.parquet(truth)
+    label = settings_label(SCORED, F.col("horizon"))
+    write_accuracy(score(read_forecasts(spark, path), read_actuals(spark, truth), label), scores)
+    return spark.read.schema(ACCURACY).parquet(scores).withColumn("dist_lon_lat", _r("dist_lon_lat", 4))
+
+
+def _stream(cfg: ModelConfig, irregular: bool = False) -> Query:
     """The points are replayed as a file stream; the drained result equals the batch job."""
-    source, out, state = (scratch_path(spark, n) for n in ("points", "forecasts", "state"))
-    points = traj_regular(spark, sf_dir)
-    points.write.parquet(source)
-    stream = spark.readStream.schema(points.schema).parquet(source)
-    forecasts = forecast_stream(stream, forecast_config("corr_arima_gd"), idle_timeout_ms=0)
-    stream_forecasts_to(forecasts, out, state, trigger=None).awaitTermination()
-    return _forecast_out(read_forecasts(spark, out).select(*FORECAST_COLUMNS))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, out, state = (scratch_path(spark, n) for n in ("points", "forecasts", "state"))
+        points = traj_raw(spark, sf_dir) if irregular else traj_regular(spark, sf_dir)
+        points.write.parquet(source)
+        stream = spark.readStream.schema(points.schema).parquet(source)
+        stream_forecasts_to(forecast_stream(stream, cfg, idle_timeout_ms=0), out, state, trigger=None).awaitTermination()
+        return _forecast_out(read_forecasts(spark, out).select(*FORECAST_COLUMNS))
+
+    return query
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +263,7 @@ def queries() -> dict[str, Query]:
         "track_legs": _legs("dt_ms", "distance_m", "distance_units"),
         "leg_speed": _legs("speed_knots"),
         "leg_bearing": _legs("bearing_deg"),
-        "resample_spline": _resample,
+        "resample_spline": _resample(),
         "init_linear": _init_linear,
         "init_random": _init_random,
         "backtest_gd": _backtest("arma_gd"),
@@ -250,6 +275,7 @@ def queries() -> dict[str, Query]:
     }
     for variant in VARIANTS:
         out[f"forecast_{variant}"] = _forecast(forecast_config(variant))
+        out[f"forecast_{variant}_hot"] = _forecast(forecast_config(variant), **HOT_ROUNDS)
         out[f"forecast_{variant}_irregular"] = _forecast(forecast_config(variant, irregular=True), irregular=True)
     out |= {
         "forecast_wide_window": _forecast(forecast_config("arima_ns").with_(window=6, train=3)),
@@ -262,6 +288,11 @@ def queries() -> dict[str, Query]:
         "error_counts": _errors,
         "sweep_accuracy": _sweep,
         "sink_roundtrip": _sinks,
-        "stream_forecast": _stream,
+        "accuracy_stored": _stored_accuracy,
+        "stream_forecast": _stream(forecast_config("corr_arima_gd")),
+        "stream_forecast_irregular": _stream(forecast_config("arima_gd", irregular=True), irregular=True),
+        "track_history_hot": _history("n_visible", "first_ts", "irregular", "span_ok", "z_len", "i", **HOT),
+        "track_legs_hot": _legs("dt_ms", "distance_m", "distance_units", **HOT),
+        "resample_spline_hot": _resample(**HOT),
     }
     return out

@@ -30,13 +30,16 @@ def write_accuracy(
 def stream_forecasts_to(
     forecasts: DataFrame, path: str, checkpoint: str, trigger: str | None = "1 second"
 ) -> StreamingQuery:
-    """Start appending a forecast stream to parquet. ``trigger=None`` drains what is there and stops."""
+    """Start appending a forecast stream to parquet. ``trigger=None`` drains what is there and stops.
+
+    One folder per variant: each task writes one file per micro-batch, not one per horizon.
+    """
     writer = (
         forecasts.writeStream.outputMode("append")
         .format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .partitionBy("variant", "horizon")
+        .partitionBy("variant")
     )
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
     return writer.start()

@@ -9,6 +9,7 @@ micro-batch. A micro-batch of one object is held while it is put in order, so bo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,105 +31,132 @@ _STATE = (
 
 
 class _Object:
-    """State of one object while its micro-batch is processed."""
+    """State of one object while its micro-batch is processed: its last points, its weights and its counters."""
 
     def __init__(self, cfg: ModelConfig, key: int, stored: tuple | None):
         self.cfg, self.key = cfg, key
         self.model = recurrence.Weights(cfg)
-        self.ts: list[int] = []
-        self.points: list[tuple] = []
+        self.ts, self.points = np.empty(0, np.int64), np.empty((0, 4))
         self.i, self.segment = 0, -1
         if stored is not None:
-            ts, *columns, w, a, i, segment = stored
-            self.ts, self.i, self.segment = list(ts), i, segment
-            self.points = list(zip(*columns, strict=True))
+            ts, *columns, w, a, self.i, self.segment = stored
+            self.ts, self.points = np.array(ts, np.int64), np.array(columns, float).T
             every = np.ones(1, dtype=bool)
             self.model.open(1, (every, np.array(w)), (every, np.array(a)) if cfg.newton else None)
+        self.open_segment = self.segment
 
-    def restart(self) -> None:
-        self.ts, self.points, self.i = [], [], 0
-        self.segment += 1
+    def open(self, segment: int) -> None:
+        """Start weights of a segment, unless it is the one whose weights are held."""
+        if segment == self.open_segment:
+            return
         start = None
         if self.cfg.vector_init == "random":
-            start = (np.ones(1, dtype=bool), recurrence.random_weights(self.cfg, self.key, self.segment))
+            start = (np.ones(1, dtype=bool), recurrence.random_weights(self.cfg, self.key, segment))
         self.model.open(1, start)
+        self.open_segment = segment
 
-    def trim(self) -> None:
-        h = self.cfg.window
-        self.ts, self.points = self.ts[-h:], self.points[-h:]
+    def stored(self) -> tuple:
+        w, a = self.model.flat()
+        columns = self.points.T.tolist()
+        return (self.ts.tolist(), *columns, w[0].tolist(), [] if a is None else a[0].tolist(), self.i, self.segment)
+
+
+@dataclass
+class _Steps:
+    """Steps of one micro-batch over the held and the new points, which lie in arrival order."""
+
+    first: np.ndarray  # place of the oldest visible point of each step
+    end: np.ndarray  # place after its newest one
+    length: np.ndarray  # points of its fixed-step history; 0 where it cannot be sampled
+    irregular: np.ndarray
+    i: np.ndarray
+    segment: np.ndarray
+    begun: int  # where the open segment begins among these points
+
+
+def _sampled_lengths(ts: np.ndarray, first: np.ndarray, end: np.ndarray, cfg: ModelConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Number of points of each step's fixed-step history, and whether it has to be resampled."""
+    off = np.cumsum(np.append(0, np.diff(ts) != cfg.sampling))
+    irregular = off[end - 1] > off[first]
+    count = end - first
+    length = count.copy()
+    for n in np.unique(count[irregular]):
+        rows = np.flatnonzero(irregular & (count == n))
+        seen = ts[first[rows, None] + np.arange(n)]
+        in_order = np.sort(seen, axis=1)
+        usable = (seen[:, -1] - seen[:, 0]) // cfg.sampling + 1 > cfg.window
+        usable &= (np.diff(in_order) > 0).all(axis=1) & (n >= 3)
+        length[rows] = np.where(usable, (in_order[:, -1] - in_order[:, 0]) // cfg.sampling + 1, 0)
+    return length, irregular
+
+
+def _per_point(obj: _Object, ts: np.ndarray, held: int) -> _Steps:
+    """Steps of the stateful jobs: one per point; a gap starts the object afresh."""
+    end = np.arange(held, len(ts)) + 1
+    fresh = np.append(held == 0, np.diff(ts) > obj.cfg.gap_threshold)
+    fresh[1:held] = False
+    begun = np.maximum.accumulate(np.where(fresh, np.arange(len(ts)), 0))[held:]
+    first = np.maximum(end - 1 - obj.cfg.window, begun)
+    length, irregular = _sampled_lengths(ts, first, end, obj.cfg)
+    grown = np.cumsum(1 + np.where(irregular, length, 0))
+    inherited = np.cumsum(fresh[held:]) == 0
+    before = np.append(0, grown)[np.maximum(begun - held, 0)]
+    i = np.where(inherited, obj.i, -before) + grown
+    return _Steps(first, end, length, irregular, i, obj.segment + np.cumsum(fresh[held:]), int(begun[-1]))
+
+
+def _per_batch(obj: _Object, ts: np.ndarray, held: int) -> _Steps:
+    """Steps of the micro-batch jobs: all new points join the history at once; gaps do not matter."""
+    first, end = np.array([0]), np.array([len(ts)])
+    length, irregular = _sampled_lengths(ts, first, end, obj.cfg)
+    i = np.where(irregular & (length > 0), length, obj.i + 1)
+    return _Steps(first, end, length, irregular, i, np.array([obj.segment + (held == 0)]), 0)
 
-    def sampled_length(self) -> tuple[int, bool]:
-        """Number of points of the fixed-step history, and whether it has to be resampled."""
-        ts, s, h = self.ts, self.cfg.sampling, self.cfg.window
-        if all(b - a == s for a, b in zip(ts, ts[1:], strict=False)):
-            return len(ts), False
-        if (ts[-1] - ts[0]) // s + 1 <= h or len(ts) < 3 or len(set(ts)) < len(ts):
-            return 0, True
-        return (max(ts) - min(ts)) // s + 1, True
 
-    def sorted_history(self) -> list[tuple]:
-        return sorted(zip(self.ts, self.points, strict=True), key=lambda p: p[0])
+def _histories(ts: np.ndarray, points: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.ListArray:
+    """The visible points of each step, each sorted by time."""
+    count = end - first
+    offsets = np.append(0, np.cumsum(count))
+    row = np.repeat(np.arange(len(count)), count)
+    place = first[row] + np.arange(len(row)) - offsets[row]
+    place = place[np.lexsort((ts[place], row))]
+    columns = [pa.array(ts[place]), *[pa.array(points[place, k]) for k in range(4)]]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["timestamp", *ATTRIBUTES]))
 
-    def stored(self) -> tuple:
-        columns = [list(c) for c in zip(*self.points, strict=True)]
-        w, a = self.model.flat()
-        return (self.ts, *columns, w[0].tolist(), [] if a is None else a[0].tolist(), self.i, self.segment)
 
+def _advance(obj: _Object, new_ts: np.ndarray, new_points: np.ndarray) -> pd.DataFrame | None:
+    """Train on the points of one micro-batch; forecast arrays of its trainable steps.
 
-def _per_point(obj: _Object, ts: list[int], points: list[tuple]) -> Iterator[tuple]:
-    """Steps of the stateful jobs: one per point; a gap starts the object afresh."""
-    for at, point in zip(ts, points, strict=True):
-        if not obj.ts or at - obj.ts[-1] > obj.cfg.gap_threshold:
-            obj.restart()
-        obj.ts.append(at)
-        obj.points.append(point)
-        obj.i += 1
-        length, irregular = obj.sampled_length()
-        if irregular:
-            obj.i += length
-        yield at, point, length, irregular
-        obj.trim()
-
-
-def _per_batch(obj: _Object, ts: list[int], points: list[tuple]) -> Iterator[tuple]:
-    """Steps of the micro-batch jobs: all new points join the history at once; gaps do not matter."""
-    if not obj.ts:
-        obj.restart()
-    obj.ts += ts
-    obj.points += points
-    obj.i += 1
-    length, irregular = obj.sampled_length()
-    if irregular and length:
-        obj.i = length
-    yield ts[-1], points[-1], length, irregular
-    obj.trim()
-
-
-def _advance(obj: _Object, ts: list[int], points: list[tuple]) -> pd.DataFrame | None:
-    """Train on the points of one micro-batch; forecast arrays of its trainable steps."""
-    cfg = obj.cfg
-    steps = _per_batch if cfg.motion == "derived" else _per_point
-    rows = []
-    with np.errstate(all="ignore"):
-        for at, point, length, irregular in steps(obj, ts, points):
-            if length < cfg.window:
-                continue
-            history = pa.array(
-                [[{"timestamp": t} | dict(zip(ATTRIBUTES, p, strict=True)) for t, p in obj.sorted_history()]]
-            )
-            sampled = sampled_levels(history, np.array([irregular]), cfg.window, cfg.sampling)
+    Only the weight recurrence goes step by step; histories, samples and forecasts are made for all steps at once.
+    """
+    cfg, held = obj.cfg, len(obj.ts)
+    ts, points = np.concatenate([obj.ts, new_ts]), np.concatenate([obj.points, new_points])
+    steps = (_per_batch if cfg.motion == "derived" else _per_point)(obj, ts, held)
+    kept = max(steps.begun, len(ts) - cfg.window)
+    obj.ts, obj.points = ts[kept:], points[kept:]
+    obj.i, obj.segment = int(steps.i[-1]), int(steps.segment[-1])
+    use = np.flatnonzero(steps.length >= cfg.window)
+    out = None
+    if len(use):
+        end, segment = steps.end[use], steps.segment[use]
+        history = _histories(ts, points, steps.first[use], end)
+        with np.errstate(all="ignore"):
+            sampled = sampled_levels(history, steps.irregular[use], cfg.window, cfg.sampling)
             inputs = windows(*sampled, cfg.train, cfg.diff)
-            series = recurrence.Series(inputs.values, np.array([obj.i]), cfg.train)
-            predicted = np.empty((cfg.window - cfg.train, 1, 4))
-            obj.model.learn(slice(0, 1), series, slice(0, 1), predicted)
+            series = recurrence.Series(inputs.values, steps.i[use], cfg.train)
+            predicted = np.empty((cfg.window - cfg.train, len(use), 4))
+            weights = np.empty((cfg.train, len(use), 4))
+            for r in range(len(use)):
+                obj.open(int(segment[r]))
+                obj.model.learn(slice(0, 1), series, slice(r, r + 1), predicted)
+                weights[:, r] = obj.model.w[:, 0]
             mean = (predicted - np.stack(series.targets)).cumsum(axis=0)[-1] / len(predicted)
-            path = recurrence.forecasts(
-                cfg, obj.model.w, inputs.values, inputs.levels, np.array([point], dtype=float), mean
-            )
-            rows.append((obj.key, obj.segment, at, 0, int(inputs.base_ts[0]), *path[0].tolist()))
-    if not rows:
-        return None
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in model_schema("forecast", False).split(", ")])
+            path = recurrence.forecasts(cfg, weights, inputs.values, inputs.levels, points[end - 1], mean)
+        columns = [[obj.key] * len(use), segment, ts[end - 1], [0] * len(use), inputs.base_ts, *(list(path[:, k]) for k in range(4))]
+        names = [c.split()[0] for c in model_schema("forecast", False).split(", ")]
+        out = pd.DataFrame(dict(zip(names, columns, strict=True)))
+    obj.open(obj.segment)
+    return out
 
 
 def forecast_stream(
@@ -157,12 +185,11 @@ def forecast_stream(
         new = pd.concat(list(batches)).sort_values(by, kind="stable")
         obj = _Object(cfg, int(key[0]), state.get if state.exists else None)
         if late == "drop":
-            last = obj.ts[-1] if obj.ts else new["timestamp"].min()
+            last = obj.ts[-1] if len(obj.ts) else new["timestamp"].min()
             past = new["timestamp"].cummax().clip(lower=last).shift(fill_value=last)
             new = new[new["timestamp"] >= past]
         if len(new):
-            columns = [new[n].tolist() for n in names]
-            out = _advance(obj, columns[0], list(zip(*columns[1:], strict=True)))
+            out = _advance(obj, new["timestamp"].to_numpy(np.int64), new[list(ATTRIBUTES)].to_numpy(float))
             state.update(obj.stored())
             if out is not None:
                 yield out

@@ -100,6 +100,18 @@ def test_late_points_can_be_dropped(spark, tmp_path):
     assert_same(stored(spark, out), forecasts(late, cfg))
 
 
+def test_late_points_of_a_later_batch_are_dropped(spark, tmp_path):
+    rows = [(1, T0 + 4000 * k, 1.0 + k, 2.0, 3.0, 4.0) for k in range(14)]
+    late = [(1, T0 + 4000 * k + 1, 7.0, 7.0, 7.0, 7.0) for k in (2, 3, 4)]  # rising, but all before the stored last time
+    cfg = ModelConfig(variant="arma_ns", horizon=1, order="arrival")
+    put(tmp_path / "in", "0.csv", rows[:7])
+    time.sleep(1.1)
+    put(tmp_path / "in", "1.csv", late + rows[7:], 7)
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    drain(spark, tmp_path / "in", cfg, out, state, late="drop")
+    assert_same(stored(spark, out), forecasts(rows, cfg))
+
+
 def test_micro_batch_jobs_take_one_step_per_batch(spark, tmp_path):
     rows = [(1, T0 + 4000 * k, 1.0 + 0.001 * k, 2.0, 3.0, 4.0) for k in range(12)]
     cfg = ModelConfig(variant="arima_ns", horizon=3, motion="derived")
