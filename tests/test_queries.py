@@ -4,8 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from movecast.plans import oracle
+from movecast.plans import queries as registered
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registered.queries(), oracle.sql()
 
 
 def table_rows(table):
@@ -24,6 +26,11 @@ def test_every_query_has_sql():
     assert QUERIES.keys() == SQL.keys()
 
 
+def test_entry_has_every_query():
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert {k: v for k, v in entry.oracle_sql().items() if k in SQL} == SQL
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, sf_dir, name):
     got = table_rows(QUERIES[name](spark, sf_dir).toArrow())
