@@ -1,4 +1,4 @@
-"""Registered queries of the operators over documents, with production parameters, and SQL where it can express them."""
+"""Registered queries of the operators over documents, with production parameters."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from . import (
     license_scan,
     line_dedup,
     lz_fingerprints,
+    oracle,
     ordinal_quality,
     ring_shards,
     secret_ledger,
@@ -73,25 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-#: op4: every 50 words of every document, looked up in full.
-SUBSTRING = r"""
-with words as (
-  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
-), stretches as (
-  select doc_id, i, array_to_string(w[i : i + 49], ' ') as s
-  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)
-), firsts as (
-  select s, min(doc_id) as first from stretches group by s
-), gone as (
-  select distinct doc_id, unnest(range(i, i + 50)) as i from stretches join firsts using (s) where doc_id > first
-), lost as (
-  select doc_id, list(i) as lost, count(*) as n from gone group by doc_id
-)
-select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
-  sha256(array_to_string([x for x, k in w if lost is null or not list_contains(lost, k)], ' ')) as kept_sha256
-from words left join lost using (doc_id)
-"""
-
-
 def sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRING}
+    return oracle.sql()
