@@ -5,6 +5,8 @@ from __future__ import annotations
 from ..config import ATTRIBUTES, ModelConfig
 from .inputs import RAW, REGULAR, REGULAR_START
 
+#: Arrival numbers: an event is late by 400 places for every unit of its number modulo five.
+ARRIVAL = "event_id + 400 * (event_id % 5)"
 RAW_POINTS = """
 raw as (select cast(user_id as integer) id, epoch_us(ts)//1000 "timestamp",
   -5 + value/100 longitude, 36 + cast(regexp_extract(props,'([0-9]+)',1) as double)/100 latitude,
@@ -23,24 +25,34 @@ def points_sql(source: str) -> str:
     return RAW_POINTS if source == "raw" else REGULAR_POINTS
 
 
+def order_sql(cfg: ModelConfig) -> str:
+    return "seq" if cfg.order == "arrival" else '"timestamp", seq'
+
+
 def events_sql(source: str, cfg: ModelConfig) -> str:
-    """CTEs up to ``ev``: every point with segment, visible history and step counter."""
-    h, s = cfg.window, cfg.sampling
-    seen = f'(partition by id, segment order by "timestamp", seq rows between {h} preceding and current row)'
-    gaps = f'(partition by id, segment order by "timestamp", seq rows between {h - 1} preceding and current row)'
-    return f"""{points_sql(source)},
-fr as (select *, coalesce(cast("timestamp" - lag("timestamp") over (partition by id order by "timestamp", seq)
+    """CTEs up to ``ev``: every point with segment, visible history (``lo`` to ``hi``) and step counter."""
+    h, s, o = cfg.window, cfg.sampling, order_sql(cfg)
+    along = f"(partition by id, segment order by {o})"
+    seen = f"(partition by id, segment order by {o} rows between {h} preceding and current row)"
+    gaps = f"(partition by id, segment order by {o} rows between {h - 1} preceding and current row)"
+    arrived = ""
+    if cfg.order == "arrival":
+        arrived = f""",
+arrived as (select * replace ({ARRIVAL.replace("event_id", "seq")} as seq) from {source})"""
+        source = "arrived"
+    return f"""{points_sql("raw" if source == "arrived" else source)}{arrived},
+fr as (select *, coalesce(cast("timestamp" - lag("timestamp") over (partition by id order by {o})
     > {cfg.gap_threshold} as integer), 0) fresh from {source}),
-sg as (select *, cast(sum(fresh) over (partition by id order by "timestamp", seq) as bigint) segment from fr),
-dt as (select *, row_number() over (partition by id, segment order by "timestamp", seq) pos,
-    "timestamp" - lag("timestamp") over (partition by id, segment order by "timestamp", seq) dt from sg),
+sg as (select *, cast(sum(fresh) over (partition by id order by {o}) as bigint) segment from fr),
+dt as (select *, row_number() over {along} pos, "timestamp" - lag("timestamp") over {along} dt from sg),
 vis as (select *, least({h + 1}, pos) n_visible, first_value("timestamp") over {seen} first_ts,
-    coalesce(bool_or(dt <> {s}) over {gaps}, false) irregular, coalesce(min(dt) over {gaps}, 1) > 0 apart from dt),
+    min("timestamp") over {seen} lo, max("timestamp") over {seen} hi,
+    coalesce(bool_or(dt <> {s}) over {gaps}, false) irregular,
+    len(list_distinct(list("timestamp") over {seen})) = least({h + 1}, pos) apart from dt),
 zl as (select *, floor(("timestamp" - first_ts)/{s}::double) + 1 > {h} span_ok from vis),
 zz as (select *, cast(case when not irregular then n_visible when span_ok and n_visible >= 3 and apart
-    then floor(("timestamp" - first_ts)/{s}::double) + 1 else 0 end as bigint) z_len from zl),
-ev as (select *, pos + cast(sum(case when irregular then z_len else 0 end)
-    over (partition by id, segment order by "timestamp", seq) as bigint) i from zz)"""
+    then floor((hi - lo)/{s}::double) + 1 else 0 end as bigint) z_len from zl),
+ev as (select *, pos + cast(sum(case when irregular then z_len else 0 end) over {along} as bigint) i from zz)"""
 
 
 def _unpivot(source: str, columns: dict[str, str], keep: str) -> str:
@@ -49,8 +61,11 @@ def _unpivot(source: str, columns: dict[str, str], keep: str) -> str:
     )
 
 
-def windows_sql(source: str, cfg: ModelConfig) -> str:
-    """CTEs up to ``win``: per trainable event and attribute the series v1..vh, levels l1..lp and the observed value."""
+def windows_sql(source: str, cfg: ModelConfig, batch: int = 0) -> str:
+    """CTEs up to ``win``: per trainable event and attribute the series v1..vh, levels l1..lp and the observed value.
+
+    With ``batch``, the points of a (regular) track come in batches of so many, and each batch is one event: its last point.
+    """
     h, p, s = cfg.window, cfg.train, cfg.sampling
     if source == "reg":
         step = 'over (partition by id, segment order by "timestamp", seq)'
@@ -64,12 +79,16 @@ def windows_sql(source: str, cfg: ModelConfig) -> str:
         along = 'over (partition by id, segment, attr order by "timestamp", seq)'
         v = ", ".join(f"lag(val, {h - k}) {along} v{k}" for k in range(1, h + 1))
         lv = ", ".join(f"lag(obs, {p - k}) {along} l{k}" for k in range(1, p + 1))
+        t, i, events = f"pos - {h - 1}", "i", f"z_len >= {h}"
+        if batch:
+            t = i = f"(pos + {batch - 1}) // {batch}"
+            events = f"pos >= {h} and (pos % {batch} = 0 or pos = n)"
         return f"""{events_sql(source, cfg)},
 ser as ({_unpivot("ev", series, 'id, segment, "timestamp", seq, pos, i, z_len')}),
-lagged as (select *, {v}, {lv} from ser),
-win as (select id, segment, pos - {h - 1} t, "timestamp" origin, "timestamp" base_ts, i, attr, obs,
+lagged as (select *, {v}, {lv}, count(*) over (partition by id, segment, attr) n from ser),
+win as (select id, segment, {t} t, "timestamp" origin, "timestamp" base_ts, {i} i, attr, obs,
     {", ".join(f"v{k}" for k in range(1, h + 1))}, {", ".join(f"l{k}" for k in range(1, p + 1))}
-  from lagged where z_len >= {h})"""
+  from lagged where {events})"""
     key = "id, segment, pos"
     samples = range(h + 1)
 
@@ -91,8 +110,8 @@ win as (select id, segment, pos - {h - 1} t, "timestamp" origin, "timestamp" bas
     wide = ", ".join(f"{zero_or('lon', k)} o{k}, {zero_or('lat', k)} a{k}" for k in samples)
     return f"""{events_sql(source, cfg)},
 tr as (select * from ev where z_len >= {h} and irregular),
-kn as (select a.id, a.segment, a.pos, b.pos - a.pos + a.n_visible k, a.n_visible n,
-    cast(b."timestamp" - a.first_ts as double) x, b.longitude lon, b.latitude lat
+kn as (select a.id, a.segment, a.pos, row_number() over (partition by a.id, a.segment, a.pos order by b."timestamp") k,
+    a.n_visible n, cast(b."timestamp" - a.lo as double) x, b.longitude lon, b.latitude lat
   from tr a join ev b on a.id = b.id and a.segment = b.segment and b.pos between a.pos - a.n_visible + 1 and a.pos),
 {spline_sql("kn", key)},
 grid as (select tr.id, tr.segment, tr.pos, g.k, cast((tr.z_len - 1 - {h} + g.k) * {s} as double) tau
@@ -104,7 +123,7 @@ smp as (select grid.id, grid.segment, grid.pos, grid.k,
     and pc.x <= tau and (tau < pc.x_next or pc.k = pc.n - 1)
   join kn e on e.id = grid.id and e.segment = grid.segment and e.pos = grid.pos and e.k = e.n),
 wide as (select smp.id, smp.segment, smp.pos, any_value(tr."timestamp") origin,
-    any_value(tr.first_ts + (tr.z_len - 1) * {s}) base_ts, any_value(tr.i) i, any_value(tr.longitude) longitude,
+    any_value(tr.lo + (tr.z_len - 1) * {s}) base_ts, any_value(tr.i) i, any_value(tr.longitude) longitude,
     any_value(tr.latitude) latitude, any_value(tr.speed) speed, any_value(tr.heading) heading, {wide}
   from smp join tr using (id, segment, pos) group by smp.id, smp.segment, smp.pos),
 win as ({" union all ".join(rows(a) for a in ATTRIBUTES)})"""
@@ -141,7 +160,7 @@ def _dot(w: str, x: str, p: int) -> str:
     return " + ".join(f"{w}{j}*{x}{j}" for j in range(1, p + 1))
 
 
-def weights_sql(source: str, cfg: ModelConfig, tag: str = "") -> str:
+def weights_sql(source: str, cfg: ModelConfig, batch: int = 0) -> str:
     """CTEs up to ``wts``: per trainable event and attribute the weights (and matrix) and the mean residual."""
     h, p, lr = cfg.window, cfg.train, f"{cfg.lrate!r}::double"
     ones = range(1, p + 1)
@@ -189,14 +208,14 @@ rec as (select distinct id, segment, attr, cast(-1 as bigint) q, {", ".join(star
         and pairs.q = rec.q + 1)))))"""
         matrix = ", " + ", ".join(f"max(a{r}{c}) filter (where q % {per} = {per - 1}) a{r}{c}" for r, c in cells)
     last = ", ".join(f"max(w{j}) filter (where q % {per} = {per - 1}) w{j}" for j in ones)
-    return f"""{windows_sql(source, cfg)},
+    return f"""{windows_sql(source, cfg, batch)},
 pairs as ({pairs}),{body},
 wts as (select id, segment, attr, q // {per} + 1 t, {last},
     max(pred) filter (where q % {per} = {per - 1}) pred, max(y) filter (where q % {per} = {per - 1}) y,
     sum(pred - y) / {per} mean{matrix} from rec where q >= 0 group by id, segment, attr, q // {per} + 1)"""
 
 
-def forecast_cte(source: str, cfg: ModelConfig) -> str:
+def forecast_cte(source: str, cfg: ModelConfig, batch: int = 0) -> str:
     """CTEs up to ``fc``: the forecast rows."""
     h, p, big = cfg.window, cfg.train, cfg.horizon
     ones = range(1, p + 1)
@@ -219,7 +238,7 @@ def forecast_cte(source: str, cfg: ModelConfig) -> str:
     label = "step" if cfg.from_observed else "step - 1"
     if cfg.variant == "arma_gd" and not cfg.from_observed:
         first = 2
-    return f"""{weights_sql(source, cfg)},
+    return f"""{weights_sql(source, cfg, batch)},
 fs as (select win.id, win.segment, win.t, win.attr, win.origin, win.base_ts, 0 step, obs val, {ws}, {recent}, mean
     from win join wts on win.id = wts.id and win.segment = wts.segment and win.t = wts.t and win.attr = wts.attr
   union all select id, segment, t, attr, origin, base_ts, step + 1, {level}, {ws}, {shifted}, mean
@@ -267,6 +286,19 @@ legs as (select id, "timestamp", "timestamp" - t0 dt_ms, {haversine("lat0", "lon
     {bearing("lat0", "lon0", "latitude", "longitude")} bearing_deg from pr where t0 is not null)"""
 
 
+def derived_sql(cfg: ModelConfig, batch: int = 0) -> str:
+    """Forecasts with speed and heading from consecutive forecast positions."""
+    along = "over (partition by id, segment, origin_timestamp order by step)"
+    lat0, lon0, t0 = (f"lag({c}) {along}" for c in ("latitude", "longitude", '"timestamp"'))
+    return f"""with recursive {forecast_cte("reg", cfg, batch)},
+pv as (select *, {lat0} lat0, {lon0} lon0, {t0} t0 from fc),
+mv as (select * exclude (speed, heading, error), case when step = 0 then speed else 3600000.0::double
+      * {haversine("lat0", "lon0", "latitude", "longitude")} / (1852.0::double * ("timestamp" - t0)) end speed,
+    case when step = 0 then heading else {bearing("lat0", "lon0", "latitude", "longitude")} end heading from pv),
+fl as (select *, step > 0 and speed > {cfg.speed_threshold} error from mv)
+select {FORECAST_OUT} from fl"""
+
+
 def _actuals_join(score: str = "") -> str:
     return f"""
 ac as (select id, "timestamp", longitude, latitude from reg),
@@ -286,7 +318,7 @@ def label(cfg: ModelConfig, rate: str) -> str:
 
 def sql() -> dict[str, str]:
     from ..operators.evaluate import EVALUATED_HORIZONS
-    from .queries import DERIVED, PUBLISHED, RATE_TEXT, SCORED, SWEEP_CONFIGS, forecast_config
+    from .queries import ARRIVED, DERIVED, MICRO_BATCH, MICRO_BATCH_POINTS, PUBLISHED, RATE_TEXT, SCORED, SWEEP_CONFIGS, forecast_config
 
     out: dict[str, str] = {}
     text = "concat_ws(',', user_id, epoch_us(ts)//1000, value, value + 1, value * 2, event_id % 360)"
@@ -387,16 +419,9 @@ select id, segment, "timestamp",
         out[f"forecast_{variant}"] = out[f"forecast_{variant}_hot"] = forecast_sql("reg", forecast_config(variant))
         out[f"forecast_{variant}_irregular"] = forecast_sql("raw", forecast_config(variant, irregular=True))
     out["forecast_wide_window"] = forecast_sql("reg", forecast_config("arima_ns").with_(window=6, train=3))
-    derived = DERIVED.with_()
-    along = "over (partition by id, segment, origin_timestamp order by step)"
-    lat0, lon0, t0 = (f'lag({c}) {along}' for c in ("latitude", "longitude", '"timestamp"'))
-    out["forecast_derived_motion"] = f"""with recursive {forecast_cte("reg", derived)},
-pv as (select *, {lat0} lat0, {lon0} lon0, {t0} t0 from fc),
-mv as (select * exclude (speed, heading, error), case when step = 0 then speed else 3600000.0::double
-      * {haversine("lat0", "lon0", "latitude", "longitude")} / (1852.0::double * ("timestamp" - t0)) end speed,
-    case when step = 0 then heading else {bearing("lat0", "lon0", "latitude", "longitude")} end heading from pv),
-fl as (select *, step > 0 and speed > {derived.speed_threshold} error from mv)
-select {FORECAST_OUT} from fl"""
+    out["forecast_derived_motion"] = derived_sql(DERIVED)
+    out["stream_micro_batch"] = derived_sql(MICRO_BATCH, MICRO_BATCH_POINTS)
+    out["forecast_arrival"] = forecast_sql("raw", ARRIVED)
     scored = f"{forecast_cte('reg', SCORED)}, {_actuals_join()}"
     run = label(SCORED, RATE_TEXT)
     out["settings_label"] = (

@@ -20,7 +20,7 @@ from ..operators.forecast import fit_weights, forecast, init_weights, one_step_b
 from ..operators.legs import track_legs
 from ..operators.resample import resample
 from ..operators.sweep import sweep
-from ..operators.tracks import scratch_path, track_diff, track_history, track_segments
+from ..operators.tracks import scratch_path, track_diff, track_history, track_positions, track_segments
 from ..schema import ACCURACY, FORECAST_COLUMNS, POINT
 from ..sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
 from ..sources.sinks import stream_forecasts_to, write_accuracy, write_forecasts
@@ -30,6 +30,10 @@ from .inputs import RAW, REGULAR, actuals, epoch_ms, traj_raw, traj_regular
 SCORED = REGULAR.with_(variant="corr_arma_gd", path="events.csv")
 RATE_TEXT = "10E-6"  # the learning rate of SCORED as the label shows it
 DERIVED = REGULAR.with_(variant="arima_gd", motion="derived")
+#: Micro-batch jobs take one step for each batch of so many points of a track.
+MICRO_BATCH = REGULAR.with_(variant="arima_ns", motion="derived")
+MICRO_BATCH_POINTS = 16
+ARRIVED = RAW.with_(variant="arima_gd", horizon=4, order="arrival")
 PUBLISHED = SCORED.with_(horizon=max(EVALUATED_HORIZONS))
 #: A layout in which every track of the given tables is hot: chunks of 16 points, rounds of two chunks.
 HOT = {"hot_rows": 16, "chunk_rows": 16}
@@ -241,6 +245,27 @@ def _stream(cfg: ModelConfig, irregular: bool = False) -> Query:
     return query
 
 
+def _arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points arrive out of time order: each is late by 400 events for every unit of its number modulo five."""
+    points = traj_raw(spark, sf_dir).withColumn("seq", F.col("seq") + 400 * (F.col("seq") % 5))
+    return _forecast_out(forecast(points, ARRIVED))
+
+
+def _micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder grows by some points of every track at a time; the stream goes on from its checkpoint and takes them."""
+    staged, source, out, state = (scratch_path(spark, n) for n in ("staged", "points", "forecasts", "state"))
+    points = track_positions(traj_regular(spark, sf_dir))
+    batch = ((F.col("pos") - 1) / MICRO_BATCH_POINTS).cast("int")
+    points.withColumn("batch", batch).drop("pos").repartition("batch", "id").write.partitionBy("batch").parquet(staged)
+    schema = points.drop("pos").schema
+    last = spark.read.schema("batch int").parquet(staged).agg(F.max("batch")).first()[0]
+    for number in range(0 if last is None else last + 1):
+        spark.read.schema(schema).parquet(f"{staged}/batch={number}").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_forecasts_to(forecast_stream(stream, MICRO_BATCH), out, state, trigger=None).awaitTermination()
+    return _forecast_out(read_forecasts(spark, out).select(*FORECAST_COLUMNS))
+
+
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "points-csv")
     traj_raw(spark, sf_dir).select(*POINT.fieldNames()).write.option("header", True).csv(path)
@@ -280,6 +305,8 @@ def queries() -> dict[str, Query]:
     out |= {
         "forecast_wide_window": _forecast(forecast_config("arima_ns").with_(window=6, train=3)),
         "forecast_derived_motion": _forecast(DERIVED),
+        "forecast_arrival": _arrival,
+        "stream_micro_batch": _micro_batches,
         "settings_label": _labels,
         "accuracy": _accuracy(),
         "horizon_accuracy": _accuracy(3),
