@@ -149,16 +149,32 @@ def one_step_backtest(points: DataFrame, cfg: ModelConfig, **layout) -> DataFram
     )
 
 
+def _regular_series(name: str, window: int, diff: bool) -> Column:
+    """Training series of an event on the grid. Differences of a history without a point before the window start with a zero
+    position and the raw speed and heading."""
+    values = F.col("history")[name]
+    if not diff:
+        return F.slice(values, -window, window).alias(name)
+    changes = F.zip_with(F.slice(values, 2, window), F.slice(values, 1, F.size(values) - 1), lambda b, a: b - a)
+    start = F.lit(0.0) if name in ("longitude", "latitude") else F.get(values, F.lit(0))
+    return F.when(F.size(values) > window, changes).otherwise(F.concat(F.array(start), changes)).alias(name)
+
+
 def training_pairs(points: DataFrame, cfg: ModelConfig, diff: bool | None = None, **layout) -> DataFrame:
     """Sliding training pairs of every trainable event: ``features`` (newest first) and ``target`` per attribute."""
     diff = cfg.diff if diff is None else diff
-    task = wf.window_task(cfg.window, cfg.sampling, cfg.train, diff)
-    series = union_parts(
+    events = union_parts(
         [
             trainable(p, cfg).select("id", "segment", "timestamp", "irregular", "history")
             for p in event_parts(points, cfg, **layout)
         ]
-    ).mapInArrow(task, wf.WINDOW_SCHEMA)
+    )
+    # Series on the grid are slices of the history; only the others go to the spline task.
+    key = ["id", "segment", "timestamp"]
+    regular = events.where(~F.col("irregular")).select(*key, *[_regular_series(a, cfg.window, diff) for a in ATTRIBUTES])
+    task = wf.window_task(cfg.window, cfg.sampling, cfg.train, diff)
+    resampled = events.where("irregular").mapInArrow(task, wf.WINDOW_SCHEMA)
+    series = regular.unionByName(resampled)
     each = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("v")) for a in ATTRIBUTES])
     rows = series.select("id", "segment", "timestamp", F.inline(each))
     k = F.explode(F.sequence(F.lit(cfg.train), F.lit(cfg.window - 1)))

@@ -1,6 +1,6 @@
 """Resampling of whole segments to a fixed step with natural cubic splines.
 
-Spline coefficients are solved per segment in grouped Arrow tasks; the grid itself is laid out by Spark, one knot at a
+Spline coefficients of many segments are solved together in Arrow tasks; the grid itself is laid out by Spark, one knot at a
 time, so a sparse segment with a long grid never sits in one task. Segments of hot tracks are solved chunk by chunk:
 each chunk also sees ``OVERLAP`` knots on either side. The influence of a knot on the coefficients of another shrinks by
 at least 2/3 per knot between them (the sweep multiplies by h[i-1] / (2 (h[i-1] + h[i]) - h[i-1] u), u <= 1/2), so 128
@@ -9,7 +9,7 @@ knots leave less than 1e-22 of it, which is below the rounding of a double.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig
-from .tracks import CHUNK_ROWS, HOT_ROWS, Part, event_parts, union_parts
+from .tracks import CHUNK_ROWS, Part, event_parts, union_parts
 
 OVERLAP = 128
+BLOCK = 1 << 18  # knots that a task solves together
+HOT_KNOTS = 1 << 15  # a longer track is solved by chunks, as a sweep along one spline alone is slow
 
 _KNOTS = (
     "id int, segment bigint, timestamp bigint, next_ts bigint, "
@@ -28,48 +30,87 @@ _KNOTS = (
 )
 
 
-def _sweep(step: list, slope: list) -> list:
-    """Second-order coefficients of a natural spline from interval lengths and slopes."""
-    n = len(step) + 1
-    upper, rhs = [0.0] * n, [0.0] * n
-    u = r = 0.0
-    for k in range(1, n - 1):
-        left = step[k - 1]
-        pivot = 2.0 * (left + step[k]) - left * u
-        u = step[k] / pivot
-        r = (3.0 * (slope[k] - slope[k - 1]) - left * r) / pivot
-        upper[k], rhs[k] = u, r
-    c = [0.0] * n
-    below = 0.0
-    for k in range(n - 2, 0, -1):
-        below = rhs[k] - upper[k] * below
-        c[k] = below
+def _sweep(step: np.ndarray, slope: np.ndarray, begin: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """Second-order coefficients of natural splines that lie one after the other.
+
+    Knots of spline s stand at begin[s] to begin[s] + knots[s] - 1; ``step`` and ``slope`` (axes, knots) belong to the interval
+    that starts at a knot. One numpy step moves all splines that are long enough on by a knot.
+    """
+    upper, rhs = np.zeros(step.shape), np.zeros(slope.shape)
+    c = np.zeros(slope.shape)
+    order = np.argsort(-knots, kind="stable")
+    begin, knots = begin[order], knots[order]
+    live = np.searchsorted(-knots, -np.arange(int(knots[0]) + 1), "left")  # splines with more than k knots
+    for k in range(1, int(knots[0]) - 1):
+        at = begin[: live[k + 1]] + k
+        left = step[at - 1]
+        pivot = 2.0 * (left + step[at]) - left * upper[at - 1]
+        upper[at] = step[at] / pivot
+        rhs[:, at] = (3.0 * (slope[:, at] - slope[:, at - 1]) - left * rhs[:, at - 1]) / pivot
+    for k in range(int(knots[0]) - 2, 0, -1):
+        at = begin[: live[k + 1]] + k
+        c[:, at] = rhs[:, at] - upper[at] * c[:, at + 1]
     return c
 
 
-def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = pa.Table.from_batches(list(batches)).sort_by("timestamp")
+def _solver(keys: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task over knots sorted by (keys, timestamp): spline pieces of whole groups, about ``BLOCK`` knots or one group at a time."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK:
+                table = pa.Table.from_batches(held).combine_chunks()
+                last = int(_groups(table, keys)[-1])
+                if last:
+                    yield from _solve(table.slice(0, last), keys)
+                held, size = table.slice(last).to_batches(), table.num_rows - last
+        if size:
+            yield from _solve(pa.Table.from_batches(held).combine_chunks(), keys)
+
+    return solve
+
+
+def _groups(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Where each group of a sorted table begins."""
+    new = np.ones(table.num_rows, bool)
+    new[1:] = np.any([np.diff(table[k].to_numpy()) != 0 for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _solve(table: pa.Table, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    begin = _groups(table, keys)
+    knots = np.diff(np.append(begin, table.num_rows))
     ts = table["timestamp"].to_numpy()
-    n = len(ts)
-    if n < 3 or (np.diff(ts) == 0).any():
-        return
-    x = (ts - ts[0]).astype(float)
-    step = np.diff(x)
-    own = table["own"].to_numpy()
-    out = {n: table[n].combine_chunks() for n in ("id", "segment", "timestamp")}
-    out["next_ts"] = pa.array(np.append(ts[1:], ts[-1]))
-    for name, column in (("lon", "longitude"), ("lat", "latitude")):
-        y = table[column].to_numpy()
-        slope = np.diff(y) / step
-        c = np.array(_sweep(step.tolist(), slope.tolist()))
-        b = slope - step * (c[1:] + 2.0 * c[:-1]) / 3.0
-        d = np.diff(c) / (3.0 * step)
-        pieces = {"a": y, "b": np.append(b, 0.0), "c": np.append(c[:-1], 0.0), "d": np.append(d, 0.0)}
-        out |= {f"{name}_{k}": pa.array(v) for k, v in pieces.items()}
-    ends = {"first_ts": ts[0], "last_ts": ts[-1], "last_lon": table["longitude"].to_numpy()[-1]}
-    ends["last_lat"] = table["latitude"].to_numpy()[-1]
-    out |= {k: pa.array(np.full(n, v)) for k, v in ends.items()}
-    yield pa.RecordBatch.from_pydict(out).filter(pa.array(own))
+    ahead = np.append(np.diff(ts), 0)
+    ahead[begin + knots - 1] = 1  # no interval starts at a last knot
+    good = (knots >= 3) & (np.minimum.reduceat(ahead, begin) > 0)
+    if not good.all():
+        table = table.filter(pa.array(np.repeat(good, knots))).combine_chunks()
+        if not table.num_rows:
+            return
+        begin, knots = _groups(table, keys), knots[good]
+        ts = table["timestamp"].to_numpy()
+    end = begin + knots - 1
+    inner = np.ones(len(ts), bool)
+    inner[end] = False
+    after = np.minimum(np.arange(len(ts)) + 1, len(ts) - 1)
+    step = np.where(inner, ts[after] - ts, 1).astype(float)
+    y = np.stack([table[n].to_numpy() for n in ("longitude", "latitude")])
+    slope = np.where(inner, (y[:, after] - y) / step, 0.0)
+    c = _sweep(step, slope, begin, knots)
+    b = np.where(inner, slope - step * (c[:, after] + 2.0 * c) / 3.0, 0.0)
+    d = np.where(inner, (c[:, after] - c) / (3.0 * step), 0.0)
+    out = {n: table[n].to_numpy() for n in ("id", "segment", "timestamp")} | {"next_ts": np.where(inner, ts[after], ts)}
+    for k, name in enumerate(("lon", "lat")):
+        out |= {f"{name}_a": y[k], f"{name}_b": b[k], f"{name}_c": c[k], f"{name}_d": d[k]}
+    ends = {"first_ts": ts[begin], "last_ts": ts[end], "last_lon": y[0, end], "last_lat": y[1, end]}
+    out |= {k: np.repeat(v, knots) for k, v in ends.items()}
+    own = table["own"].combine_chunks()
+    whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
+    yield whole.filter(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own)
 
 
 def _with_overlap(part: Part) -> DataFrame:
@@ -125,7 +166,7 @@ def _with_overlap(part: Part) -> DataFrame:
 
 
 def resample(
-    points: DataFrame, step: int, gap: int, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS
+    points: DataFrame, step: int, gap: int, hot_rows: int = HOT_KNOTS, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Points of each segment on the grid ``first + k * step``: spline positions, speed = heading = 0.
 
@@ -149,11 +190,14 @@ def resample(
         )
         if not part.chunked:
             knots = part.df.withColumn("own", F.lit(True)).drop("again", *extra)
-            pieces = knots.groupBy("id", "segment").applyInArrow(_solve, _KNOTS)
+            # Still hashed by id from the windows, so this sort needs no exchange.
+            pieces = knots.sortWithinPartitions("id", "segment", "timestamp").mapInArrow(_solver(("id", "segment")), _KNOTS)
         else:
             ends = _ends(part)
             knots = _with_overlap(part).join(ends.select("id", "segment"), ["id", "segment"], "left_semi")
-            pieces = knots.groupBy("id", "segment", "chunk").applyInArrow(_solve, _KNOTS)
+            keys = ("id", "segment", "chunk")
+            knots = knots.repartition(*keys).sortWithinPartitions(*keys, "timestamp")
+            pieces = knots.mapInArrow(_solver(keys), _KNOTS)
             local = ("first_ts", "last_ts", "last_lon", "last_lat")
             pieces = pieces.drop(*local).join(ends, ["id", "segment"])
         frames.append(_grid(pieces, step))
