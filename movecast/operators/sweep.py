@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 
 from ..config import ModelConfig
 from .forecast import forecast_many
-from .tracks import union_parts
+from .models import ROUND_CHUNKS
+from .tracks import track_parts, union_parts
 
 # The published sweep grid (windows with their orders, and learning rates).
 SWEEP_WINDOWS = ((4, 3), (6, 5), (8, 7), (10, 9))
@@ -33,7 +34,8 @@ def sweep(points: DataFrame, configs: Iterable[ModelConfig], **layout) -> DataFr
     """Forecasts of every configuration, told apart by ``config_id``.
 
     Configurations with the same windows share one pass: each event's history goes to a task once and all of them learn
-    from it there, so points are not multiplied by the number of configurations.
+    from it there, so points are not multiplied by the number of configurations. Points are laid out once for each order,
+    and all window sizes share that exchange.
     """
     groups: dict[tuple, list[ModelConfig]] = {}
     for c in configs:
@@ -43,4 +45,6 @@ def sweep(points: DataFrame, configs: Iterable[ModelConfig], **layout) -> DataFr
     ids = [c.config_id for group in groups.values() for c in group]
     if len(set(ids)) < len(ids):
         raise ValueError("config_id must be unique")
-    return union_parts([forecast_many(points, group, **layout) for group in groups.values()])
+    rounds = layout.pop("round_chunks", ROUND_CHUNKS)
+    parts = {order: track_parts(points, order, **layout) for order in {order for *_, order in groups}}
+    return union_parts([forecast_many(parts[key[-1]], group, round_chunks=rounds) for key, group in groups.items()])

@@ -75,9 +75,14 @@ def _order(points: DataFrame, order: str) -> tuple[str, ...]:
 
 
 def track_parts(
-    points: DataFrame, order: str = "event", hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS
+    points: DataFrame | list[Part], order: str = "event", hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS
 ) -> list[Part]:
-    """Split points into cold tracks and chunked hot tracks; each id is in one of them."""
+    """Split points into cold tracks and chunked hot tracks; each id is in one of them.
+
+    The operators take the returned list in place of points, so that several of them share one layout of one order.
+    """
+    if isinstance(points, list):
+        return points
     if chunk_rows & (chunk_rows - 1):
         raise ValueError("chunk_rows must be a power of two")
     by = _order(points, order)

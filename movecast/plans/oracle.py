@@ -318,7 +318,7 @@ def label(cfg: ModelConfig, rate: str) -> str:
 
 def sql() -> dict[str, str]:
     from ..operators.evaluate import EVALUATED_HORIZONS
-    from .queries import ARRIVED, DERIVED, MICRO_BATCH, MICRO_BATCH_POINTS, PUBLISHED, RATE_TEXT, SCORED, SWEEP_CONFIGS, forecast_config
+    from .queries import ARRIVED, DERIVED, MICRO_BATCH, MICRO_BATCH_POINTS, PUBLISHED, PUBLISHED_GRID, RATE_TEXT, SCORED, SWEEP_CONFIGS, forecast_config
 
     out: dict[str, str] = {}
     text = "concat_ws(',', user_id, epoch_us(ts)//1000, value, value + 1, value * 2, event_id % 360)"
@@ -448,14 +448,14 @@ ac as (select id, "timestamp", longitude, latitude, 'clean' actuals from reg
 sc as (select actuals, horizon, {haversine("fc.latitude", "fc.longitude", "ac.latitude", "ac.longitude")} dist_lon_lat
   from fc join ac on fc.id = ac.id and fc."timestamp" = ac."timestamp" where not error and horizon in ({horizons}))
 select actuals, '{label(PUBLISHED, RATE_TEXT)}' settings, horizon, {stats} from sc group by actuals, horizon"""
-    cells = []
-    for k, cfg in enumerate(SWEEP_CONFIGS):
-        cells.append(
+    for name, configs in (("sweep_accuracy", SWEEP_CONFIGS), ("sweep_published", PUBLISHED_GRID)):
+        cells = [
             f"c{k} as (with recursive {forecast_cte('reg', cfg)}, {_actuals_join()} "
             f"select '{cfg.config_id}' settings, horizon, {stats} from sc group by horizon)"
-        )
-    everything = " union all ".join(f"select * from c{k}" for k in range(len(cells)))
-    out["sweep_accuracy"] = f"with {', '.join(cells)} {everything}"
+            for k, cfg in enumerate(configs)
+        ]
+        everything = " union all ".join(f"select * from c{k}" for k in range(len(cells)))
+        out[name] = f"with {', '.join(cells)} {everything}"
     out["sink_roundtrip"] = forecast_sql("reg", forecast_config("corr_arma_gd"))
     out["stream_forecast"] = forecast_sql("reg", forecast_config("corr_arima_gd"))
     out["stream_forecast_irregular"] = out["forecast_arima_gd_irregular"]

@@ -19,7 +19,7 @@ from ..operators.evaluate import (
 from ..operators.forecast import fit_weights, forecast, init_weights, one_step_backtest, training_pairs
 from ..operators.legs import track_legs
 from ..operators.resample import resample
-from ..operators.sweep import sweep
+from ..operators.sweep import SWEEP_HORIZON, SWEEP_RATES, sweep, sweep_grid
 from ..operators.tracks import scratch_path, track_diff, track_history, track_positions, track_segments
 from ..schema import ACCURACY, FORECAST_COLUMNS, POINT
 from ..sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
@@ -45,6 +45,9 @@ SWEEP_CONFIGS = [
     for r in (1e-6, 1e-7)
 ]
 
+#: The published grid over tracks whose coordinates ask for lower rates.
+PUBLISHED_GRID = sweep_grid(REGULAR.with_(horizon=SWEEP_HORIZON), rates=[r * 1e-4 for r in SWEEP_RATES])
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -206,9 +209,12 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return error_counts(forecast(traj_regular(spark, sf_dir), SCORED)).drop("config_id")
 
 
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forecasts = sweep(traj_regular(spark, sf_dir), SWEEP_CONFIGS)
-    return _rounded(score_summary(score(forecasts, actuals(spark, sf_dir), F.col("config_id"))), 3)
+def _sweep(configs: list[ModelConfig]) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        forecasts = sweep(traj_regular(spark, sf_dir), configs)
+        return _rounded(score_summary(score(forecasts, actuals(spark, sf_dir), F.col("config_id"))), 3)
+
+    return query
 
 
 def _sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,7 +319,8 @@ def queries() -> dict[str, Query]:
         "accuracy_summary": _summary,
         "accuracy_by_horizon": _by_horizon,
         "error_counts": _errors,
-        "sweep_accuracy": _sweep,
+        "sweep_accuracy": _sweep(SWEEP_CONFIGS),
+        "sweep_published": _sweep(PUBLISHED_GRID),
         "sink_roundtrip": _sinks,
         "accuracy_stored": _stored_accuracy,
         "stream_forecast": _stream(forecast_config("corr_arima_gd")),
