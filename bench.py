@@ -32,6 +32,8 @@ HEADLINE = (
     "accuracy_summary",
     "accuracy_by_horizon",
     "sweep_accuracy",
+    "forecast_arrival",
+    "stream_forecast",
 )
 
 
@@ -57,7 +59,7 @@ def main() -> None:
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    variants = [n for n in seconds if n.startswith("forecast_")]
+    variants = [n for n in seconds if n.startswith(("forecast_", "stream_"))]
     result = {
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ..config import ATTRIBUTES, ModelConfig
 from . import recurrence
@@ -242,19 +243,21 @@ def carry_task(cfg: ModelConfig) -> Callable:
 CARRY_SCHEMA = "id int, segment bigint, chunk bigint, w0_0 array<double>"
 
 
-def window_task(window: int, step: int, train: int, diff: bool) -> Callable:
-    """Task that returns the training series of each event (no state, any row order)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            sampled = sampled_levels(batch.column("history"), numbers(batch, "irregular"), window, step)
-            values = windows(*sampled, train, diff).values
-            out = {n: batch.column(n) for n in ("id", "segment", "timestamp")}
-            yield pa.RecordBatch.from_pydict(out | {a: lists(values[:, j]) for j, a in enumerate(ATTRIBUTES)})
-
-    return run
-
-
-WINDOW_SCHEMA = "id int, segment bigint, timestamp bigint, " + ", ".join(f"{a} array<double>" for a in ATTRIBUTES)
+def resampled_series(window: int, step: int, train: int, diff: bool) -> Callable:
+    """Arrow function from an event's history off the grid to its training series; null where the history is null."""
+    kind = pa.struct([(a, pa.list_(pa.float64())) for a in ATTRIBUTES])
+
+    @F.arrow_udf("struct<" + ", ".join(f"{a}:array<double>" for a in ATTRIBUTES) + ">")
+    def series(history: pa.Array) -> pa.Array:
+        given = np.flatnonzero(~history.is_null().to_numpy(zero_copy_only=False))
+        if not len(given):
+            return pa.nulls(len(history), kind)
+        known = pa.concat_arrays([history.take(pa.array(given))])
+        sampled = sampled_levels(known, np.ones(len(given), dtype=bool), window, step)
+        values = windows(*sampled, train, diff).values
+        found = pa.StructArray.from_arrays([lists(values[:, j]) for j in range(4)], names=list(ATTRIBUTES))
+        place = np.full(len(history), -1)
+        place[given] = np.arange(len(given))
+        return found.take(pa.array(place, mask=place < 0))
+
+    return series

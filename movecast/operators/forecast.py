@@ -154,10 +154,10 @@ def _regular_series(name: str, window: int, diff: bool) -> Column:
     position and the raw speed and heading."""
     values = F.col("history")[name]
     if not diff:
-        return F.slice(values, -window, window).alias(name)
+        return F.slice(values, -window, window)
     changes = F.zip_with(F.slice(values, 2, window), F.slice(values, 1, F.size(values) - 1), lambda b, a: b - a)
     start = F.lit(0.0) if name in ("longitude", "latitude") else F.get(values, F.lit(0))
-    return F.when(F.size(values) > window, changes).otherwise(F.concat(F.array(start), changes)).alias(name)
+    return F.when(F.size(values) > window, changes).otherwise(F.concat(F.array(start), changes))
 
 
 def training_pairs(points: DataFrame, cfg: ModelConfig, diff: bool | None = None, **layout) -> DataFrame:
@@ -170,11 +170,17 @@ def training_pairs(points: DataFrame, cfg: ModelConfig, diff: bool | None = None
         ]
     )
     # Series on the grid are slices of the history; only the others go to the spline task.
-    key = ["id", "segment", "timestamp"]
-    regular = events.where(~F.col("irregular")).select(*key, *[_regular_series(a, cfg.window, diff) for a in ATTRIBUTES])
-    task = wf.window_task(cfg.window, cfg.sampling, cfg.train, diff)
-    resampled = events.where("irregular").mapInArrow(task, wf.WINDOW_SCHEMA)
-    series = regular.unionByName(resampled)
+    sampled = wf.resampled_series(cfg.window, cfg.sampling, cfg.train, diff)(F.when(F.col("irregular"), F.col("history")))
+    events = events.withColumn("sampled", sampled)
+    series = events.select(
+        "id",
+        "segment",
+        "timestamp",
+        *[
+            F.when(F.col("irregular"), F.col("sampled")[a]).otherwise(_regular_series(a, cfg.window, diff)).alias(a)
+            for a in ATTRIBUTES
+        ],
+    )
     each = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("v")) for a in ATTRIBUTES])
     rows = series.select("id", "segment", "timestamp", F.inline(each))
     k = F.explode(F.sequence(F.lit(cfg.train), F.lit(cfg.window - 1)))

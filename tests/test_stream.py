@@ -136,3 +136,16 @@ def test_csv_stream_is_rate_limited(spark, tmp_path):
     query = stream.writeStream.foreachBatch(lambda df, n: batches.append(df.count())).trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     assert batches == [1, 1]
+
+
+def test_csv_stream_keeps_the_order_of_lines(spark, tmp_path):
+    rows = [(1, T0 + 4000 * k, 1.0 + k, 2.0, 3.0, 4.0) for k in range(12)]
+    late = [*rows[:7], (1, T0 + 8000, 7.0, 7.0, 7.0, 7.0), *rows[7:]]
+    cfg = ModelConfig(variant="arma_ns", horizon=1, order="arrival")
+    (tmp_path / "in").mkdir()
+    lines = ["id,timestamp,longitude,latitude,speed,heading", *(",".join(map(repr, r)) for r in late)]
+    (tmp_path / "in" / "0.csv").write_text("\n".join(lines) + "\n")
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    stream = forecast_stream(stream_points_csv(spark, str(tmp_path / "in")), cfg)
+    assert stream_forecasts_to(stream, out, state, trigger=None).awaitTermination(120)
+    assert_same(stored(spark, out), forecasts(late, cfg))
