@@ -28,8 +28,8 @@ SHINGLE = 5
 LIKENESS = 0.8
 RADIUS = 3
 BLOCKS = 4
-#: An item of n words has windows of the largest width that is no more than this share of n.
-SHARE = 0.7
+#: An item of n words has windows of the largest width that is no more than this share (7 / 10) of n: in integers, as 21 / 0.7 > 30.
+SHARE = (7, 10)
 DOCUMENT_BITS = 22
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -44,7 +44,8 @@ def widths(most: int) -> list[int]:
 
 def stride(width: int) -> int:
     """How far apart a document's windows may stand: the shortest item of the class has one more start than that fits in."""
-    shortest = max(SHINGLE, int(np.ceil(width / SHARE)))
+    part, whole = SHARE
+    shortest = max(SHINGLE, -(-whole * width // part))
     return shortest - width + 1
 
 
@@ -83,7 +84,7 @@ def _block_keys(prints: np.ndarray, class_: int) -> np.ndarray:
 def item_table(benchmark: DataFrame) -> DataFrame:
     """(item_id, words, n, width) of the items that can be searched for."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= SHINGLE)
-    share = F.floor(F.col("n") * SHARE)
+    share = F.floor(F.col("n").cast("long") * SHARE[0] / SHARE[1])
     most = items.agg(F.max("n")).first()[0] or 0
     ladder = F.array(*[F.lit(w) for w in widths(most)])
     return items.withColumn("width", F.array_max(F.filter(ladder, lambda w: w <= share))).dropDuplicates(["item_id", "words"])

@@ -249,6 +249,17 @@ def test_benchmark_passages(spark, docs, texts, sf_dir):
     assert want <= found and len(found - want) <= 0.02 * len(found) + 1
 
 
+def test_exact_passages_of_every_length_at_every_offset(spark):
+    lengths, offsets = range(5, 64), range(20)
+    text = {n: " ".join(f"i{n}w{k}" for k in range(n)) for n in lengths}
+    items = spark.createDataFrame(list(text.items()), "item_id bigint, text string")
+    before = [f"before{k}" for k in range(20)]
+    rows = [(n * 100 + o, " ".join([*before[:o], text[n], "and", "after"])) for n in lengths for o in offsets]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {(r.doc_id, r.item_id) for r in simhash_decontamination.contaminated(docs, items).collect()}
+    assert found == {(n * 100 + o, n) for n in lengths for o in offsets}
+
+
 def test_fingerprints_within_radius_share_a_block():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
