@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Each benchmark item belongs to a width class, somewhat shorter than itself, and has a 64-bit SimHash of its words for each window
-of that width. Documents have the SimHash of such windows at a stride that is short enough for any whole passage of an item
-to hold one. Hashes are cut into four blocks of 16 bits: two within a Hamming distance of three share a block, so the join on
-blocks finds every pair within that radius. A filter of 65,536 bits for each class and block, whatever the number of items,
-decides first which windows go to the join. Candidates are then verified by a weighted Jaccard likeness of five-word shingles
-between the item and the item-sized window of the document.
+of that width. Documents have the SimHash of such a window at every word, so an edited passage is found where any window beside
+the edit is whole. Hashes are cut into four blocks of 16 bits: two within a Hamming distance of three share a block, so the join
+on blocks finds every pair within that radius. Two filters of fixed size, whatever the number of items, decide first which
+windows go to the join: 65,536 bits for each class and block, and for what passes them 2**PART_BITS bits of block and part, as
+the other 48 bits of such a pair, cut into four parts of 12, agree in one. Candidates are then verified by a weighted Jaccard
+likeness of five-word shingles between the item and the item-sized window of the document.
 
 Words are runs of letters and digits in lower case. Items of fewer than five words are not searched for, null ones neither. A
 null text has no words. Documents with equal doc_id and text give one row for each item; rows with equal doc_id and other
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitTable, durable, flat, owners, pieces, prefix_sums, rolling
+from .common import BitTable, durable, flat, lists, mix, owners, pieces, prefix_sums, rolling
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -31,6 +32,7 @@ BLOCKS = 4
 #: An item of n words has windows of the largest width that is no more than this share (7 / 10) of n: in integers, as 21 / 0.7 > 30.
 SHARE = (7, 10)
 DOCUMENT_BITS = 22
+PART_BITS = 25
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -42,13 +44,6 @@ def widths(most: int) -> list[int]:
     return out
 
 
-def stride(width: int) -> int:
-    """How far apart a document's windows may stand: the shortest item of the class has one more start than that fits in."""
-    part, whole = SHARE
-    shortest = max(SHINGLE, -(-whole * width // part))
-    return shortest - width + 1
-
-
 def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
     return F.transform(words, lambda w: F.xxhash64(w))
@@ -68,11 +63,14 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray
     return np.packbits(ones > width // 2, axis=1).view(np.uint64).ravel()
 
 
-def window_starts(offsets: np.ndarray, width: int, step: int) -> np.ndarray:
-    lengths = np.diff(offsets)
-    counts = np.where(lengths >= width, (lengths - width) // step + 1, 0)
-    within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.repeat(offsets[:-1], counts) + within * step
+def window_prints(sums: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of the window at every place, in slices that stay in the processor's cache."""
+    n, half = max(0, len(sums) - width), width // 2
+    out = np.empty((n, 8), np.uint8)
+    for a in range(0, n, 1024):
+        b = min(n, a + 1024)
+        out[a:b] = np.packbits(sums[a + width : b + width] - sums[a:b] > half, axis=1)
+    return out.view(np.uint64).ravel()
 
 
 def _block_keys(prints: np.ndarray, class_: int) -> np.ndarray:
@@ -81,6 +79,17 @@ def _block_keys(prints: np.ndarray, class_: int) -> np.ndarray:
     return blocks | (np.arange(BLOCKS) << 16) | (class_ << 20)
 
 
+def _part_keys(prints: np.ndarray, class_: int, block: np.ndarray) -> np.ndarray:
+    """(n, 4) hashes of class, block number, block and one of the four parts of the rest."""
+    shift = np.asarray(block, np.uint64) * np.uint64(16)
+    top = prints >> shift & np.uint64(0xFFFF)
+    # The other three blocks: those above move down by one.
+    under = (np.uint64(1) << shift) - np.uint64(1)
+    rest = (prints & under) | (prints >> np.uint64(16) & ~under)
+    key = top | (np.asarray(block, np.uint64) << np.uint64(16)) | (np.uint64(class_) << np.uint64(20))
+    return np.stack([mix(mix(key ^ np.uint64(p << 60)) ^ (rest >> np.uint64(12 * p) & np.uint64(0xFFF))) for p in range(4)], axis=1)
+
+
 def item_table(benchmark: DataFrame) -> DataFrame:
     """(item_id, words, n, width) of the items that can be searched for."""
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= SHINGLE)
@@ -91,7 +100,7 @@ def item_table(benchmark: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(key, print, item_id, at): four rows for each window of each item."""
+    """(key, print, number, at, parts): four rows for each window of each item."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "words", 1 << 16):
@@ -105,12 +114,19 @@ def item_windows(items: DataFrame) -> DataFrame:
                 at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 prints = fingerprints(sums, offsets[row] + at, int(width))
                 keys = _block_keys(prints, int(width)).ravel()
+                parts = _part_keys(np.repeat(prints, BLOCKS), int(width), np.tile(np.arange(BLOCKS), len(prints)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(np.repeat(prints.view(np.int64), BLOCKS)), pa.array(np.repeat(ids[row], BLOCKS)), pa.array(np.repeat(at, BLOCKS))],
-                    names=["key", "print", "number", "at"],
+                    [
+                        pa.array(keys),
+                        pa.array(np.repeat(prints.view(np.int64), BLOCKS)),
+                        pa.array(np.repeat(ids[row], BLOCKS)),
+                        pa.array(np.repeat(at, BLOCKS)),
+                        lists(parts.view(np.int64).ravel(), np.arange(len(keys) + 1) * 4, pa.int64()),
+                    ],
+                    names=["key", "print", "number", "at", "parts"],
                 )
 
-    return items.select("number", "words", "width").mapInArrow(rows, "key bigint, print bigint, number bigint, at bigint")
+    return items.select("number", "words", "width").mapInArrow(rows, "key bigint, print bigint, number bigint, at bigint, parts array<bigint>")
 
 
 def document_windows(docs: DataFrame, keys: DataFrame, classes: list[int]) -> DataFrame:
@@ -123,28 +139,33 @@ def document_windows(docs: DataFrame, keys: DataFrame, classes: list[int]) -> Da
         bits = np.flatnonzero(np.unpackbits(np.array([r["bits"]], np.int64).view(np.uint8), bitorder="little"))
         key = (r["word"] << 6) + bits
         passing[slots[int(key[0] >> 20)], (key >> 16) & 15, key & 0xFFFF] = True
-    table = spark.sparkContext.broadcast(passing)
+    parts = BitTable.of(keys.select(F.explode("parts").alias("h")), "h", PART_BITS)
+    table = spark.sparkContext.broadcast((passing, parts))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
+        known, close = table.value
         for batch in pieces(batches, "words", 1 << 16):
             values, offsets = flat(batch.column("words"))
             sums, ranks, row_of = bit_sums(values), batch.column("rank").to_numpy(), owners(offsets)
+            left = offsets[1:][row_of] - np.arange(len(row_of))  # words from here to the end of the row
             for width in classes:
-                starts = window_starts(offsets, width, stride(width))
-                if not len(starts):
+                prints = window_prints(sums, width)
+                if not len(prints):
                     continue
-                prints = fingerprints(sums, starts, width)
                 blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
                 hit = np.stack([known[slots[width], b][blocks[:, b]] for b in range(BLOCKS)], axis=1)
-                which, block = np.nonzero(hit)
-                row = row_of[starts[which]]
+                hit &= (left[: len(prints)] >= width)[:, None]
+                starts, block = np.nonzero(hit)
+                which = close.has(_part_keys(prints[starts], width, block).ravel()).reshape(-1, 4).any(axis=1)
+                starts, block = starts[which], block[which]
+                prints = prints[starts]
+                row = row_of[starts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_block_keys(prints[which], width)[np.arange(len(which)), block]),
-                        pa.array(prints[which].view(np.int64)),
+                        pa.array(_block_keys(prints, width)[np.arange(len(starts)), block]),
+                        pa.array(prints.view(np.int64)),
                         pa.array(ranks[row]),
-                        pa.array(starts[which] - offsets[row]),
+                        pa.array(starts - offsets[row]),
                     ],
                     names=["key", "print", "rank", "start"],
                 )
@@ -204,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_RANK))
     source = docs.select(rank.alias("rank"), "text")
     hashed = source.select("rank", word_hashes(F.col("text")).alias("words"))
-    found = document_windows(hashed, windows.select("key"), classes)
+    found = document_windows(hashed, windows.select("key", "parts"), classes)
     near = found.alias("d").join(windows.alias("i"), "key").where(F.expr(f"bit_count(d.print ^ i.print) <= {RADIUS}"))
     places = near.select("rank", "number", (F.col("start") - F.col("at")).alias("place"))
     candidates = durable(places.groupBy("rank", "number").agg(F.collect_set("place").alias("places")))

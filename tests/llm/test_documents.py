@@ -260,6 +260,40 @@ def test_exact_passages_of_every_length_at_every_offset(spark):
     assert found == {(n * 100 + o, n) for n in lengths for o in offsets}
 
 
+def test_edited_passages_against_brute_force(spark):
+    """Passages with a word changed or dropped, or the end cut; their five-word shingles are all of one weight."""
+    rng, five = random.Random(5), lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    some = lambda n: [f"v{rng.randrange(500)}" for _ in range(n)]
+    items = {k: some(rng.randrange(30, 120)) for k in range(60)}
+    rows, want = [], set()
+    for k, item in items.items():
+        n, at = len(item), rng.randrange(len(item))
+        for edit, passage in enumerate(([*item[:at], "changed", *item[at + 1 :]], item[:at] + item[at + 1 :], item[: n - n * 8 // 100])):
+            doc = some(rng.randrange(40)) + passage + some(rng.randrange(40, 60))
+            rows.append((k * 10 + edit, " ".join(doc)))
+            here, wanted = [five(doc[a : a + n]) for a in range(len(doc) - n + 1)], five(item)
+            if max((h & wanted).total() / (h | wanted).total() for h in here) >= 0.8:
+                want.add((k * 10 + edit, k))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in simhash_decontamination.contaminated(docs, table).collect()}
+    print(f"found {len(found & want)} of {len(want)}")
+    assert found <= want and len(want - found) <= 0.01 * len(want)
+
+
+def test_keys_of_parts_are_shared_within_radius():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    b = a.copy()
+    for _ in range(simhash_decontamination.RADIUS):
+        b ^= np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)
+    for block in range(simhash_decontamination.BLOCKS):
+        same = simhash_decontamination._block_keys(a, 4)[:, block] == simhash_decontamination._block_keys(b, 4)[:, block]
+        number = np.full(500, block)
+        parts = simhash_decontamination._part_keys(a, 4, number) == simhash_decontamination._part_keys(b, 4, number)
+        assert parts[same].any(axis=1).all()
+
+
 def test_fingerprints_within_radius_share_a_block():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
