@@ -1,4 +1,11 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: repeated runs of lines, or content-defined chunks of lines.
+
+``without_repeated_runs``: two adjacent lines that stand more than once in the table are kept where they come first (smallest
+doc_id, then place) and both removed elsewhere, so of every run of two lines or more that stands earlier no line is left. The
+bytes of both are compared with those of the first. Two lines that overlap their own first (a line three times in a row) are not
+removed for it. Single repeated lines stay, and so do two lines without any character but white space.
+
+``without_repeats`` sees less: it takes whole chunks only, as follows.
 
 A rolling hash over the hashes of three lines decides where a chunk ends (one place in four), so a line put in or taken out
 changes the chunks beside it only, and a passage of several lines has the same chunks wherever it stands. A chunk of two lines or
@@ -14,6 +21,8 @@ empty table gives no rows. A document all of whose chunks go keeps its row, with
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,28 +87,46 @@ def _passing(rows: DataFrame, table: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(table), "word").where(F.expr("getbit(bits, bit)") == 1).drop("word", "bit", "bits")
 
 
+def _line_pairs(docs: DataFrame) -> DataFrame:
+    """(rank, key, at, lines, h) of each line but the first of a text, together with the one before it."""
+    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    key = F.xxhash64("doc_id", "text", F.isnull("doc_id"))
+    split = docs.select(rank.alias("rank"), key.alias("key"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
+    pairs = F.transform("_lines", lambda x, i: F.when(i > 0, F.concat(F.get("_lines", i - 1), F.lit("\n"), x)))
+    rows = split.select("rank", "key", F.posexplode_outer(pairs).alias("at", "lines")).where(F.col("lines").rlike(r"\S"))
+    return rows.select("rank", "key", "at", "lines", F.xxhash64("lines").alias("h"))
+
+
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """(rank, key, ats): the numbers of the chunks that each document loses."""
-    found = _exploded(docs)
+    return _repeated(_exploded(docs))
+
+
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """(rank, key, ats): the second lines of the pairs of lines that each document loses."""
+    return _repeated(_line_pairs(docs), overlap=True)
+
+
+def _repeated(found: DataFrame, overlap: bool = False) -> DataFrame:
     place = F.struct("rank", "key", "at")
     counted = found.groupBy("h").agg(F.count("*").alias("count"), F.min(place).alias("first")).where("count > 1")
     repeated = durable(counted.select("h", "first"))
     shared = _passing(found.select("rank", "key", "at", "lines", "h"), durable(_bit_table(repeated)))
     first = F.col("f.first")
-    is_first = (F.col("c.rank") == first["rank"]) & (F.col("c.key") == first["key"]) & (F.col("c.at") == first["at"])
+    same = (F.col("c.rank") == first["rank"]) & (F.col("c.key") == first["key"])
+    is_first = same & (F.col("c.at") == first["at"])
     # Bytes of the first of each hash, then of all, which are compared with them. Equal hashes of other bytes are kept.
     firsts = shared.alias("c").join(repeated.alias("f"), "h").where(is_first).dropDuplicates(["h"]).select("h", F.col("lines").alias("original"), "first")
     others = shared.alias("c").join(firsts.alias("f"), "h").where(~is_first & (F.col("lines") == F.col("original")))
+    if overlap:
+        others = others.where(~(same & (F.col("c.at") == first["at"] + 1)))
     return others.groupBy("rank", "key").agg(F.collect_set("at").alias("ats"))
 
 
-def without_repeats(docs: DataFrame, count: str | None = None) -> DataFrame:
-    """The rows of ``docs`` with repeated chunks taken out of ``text``; ``count`` names a column for the lines taken out.
-
-    Documents that lose nothing do not meet the others: a bit table of those that do tells them apart where they are read.
-    """
+def _taken_out(docs: DataFrame, repeated: DataFrame, cut: Callable[[DataFrame, Column], tuple[DataFrame, Column, Column]], count: str | None) -> DataFrame:
+    """``docs`` without what ``repeated`` (rank, key, ats) names. ``cut`` gives rows, kept parts and number of lines taken out."""
     columns = docs.columns
-    lost = durable(repeated_chunks(docs))
+    lost = durable(repeated)
     table = durable(_bit_table(lost.select(F.xxhash64("key").alias("h"))))
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     key = F.xxhash64("doc_id", "text", F.isnull("doc_id"))
@@ -115,16 +142,53 @@ def without_repeats(docs: DataFrame, count: str | None = None) -> DataFrame:
         return out.select(*[F.col(f"`{c}`") for c in columns], *([F.col(f"`{count}`")] if count else []))
 
     whole = shaped(told.where(~hit), text, F.lit(0))
-    cut = told.where(hit).select("row", "key").join(lost.select("key", "ats"), "key", "left")
-    parts = with_chunks(cut, text).withColumn("parts", F.transform("chunks", lambda c, i: F.struct(c["lines"].alias("lines"), c["n"].alias("n"), F.coalesce(F.array_contains("ats", i), F.lit(False)).alias("gone"))))
-    kept = F.transform(F.filter("parts", lambda c: ~c["gone"]), lambda c: c["lines"])
-    taken = F.aggregate(F.filter("parts", lambda c: c["gone"]), F.lit(0), lambda a, c: a + c["n"])
+    hits = told.where(hit).select("row", "key").join(lost.select("key", "ats"), "key", "left")
+    parts, kept, taken = cut(hits, text)
     changed = shaped(parts, F.when(F.col("ats").isNull(), text).otherwise(F.array_join(kept, "\n")), taken)
     return whole.unionByName(changed)
 
 
+def without_repeats(docs: DataFrame, count: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with repeated chunks taken out of ``text``; ``count`` names a column for the lines taken out.
+
+    Documents that lose nothing do not meet the others: a bit table of those that do tells them apart where they are read.
+    """
+    def cut(df: DataFrame, text: Column) -> tuple[DataFrame, Column, Column]:
+        parts = with_chunks(df, text).withColumn("parts", F.transform("chunks", lambda c, i: F.struct(c["lines"].alias("lines"), c["n"].alias("n"), F.coalesce(F.array_contains("ats", i), F.lit(False)).alias("gone"))))
+        kept = F.transform(F.filter("parts", lambda c: ~c["gone"]), lambda c: c["lines"])
+        return parts, kept, F.aggregate(F.filter("parts", lambda c: c["gone"]), F.lit(0), lambda a, c: a + c["n"])
+
+    return _taken_out(docs, repeated_chunks(docs), cut, count)
+
+
+def without_repeated_runs(docs: DataFrame, count: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with repeated runs of two lines or more taken out of ``text``; ``count`` as above."""
+
+    def cut(df: DataFrame, text: Column) -> tuple[DataFrame, Column, Column]:
+        ats = F.sort_array(F.coalesce("ats", F.array().cast("array<int>")))
+        split = df.withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n")).withColumn("_ats", ats)
+        split = split.withColumn("_tos", F.concat("_ats", F.array(F.size("_lines") + 1)))
+        # What stands between two pairs that go, one slice each: work in proportion to the lines.
+        between = F.transform(
+            F.concat(F.array(F.lit(-1)), "_ats"), lambda a, k: F.slice("_lines", a + 2, F.greatest(F.get("_tos", k) - a - 2, F.lit(0)))
+        )
+        kept = split.withColumn("_kept", F.flatten(between))
+        return kept, F.col("_kept"), F.size("_lines") - F.size("_kept")
+
+    return _taken_out(docs, repeated_pairs(docs), cut, count)
+
+
 def line_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed (lines) and kept_sha256 (of the text that is left; of nothing for null) of each document."""
+    return _digest(docs, without_repeats)
+
+
+def run_digest(docs: DataFrame) -> DataFrame:
+    """The same columns, with repeated runs of lines taken out."""
+    return _digest(docs, without_repeated_runs)
+
+
+def _digest(docs: DataFrame, taken_out: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     source = docs.select("doc_id", "text")
-    done = without_repeats(source.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")), "n_removed")
+    done = taken_out(source.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")), "n_removed")
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -62,7 +62,7 @@ def op8_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_digest(documents(spark, sf_dir))
+    return line_dedup.run_digest(documents(spark, sf_dir))
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,42 @@ def test_lines(docs):
     assert gone
 
 
+def test_repeated_runs_of_lines(spark, docs):
+    """Against all pairs of adjacent lines; runs in the middle of texts, blank lines in two texts, a line many times in a row."""
+    own = ["p\nq\nr", "s\nq\nr\nt", "u\n\n\n\nv", "x\n\n\n\ny", "z\n \n\t\n \nw", "k\n \n\t\n \nl", "m\nm\nm", "n\nn\nn\nn\nn", "m\nm"]
+    rows = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(own)], "doc_id bigint, text string")
+    table = docs.select("doc_id", "text").union(rows)
+    texts = {r.doc_id: (r.text or "").split("\n") for r in table.collect()}
+    first = {}
+    for k in sorted(texts):
+        for i in range(1, len(texts[k])):
+            first.setdefault((texts[k][i - 1], texts[k][i]), (k, i))
+    got = {r.doc_id: r for r in line_dedup.run_digest(table).collect()}
+    removed = 0
+    for k, lines in texts.items():
+        gone = set()
+        for i in range(1, len(lines)):
+            a, b = lines[i - 1 : i + 1]
+            if re.search(r"\S", a + b, re.ASCII) and first[a, b] not in ((k, i), (k, i - 1)):
+                gone |= {i - 1, i}
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        assert (got[k].n_lines, got[k].n_removed) == (len(lines), len(gone))
+        assert got[k].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+        removed += len(gone)
+    fewer = line_dedup.line_digest(table).agg(F.sum("n_removed")).first()[0]
+    print(f"lines removed: {removed}, by whole chunks {fewer}")
+    assert removed > fewer
+    assert [got[10**6 + i].n_removed for i in range(9)] == [0, 2, 0, 0, 0, 0, 0, 3, 2]
+
+
+def test_registered_line_dedup_takes_runs(spark, tmp_path):
+    """A run of three lines in the middle of two texts."""
+    rows = [(1, "a\nb\nc\nd\ne"), (2, "f\nb\nc\nd\ng")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 3}
+
+
 @pytest.mark.parametrize(("leaf", "block"), [(64, 256), (2, 3)])
 def test_jaccard(docs, texts, monkeypatch, leaf, block):
     monkeypatch.setattr(chosen_path_join, "LEAF", leaf)
