@@ -67,7 +67,7 @@ def _exploded(docs: DataFrame) -> DataFrame:
     keyed = docs.select(rank.alias("rank"), key.alias("key"), "text")
     rows = with_chunks(keyed, F.col("text")).select("rank", "key", F.posexplode_outer("chunks").alias("at", "chunk"))
     rows = rows.select("rank", "key", "at", F.col("chunk.lines").alias("lines"), F.col("chunk.n").alias("n"), F.xxhash64("chunk.lines").alias("h"))
-    return rows.where((F.col("n") >= LEAST_LINES) & (F.trim("lines") != ""))
+    return rows.where((F.col("n") >= LEAST_LINES) & F.col("lines").rlike(r"\S"))
 
 
 def _bit(h: Column) -> tuple[Column, Column]:

@@ -241,6 +241,13 @@ def test_repeated_runs_of_lines(spark, docs):
     assert [got[10**6 + i].n_removed for i in range(9)] == [0, 2, 0, 0, 0, 0, 0, 3, 2]
 
 
+def test_blank_lines_stay(spark):
+    rows = [(i, "\n".join([f"{i}{k}" if k % 9 == 0 else "\t"[: k % 2] for k in range(200)])) for i in range(2)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for digest in (line_dedup.line_digest, line_dedup.run_digest):
+        assert [r.n_removed for r in digest(table).collect()] == [0, 0]
+
+
 def test_registered_line_dedup_takes_runs(spark, tmp_path):
     """A run of three lines in the middle of two texts."""
     rows = [(1, "a\nb\nc\nd\ne"), (2, "f\nb\nc\nd\ng")]
