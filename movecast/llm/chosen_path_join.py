@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, BitTable, components, durable, flat, lists, mix, owners, pieces, prefix_sums, rolling, spans
+from .common import U64, BitTable, components, durable, flat, lists, mix, owners, pieces, prefix_sums, rolling, spans, text_marks
 from .simhash_decontamination import word_hashes
 
 SHINGLE = 5
@@ -83,7 +83,7 @@ def _sampled(hashes: np.ndarray, offsets: np.ndarray, samples: int) -> np.ndarra
 
 
 def sets(docs: DataFrame, samples: int) -> DataFrame:
-    """(rank, sid, second, n, tokens): each document's set by its fingerprints, its size, and its sampled tokens."""
+    """(rank, t1, t2, sid, second, n, tokens): each document's set by its fingerprints, its size, and its sampled tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "words", 1 << 19):
@@ -96,17 +96,17 @@ def sets(docs: DataFrame, samples: int) -> DataFrame:
                 tokens[full] = _sampled(hashes, np.append(offsets[:-1][full], offsets[-1]), samples)
             width = np.where(n > 0, samples, 0)
             columns = [
-                batch.column("rank"),
+                *(batch.column(c) for c in ("rank", "t1", "t2")),
                 pa.array(sid.view(np.int64)),
                 pa.array(second.view(np.int64)),
                 pa.array(n.astype(np.int32)),
                 lists(tokens[full].ravel(), np.concatenate([[0], np.cumsum(width)]), pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["rank", "sid", "second", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, names=["rank", "t1", "t2", "sid", "second", "n", "tokens"])
 
     rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    hashed = docs.select(rank.alias("rank"), word_hashes(F.col("text")).alias("words"))
-    return hashed.mapInArrow(rows, "rank bigint, sid bigint, second bigint, n int, tokens array<int>")
+    hashed = docs.select(rank.alias("rank"), *text_marks(F.col("text")), word_hashes(F.col("text")).alias("words"))
+    return hashed.mapInArrow(rows, "rank bigint, t1 bigint, t2 bigint, sid bigint, second bigint, n int, tokens array<int>")
 
 
 def leaves(nodes: DataFrame, runs: int, depth: int = DEPTH) -> DataFrame:
@@ -280,30 +280,29 @@ def verified(members: DataFrame, likeness: float) -> DataFrame:
     return dealt.mapInArrow(check, "root bigint, sid bigint, low bigint, links bigint, several boolean")
 
 
-def classes(docs: DataFrame, likeness: float = LIKENESS, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, n_copies) of each row: the smallest doc_id among all that links join to it, the number of
-    other sets at least so like its own, and the number of other documents with its own set."""
+def _classed(docs: DataFrame, likeness: float, recall: float) -> DataFrame:
+    """(rank, t1, t2, n, low, class, copies, links) of each row; ``low`` names its class where it has a set."""
     runs = runs_for(likeness, recall)
     samples = runs * DEPTH
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     members = durable(sets(docs, samples))
-    nodes = members.where("n > 0").groupBy("sid", "second").agg(F.min("rank").alias("rep"), F.count_distinct("rank").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    nodes = durable(nodes)
+    nodes = members.where("n > 0").groupBy("sid", "second").agg(F.min(F.struct("rank", "t1", "t2")).alias("row"), F.count_distinct("rank").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    nodes = durable(nodes.select("*", F.col("row.rank").alias("rep"), "row.t1", "row.t2").drop("row"))
 
     links = candidates(leaves(nodes, runs), nodes, samples)
     grouped = durable(components(links).withColumnRenamed("id", "sid"))
     sizes = grouped.groupBy("root").agg(F.count("*").alias("count"))
-    wanted = durable(grouped.join(sizes, "root").join(nodes.select("sid", "rep"), "sid"))
+    wanted = durable(grouped.join(sizes, "root").join(nodes.select("sid", "rep", "t1", "t2"), "sid"))
 
     # Texts of the candidates only: a bit table tells where they are read.
     rank = F.coalesce("doc_id", F.lit(LAST))
-    table = docs.sparkSession.sparkContext.broadcast(BitTable.of(wanted.select(F.xxhash64("rep").alias("h")), "h", DOCUMENT_BITS))
+    table = docs.sparkSession.sparkContext.broadcast(BitTable.of(wanted.select(F.xxhash64("rep", "t1", "t2").alias("h")), "h", DOCUMENT_BITS))
 
     @F.pandas_udf("boolean")
     def may_be(h):
         return h.__class__(table.value.has(h.to_numpy().view(np.uint64)))
 
-    few = docs.select(rank.alias("rep"), "text").where(may_be(F.xxhash64("rep"))).join(wanted, "rep")
+    few = docs.select(rank.alias("rep"), *text_marks(F.col("text")), "text").where(may_be(F.xxhash64("rep", "t1", "t2"))).join(wanted, ["rep", "t1", "t2"])
     hashed = few.select("root", "count", "sid", word_hashes(F.col("text")).alias("words"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,8 +325,14 @@ def classes(docs: DataFrame, likeness: float = LIKENESS, recall: float = RECALL)
     settled = counted.join(across, "sid", "left").select("sid", "links", F.when(F.col("several"), F.coalesce("root", "sid")).otherwise(F.col("low")).alias("low"))
     labelled = nodes.select("sid", "second", "rep", "copies").join(settled, "sid", "left").withColumn("low", F.coalesce("low", "sid"))
     smallest = labelled.groupBy("low").agg(F.min("rep").alias("class"))
-    named = labelled.join(smallest, "low").select("sid", "second", "class", "copies", "links")
-    result = members.select("rank", "sid", "second", "n").join(named, ["sid", "second"], "left")
+    named = labelled.join(smallest, "low").select("sid", "second", "low", "class", "copies", "links")
+    return members.select("rank", "t1", "t2", "sid", "second", "n").join(named, ["sid", "second"], "left")
+
+
+def classes(docs: DataFrame, likeness: float = LIKENESS, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, n_copies) of each row: the smallest doc_id among all that links join to it, the number of
+    other sets at least so like its own, and the number of other documents with its own set."""
+    result = _classed(docs, likeness, recall)
     given = lambda c: F.when(c != LAST, c)
     return result.select(
         given(F.col("rank")).alias("doc_id"),
@@ -338,8 +343,17 @@ def classes(docs: DataFrame, likeness: float = LIKENESS, recall: float = RECALL)
 
 
 def keep_one(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their class: those with its smallest doc_id. A null doc_id
-    stands for a class only where no other document is in it."""
-    gone = classes(docs, likeness).where("class_id is not null and not doc_id <=> class_id").select("doc_id").distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
-    return row.join(gone, row["id"].eqNullSafe(gone["doc_id"]), "left_anti").select("row.*")
+    """One row of ``docs`` of each class, with all its columns: that with the smallest doc_id, a null one last, then by a hash of
+    the text. Each row is judged by its own text, whatever its id; of equal rows one stays. Texts without words all stay."""
+    mark = ["rank", "t1", "t2"]
+    rows = _classed(docs, likeness, RECALL).where("n > 0").groupBy(*mark, "low").agg(F.count("*").alias("times"))
+    rows = durable(rows)
+    kept = rows.groupBy("low").agg(F.min(F.struct(*mark)).alias("kept"))
+    decided = rows.join(kept, "low").select(*mark, (F.struct(*mark) != F.col("kept")).alias("gone"), "times").where("gone or times > 1")
+    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), rank.alias("rank"), *text_marks(F.col("text")))
+    told = row.join(decided, mark, "left")
+    whole = told.where("gone is null").select("row")
+    # Rows that are there several times: any one of them stands for all.
+    one = told.where("not gone").groupBy(*mark).agg(F.first("row").alias("row")).select("row")
+    return whole.unionByName(one).select("row.*")

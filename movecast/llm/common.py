@@ -47,6 +47,11 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def text_marks(text: Column) -> list[Column]:
+    """``t1`` and ``t2``: 128 bits that tell texts apart, where an id is null or repeated; null has its own."""
+    return [F.xxhash64(F.lit(1), F.isnull(text), text).alias("t1"), F.xxhash64(F.lit(2), F.isnull(text), text).alias("t2")]
+
+
 # --- numpy side
 
 

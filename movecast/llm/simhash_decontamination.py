@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitTable, durable, flat, lists, mix, owners, pieces, prefix_sums, rolling
+from .common import BitTable, durable, flat, lists, mix, owners, pieces, prefix_sums, rolling, text_marks
 
 SHINGLE = 5
 LIKENESS = 0.8
@@ -204,31 +204,31 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((rank, None, None))
         columns = list(zip(*out, strict=True)) if out else [()] * 3
         yield pa.RecordBatch.from_arrays(
-            [batch.column("number"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64(), pa.int64()), strict=True))],
-            names=["number", "rank", "likeness", "start"],
+            [batch.column("number"), batch.column("t1"), batch.column("t2"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.float64(), pa.int64()), strict=True))],
+            names=["number", "t1", "t2", "rank", "likeness", "start"],
         )
 
 
 NULL_RANK = 2**63 - 1
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, likeness, start, n_words): the items that each document has, with the best place, in words."""
+def _judged(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(rank, t1, t2, number, likeness, start) of the texts that have an item, each by its own words, and the items."""
     spark = docs.sparkSession
     items = item_table(benchmark).withColumn("number", F.xxhash64("item_id", "words"))
     items = durable(items)
     classes = sorted(r[0] for r in items.select("width").distinct().collect())  # one for each width, not for each item
-    schema = "doc_id bigint, item_id bigint, likeness double, start bigint, n_words bigint"
     if not classes:
-        return spark.createDataFrame([], schema)
+        return None
     windows = item_windows(items)
     rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_RANK))
-    source = docs.select(rank.alias("rank"), "text")
-    hashed = source.select("rank", word_hashes(F.col("text")).alias("words"))
+    source = docs.select(rank.alias("rank"), *text_marks(F.col("text")), "text").withColumn("key", F.xxhash64("rank", "t1", "t2"))
+    # Candidates go by row, not by id: texts with a null or repeated id don't meet each other's.
+    hashed = source.select(F.col("key").alias("rank"), word_hashes(F.col("text")).alias("words"))
     found = document_windows(hashed, windows.select("key", "parts"), classes)
     near = found.alias("d").join(windows.alias("i"), "key").where(F.expr(f"bit_count(d.print ^ i.print) <= {RADIUS}"))
     places = near.select("rank", "number", (F.col("start") - F.col("at")).alias("place"))
-    candidates = durable(places.groupBy("rank", "number").agg(F.collect_set("place").alias("places")))
+    candidates = durable(places.groupBy(F.col("rank").alias("key"), "number").agg(F.collect_set("place").alias("places")))
 
     # Weight of a shingle: the rarer among items, the more; one that no item has weighs as one that a single item has.
     shingles = items.select("number", F.posexplode_outer(F.transform(F.slice("words", 1, F.col("n") - SHINGLE + 1), lambda _, i: F.slice("words", i + 1, SHINGLE))).alias("at", "shingle"))
@@ -237,19 +237,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     weighted = shingles.join(df, "shingle").groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "weight"))), lambda x: x["weight"]).alias("weights"))
     judged = items.select("number", "item_id", "n", F.col("words").alias("item")).join(weighted, "number")
 
-    table = spark.sparkContext.broadcast(BitTable.of(candidates.select(F.xxhash64("rank").alias("h")), "h", DOCUMENT_BITS))
+    table = spark.sparkContext.broadcast(BitTable.of(candidates.select(F.xxhash64("key").alias("h")), "h", DOCUMENT_BITS))
 
     @F.pandas_udf("boolean")
     def may_have(h):
         return h.__class__(table.value.has(h.to_numpy().view(np.uint64)))
 
-    few = source.where(may_have(F.xxhash64("rank"))).select("rank", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
-    pairs = few.join(candidates, "rank").join(judged.select("number", "item", "weights"), "number")
-    checked = pairs.select("number", "rank", "words", "item", "weights", F.lit(float(np.log(1 + count))).alias("rare"), "places").mapInArrow(
-        _verify, "number bigint, rank bigint, likeness double, start bigint"
+    few = source.where(may_have(F.xxhash64("key"))).select("key", "rank", "t1", "t2", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE)
+    pairs = few.join(candidates, "key").join(judged.select("number", "item", "weights"), "number")
+    checked = pairs.select("number", "t1", "t2", "rank", "words", "item", "weights", F.lit(float(np.log(1 + count))).alias("rare"), "places").mapInArrow(
+        _verify, "number bigint, t1 bigint, t2 bigint, rank bigint, likeness double, start bigint"
     )
-    best = checked.where("likeness is not null").groupBy("rank", "number").agg(F.max(F.struct("likeness", (-F.col("start")).alias("back"))).alias("b"))
-    return best.join(judged.select("number", "item_id", "n"), "number").select(
+    return checked.where("likeness is not null"), judged.select("number", "item_id", "n")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, likeness, start, n_words): the items that each document has, with the best place, in words."""
+    found = _judged(docs, benchmark)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, likeness double, start bigint, n_words bigint")
+    checked, items = found
+    best = checked.groupBy("rank", "number").agg(F.max(F.struct("likeness", (-F.col("start")).alias("back"))).alias("b"))
+    return best.join(items, "number").select(
         F.when(F.col("rank") != NULL_RANK, F.col("rank")).alias("doc_id"),
         F.col("item_id").cast("bigint").alias("item_id"),
         F.col("b.likeness").alias("likeness"),
@@ -259,9 +268,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have no item, with all their columns. Rows with a null doc_id share one decision."""
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
-    bad = bad.select(F.coalesce("doc_id", F.lit(NULL_RANK)).alias("id"))
-    kept = row.withColumn("id", F.coalesce("id", F.lit(NULL_RANK))).join(bad, "id", "left_anti")
-    return kept.select("row.*")
+    """The rows of ``docs`` that have no item, with all their columns. Each row is judged by its own text, whatever its id."""
+    found = _judged(docs, benchmark)
+    if found is None:
+        return docs
+    bad = found[0].select("rank", "t1", "t2").distinct()
+    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NULL_RANK))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), rank.alias("rank"), *text_marks(F.col("text")))
+    return row.join(bad, ["rank", "t1", "t2"], "left_anti").select("row.*")

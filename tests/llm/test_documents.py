@@ -283,6 +283,19 @@ def test_jaccard(docs, texts, monkeypatch, leaf, block):
             assert (r.class_id, r.n_links) == (find(r.doc_id), len(linked[r.doc_id]))
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and repeated ids: unique clean rows stay, one of each group of copies does, rows with an item go."""
+    a, b, c, item = (" ".join(f"{x}{k}" for k in range(40)) for x in ("a", "b", "c", "item"))
+    rows = [(None, a), (1, a), (None, b), (None, c), (None, c), (7, a + " end"), (7, "seven is unique here"), (5, "same row twice here"), (5, "same row twice here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {(1, a), (None, b), (None, c), (7, "seven is unique here"), (5, "same row twice here")}
+    got = [tuple(r) for r in chosen_path_join.keep_one(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
+    clean = spark.createDataFrame([(None, item), (None, a), (7, f"x {item} y"), (7, b)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert {tuple(r) for r in simhash_decontamination.decontaminate(clean, items).collect()} == {(None, a), (7, b)}
+
+
 def test_benchmark_passages(spark, docs, texts, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     planted = items.limit(5).select((F.col("item_id") + 10_000).alias("doc_id"), F.concat(F.lit("some words before "), "text", F.lit(" and after")).alias("text"))
