@@ -132,6 +132,17 @@ def test_substrings(docs, texts):
     assert removed > 30_000
 
 
+def test_texts_of_one_null_id_keep_their_own_spans(spark):
+    """Two texts whose hashes agree in 16 bits: one is repeated, the other isn't."""
+    low = F.xxhash64("text").bitwiseAND(F.lit(0xFFFF))
+    wanted = spark.createDataFrame([(PASSAGE + " end",)], "text string").select(low).first()[0]
+    words = " ".join(f"own{k}" for k in range(80))
+    other = spark.range(1_000_000).select(F.concat(F.lit(words + " "), F.col("id").cast("string")).alias("text")).where(low == wanted).first().text
+    docs = spark.createDataFrame([(1, PASSAGE), (None, PASSAGE + " end"), (None, other)], "doc_id bigint, text string")
+    got = substring_dedup.repeat_digest(docs).collect()
+    assert sorted((r.n_words, r.n_removed) for r in got) == [(70, 0), (71, 70), (81, 0)]
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
