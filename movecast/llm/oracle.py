@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .chosen_path_join import LIKENESS, SHINGLE
-from .license_scan import LEAST_COVER, NEAR, PHRASES, TEMPLATES
+from .license_scan import LEAST_COVER, NEAR as DRIFT, PHRASES, TEMPLATES
+from .minmax_dedup import PERCENT, SHINGLE as NEAR_SHINGLE
 
 #: op4: every 50 words of every document, looked up in full.
 SUBSTRING = r"""
@@ -45,7 +46,7 @@ with words as (
   select doc_id, template, n, place - q as diagonal, list(distinct q) as ats
   from pairs join wanted using (a, b) group by doc_id, template, n, place - q
 ), opened as (
-  select *, coalesce(diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > {NEAR}, true)::int as opens from diagonals
+  select *, coalesce(diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > {DRIFT}, true)::int as opens from diagonals
 ), bands as (
   select *, sum(opens) over (partition by doc_id, template order by diagonal) as band from opened
 ), merged as (
@@ -139,10 +140,90 @@ from texts left join lines using (doc_id)
 """
 
 
+#: op12: nodes are the distinct prefixes of the rebuilt conversations; crc32 is worked out digit by digit.
+TRIE = r"""
+with ids as (
+  select distinct conv_id from conversations where conv_id is not null
+), coded as (
+  select conv_id, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint) as codes from ids
+), hashed as (
+  select conv_id, conv_id - conv_id % 100 as base, xor(list_reduce(list_prepend(4294967295::bigint, codes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint) % 6 as h
+  from coded
+), turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as at,
+    coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), heads as (
+  select h.conv_id, t.at as depth, t.role, t.text from hashed h join turns t on t.conv_id = h.base and t.at <= h.h
+), taken as (
+  select conv_id, count(*) as k from heads group by conv_id
+), rebuilt as (
+  select * from heads
+  union all
+  select t.conv_id, t.at - h.h + coalesce(k, 0), t.role, t.text from turns t join hashed h using (conv_id) left join taken using (conv_id) where t.at > h.h
+), keyed as (
+  select *, md5(length(role) || ':' || role || ':' || text) as turn from rebuilt
+), paths as (
+  select conv_id, depth, length(text) as chars,
+    md5(string_agg(turn, ',') over (partition by conv_id order by depth)) as node from keyed
+), ended as (
+  select ids.conv_id, coalesce(max(depth), 0) as length from ids left join paths using (conv_id) group by ids.conv_id
+), every as (
+  select conv_id, depth, chars, node from paths union all select conv_id, 0, 0, '' from ids
+), steps as (
+  select *, lag(node) over (partition by conv_id order by depth) as parent from every
+), nodes as (
+  select node, depth, any_value(parent) as parent, min(conv_id) as rep, count(*) as n, any_value(chars) as chars,
+    string_agg(conv_id::varchar, ',' order by conv_id) filter (where depth = length) as ends
+  from steps join ended using (conv_id) group by node, depth
+), counted as (
+  select parent as node, count(*) as n_children from nodes where parent is not null group by parent
+), valued as (
+  select n.*, coalesce(n_children, 0) as n_children, (n - 1) * chars as value, (n_children is null)::int as leaf from nodes n left join counted using (node)
+), summed as (
+  select e.node, sum(value) as saved, sum(leaf) as leaves from valued v join every e on e.conv_id = v.rep and e.depth <= v.depth group by e.node
+)
+select v.rep::bigint as conv_id, v.depth::bigint as depth, p.rep::bigint as parent_conv_id, v.n::bigint as n_convs, v.n_children::bigint as n_children,
+  leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(v.ends, '')) as ends_sha256
+from valued v join summed using (node) left join nodes p on p.node = v.parent
+"""
+
+#: op13: all pairs of sets that share a shingle, and what the links join, by smallest id.
+NEAR = rf"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingled as (
+  select doc_id, list_sort(list_distinct([array_to_string(w[i : i + {NEAR_SHINGLE - 1}], ' ') for i in range(1, greatest(len(w) - {NEAR_SHINGLE - 2}, 2))])) as s
+  from words where len(w) > 0
+), sets as (
+  select min(doc_id) as rep, s, list(doc_id) as ids from shingled group by s
+), tokens as (
+  select rep, len(s) as n, unnest(s) as token from sets
+), shared as (
+  select x.rep as a, y.rep as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as k
+  from tokens x join tokens y on x.token = y.token and x.rep < y.rep group by x.rep, y.rep
+), linked as (
+  select a, b from shared where 100 * k >= {PERCENT} * (n + m - k) union all select b, a from shared where 100 * k >= {PERCENT} * (n + m - k)
+), reached(a, b) as (
+  select rep, rep from sets union select linked.a, reached.b from linked join reached on linked.b = reached.a
+), classed as (
+  select a as rep, min(b) as component_id from reached group by a
+), named as (
+  select unnest(ids) as doc_id, component_id, len(s) as n_shingles from sets join classed using (rep)
+)
+select doc_id, coalesce(n_shingles, 0)::bigint as n_shingles, coalesce(component_id, doc_id)::bigint as component_id,
+  doc_id = coalesce(component_id, doc_id) as kept
+from documents left join named using (doc_id)
+"""
+
+
 def sql() -> dict[str, str]:
     return {
         "op4_substring_dedup": SUBSTRING,
         "op6_license_scan": licenses(),
         "op7_chosen_path_join": JACCARD,
         "op10_secret_ledger": secrets(),
+        "op12_conversation_trie": TRIE,
+        "op13_minmax_dedup": NEAR,
     }
