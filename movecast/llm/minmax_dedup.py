@@ -6,8 +6,8 @@ between two sets with the chance of their likeness, and they err in opposite pla
 estimate from both has less variance than one from as many minima. Bands are made of ``ROWS`` minima or ``ROWS`` maxima of as many
 permutations: a pair at the limit misses all of them with a chance of 4e-7 (``miss``).
 
-Equal sets are one set from the start. In each bucket of a band every set is held against one of its members on the full
-shingles; what that confirms is joined into components. Buckets that are then one component need nothing more, so a group of n
+Equal sets are one set from the start. In each bucket of a band every set is held against one of its members, the one that
+meets most others in its buckets, on the full shingles; what that confirms is joined into components. Buckets that are then one component need nothing more, so a group of n
 near copies costs about n comparisons. In the other ones the sets outside the largest component are compared with all sets of
 other components, in blocks of bounded size: pairs whose signatures agree in ``FILTER`` of their values (six standard deviations
 below the limit) are verified on the full sets where they meet, and only links that join components leave the task. The work of such
@@ -39,7 +39,8 @@ ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Share of signature values in which a pair must agree before its sets are compared.
 FILTER = 0.6
-BLOCK = 256
+#: Sets of a block that are compared with those of another one at once.
+BLOCK = 512
 DOCUMENT_BITS = 24
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -107,13 +108,21 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, band, sid, pivot, count) of each set and band that it shares with another set."""
+    """(bucket, band, sid, count) of each set and band that it shares with another set."""
     keys = [F.xxhash64(F.lit(b), *[F.get("signature", F.lit(ROWS * b + r)) for r in range(ROWS)]) for b in range(BANDS)]
     dealt = nodes.select("sid", F.posexplode(F.array(*keys)).alias("band", "bucket"))
-    shared = dealt.groupBy("bucket").agg(F.count("*").alias("count"), F.min("sid").alias("pivot")).where("count > 1")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("count")).where("count > 1")
     return dealt.join(shared, "bucket")
 
 
+def stars(met: DataFrame) -> DataFrame:
+    """(a, b): each set of a bucket with the bucket's pivot. That is the set that meets most others over all its buckets: the one that a
+    group of near copies lies around, with which most of them are linked."""
+    meets = met.groupBy("sid").agg(F.sum("count").alias("meets"))
+    pivots = met.join(meets, "sid").groupBy("bucket").agg(F.max_by("sid", F.struct("meets", "sid")).alias("pivot"))
+    return met.join(pivots, "bucket").where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sid, shingles) of the wanted sets, from the texts of their first documents. A bit table of fixed size tells which texts may be
     among those before they are shuffled."""
@@ -210,8 +219,7 @@ def near_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     met = durable(buckets(nodes))
     full = durable(full_sets(docs, nodes, met.select("sid").distinct()))
 
-    stars = met.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
-    first = durable(components(confirmed(stars, full, percent)).withColumnRenamed("id", "sid").withColumnRenamed("root", "comp"))
+    first = durable(components(confirmed(stars(met), full, percent)).withColumnRenamed("id", "sid").withColumnRenamed("root", "comp"))
 
     # Two sets that are alone in a bucket have been compared already.
     several = met.where("count > 2").join(first, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
