@@ -42,14 +42,20 @@ class Series:
 
 
 class Weights:
-    """Weights of one configuration for all live tracks of a partition."""
+    """Weights of one configuration for all live tracks of a partition.
 
-    def __init__(self, cfg: ModelConfig):
+    With ``piece``, tracks of gradient jobs are learnt in pieces of so many events: where a track goes on after a piece, the weights
+    after it come from the affine map of the piece (see ``Pieces``). The same holds wherever a track lies, so its weights do
+    not depend on how points are laid out.
+    """
+
+    def __init__(self, cfg: ModelConfig, piece: int = 0):
         self.cfg = cfg
         p = cfg.train
         self.w = np.empty((p, 0, 4))
         self.a = np.empty((p, p, 0, 4)) if cfg.newton else None
         self.opened: list = []
+        self.pieces = Pieces(cfg) if piece and not cfg.newton else None
 
     def open(self, n: int, w0=None, a0=None) -> None:
         """Start ``n`` tracks. ``w0``/``a0`` are (mask, values of the masked rows) that replace the configured start."""
@@ -77,8 +83,10 @@ class Weights:
             self.w = self.w[:, live]
             if self.a is not None:
                 self.a = self.a[:, :, live]
+            if self.pieces is not None:
+                self.pieces.keep(live)
 
-    def learn(self, at: slice, series: Series, rows: slice, predicted: np.ndarray) -> None:
+    def learn(self, at: slice | np.ndarray, series: Series, rows: slice, predicted: np.ndarray) -> None:
         """Train tracks ``at`` on the events ``rows``, one each; predictions go to ``predicted`` (pairs, rows, 4)."""
         w = self.w[:, at]
         a = None if self.a is None else self.a[:, :, at]
@@ -92,11 +100,83 @@ class Weights:
             else:
                 newton_step(a, w, 2 * x * error, lrate)
             predicted[k, rows] = guess
+        if not isinstance(at, slice):  # those were copies
+            self.w[:, at] = w
+            if a is not None:
+                self.a[:, :, at] = a
 
     def flat(self) -> tuple[np.ndarray, np.ndarray | None]:
         return flat_weights(self.w), None if self.a is None else flat_matrix(self.a)
 
 
+#: Fixed part of the rule for pieces: a map with larger entries is not used, and the weights go on as they came along the piece.
+LARGEST_MAP = 10.0
+
+
+class Pieces:
+    """Affine maps of the pieces in which the tracks of a wavefront are, for the tracks that go on after their piece.
+
+    All tracks of a round are at the same place of their piece, so pieces begin and end for all of them together.
+    """
+
+    def __init__(self, cfg: ModelConfig):
+        self.lrate, self.train = cfg.lrate, cfg.train
+        self._clear()
+
+    def _clear(self) -> None:
+        self.where = np.empty(0, np.int64)  # places of these tracks among those of the round
+        self.begin = np.empty((self.train, 0, 4))
+        self.maps = identity_map(0, self.train)
+
+    def start(self, first: int, goes_on: np.ndarray, w: np.ndarray) -> None:
+        """Tracks ``first``, ``first + 1``, ... of the round begin a piece with weights ``w``."""
+        found = np.flatnonzero(goes_on)
+        if len(found):
+            self.where = np.concatenate([self.where, first + found])
+            self.begin = np.concatenate([self.begin, w[:, found]], axis=1)
+            self.maps = np.concatenate([self.maps, identity_map(len(found), self.train)], axis=1)
+
+    def keep(self, live: np.ndarray) -> None:
+        stay = live[self.where]
+        if not stay.all():
+            self.begin, self.maps = self.begin[:, stay], self.maps[:, stay]
+        self.where = (np.cumsum(live) - 1)[self.where[stay]]
+
+    def learn(self, first: int, n: int, trained: np.ndarray | None, series: Series, rows: slice) -> None:
+        """One event of tracks ``first`` to ``first + n - 1``, or of those ``trained`` among them; its values are ``rows`` of series."""
+        a, b = np.searchsorted(self.where, (first, first + n))
+        if a == b:
+            return
+        local, at = self.where[a:b] - first, np.arange(a, b)
+        if trained is not None:
+            place = np.searchsorted(trained, local)
+            hit = np.append(trained, -1)[place] == local
+            local, at = place[hit], at[hit]
+        state = self.maps[:, at]
+        gradient_map(state, series, rows.start + local, self.lrate)
+        self.maps[:, at] = state
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tracks of the round whose weights after the piece come from its map, and those weights."""
+        maps = flat_map(self.maps)
+        fit = map_sizes(maps, self.train) <= LARGEST_MAP
+        return self.where[fit], apply_map(maps[fit], self.begin[:, fit])
+
+    def settle(self, w: np.ndarray) -> None:
+        """Pieces are over: put their weights in, and forget them."""
+        if len(self.where):
+            at, after = self.ends()
+            w[:, at] = after
+        self._clear()
+
+
+def map_sizes(maps: np.ndarray, train: int) -> np.ndarray:
+    """Largest entry of the linear part of each flattened map; infinite where it is not a number."""
+    size = np.abs(maps[:, 4 * train :]).max(axis=1, initial=0.0)
+    size[~np.isfinite(maps).all(axis=1)] = np.inf
+    return size
+
+
 def flat_weights(w: np.ndarray) -> np.ndarray:
     """(train, rows, 4) -> (rows, 4 * train), attribute by attribute."""
     return w.transpose(1, 2, 0).reshape(w.shape[1], -1)

@@ -59,30 +59,45 @@ def _columns(history: pa.ListArray):
 
 
 def sampled_levels(history: pa.ListArray, irregular: np.ndarray, window: int, step: int):
-    """Last ``window + 1`` samples of each event: (rows, 4, window + 1), their count and the time of the last one.
-
-    Events with only ``window`` points on the grid leave the first slot unused; the count says so.
-    """
+    """``sample`` of histories that come as lists, each sorted by time."""
     offsets, ts, series = _columns(history)
     count = np.diff(offsets)
     width = window + 1
     at = np.maximum(offsets[1:, None] - width + np.arange(width), 0)
-    levels = series[:, at].transpose(1, 0, 2).copy()
-    base_ts = ts[offsets[1:] - 1].copy()
+    return sample(ts[at], series[:, at].transpose(1, 0, 2), np.minimum(count, width), irregular, window, step)
+
+
+def in_time_order(ts: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories (rows, points) sorted by time, equal times by their values."""
+    order = np.lexsort((*series.transpose(1, 0, 2)[::-1], ts), axis=-1)
+    return np.take_along_axis(ts, order, axis=1), np.take_along_axis(series, order[:, None, :], axis=2)
+
+
+def sample(ts, series, count, irregular, window: int, step: int, sort: bool = False):
+    """Last ``window + 1`` samples of each event: (rows, 4, window + 1), their count and the time of the last one.
+
+    ``ts`` (rows, window + 1) and ``series`` (rows, 4, window + 1) hold the last ``count`` visible points at their end. Events with
+    only ``window`` points on the grid leave the first slot unused; the count says so. ``sort``: points came in any order.
+    """
+    width = window + 1
+    levels = series.copy()
+    base_ts = ts[:, -1].copy()
     for n in np.unique(count[irregular]):
         rows = np.flatnonzero(irregular & (count == n))
-        knots = offsets[rows, None] + np.arange(n)
-        start = ts[knots[:, 0]]
-        x = (ts[knots] - start[:, None]).astype(float)
-        y = series[:2, knots].transpose(1, 0, 2)
-        last = (ts[knots[:, -1]] - start) // step
-        sample = last[:, None] + np.arange(1 - width, 1)
-        found = spline_values(x, y, (sample * step).astype(float))
+        knots, values = ts[rows, width - n :], series[rows][:, :, width - n :]
+        if sort:
+            knots, values = in_time_order(knots, values)
+        start = knots[:, 0]
+        x = (knots - start[:, None]).astype(float)
+        y = values[:, :2]
+        last = (knots[:, -1] - start) // step
+        at = last[:, None] + np.arange(1 - width, 1)
+        found = spline_values(x, y, (at * step).astype(float))
         found[:, :, -1] = y[:, :, -1]  # the last sample keeps the last true position
         levels[rows, :2] = found
         levels[rows, 2:] = 0.0
         base_ts[rows] = start + last * step
-    return levels, np.where(irregular, width, np.minimum(count, width)), base_ts
+    return levels, np.where(irregular, width, count), base_ts
 
 
 def windows(levels: np.ndarray, count: np.ndarray, base_ts: np.ndarray, train: int, diff: bool) -> Windows:

@@ -1,21 +1,23 @@
 """Arrow tasks that carry per-track model state through one partition (used with ``mapInArrow``).
 
-Input rows are trainable events sorted by (t, track), where ``t`` counts the events of a track from 1 and ``more`` tells
-whether the track has another one. The tracks of round ``t + 1`` are those of round ``t`` with ``more``, in the same
-order, so rows find their state by position alone.
+Input rows are events sorted by (t, track), where ``t`` counts the events of a track from 1 and ``more`` tells whether the track has
+another one. The tracks of round ``t + 1`` are those of round ``t`` with ``more``, in the same order, so rows find their state by
+position alone. A row brings its own point only; the points before it are those of the same track in the rounds before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import functions as F
 
 from ..config import ATTRIBUTES, ModelConfig
 from . import recurrence
-from .sampling import sampled_levels, windows
+from .sampling import sample, sampled_levels, windows
 
 
 def lists(values: np.ndarray, where: np.ndarray | None = None) -> pa.Array:
@@ -49,90 +51,238 @@ def rounds(t: np.ndarray) -> Iterator[slice]:
             yield slice(int(a), int(b))
 
 
+@dataclass(frozen=True)
+class Round:
+    """Rows of one round, as far as a batch has them."""
+
+    t: int
+    rows: slice
+    live: np.ndarray | None  # tracks of the round before that are in this one, when it begins
+    first: int  # tracks of this round before these rows
+
+    @property
+    def n(self) -> int:
+        return self.rows.stop - self.rows.start
+
+    @property
+    def at(self) -> slice:
+        """State of these rows: tracks that just begin have one of their own."""
+        return slice(0, self.n) if self.t == 1 else slice(self.first, self.first + self.n)
+
+
 class Front:
     """Position of the wavefront: how far the current round has come, and which of its tracks go on."""
 
     def __init__(self):
         self.t = 0
         self.more: list[np.ndarray] = []
-        self.done = 0
-
-    def enter(self, t: int) -> np.ndarray | None:
-        """Mask of the last round's tracks that are in round ``t`` when it begins, None within a round."""
-        if t == self.t:
-            return None
-        live = np.concatenate(self.more) if self.more else np.empty(0, dtype=bool)
-        self.more, self.t, self.done = [], t, 0
-        return live
-
-    def take(self, more: np.ndarray) -> slice:
-        """State rows of the next ``len(more)`` input rows."""
-        n = len(more)
-        self.more.append(more)
-        if self.t == 1:
-            return slice(0, n)
-        at = slice(self.done, self.done + n)
-        self.done += n
-        return at
-
-
-def model_task(configs: list[ModelConfig], want: str, state: bool) -> Callable:
-    """Task that trains every configuration on every event and returns ``want``.
-
-    ``want`` is "forecast", "weights" or "backtest"; with ``state`` the last row of a track also holds its final weights.
+
+    def rounds(self, t: np.ndarray, more: np.ndarray) -> list[Round]:
+        """The rounds of a batch."""
+        out = []
+        for rows in rounds(t):
+            now, live = int(t[rows.start]), None
+            if now != self.t:
+                live = np.concatenate(self.more) if self.more else np.empty(0, dtype=bool)
+                self.more, self.t = [], now
+            first = sum(map(len, self.more))
+            self.more.append(more[rows])
+            out.append(Round(now, rows, live, first))
+        return out
+
+
+class Histories:
+    """Last points of the live tracks. Points lie in one pool; each knows the place of the one before it (0: there is none)."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.ts, self.values, self.back = np.zeros(1, np.int64), np.zeros((1, 4)), np.zeros(1, np.int64)
+        self.last = np.empty(0, np.int64)  # newest point of each track that goes on from the round before
+        self.now: list[np.ndarray] = []  # newest points of the tracks of this round
+
+    def _add(self, ts: np.ndarray, values: np.ndarray) -> np.ndarray:
+        place = len(self.ts) + np.arange(len(ts))
+        self.ts, self.values = np.concatenate([self.ts, ts]), np.concatenate([self.values, values])
+        self.back = np.concatenate([self.back, np.zeros(len(ts), np.int64)])
+        return place
+
+    def take(self, batch: pa.RecordBatch, values: np.ndarray, steps: list[Round]) -> np.ndarray:
+        """(rows, width) places of the points that each row sees, oldest first."""
+        given, count = None, None
+        if "before" in batch.schema.names:  # the points before the first one of a piece come with it
+            lists_ = batch.column("before")
+            known = pa.compute.list_flatten(lists_)
+            field = lambda name: known.field(name).to_numpy(zero_copy_only=False)
+            count = pa.compute.fill_null(pa.compute.list_value_length(lists_), 0).to_numpy()
+            given = self._add(field("timestamp"), np.stack([field(a) for a in ATTRIBUTES], axis=1))
+            ends = np.cumsum(count)
+            self.back[given[1:]] = given[:-1]
+            begin = (ends - count)[count > 0]
+            self.back[given[begin]] = 0
+        places = self._add(numbers(batch, "timestamp"), values)
+        for s in steps:
+            here = places[s.rows]
+            if s.live is not None:
+                self.last = np.concatenate(self.now)[s.live] if self.now else np.empty(0, np.int64)
+                self.now = []
+            if s.t > 1:
+                self.back[here] = self.last[s.at]
+            elif given is not None:
+                has = np.flatnonzero(count[s.rows] > 0) + s.rows.start
+                self.back[places[has]] = given[ends[has] - 1]
+            self.now.append(here)
+        return self.seen(places, self.width)
+
+    def seen(self, places: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(places), width), np.int64)
+        out[:, -1] = places
+        for k in range(width - 2, -1, -1):
+            out[:, k] = self.back[out[:, k + 1]]
+        return out
+
+    def shrink(self) -> None:
+        """Forget what no later row sees."""
+        used = sum(map(len, self.now))
+        now = np.concatenate(self.now) if self.now else np.empty(0, np.int64)
+        waiting = self.last[used:] if len(self.last) else self.last
+        keep = self.width - 1
+        seen = self.seen(np.concatenate([waiting, now]), keep)
+        slots = np.where(seen > 0, 1 + np.arange(seen.size).reshape(seen.shape), 0)
+        flat = seen.ravel()
+        self.ts, self.values = (np.concatenate([v[:1], v[flat]]) for v in (self.ts, self.values))
+        self.back = np.concatenate([np.zeros(1, np.int64), np.concatenate([np.zeros((len(seen), 1), np.int64), slots[:, :-1]], axis=1).ravel()])
+        newest = slots[:, -1]
+        self.last = np.concatenate([np.zeros(min(used, len(self.last)), np.int64), newest[: len(waiting)]])
+        self.now = [newest[len(waiting) :]]
+
+
+class _Seen:
+    """What the configurations of one window size see of a batch: their training events and the samples at these."""
+
+    def __init__(self, batch: pa.RecordBatch, history: Histories, places: np.ndarray, configs: list[ModelConfig], named: Callable):
+        window, c = configs[0].window, configs[0]
+        self.use = np.flatnonzero(numbers(batch, named("trains")))
+        self.whole = len(self.use) == batch.num_rows
+        seen = places[self.use, -(window + 1) :]
+        irregular = numbers(batch, named("irregular"))[self.use]
+        count = (seen > 0).sum(axis=1)
+        series = history.values[seen].transpose(0, 2, 1)
+        sampled = sample(history.ts[seen], series, count, irregular, window, c.sampling, c.order == "arrival")
+        i = numbers(batch, named("i"))[self.use]
+        self.inputs, self.series = {}, {}
+        for cfg in configs:
+            key = (cfg.train, cfg.diff)
+            if key not in self.inputs:
+                self.inputs[key] = windows(*sampled, cfg.train, cfg.diff)
+                self.series[key] = recurrence.Series(self.inputs[key].values, i, cfg.train)
+
+    def of(self, s: Round) -> tuple[slice, np.ndarray | None]:
+        """Training events of a round (places among all of them) and the rows of the round that they are; None: all."""
+        if self.whole:
+            return s.rows, None
+        a, b = np.searchsorted(self.use, (s.rows.start, s.rows.stop))
+        return slice(int(a), int(b)), (None if b - a == s.n else self.use[a:b] - s.rows.start)
+
+
+def model_task(configs: list[ModelConfig], want: str, state: bool, piece: int, named: Callable) -> Callable:
+    """Task that trains every configuration on every event and returns ``want`` of its training events.
+
+    ``want`` is "forecast", "weights" or "backtest"; with ``state`` each track also gives a row of its final weights (``last``).
+    ``piece``: events of a piece (see ``recurrence.Weights``). ``named``: column of a window size.
     """
+    sizes = sorted({c.window for c in configs})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [recurrence.Weights(c) for c in configs]
-        front = Front()
+        models = [recurrence.Weights(c, piece) for c in configs]
+        front, history = Front(), Histories(max(sizes) + 1)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            t, more, i = numbers(batch, "t"), numbers(batch, "more"), numbers(batch, "i")
-            c0 = configs[0]
-            sampled = sampled_levels(batch.column("history"), numbers(batch, "irregular"), c0.window, c0.sampling)
-            inputs = [windows(*sampled, c.train, c.diff) for c in configs]
-            series = [recurrence.Series(v.values, i, c.train) for v, c in zip(inputs, configs, strict=True)]
-            weights = [np.empty((c.train, len(t), 4)) for c in configs]
-            keep = want == "weights" or state
-            matrices = [np.empty((c.train, c.train, len(t), 4)) if keep and c.newton else None for c in configs]
-            predicted = [np.empty((c.window - c.train, len(t), 4)) for c in configs]
+            t, more = numbers(batch, "t"), numbers(batch, "more")
+            observed = np.stack([numbers(batch, a) for a in ATTRIBUTES], axis=1)
+            steps = front.rounds(t, more)
+            places = history.take(batch, observed, steps)
             with np.errstate(all="ignore"):
-                for rows in rounds(t):
-                    live = front.enter(t[rows.start])
-                    at = front.take(more[rows])
-                    for k, model in enumerate(models):
-                        if live is not None:
-                            model.keep(live)
-                        if front.t == 1:
-                            n = rows.stop - rows.start
-                            model.open(n, _given(batch, f"w0_{k}", rows), _given(batch, f"a0_{k}", rows))
-                        model.learn(at, series[k], rows, predicted[k])
-                        weights[k][:, rows] = model.w[:, at]
-                        if matrices[k] is not None:
-                            matrices[k][:, :, rows] = model.a[:, :, at]
-                        if front.t == 1:
-                            model.park()
-                for k, cfg in enumerate(configs):
-                    out = _base(batch, k)
-                    actual = np.stack(series[k].targets)
-                    if want == "forecast":
-                        out |= _forecast(batch, cfg, weights[k], predicted[k] - actual, inputs[k])
-                    elif want == "backtest":
-                        for name, v in (("predicted", predicted[k]), ("actual", actual)):
-                            out[name] = lists(v.transpose(1, 2, 0).reshape(len(t), -1))
-                    if keep:
-                        last = None if want == "weights" else ~more
-                        out["w"] = lists(recurrence.flat_weights(weights[k]), last)
-                        if cfg.newton:
-                            out["a"] = lists(recurrence.flat_matrix(matrices[k]), last)
-                        else:
-                            out["a"] = pa.nulls(len(t), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_pydict(out)
+                seen = {h: _Seen(batch, history, places, [c for c in configs if c.window == h], lambda c, h=h: named(c, h)) for h in sizes}
+                history.shrink()
+                for k, (cfg, model) in enumerate(zip(configs, models, strict=True)):
+                    yield from _train(batch, k, cfg, model, seen[cfg.window], steps, more, observed, want, state, piece)
 
     return run
 
 
+def _train(batch, k: int, cfg: ModelConfig, model, seen: _Seen, steps, more, observed, want: str, state: bool, piece: int):
+    """Train one configuration on a batch."""
+    key = (cfg.train, cfg.diff)
+    series, inputs, n = seen.series[key], seen.inputs[key], len(seen.use)
+    keep = want == "weights"
+    weights = np.empty((cfg.train, n, 4))
+    matrices = np.empty((cfg.train, cfg.train, n, 4)) if keep and cfg.newton else None
+    predicted = np.empty((cfg.window - cfg.train, n, 4))
+    final = []
+    goes_on = numbers(batch, "goes_on") if model.pieces is not None else None
+    for s in steps:
+        if s.live is not None:
+            model.keep(s.live)
+        if s.t == 1:
+            model.open(s.n, _given(batch, f"w0_{k}", s.rows), _given(batch, f"a0_{k}", s.rows))
+        if model.pieces is not None and (s.t - 1) % piece == 0:
+            if s.live is not None:
+                model.pieces.settle(model.w)
+            model.pieces.start(s.first, goes_on[s.rows], model.w[:, s.at])
+        rows, trained = seen.of(s)
+        if rows.stop > rows.start:
+            at = s.at if trained is None else s.at.start + trained
+            model.learn(at, series, rows, predicted)
+            if model.pieces is not None:
+                model.pieces.learn(s.first, s.n, trained, series, rows)
+            weights[:, rows] = model.w[:, at]
+            if matrices is not None:
+                matrices[:, :, rows] = model.a[:, :, at]
+        if state and not more[s.rows].all():
+            final.append(_final(model, s, np.flatnonzero(~more[s.rows]), piece))
+        if s.t == 1:
+            model.park()
+    if n:
+        actual = np.stack(series.targets)
+        out = _base(batch if seen.whole else batch.take(pa.array(seen.use)), k)
+        if want == "forecast":
+            out |= _forecast(observed[seen.use], cfg, weights, predicted - actual, inputs)
+        elif want == "backtest":
+            for name, v in (("predicted", predicted), ("actual", actual)):
+                out[name] = lists(v.transpose(1, 2, 0).reshape(n, -1))
+        nothing = pa.nulls(n, pa.list_(pa.float64()))
+        if keep or state:
+            out["w"] = lists(recurrence.flat_weights(weights)) if keep else nothing
+            out["a"] = nothing if matrices is None else lists(recurrence.flat_matrix(matrices))
+        if state:
+            out["last"] = pa.array(np.zeros(n, bool))
+        yield pa.RecordBatch.from_pydict(out)
+    if final:
+        rows, w, a = zip(*final, strict=True)
+        rows, w = np.concatenate(rows), np.concatenate(w, axis=1)
+        out = _base(batch.take(pa.array(rows)), k)
+        names = [c.split()[0] for c in model_schema(want, True).split(", ")]
+        out["w"] = lists(recurrence.flat_weights(w))
+        out["a"] = lists(recurrence.flat_matrix(np.concatenate(a, axis=2))) if cfg.newton else pa.nulls(len(rows), pa.list_(pa.float64()))
+        out["last"] = pa.array(np.ones(len(rows), bool))
+        fill = {"base_ts": pa.int64()}
+        out |= {c: pa.nulls(len(rows), fill.get(c, pa.list_(pa.float64()))) for c in names if c not in out}
+        yield pa.RecordBatch.from_pydict({c: out[c] for c in names})
+
+
+def _final(model, s: Round, ended: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Rows whose track ends, with the weights that it goes on with elsewhere: where a piece ends too, those after the piece."""
+    at = s.at.start + ended
+    w = model.w[:, at]
+    if model.pieces is not None and s.t % piece == 0 and len(model.pieces.where):
+        where, after = model.pieces.ends()
+        place = np.searchsorted(where, s.first + ended)
+        hit = np.append(where, -1)[place] == s.first + ended
+        w[:, hit] = after[:, place[hit]]
+    return s.rows.start + ended, w, None if model.a is None else model.a[:, :, at]
+
+
 def model_schema(want: str, state: bool) -> str:
     columns = ["id int", "segment bigint", "origin_timestamp bigint", "config int"]
     if want == "forecast":
@@ -141,6 +291,8 @@ def model_schema(want: str, state: bool) -> str:
         columns += ["predicted array<double>", "actual array<double>"]
     if want == "weights" or state:
         columns += ["w array<double>", "a array<double>"]
+    if state:
+        columns.append("last boolean")
     return ", ".join(columns)
 
 
@@ -153,8 +305,7 @@ def _base(batch: pa.RecordBatch, config: int) -> dict:
     }
 
 
-def _forecast(batch, cfg: ModelConfig, weights, residual, inputs) -> dict:
-    observed = np.stack([numbers(batch, a) for a in ATTRIBUTES], axis=1)
+def _forecast(observed, cfg: ModelConfig, weights, residual, inputs) -> dict:
     mean = residual[0].copy()
     for r in residual[1:]:
         mean += r
@@ -163,84 +314,77 @@ def _forecast(batch, cfg: ModelConfig, weights, residual, inputs) -> dict:
     return {"base_ts": pa.array(inputs.base_ts)} | {a: lists(path[:, j]) for j, a in enumerate(ATTRIBUTES)}
 
 
-def map_task(cfg: ModelConfig) -> Callable:
-    """Task that folds each chunk of events into one affine map of its start weights (gradient jobs).
+def map_task(cfg: ModelConfig, named: Callable) -> Callable:
+    """Task that folds each piece of events into one affine map of its start weights (gradient jobs).
 
-    Emits one row per chunk: the map, and the largest entry of its linear part.
+    Emits one row per piece: the map, and the largest entry of its linear part.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        front, opened = Front(), []
-        state = recurrence.identity_map(0, cfg.train)
+        front, history = Front(), Histories(cfg.window + 1)
+        pieces = recurrence.Pieces(cfg)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            t, more, i = numbers(batch, "t"), numbers(batch, "more"), numbers(batch, "i")
-            sampled = sampled_levels(batch.column("history"), numbers(batch, "irregular"), cfg.window, cfg.sampling)
-            series = recurrence.Series(windows(*sampled, cfg.train, cfg.diff).values, i, cfg.train)
+            more = numbers(batch, "more")
+            steps = front.rounds(numbers(batch, "t"), more)
+            places = history.take(batch, np.stack([numbers(batch, a) for a in ATTRIBUTES], axis=1), steps)
             ended, maps = [], []
             with np.errstate(all="ignore"):
-                for rows in rounds(t):
-                    live = front.enter(t[rows.start])
-                    if live is not None:
-                        if opened:
-                            state, opened = np.concatenate(opened, axis=1), []
-                        if not live.all():
-                            state = state[:, live]
-                    at = front.take(more[rows])
-                    if front.t == 1:
-                        now = recurrence.identity_map(rows.stop - rows.start, cfg.train)
-                        opened.append(now)
-                    else:
-                        now = state[:, at]
-                    recurrence.gradient_map(now, series, rows, cfg.lrate)
-                    over = np.flatnonzero(~more[rows])
+                seen = _Seen(batch, history, places, [cfg], lambda c: named(c, cfg.window))
+                history.shrink()
+                series = seen.series[cfg.train, cfg.diff]
+                for s in steps:
+                    if s.live is not None and s.t > 1:
+                        pieces.keep(s.live)
+                    if s.t == 1:
+                        pieces.start(s.first, np.ones(s.n, dtype=bool), np.zeros((cfg.train, s.n, 4)))
+                    rows, trained = seen.of(s)
+                    if rows.stop > rows.start:
+                        pieces.learn(s.first, s.n, trained, series, rows)
+                    over = np.flatnonzero(~more[s.rows])
                     if len(over):
-                        ended.append(over + rows.start)
-                        maps.append(recurrence.flat_map(now[:, over]))
+                        ended.append(over + s.rows.start)
+                        maps.append(recurrence.flat_map(pieces.maps[:, s.first + over]))
             if ended:
-                ended, maps = np.concatenate(ended), np.concatenate(maps)
-                size = np.abs(maps[:, 4 * cfg.train :]).max(axis=1)
-                size[~np.isfinite(maps).all(axis=1)] = np.inf
-                out = {n: batch.column(n).take(pa.array(ended)) for n in ("id", "segment", "chunk")}
-                yield pa.RecordBatch.from_pydict(out | {"map": lists(maps), "size": pa.array(size)})
+                maps = np.concatenate(maps)
+                out = {n: batch.column(n).take(pa.array(np.concatenate(ended))) for n in ("id", "segment", "piece")}
+                yield pa.RecordBatch.from_pydict(out | {"map": lists(maps), "size": pa.array(recurrence.map_sizes(maps, cfg.train))})
 
     return run
 
 
-MAP_SCHEMA = "id int, segment bigint, chunk bigint, map array<double>, size double"
+MAP_SCHEMA = "id int, segment bigint, piece bigint, map array<double>, size double"
 
 
 def carry_task(cfg: ModelConfig) -> Callable:
-    """Task that runs chunk maps in order and returns the weights each chunk starts from."""
+    """Task that runs the maps of pieces in order and returns the weights with which the piece after each one starts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, front = recurrence.Weights(cfg), Front()
-        p = cfg.train
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            t, more = numbers(batch, "t"), numbers(batch, "more")
+            t = numbers(batch, "t")
             maps = batch.column("map").flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
-            start = np.empty((p, len(t), 4))
-            for rows in rounds(t):
-                live = front.enter(t[rows.start])
-                at = front.take(more[rows])
-                if live is not None:
-                    model.keep(live)
-                if front.t == 1:
-                    model.open(rows.stop - rows.start, _given(batch, "w0_0", rows))
-                start[:, rows] = model.w[:, at]
-                model.w[:, at] = recurrence.apply_map(maps[rows], model.w[:, at])
-                if front.t == 1:
+            after = np.empty((cfg.train, len(t), 4))
+            for s in front.rounds(t, numbers(batch, "more")):
+                if s.live is not None:
+                    model.keep(s.live)
+                if s.t == 1:
+                    model.open(s.n, _given(batch, "w0_0", s.rows))
+                model.w[:, s.at] = recurrence.apply_map(maps[s.rows], model.w[:, s.at])
+                after[:, s.rows] = model.w[:, s.at]
+                if s.t == 1:
                     model.park()
-            out = {n: batch.column(n) for n in ("id", "segment", "chunk")}
-            yield pa.RecordBatch.from_pydict(out | {"w0_0": lists(recurrence.flat_weights(start))})
+            out = {n: batch.column(n) for n in ("id", "segment")}
+            out["piece"] = pa.array(numbers(batch, "piece") + 1)
+            yield pa.RecordBatch.from_pydict(out | {"w0_0": lists(recurrence.flat_weights(after))})
 
     return run
 
 
-CARRY_SCHEMA = "id int, segment bigint, chunk bigint, w0_0 array<double>"
+CARRY_SCHEMA = "id int, segment bigint, piece bigint, w0_0 array<double>"
 
 
 def resampled_series(window: int, step: int, train: int, diff: bool) -> Callable:

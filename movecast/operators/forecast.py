@@ -10,7 +10,7 @@ from ..functions import wavefront as wf
 from ..functions.geo import bearing_deg, haversine_m, speed_error, speed_knots
 from ..functions.recurrence import linear_start
 from ..schema import FORECAST_COLUMNS
-from .models import random_start, run_models, trainable
+from .models import random_start, run_models
 from .tracks import event_parts, track_segments, union_parts
 
 
@@ -22,7 +22,7 @@ def forecast(points: DataFrame, cfg: ModelConfig, horizons: tuple[int, ...] | No
 def forecast_many(
     points: DataFrame, configs: list[ModelConfig], horizons: tuple[int, ...] | None = None, **layout
 ) -> DataFrame:
-    """Forecast rows of several configurations that share their windows, in one pass over the points."""
+    """Forecast rows of several configurations that share sampling, gap and order, in one pass over the points."""
     return forecast_rows(run_models(points, configs, "forecast", **layout), configs, horizons)
 
 
@@ -163,10 +163,12 @@ def _regular_series(name: str, window: int, diff: bool) -> Column:
 def training_pairs(points: DataFrame, cfg: ModelConfig, diff: bool | None = None, **layout) -> DataFrame:
     """Sliding training pairs of every trainable event: ``features`` (newest first) and ``target`` per attribute."""
     diff = cfg.diff if diff is None else diff
+    history = F.array_sort("history") if cfg.order == "arrival" else F.col("history")
+    segment = F.col("segment").cast("bigint").alias("segment")
     events = union_parts(
         [
-            trainable(p, cfg).select("id", "segment", "timestamp", "irregular", "history")
-            for p in event_parts(points, cfg, **layout)
+            p.df.where(F.col("z_len") >= cfg.window).select("id", segment, "timestamp", "irregular", history.alias("history"))
+            for p in event_parts(points, cfg, history=True, **layout)
         ]
     )
     # Series on the grid are slices of the history; only the others go to the spline task.

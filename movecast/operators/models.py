@@ -1,60 +1,43 @@
 """Runs the weight recurrences over tracks.
 
-Cold tracks: one pass, one exchange (by id). Hot tracks are chunked, and the chunks are linked exactly:
+Every track is learnt in pieces of ``PIECE_ROWS`` events. A gradient step is an affine map of the weights, so where a track goes on
+after a piece, the weights there come from the map of that piece, applied to the weights with which the piece began. That is the
+rule for all tracks, so results do not depend, to the last bit, on how points are laid out:
 
-* gradient jobs - a gradient step is an affine map of the weights, so every chunk is folded into one map (in parallel),
-  the maps are run in order (one small row per chunk), and all chunks are then replayed in parallel from the weights
-  they start with;
+* cold tracks - one pass, one exchange (by id); maps are folded along only for tracks longer than a piece;
+* hot tracks - gradient jobs fold the maps of all pieces in parallel, run them in order (one small row per piece), and replay all
+  pieces in parallel from the weights they start with;
 * Newton jobs are not affine: they go round by round (as do the objects of gradient jobs whose maps grow too large),
   a bounded stretch of every hot track at a time, handing the stored weights on.
+
+Rows hold one point each. What a window sees besides it is found in the task, from the rows of the same track before it; only the first
+row of a hot piece brings the points before the piece along.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ATTRIBUTES, ModelConfig
 from ..functions import wavefront as wf
-from .tracks import Part, chunk_links, durable, events, scratch_path, track_parts, union_parts
+from ..functions.recurrence import LARGEST_MAP
+from .tracks import Part, chunk_links, durable, events, scratch_path, sized, track_parts, union_parts
 
-LARGEST_MAP = 10.0
-ROUND_CHUNKS = 256
+PIECE_ROWS = 4_096
+ROUND_PIECES = 256
 
-_EVENT = ["id", "segment", "timestamp", *ATTRIBUTES, "i", "irregular", "history"]
-_STATE = "id int, segment bigint, w array<double>, a array<double>"
+_POINT = ["id", "segment", "timestamp", *ATTRIBUTES]
+_PIECE = ["id", "segment", "piece"]
 
 
 def check_together(configs: list[ModelConfig]) -> None:
-    """Configurations of one pass must see the same events."""
-    key = {(c.window, c.sampling, c.gap_threshold, c.order) for c in configs}
+    """Configurations of one pass must see the same events, though not as many points back."""
+    key = {(c.sampling, c.gap_threshold, c.order) for c in configs}
     if len(key) != 1:
-        raise ValueError("configurations of one pass share window, sampling, gap_threshold and order")
-
-
-def trainable(part: Part, cfg: ModelConfig) -> DataFrame:
-    """Events of a part of ``event_parts`` that train the model, numbered along their track (or chunk).
-
-    ``t`` counts the trainable events of a (segment, chunk) from 1; ``more`` tells whether another one follows. Both
-    come from the order the part already has, so nothing is sorted again.
-    """
-    starts = [c for c in part.df.columns if c.startswith(("w0_", "a0_"))]
-    keep = [*_EVENT, *starts, *(["chunk"] if part.chunked else [])]
-    w = part.window()
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = part.df.where(F.col("z_len") >= cfg.window)
-    df = df.withColumns(
-        {
-            "nth": F.row_number().over(w),
-            "new": ~F.lag("segment").over(w).eqNullSafe(F.col("segment")),
-            "more": F.lead("segment").over(w).eqNullSafe(F.col("segment")),
-        }
-    )
-    start = F.max(F.when(F.col("new"), F.col("nth"))).over(running)
-    df = df.withColumn("t", F.col("nth") - start + 1)
-    return df.select(
-        *[F.col(c).cast("bigint") if c in ("segment", "i") else F.col(c) for c in keep], "t", "more"
-    )
+        raise ValueError("configurations of one pass share sampling, gap_threshold and order")
 
 
 def random_start(cfg: ModelConfig) -> Column:
@@ -69,117 +52,140 @@ def random_start(cfg: ModelConfig) -> Column:
 
 
 def run_models(points: DataFrame, configs: list[ModelConfig], want: str, **layout) -> DataFrame:
-    """One row per (configuration, trainable event) with what ``model_task`` returns for ``want``."""
-    check_together(configs)
-    cfg = configs[0]
-    round_chunks = layout.pop("round_chunks", ROUND_CHUNKS)
-    frames = []
-    for part in track_parts(points, cfg.order, **layout):
-        if part.chunked:
-            frames.append(_hot(part, configs, want, round_chunks))
-        else:
-            frames.append(_pass(trainable(events(part, cfg), cfg), configs, ("id", "segment"), want))
-    return union_parts(frames)
-
+    """One row per (configuration, trainable event) with what ``model_task`` returns for ``want``.
 
-def _pass(
-    rows: DataFrame, configs: list[ModelConfig], keys: tuple[str, ...], want: str, state: bool = False
-) -> DataFrame:
-    """Run the model task over numbered rows.
-
-    The windows that number the rows are the last step with a distribution, so a track is whole within its partition;
-    the sort puts the partition in wavefront order.
+    ``piece_rows`` is part of the rule for the weights of gradient jobs; the other settings of ``layout`` do not change results.
     """
-    starts = {}
-    first = F.col("t") == 1
-    for k, cfg in enumerate(configs):
-        if f"w0_{k}" in rows.columns:
-            starts[f"w0_{k}"] = F.when(first, F.col(f"w0_{k}"))
-        elif cfg.vector_init == "random":
-            starts[f"w0_{k}"] = F.when(first, random_start(cfg))
-        if f"a0_{k}" in rows.columns:
-            starts[f"a0_{k}"] = F.when(first, F.col(f"a0_{k}"))
-    rows = rows.withColumns(starts) if starts else rows
-    rows = rows.sortWithinPartitions("t", *keys)
-    return rows.mapInArrow(wf.model_task(configs, want, state), wf.model_schema(want, state))
-
-
-def _renumber(rows: DataFrame, keys: tuple[str, ...], by: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(by)
-    return rows.withColumns({"t": F.row_number().over(w), "more": F.lead(by).over(w).isNotNull()})
-
-
-def _hot(part: Part, configs: list[ModelConfig], want: str, round_chunks: int) -> DataFrame:
-    links = chunk_links(part, configs[0])
-    frames = []
-    for k, cfg in enumerate(configs):
-        if cfg.newton:
-            out = _relay(part, links, cfg, want, round_chunks)
+    check_together(configs)
+    run = _Run(configs, want, layout.pop("piece_rows", PIECE_ROWS), layout.pop("round_pieces", ROUND_PIECES))
+    return union_parts([run.hot(p) if p.chunked else run.cold(p) for p in track_parts(points, configs[0].order, **layout)])
+
+
+class _Run:
+    """A pass of some configurations over the parts of the points."""
+
+    def __init__(self, configs: list[ModelConfig], want: str, piece: int, round_pieces: int):
+        if piece < 2:
+            raise ValueError("piece_rows must be at least 2")
+        self.configs, self.want, self.piece, self.round_pieces = configs, want, piece, round_pieces
+        self.windows = windows = tuple(sorted({c.window for c in configs}))
+        self.named: Callable[[str, int], str] = lambda name, h: sized(name, h, windows)
+
+    def _sights(self) -> list[Column]:
+        """Columns of each window size: is this event on the grid, does it train, which step of the gradient is it."""
+        out = []
+        for h in self.windows:
+            irregular, z, i, trains = (self.named(c, h) for c in ("irregular", "z_len", "i", "trains"))
+            out += [F.col(irregular), (F.col(z) >= h).alias(trains), F.col(i).cast("bigint").alias(i)]
+        return out
+
+    def cold(self, part: Part) -> DataFrame:
+        df, w = events(part, self.configs[0], windows=self.windows).df, part.window()
+
+        def goes_on(k: int) -> Column:
+            return F.lead("segment", k).over(w).eqNullSafe(F.col("segment"))
+
+        facts = {"more": goes_on(1)}
+        if not all(c.newton for c in self.configs):
+            facts["goes_on"] = F.when((F.col("pos") - 1) % self.piece == 0, goes_on(self.piece)).otherwise(False)
+        segment = F.col("segment").cast("bigint").alias("segment")
+        rows = df.withColumns(facts).select(*[segment if c == "segment" else c for c in _POINT], *self._sights(), F.col("pos").alias("t"), *facts)
+        return self._learn(rows, self.configs, ("id", "segment"))
+
+    def _learn(self, rows: DataFrame, configs: list[ModelConfig], keys: tuple[str, ...], state: bool = False) -> DataFrame:
+        """Run the model task over numbered rows, whose tracks are whole within their partitions."""
+        starts, first = {}, F.col("t") == 1
+        for k, cfg in enumerate(configs):
+            w0 = [F.col(f"w0_{k}")] if f"w0_{k}" in rows.columns else []
+            if cfg.vector_init == "random":
+                w0.append(random_start(cfg))
+            if w0:
+                starts[f"w0_{k}"] = F.when(first, F.coalesce(*w0))
+            if f"a0_{k}" in rows.columns:
+                starts[f"a0_{k}"] = F.when(first, F.col(f"a0_{k}"))
+        rows = rows.withColumns(starts) if starts else rows
+        rows = rows.sortWithinPartitions("t", *keys)
+        task = wf.model_task(configs, self.want, state, self.piece, self.named)
+        return rows.mapInArrow(task, wf.model_schema(self.want, state))
+
+    def hot(self, part: Part) -> DataFrame:
+        cfg = self.configs[0]
+        links = chunk_links(part, cfg, self.windows)
+        df = events(part, cfg, links, self.windows, history=True).df
+        place = F.col("pos") - 1
+        before = F.when((place % self.piece == 0) & (F.size("history") > 1), F.slice("history", 1, F.size("history") - 1))
+        rows = df.select(
+            "id", F.col("segment").cast("bigint").alias("segment"), *_POINT[2:], *self._sights(), "pos",
+            F.expr(f"(pos - 1) div {self.piece}").alias("piece"), before.alias("before"),
+        )
+        rows = durable(rows)
+        along = Window.partitionBy("id").orderBy("segment", "piece")
+        pieces = rows.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n"))
+        facts = {"number": F.row_number().over(along), "goes_on": F.lead("segment").over(along).eqNullSafe(F.col("segment"))}
+        pieces = durable(pieces.withColumns(facts))
+        frames = [
+            (self._relay(rows, pieces, c) if c.newton else self._in_parallel(rows, pieces, c)).withColumn("config", F.lit(k))
+            for k, c in enumerate(self.configs)
+        ]
+        return union_parts(frames)
+
+    def _in_parallel(self, rows: DataFrame, pieces: DataFrame, cfg: ModelConfig) -> DataFrame:
+        """All pieces at once, from the weights that the maps of the pieces before them lead to."""
+        t = F.col("pos") - F.col("piece") * self.piece
+        each = rows.join(pieces, _PIECE).withColumns({"t": t, "more": t < F.col("n")}).drop("pos", "n", "number")
+        each = each.repartition(*_PIECE)
+        folded = each.where("goes_on").sortWithinPartitions("t", *_PIECE).mapInArrow(wf.map_task(cfg, self.named), wf.MAP_SCHEMA)
+        maps = durable(folded)
+        wild = durable(maps.where(~(F.col("size") <= LARGEST_MAP)).select("id").distinct())
+        calm = None
+        if wild.isEmpty():
+            wild = None
         else:
-            starts, wild = _chunk_starts(part, links, cfg)
-            calm = part if wild is None else part.with_df(part.df.join(wild, "id", "left_anti"))
-            rows = trainable(events(calm, cfg, links.join(starts, ["id", "chunk"], "left")), cfg)
-            out = _pass(rows, [cfg], ("id", "segment", "chunk"), want)
-            if wild is not None:
-                tracks = part.with_df(part.df.join(wild, "id", "left_semi"))
-                out = out.unionByName(_relay(tracks, links.join(wild, "id", "left_semi"), cfg, want, round_chunks))
-        frames.append(out.withColumn("config", F.lit(k)))
-    return union_parts(frames)
+            maps, each, calm = maps.join(wild, "id", "left_anti"), each.join(wild, "id", "left_anti"), True
+        along = Window.partitionBy("id", "segment").orderBy("piece")
+        maps = maps.drop("size").withColumns({"t": F.row_number().over(along), "more": F.lead("piece").over(along).isNotNull()})
+        if cfg.vector_init == "random":
+            maps = maps.withColumn("w0_0", F.when(F.col("t") == 1, random_start(cfg)))
+        starts = maps.sortWithinPartitions("t", "id", "segment").mapInArrow(wf.carry_task(cfg), wf.CARRY_SCHEMA)
+        each = each.withColumn("goes_on", F.lit(False)).join(durable(starts), _PIECE, "left").repartition(*_PIECE)
+        out = self._learn(each, [cfg], tuple(_PIECE))
+        if calm:
+            out = out.unionByName(self._relay(rows.join(wild, "id", "left_semi"), pieces.join(wild, "id", "left_semi"), cfg))
+        return out
+
+    def _relay(self, rows: DataFrame, pieces: DataFrame, cfg: ModelConfig) -> DataFrame:
+        """Round by round over stretches of ``round_pieces`` pieces per track.
+
+        Each round is stored before the next one starts, and hands on one row per track: the weights of its last segment.
+        """
+        spark = rows.sparkSession
+        stretch = F.expr(f"(number - 1) div {self.round_pieces}").cast("int")
+        within = Window.partitionBy("id", "segment", "stretch")
+        pieces = pieces.withColumn("stretch", stretch).withColumns(
+            {"from": F.min("piece").over(within) * self.piece, "until": F.max(F.col("piece") * self.piece + F.col("n")).over(within)}
+        )
+        staged, results, states = (scratch_path(spark, n) for n in ("stretches", "rounds", "weights"))
+        each = rows.join(pieces.drop("n", "number"), _PIECE)
+        each = each.withColumns({"t": F.col("pos") - F.col("from"), "more": F.col("pos") < F.col("until")}).drop("pos", "piece", "from", "until")
+        each.write.partitionBy("stretch").parquet(staged)
+        kept = each.drop("stretch").schema
+        schema = wf.model_schema(self.want, True)
+        last = pieces.agg(F.max("stretch")).first()[0]
+        for r in range(0 if last is None else last + 1):
+            batch = spark.read.schema(kept).parquet(f"{staged}/stretch={r}")
+            if r > 0:
+                known = spark.read.schema(_STATE).parquet(f"{states}/round={r - 1}")
+                known = known.withColumnsRenamed({"w": "w0_0", "a": "a0_0"})
+                batch = batch.join(known if cfg.newton else known.drop("a0_0"), ["id", "segment"], "left")
+            batch = batch.repartition("id", "segment")
+            self._learn(batch, [cfg], ("id", "segment"), state=True).write.parquet(f"{results}/round={r}")
+            ended = spark.read.schema(schema).parquet(f"{results}/round={r}").where("last")
+            newest = F.max_by(F.struct("segment", "w", "a"), "segment").alias("s")
+            ended.groupBy("id").agg(newest).select("id", "s.*").write.parquet(f"{states}/round={r}")
+        columns = [c.split()[0] for c in wf.model_schema(self.want, False).split(", ")]
+        if last is None:
+            return spark.createDataFrame([], wf.model_schema(self.want, False))
+        return spark.read.schema(schema + ", round int").parquet(results).where("not last").select(*columns)
 
 
-def _chunk_starts(part: Part, links: DataFrame, cfg: ModelConfig) -> tuple[DataFrame, DataFrame | None]:
-    """Weights with which every chunk goes on in the segment it inherits, and the ids that need the rounds.
-
-    An id needs them if one of its chunk maps is too large to be accurate; None if there is no such id.
-    """
-    rows = trainable(events(part, cfg, links), cfg).sortWithinPartitions("t", "id", "segment", "chunk")
-    maps = durable(rows.mapInArrow(wf.map_task(cfg), wf.MAP_SCHEMA))
-    wild = durable(maps.where(~(F.col("size") <= LARGEST_MAP)).select("id").distinct())
-    if wild.isEmpty():
-        wild = None
-    else:
-        maps = maps.join(wild, "id", "left_anti")
-    maps = _renumber(maps.drop("size"), ("id", "segment"), "chunk")
-    if cfg.vector_init == "random":
-        maps = maps.withColumn("w0_0", F.when(F.col("t") == 1, random_start(cfg)))
-    starts = maps.sortWithinPartitions("t", "id", "segment").mapInArrow(wf.carry_task(cfg), wf.CARRY_SCHEMA)
-    inherited = links.select("id", "chunk", F.col("segment_before").alias("segment"))
-    return durable(starts.join(inherited, ["id", "chunk", "segment"]).select("id", "chunk", "w0_0")), wild
-
-
-def _relay(part: Part, links: DataFrame, cfg: ModelConfig, want: str, round_chunks: int) -> DataFrame:
-    """Round by round over stretches of ``round_chunks`` chunks per track.
-
-    Each round is stored before the next one starts, and hands on one row per track: the weights of its last segment.
-    """
-    spark = part.df.sparkSession
-    along = Window.partitionBy("id").orderBy("chunk")
-    stretch = ((F.row_number().over(along) - 1) / round_chunks).cast("int")
-    stretches = durable(links.select("id", "chunk", stretch.alias("stretch")))
-    staged, results, states = (scratch_path(spark, n) for n in ("stretches", "rounds", "weights"))
-    part.df.join(stretches, ["id", "chunk"]).write.partitionBy("stretch").parquet(staged)
-    schema = wf.model_schema(want, True)
-    for r in range(stretches.agg(F.max("stretch")).first()[0] + 1):
-        batch = spark.read.schema(part.df.schema).parquet(f"{staged}/stretch={r}")
-        rows = events(part.with_df(batch), cfg, links).df
-        before = None
-        if r > 0:
-            before = spark.read.schema(_STATE).parquet(f"{states}/round={r - 1}")
-            known = before.select(
-                "id", F.col("segment").alias("at"), F.col("w").alias("w0_0"), F.col("a").alias("a0_0")
-            )
-            same = F.col("at") == F.col("segment")
-            rows = rows.join(known, "id", "left").withColumns(
-                {c: F.when(same, F.col(c)) for c in (("w0_0", "a0_0") if cfg.newton else ("w0_0",))}
-            )
-            rows = rows.drop("at") if cfg.newton else rows.drop("at", "a0_0")
-        whole = Part(rows.drop("chunk"), ("id",), ("segment", "pos"))
-        _pass(trainable(whole, cfg), [cfg], ("id", "segment"), want, state=True).write.parquet(f"{results}/round={r}")
-        after = spark.read.schema(schema).parquet(f"{results}/round={r}").where("w is not null")
-        after = after.select("id", "segment", "w", "a", F.lit(1).alias("age"))
-        if before is not None:
-            after = after.unionByName(before.withColumn("age", F.lit(0)))
-        newest = F.max_by(F.struct("segment", "w", "a"), F.struct("segment", "age")).alias("s")
-        after.groupBy("id").agg(newest).select("id", "s.*").write.parquet(f"{states}/round={r}")
-    columns = [c.split()[0] for c in wf.model_schema(want, False).split(", ")]
-    return spark.read.schema(schema + ", round int").parquet(results).select(*columns)
+_STATE = "id int, segment bigint, w array<double>, a array<double>"

@@ -1,10 +1,10 @@
 """Resampling of whole segments to a fixed step with natural cubic splines.
 
 Spline coefficients of many segments are solved together in Arrow tasks; the grid itself is laid out by Spark, one knot at a
-time, so a sparse segment with a long grid never sits in one task. Segments of hot tracks are solved chunk by chunk:
-each chunk also sees ``OVERLAP`` knots on either side. The influence of a knot on the coefficients of another shrinks by
-at least 2/3 per knot between them (the sweep multiplies by h[i-1] / (2 (h[i-1] + h[i]) - h[i-1] u), u <= 1/2), so 128
-knots leave less than 1e-22 of it, which is below the rounding of a double.
+time, so a sparse segment with a long grid never sits in one task. Segments of hot tracks are solved chunk by chunk, and
+exactly: the coefficients inside a chunk are linear in the two at its bounds, so each chunk reduces to its part of two boundary
+equations (one small row per chunk), the tridiagonal system over the chunks of a segment gives the coefficients at the bounds, and all
+chunks are filled in from those.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ModelConfig
-from .tracks import CHUNK_ROWS, Part, event_parts, union_parts
+from .tracks import CHUNK_ROWS, Part, durable, event_parts, union_parts
 
-OVERLAP = 128
 BLOCK = 1 << 18  # knots that a task solves together
 HOT_KNOTS = 1 << 15  # a longer track is solved by chunks, as a sweep along one spline alone is slow
 
@@ -30,31 +29,50 @@ _KNOTS = (
 )
 
 
+def tridiagonal(lower, diag, upper, rhs, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Solve diagonally dominant systems that lie one after the other in flat arrays; ``rhs`` is (axes, places).
+
+    System s has its equations at begin[s] to begin[s] + size[s] - 1. One numpy step moves all systems that are long enough on by
+    one equation. Other places of the result are zero.
+    """
+    factor, load, out = np.zeros(diag.shape), np.zeros(rhs.shape), np.zeros(rhs.shape)
+    order = np.argsort(-size, kind="stable")
+    begin, size = begin[order], size[order]
+    most = int(size[0]) if len(size) else 0
+    live = np.searchsorted(-size, -np.arange(most + 1), "left")  # systems with more than k equations
+    for k in range(most):
+        at = begin[: live[k]] + k
+        pivot, value = diag[at], rhs[:, at]
+        if k:
+            pivot, value = pivot - lower[at] * factor[at - 1], value - lower[at] * load[:, at - 1]
+        factor[at], load[:, at] = upper[at] / pivot, value / pivot
+    for k in range(most - 1, -1, -1):
+        at = begin[: live[k]] + k
+        out[:, at] = load[:, at]
+        if k < most - 1:
+            at = begin[: live[k + 1]] + k
+            out[:, at] -= factor[at] * out[:, at + 1]
+    return out
+
+
+def _equations(step: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower and main diagonal and right side of the equation of each knot; the upper diagonal is the step after it."""
+    lower = np.concatenate([[0.0], step[:-1]])
+    return lower, 2.0 * (lower + step), 3.0 * (slope - np.concatenate([slope[:, :1], slope[:, :-1]], axis=1))
+
+
 def _sweep(step: np.ndarray, slope: np.ndarray, begin: np.ndarray, knots: np.ndarray) -> np.ndarray:
     """Second-order coefficients of natural splines that lie one after the other.
 
     Knots of spline s stand at begin[s] to begin[s] + knots[s] - 1; ``step`` and ``slope`` (axes, knots) belong to the interval
-    that starts at a knot. One numpy step moves all splines that are long enough on by a knot.
+    that starts at a knot.
     """
-    upper, rhs = np.zeros(step.shape), np.zeros(slope.shape)
-    c = np.zeros(slope.shape)
-    order = np.argsort(-knots, kind="stable")
-    begin, knots = begin[order], knots[order]
-    live = np.searchsorted(-knots, -np.arange(int(knots[0]) + 1), "left")  # splines with more than k knots
-    for k in range(1, int(knots[0]) - 1):
-        at = begin[: live[k + 1]] + k
-        left = step[at - 1]
-        pivot = 2.0 * (left + step[at]) - left * upper[at - 1]
-        upper[at] = step[at] / pivot
-        rhs[:, at] = (3.0 * (slope[:, at] - slope[:, at - 1]) - left * rhs[:, at - 1]) / pivot
-    for k in range(int(knots[0]) - 2, 0, -1):
-        at = begin[: live[k + 1]] + k
-        c[:, at] = rhs[:, at] - upper[at] * c[:, at + 1]
-    return c
-
-
-def _solver(keys: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Task over knots sorted by (keys, timestamp): spline pieces of whole groups, about ``BLOCK`` knots or one group at a time."""
+    lower, diag, rhs = _equations(step, slope)
+    return tridiagonal(lower, diag, step, rhs, begin + 1, np.maximum(knots - 2, 0))
+
+
+def _by_groups(keys: tuple[str, ...], work: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Task over rows sorted by the keys: ``work`` of whole groups, about ``BLOCK`` rows or one group at a time."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -65,10 +83,10 @@ def _solver(keys: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 table = pa.Table.from_batches(held).combine_chunks()
                 last = int(_groups(table, keys)[-1])
                 if last:
-                    yield from _solve(table.slice(0, last), keys)
+                    yield from work(table.slice(0, last), keys)
                 held, size = table.slice(last).to_batches(), table.num_rows - last
         if size:
-            yield from _solve(pa.Table.from_batches(held).combine_chunks(), keys)
+            yield from work(pa.Table.from_batches(held).combine_chunks(), keys)
 
     return solve
 
@@ -80,7 +98,29 @@ def _groups(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _intervals(table: pa.Table, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Times, values (axes, knots), the place after each knot, and step and slope of the interval that starts at it (1 and 0 where
+    none does)."""
+    ts = table["timestamp"].to_numpy()
+    y = np.stack([table[n].to_numpy() for n in ("longitude", "latitude")])
+    after = np.minimum(np.arange(len(ts)) + 1, len(ts) - 1)
+    step = np.where(inner, ts[after] - ts, 1).astype(float)
+    return ts, y, after, step, np.where(inner, (y[:, after] - y) / step, 0.0)
+
+
+def _pieces(table: pa.Table, inner: np.ndarray, c: np.ndarray) -> dict:
+    """Cubic pieces of the knots from their second-order coefficients; a last knot has only its value."""
+    ts, y, after, step, slope = _intervals(table, inner)
+    b = np.where(inner, slope - step * (c[:, after] + 2.0 * c) / 3.0, 0.0)
+    d = np.where(inner, (c[:, after] - c) / (3.0 * step), 0.0)
+    out = {n: table[n].to_numpy() for n in ("id", "segment", "timestamp")} | {"next_ts": np.where(inner, ts[after], ts)}
+    for k, name in enumerate(("lon", "lat")):
+        out |= {f"{name}_a": y[k], f"{name}_b": b[k], f"{name}_c": c[k], f"{name}_d": d[k]}
+    return out
+
+
 def _solve(table: pa.Table, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Pieces of whole segments, with their first and last knot."""
     begin = _groups(table, keys)
     knots = np.diff(np.append(begin, table.num_rows))
     ts = table["timestamp"].to_numpy()
@@ -92,77 +132,136 @@ def _solve(table: pa.Table, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         begin, knots = _groups(table, keys), knots[good]
-        ts = table["timestamp"].to_numpy()
     end = begin + knots - 1
-    inner = np.ones(len(ts), bool)
+    inner = np.ones(table.num_rows, bool)
     inner[end] = False
-    after = np.minimum(np.arange(len(ts)) + 1, len(ts) - 1)
-    step = np.where(inner, ts[after] - ts, 1).astype(float)
-    y = np.stack([table[n].to_numpy() for n in ("longitude", "latitude")])
-    slope = np.where(inner, (y[:, after] - y) / step, 0.0)
-    c = _sweep(step, slope, begin, knots)
-    b = np.where(inner, slope - step * (c[:, after] + 2.0 * c) / 3.0, 0.0)
-    d = np.where(inner, (c[:, after] - c) / (3.0 * step), 0.0)
-    out = {n: table[n].to_numpy() for n in ("id", "segment", "timestamp")} | {"next_ts": np.where(inner, ts[after], ts)}
-    for k, name in enumerate(("lon", "lat")):
-        out |= {f"{name}_a": y[k], f"{name}_b": b[k], f"{name}_c": c[k], f"{name}_d": d[k]}
+    ts, y, _, step, slope = _intervals(table, inner)
+    out = _pieces(table, inner, _sweep(step, slope, begin, knots))
     ends = {"first_ts": ts[begin], "last_ts": ts[end], "last_lon": y[0, end], "last_lat": y[1, end]}
     out |= {k: np.repeat(v, knots) for k, v in ends.items()}
-    own = table["own"].combine_chunks()
-    whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
-    yield whole.filter(own.chunk(0) if isinstance(own, pa.ChunkedArray) else own)
+    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
 
 
-def _with_overlap(part: Part) -> DataFrame:
-    """Knots keyed by chunk; the edges of a chunk are also given to its neighbours (``own`` = false there).
+# --- hot segments, chunk by chunk
 
-    A neighbour may hold fewer than ``OVERLAP`` knots, so edges are passed on over as many chunks as it takes.
-    """
-    key = ("id", "segment")
-    order = [F.col(c) for c in part.order]
-    w = Window.partitionBy(*key, "chunk")
-    df = part.df.withColumns(
-        {
-            "from_start": F.row_number().over(w.orderBy(*order)),
-            "from_end": F.row_number().over(w.orderBy(*[c.desc() for c in order])),
-        }
-    )
-    along = Window.partitionBy(*key).orderBy("chunk")
-    chunks = df.groupBy(*key, "chunk").agg(F.count(F.lit(1)).alias("n"))
-    near = F.struct("chunk", "n")
-    chunks = chunks.withColumns(
-        {
-            "later": F.collect_list(near).over(along.rowsBetween(1, OVERLAP)),
-            "earlier": F.reverse(F.collect_list(near).over(along.rowsBetween(-OVERLAP, -1))),
-        }
-    )
+_CHUNK = ("id", "segment", "chunk")
+_BOUNDS = "id int, segment bigint, chunk bigint, " + ", ".join(
+    f"{side}_{part} double" for side in ("own", "next") for part in ("own", "next", "lon", "lat")
+)
+_SYSTEM = "id int, segment bigint, chunk bigint, lower double, diag double, upper double, lon double, lat double"
+_AT_BOUNDS = "id int, segment bigint, chunk bigint, c_lon double, c_lat double"
 
-    def reach(side: str):
-        """Chunks on one side with the number of knots between them and this chunk."""
-        fold = F.aggregate(
-            side,
-            F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<struct<chunk:bigint,skip:bigint>>").alias("out")),
-            lambda acc, c: F.struct(
-                (acc["sum"] + c["n"]).alias("sum"),
-                F.concat(acc["out"], F.array(F.struct(c["chunk"].alias("chunk"), acc["sum"].alias("skip")))).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.filter(fold, lambda c: c["skip"] < OVERLAP)
-
-    chunks = chunks.select(*key, "chunk", reach("later").alias("later"), reach("earlier").alias("earlier"))
-    edge = df.where((F.col("from_start") <= OVERLAP) | (F.col("from_end") <= OVERLAP)).join(chunks, [*key, "chunk"])
-    given = F.concat(
-        F.transform(
-            F.filter("later", lambda c: F.col("from_end") + c["skip"] <= OVERLAP), lambda c: c["chunk"]
-        ),
-        F.transform(
-            F.filter("earlier", lambda c: F.col("from_start") + c["skip"] <= OVERLAP), lambda c: c["chunk"]
-        ),
+
+def _laid_out(table: pa.Table, keys: tuple[str, ...]):
+    """Chunks of a table: where they begin, their last place (the first knot of the next chunk, or the last of the segment), and where
+    intervals start."""
+    begin = _groups(table, keys)
+    end = np.append(begin[1:], table.num_rows) - 1
+    inner = np.ones(table.num_rows, bool)
+    inner[end] = False
+    return begin, end, inner
+
+
+def _reduce(table: pa.Table, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's part of the equations at its own first knot (``own_*``) and at that of the next chunk (``next_*``): the factors of
+    the coefficients at both, and what it adds to the right sides."""
+    begin, end, inner = _laid_out(table, keys)
+    _, _, _, step, slope = _intervals(table, inner)
+    lower, diag, rhs = _equations(step, slope)
+    size = end - begin - 1
+    some = size > 0
+    # Inside a chunk: the values for bounds of zero (two axes), and what one unit at either bound adds.
+    right = np.concatenate([rhs, np.zeros((2, table.num_rows))])
+    right[2, begin[some] + 1] = -step[begin[some]]
+    right[3, end[some] - 1] = -step[end[some] - 1]
+    inside = tridiagonal(lower, diag, step, right, begin + 1, np.maximum(size, 0))
+    lon, lat, left, after = inside
+    first, last = np.minimum(begin + 1, end), np.maximum(end - 1, begin)
+    a, z = step[begin], step[last]
+    alone = end == begin  # the last knot of a segment, by itself: no interval, no equation
+    out = {
+        "own_own": 2 * a + np.where(some, a * left[first], 0.0),
+        "own_next": np.where(some, a * after[first], a),
+        "own_lon": 3 * slope[0, begin] - np.where(some, a * lon[first], 0.0),
+        "own_lat": 3 * slope[1, begin] - np.where(some, a * lat[first], 0.0),
+        "next_own": np.where(some, z * left[last], z),
+        "next_next": 2 * z + np.where(some, z * after[last], 0.0),
+        "next_lon": -3 * slope[0, last] - np.where(some, z * lon[last], 0.0),
+        "next_lat": -3 * slope[1, last] - np.where(some, z * lat[last], 0.0),
+    }
+    known = {k: table[k].take(pa.array(begin)) for k in _CHUNK}
+    columns = [*known.values(), *(pa.chunked_array([pa.array(v, mask=alone)]) for v in out.values())]
+    yield from pa.Table.from_arrays(columns, names=[*known, *out]).combine_chunks().to_batches()
+
+
+def _system(bounds: DataFrame) -> DataFrame:
+    """One equation for each chunk bound within a segment. The coefficients at both ends of a segment are zero."""
+    along = Window.partitionBy("id", "segment").orderBy("chunk")
+    before = {c: F.lag(f"next_{c}").over(along) for c in ("own", "next", "lon", "lat")}
+    rows = bounds.withColumns({f"b_{c}": v for c, v in before.items()})
+    # The first chunk starts with the first knot, and a chunk without an interval is the last knot: nothing to solve there.
+    rows = rows.where(F.col("b_own").isNotNull() & F.col("own_own").isNotNull())
+    return rows.select(
+        *_CHUNK, F.col("b_own").alias("lower"), (F.col("b_next") + F.col("own_own")).alias("diag"), F.col("own_next").alias("upper"),
+        *[(F.col(f"b_{c}") + F.col(f"own_{c}")).alias(c) for c in ("lon", "lat")],
     )
-    keep = [*key, "timestamp", "longitude", "latitude"]
-    copies = edge.select(*keep, F.explode(given).alias("chunk"), F.lit(False).alias("own"))
-    return df.select(*keep, "chunk", F.lit(True).alias("own")).unionByName(copies)
+
+
+def _solve_bounds(table: pa.Table, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    begin = _groups(table, keys)
+    size = np.diff(np.append(begin, table.num_rows))
+    lower, diag, upper, lon, lat = (table[c].to_numpy() for c in ("lower", "diag", "upper", "lon", "lat"))
+    lon, lat = tridiagonal(lower, diag, upper, np.stack([lon, lat]), begin, size)
+    known = [table[k] for k in _CHUNK]
+    whole = pa.Table.from_arrays([*known, pa.chunked_array([lon]), pa.chunked_array([lat])], names=[*_CHUNK, "c_lon", "c_lat"])
+    yield from whole.combine_chunks().to_batches()
+
+
+def _fill(table: pa.Table, keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Pieces of the chunks' own knots from the coefficients at both bounds."""
+    begin, end, inner = _laid_out(table, keys)
+    _, _, _, step, slope = _intervals(table, inner)
+    lower, diag, rhs = _equations(step, slope)
+    bounds = {e: np.stack([table[f"{e}_{a}"].to_numpy()[begin] for a in ("lon", "lat")]) for e in ("own", "next")}
+    size = end - begin - 1
+    some = size > 0
+    rhs[:, begin[some] + 1] -= step[begin[some]] * bounds["own"][:, some]
+    rhs[:, end[some] - 1] -= step[end[some] - 1] * bounds["next"][:, some]
+    c = tridiagonal(lower, diag, step, rhs, begin + 1, np.maximum(size, 0))
+    c[:, end] = bounds["next"]
+    c[:, begin] = bounds["own"]
+    out = _pieces(table, inner, c)
+    own = table["own"].combine_chunks()
+    whole = pa.Table.from_pydict({k: pa.array(v) for k, v in out.items()})
+    yield from whole.filter(own).combine_chunks().to_batches()
+
+
+def _chunked_pieces(part: Part) -> DataFrame:
+    """Pieces of hot segments. ``part``: knots with segment, chunk and ``again``."""
+    ends = durable(_ends(part))
+    keep = ["id", "segment", "timestamp", "longitude", "latitude"]
+    knots = part.df.select(*keep, "chunk").join(ends.select("id", "segment"), ["id", "segment"], "left_semi")
+    knot = F.struct(*keep[2:])
+    firsts = knots.groupBy(*_CHUNK).agg(F.min_by(knot, "timestamp").alias("k"))
+    along = Window.partitionBy("id", "segment").orderBy("chunk")
+    # Each chunk also gets the first knot of the next one.
+    ahead = firsts.withColumn("chunk", F.lag("chunk").over(along)).where("chunk is not null")
+    copies = ahead.select("id", "segment", "k.*", "chunk", F.lit(False).alias("own"))
+    laid = durable(knots.withColumn("own", F.lit(True)).unionByName(copies).repartition(*_CHUNK))
+
+    def grouped(df: DataFrame, work: Callable, keys: tuple[str, ...], by: tuple[str, ...], schema: str) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*by).mapInArrow(_by_groups(keys, work), schema)
+
+    bounds = durable(grouped(laid, _reduce, _CHUNK, (*_CHUNK, "timestamp"), _BOUNDS))
+    solved = grouped(_system(bounds), _solve_bounds, ("id", "segment"), _CHUNK, _AT_BOUNDS)
+    zero = F.lit(0.0)
+    given = bounds.select(*_CHUNK).join(solved, list(_CHUNK), "left")
+    given = given.select(*_CHUNK, *[F.coalesce(f"c_{a}", zero).alias(f"own_{a}") for a in ("lon", "lat")])
+    after = {f"next_{a}": F.coalesce(F.lead(f"own_{a}").over(along), zero) for a in ("lon", "lat")}
+    given = durable(given.withColumns(after))
+    schema = _KNOTS[: _KNOTS.index(", first_ts")]
+    pieces = grouped(laid.join(given, list(_CHUNK)), _fill, _CHUNK, (*_CHUNK, "timestamp"), schema)
+    return pieces.join(ends, ["id", "segment"])
 
 
 def resample(
@@ -189,17 +288,11 @@ def resample(
             )
         )
         if not part.chunked:
-            knots = part.df.withColumn("own", F.lit(True)).drop("again", *extra)
+            knots = part.df.drop("again", *extra)
             # Still hashed by id from the windows, so this sort needs no exchange.
-            pieces = knots.sortWithinPartitions("id", "segment", "timestamp").mapInArrow(_solver(("id", "segment")), _KNOTS)
+            pieces = knots.sortWithinPartitions("id", "segment", "timestamp").mapInArrow(_by_groups(("id", "segment"), _solve), _KNOTS)
         else:
-            ends = _ends(part)
-            knots = _with_overlap(part).join(ends.select("id", "segment"), ["id", "segment"], "left_semi")
-            keys = ("id", "segment", "chunk")
-            knots = knots.repartition(*keys).sortWithinPartitions(*keys, "timestamp")
-            pieces = knots.mapInArrow(_solver(keys), _KNOTS)
-            local = ("first_ts", "last_ts", "last_lon", "last_lat")
-            pieces = pieces.drop(*local).join(ends, ["id", "segment"])
+            pieces = _chunked_pieces(part)
         frames.append(_grid(pieces, step))
     return union_parts(frames)
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 
 from ..config import ModelConfig
 from .forecast import forecast_many
-from .models import ROUND_CHUNKS
 from .tracks import track_parts, union_parts
 
 # The published sweep grid (windows with their orders, and learning rates).
@@ -33,18 +32,18 @@ def sweep_grid(base: ModelConfig, windows=SWEEP_WINDOWS, rates=SWEEP_RATES, vari
 def sweep(points: DataFrame, configs: Iterable[ModelConfig], **layout) -> DataFrame:
     """Forecasts of every configuration, told apart by ``config_id``.
 
-    Configurations with the same windows share one pass: each event's history goes to a task once and all of them learn
-    from it there, so points are not multiplied by the number of configurations. Points are laid out once for each order,
-    and all window sizes share that exchange.
+    Configurations with the same sampling, gap and order share one layout, one sort and one pass, whatever their windows: a task keeps the
+    points of the largest window of each track, and smaller windows are the ends of it. Points are not multiplied by the number
+    of configurations.
     """
     groups: dict[tuple, list[ModelConfig]] = {}
     for c in configs:
-        groups.setdefault((c.window, c.sampling, c.gap_threshold, c.order), []).append(c)
+        groups.setdefault((c.sampling, c.gap_threshold, c.order), []).append(c)
     if not groups:
         raise ValueError("no configurations")
     ids = [c.config_id for group in groups.values() for c in group]
     if len(set(ids)) < len(ids):
         raise ValueError("config_id must be unique")
-    rounds = layout.pop("round_chunks", ROUND_CHUNKS)
+    rule = {k: layout.pop(k) for k in ("piece_rows", "round_pieces") if k in layout}
     parts = {order: track_parts(points, order, **layout) for order in {order for *_, order in groups}}
-    return union_parts([forecast_many(parts[key[-1]], group, round_chunks=rounds) for key, group in groups.items()])
+    return union_parts([forecast_many(parts[key[-1]], group, **rule) for key, group in groups.items()])

@@ -144,73 +144,95 @@ def _open_points(halo: Column, gap: int) -> Column:
     return F.coalesce(F.size(halo) - last, F.lit(0))
 
 
-def chunk_links(part: Part, cfg: ModelConfig) -> DataFrame:
+def sized(name: str, h: int, windows: tuple[int, ...]) -> str:
+    """Column of window size ``h``; sizes are told apart only where there are several."""
+    return name if len(windows) == 1 else f"{name}_{h}"
+
+
+def chunk_links(part: Part, cfg: ModelConfig, windows: tuple[int, ...] | None = None) -> DataFrame:
     """What every chunk takes over from the earlier chunks of its track: one stored row per chunk."""
-    halos = durable(_halos(part, cfg.window, cfg.gap_threshold))
-    rows = _within(part.with_df(part.df.join(halos, ["id", "chunk"])), cfg)
-    last = F.max_by(F.struct("segment", "pos", "grown"), "rn")
+    windows = windows or (cfg.window,)
+    halos = durable(_halos(part, max(windows), cfg.gap_threshold))
+    rows = _within(part.with_df(part.df.join(halos, ["id", "chunk"])), cfg, windows)
+    grown = [sized("grown", h, windows) for h in windows]
+    last = F.max_by(F.struct("segment", "pos", *grown), "rn")
     ends = rows.groupBy("id", "chunk").agg(last.alias("end")).select("id", "chunk", "end.*")
     upto = Window.partitionBy("id").orderBy("chunk")
     ends = ends.withColumn("segment_end", F.sum("segment").over(upto))
     same = Window.partitionBy("id", "segment_end").orderBy("chunk")
-    ends = ends.withColumns({"pos_end": F.sum("pos").over(same), "grown_end": F.sum("grown").over(same)})
+    ends = ends.withColumns({f"{c}_end": F.sum(c).over(same) for c in ("pos", *grown)})
     before = {
-        f"{c}_before": F.coalesce(F.lag(f"{c}_end").over(upto), F.lit(0)) for c in ("segment", "pos", "grown")
+        f"{c}_before": F.coalesce(F.lag(f"{c}_end").over(upto), F.lit(0)) for c in ("segment", "pos", *grown)
     }
     return durable(halos.join(ends.select("id", "chunk", *[v.alias(k) for k, v in before.items()]), ["id", "chunk"]))
 
 
-def events(part: Part, cfg: ModelConfig, links: DataFrame | None = None) -> Part:
-    """Every point with its segment, visible history and step counter (see ``track_history``)."""
+def events(
+    part: Part,
+    cfg: ModelConfig,
+    links: DataFrame | None = None,
+    windows: tuple[int, ...] | None = None,
+    history: bool = False,
+) -> Part:
+    """Every point with its segment and, for each window size, what is visible and the step counter (see ``track_history``).
+
+    ``windows``: sizes to look at in one go; the columns of several sizes end in the size. ``history`` adds the visible points of
+    the largest size, oldest first as they came; only jobs that need them as an array ask for it.
+    """
+    windows = windows or (cfg.window,)
     if not part.chunked:
-        df = _within(part, cfg)
+        df = _within(part, cfg, windows, history)
     else:
-        links = chunk_links(part, cfg) if links is None else links
-        df = _within(part.with_df(part.df.join(links, ["id", "chunk"])), cfg)
+        links = chunk_links(part, cfg, windows) if links is None else links
+        df = _within(part.with_df(part.df.join(links, ["id", "chunk"])), cfg, windows, history)
         still_open = F.col("segment") == 0
+        grown = [sized("grown", h, windows) for h in windows]
         df = df.withColumns(
-            {
-                "pos": F.col("pos") + F.when(still_open, F.col("pos_before")).otherwise(0),
-                "grown": F.col("grown") + F.when(still_open, F.col("grown_before")).otherwise(0),
-                "segment": F.col("segment") + F.col("segment_before"),
-            }
+            {c: F.col(c) + F.when(still_open, F.col(f"{c}_before")).otherwise(0) for c in ("pos", *grown)}
+            | {"segment": F.col("segment") + F.col("segment_before")}
         )
-        if "w0_0" in df.columns:
-            df = df.withColumn("w0_0", F.when(F.col("segment") == F.col("segment_before"), F.col("w0_0")))
-    history = F.array_sort(_visible()) if cfg.order == "arrival" else _visible()
-    keep = [c for c in part.df.columns if c not in POINT_COLUMNS] + [c for c in ("w0_0",) if c in df.columns]
-    return part.with_df(
-        df.select(
-            *keep, *POINT_COLUMNS, "segment", "pos", "n_visible", history.alias("history"), "prior", "first_ts", "irregular", "span_ok",
-            "z_len", (F.col("pos") + F.col("grown")).alias("i"),
+    keep = [c for c in part.df.columns if c not in POINT_COLUMNS]
+    looks = [
+        column
+        for h in windows
+        for column in (
+            *[sized(c, h, windows) for c in ("n_visible", "first_ts", "irregular", "span_ok", "z_len")],
+            (F.col("pos") + F.col(sized("grown", h, windows))).alias(sized("i", h, windows)),
         )
-    )
-
-
-def _visible() -> Column:
-    return F.slice("recent", -F.col("n_visible"), F.col("n_visible"))
+    ]
+    more = ["history"] if history else []
+    return part.with_df(df.select(*keep, *POINT_COLUMNS, "segment", "pos", "prior", *looks, *more))
 
 
-def _within(part: Part, cfg: ModelConfig) -> DataFrame:
+def _within(part: Part, cfg: ModelConfig, windows: tuple[int, ...], history: bool = False) -> DataFrame:
     """``events`` as far as one id or one chunk (with its ``halo``) can tell: counts start at the chunk."""
-    h, step, gap = cfg.window, cfg.sampling, cfg.gap_threshold
+    most, step, gap = max(windows), cfg.sampling, cfg.gap_threshold
     w = part.window()
-    ts = F.col("timestamp")
-    df = (
-        part.df.withColumn("rn", F.row_number().over(w))
-        .withColumn("previous", F.lag("timestamp").over(w))
-        .withColumn("recent", F.collect_list(F.struct(*POINT_COLUMNS)).over(w.rowsBetween(-h, 0)))
+    ts, point = F.col("timestamp"), F.struct(*POINT_COLUMNS)
+    df = part.df.withColumns(
+        {
+            "rn": F.row_number().over(w),
+            "previous": F.lag("timestamp").over(w),
+            "prior": F.lag(point).over(w),
+            "times": F.array(*[F.lag("timestamp", k).over(w) for k in range(most, 0, -1)], ts),
+        }
     )
+    if history:
+        df = df.withColumn("recent", F.collect_list(point).over(w.rowsBetween(-most, 0)))
     if part.chunked:  # only the first points of a chunk look back into its halo
-        first = F.col("rn") <= h
+        first, last = F.col("rn") == 1, F.get("halo", F.size("halo") - 1)
+        near = F.col("rn") <= most
+        earlier = F.transform("halo", lambda p: p["timestamp"])
         df = df.withColumns(
             {
-                "previous": F.coalesce(
-                    "previous", F.when(F.col("rn") == 1, F.get("halo", F.size("halo") - 1)["timestamp"])
-                ),
-                "recent": F.when(first, F.concat("halo", "recent")).otherwise(F.col("recent")),
+                "previous": F.when(first, last["timestamp"]).otherwise(F.col("previous")),
+                "prior": F.when(first, last).otherwise(F.col("prior")),
+                "times": F.when(near, F.concat(earlier, F.slice("times", -F.col("rn"), F.col("rn")))).otherwise(F.col("times")),
             }
-        ).drop("halo")
+        )
+        if history:
+            df = df.withColumn("recent", F.when(near, F.concat("halo", "recent")).otherwise(F.col("recent")))
+        df = df.drop("halo")
     dt = ts - F.col("previous")
     df = df.withColumn("fresh", F.coalesce((dt > gap).cast("int"), F.lit(0)))
     running = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -230,40 +252,55 @@ def _within(part: Part, cfg: ModelConfig) -> DataFrame:
     known = F.col("pos")
     if part.chunked:
         known = known + F.when(F.col("segment") == 0, F.col("halo_open")).otherwise(0)
-    df = df.withColumn("n_visible", F.least(F.lit(h + 1), known))
-    oldest = F.col("rn") - F.col("n_visible") + 1
+    df = df.withColumn("known", known).withColumn("prior", F.when(F.col("known") > 1, F.col("prior")))
+    named = {h: (lambda c, h=h: sized(c, h, windows)) for h in windows}
+    df = df.withColumns({named[h]("n_visible"): F.least(F.lit(h + 1), F.col("known")) for h in windows})
+    for h in windows:
+        df = _seen(df, h, named[h], cfg, part.chunked)
+    extra = {h: F.when(F.col(named[h]("irregular")), F.col(named[h]("z_len"))).otherwise(0) for h in windows}
+    df = df.withColumns({named[h]("extra"): v for h, v in extra.items()})
+    df = df.withColumns({named[h]("total"): F.sum(named[h]("extra")).over(running) for h in windows})
+    fresh = F.col("fresh") == 1
+    spent = {
+        h: F.max(F.when(fresh, F.col(named[h]("total")) - F.col(named[h]("extra")))).over(running) for h in windows
+    }
+    df = df.withColumns({named[h]("spent"): v for h, v in spent.items()})
+    df = df.withColumns(
+        {named[h]("grown"): F.col(named[h]("total")) - F.coalesce(named[h]("spent"), F.lit(0)) for h in windows}
+    )
+    if history:
+        n = F.least(F.lit(most + 1), F.col("known"))
+        df = df.withColumn("history", F.slice("recent", -n, n))
+    return df
+
+
+def _seen(df: DataFrame, h: int, named, cfg: ModelConfig, chunked: bool) -> DataFrame:
+    """What a window of ``h`` points sees at each row."""
+    ts, step = F.col("timestamp"), F.lit(float(cfg.sampling))
+    n = F.col(named("n_visible"))
+    oldest = F.col("rn") - n + 1
     irregular = F.coalesce(F.col("last_off") > oldest, F.lit(False))
     apart = ~F.coalesce(F.col("last_same") > oldest, F.lit(False))
-    visible = _visible()
-    times = visible["timestamp"]
-    distinct = F.size(F.array_distinct(times)) == F.col("n_visible")
-    if part.chunked:  # a history that starts in the halo is looked at point by point
+    times = F.slice("times", -n, n)
+    distinct = F.size(F.array_distinct(times)) == n
+    if chunked:  # a history that starts in the halo is looked at point by point
         steps = F.zip_with(F.slice(times, 2, h), F.slice(times, 1, F.size(times) - 1), lambda b, a: b - a)
-        irregular = F.when(oldest < 1, F.exists(steps, lambda d: d != step)).otherwise(irregular)
+        irregular = F.when(oldest < 1, F.exists(steps, lambda d: d != cfg.sampling)).otherwise(irregular)
         apart = F.when(oldest < 1, distinct).otherwise(apart)
     df = df.withColumns(
-        {
-            "prior": F.when(F.col("n_visible") > 1, F.get("recent", F.size("recent") - 2)),
-            "first_ts": F.get("recent", F.size("recent") - F.col("n_visible"))["timestamp"],
-            "irregular": irregular,
-        }
-    )
-    df = df.withColumn("span_ok", F.floor((ts - F.col("first_ts")) / F.lit(float(step))) + 1 > h)
+        {named("first_ts"): F.get("times", F.size("times") - n), named("irregular"): irregular}
+    ).withColumn(named("span_ok"), F.floor((ts - F.col(named("first_ts"))) / step) + 1 > h)
     if cfg.order == "arrival":
         span, apart = F.array_max(times) - F.array_min(times), distinct
     else:
-        span = ts - F.col("first_ts")
-    usable = (F.col("n_visible") >= 3) & apart
-    resampled = F.when(F.col("span_ok") & usable, F.floor(span / F.lit(float(step))) + 1).otherwise(0)
-    df = df.withColumn("z_len", F.when(F.col("irregular"), resampled).otherwise(F.col("n_visible")).cast("bigint"))
-    df = df.withColumn("extra", F.when(F.col("irregular"), F.col("z_len")).otherwise(0))
-    df = df.withColumn("total", F.sum("extra").over(running))
-    spent = F.max(F.when(F.col("fresh") == 1, F.col("total") - F.col("extra"))).over(running)
-    return df.withColumn("grown", F.col("total") - F.coalesce(spent, F.lit(0)))
-
-
-def event_parts(points: DataFrame, cfg: ModelConfig, **layout) -> list[Part]:
-    return [events(p, cfg) for p in track_parts(points, cfg.order, **layout)]
+        span = ts - F.col(named("first_ts"))
+    usable = F.col(named("span_ok")) & (n >= 3) & apart
+    resampled = F.when(usable, F.floor(span / step) + 1).otherwise(0)
+    return df.withColumn(named("z_len"), F.when(F.col(named("irregular")), resampled).otherwise(n).cast("bigint"))
+
+
+def event_parts(points: DataFrame, cfg: ModelConfig, history: bool = False, **layout) -> list[Part]:
+    return [events(p, cfg, history=history) for p in track_parts(points, cfg.order, **layout)]
 
 
 def union_parts(frames: list[DataFrame]) -> DataFrame:

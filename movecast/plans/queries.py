@@ -35,9 +35,9 @@ MICRO_BATCH = REGULAR.with_(variant="arima_ns", motion="derived")
 MICRO_BATCH_POINTS = 16
 ARRIVED = RAW.with_(variant="arima_gd", horizon=4, order="arrival")
 PUBLISHED = SCORED.with_(horizon=max(EVALUATED_HORIZONS))
-#: A layout in which every track of the given tables is hot: chunks of 16 points, rounds of two chunks.
+#: A layout in which every track of the given tables is hot: chunks of 16 points, pieces of 16 events, rounds of two pieces.
 HOT = {"hot_rows": 16, "chunk_rows": 16}
-HOT_ROUNDS = HOT | {"round_chunks": 2}
+HOT_ROUNDS = HOT | {"piece_rows": 16, "round_pieces": 2}
 SWEEP_CONFIGS = [
     REGULAR.with_(variant=v, window=h, train=p, lrate=r, horizon=4, config_id=f"{v}-{h}-{p}-{r}")
     for v in ("arma_gd", "arima_ns")

@@ -77,8 +77,41 @@ def test_hot_tracks_equal_cold_ones(spark, variant):
     points = made(spark, walk(seed=5, tracks=2, n=90) + walk(seed=6, tracks=5, n=12)[24:])
     want = run(points, cfg)
     for chunk in (2, 8):
-        assert_same(run(points, cfg, hot_rows=40, chunk_rows=chunk, round_chunks=4), want)
-    assert_same(run(points.drop("seq"), cfg, hot_rows=40, chunk_rows=8, round_chunks=4), want)
+        assert_same(run(points, cfg, hot_rows=40, chunk_rows=chunk, piece_rows=8, round_pieces=4), want)
+    assert_same(run(points.drop("seq"), cfg, hot_rows=40, chunk_rows=8, piece_rows=8, round_pieces=4), want)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [{"variant": "arma_gd"}, {"variant": "corr_arima_gd"}, {"variant": "arima_gd", "vector_init": "random"}, {"variant": "arma_gd", "lrate": 1e-3}, {"variant": "corr_arma_ns"}],
+)
+def test_layout_changes_no_bit(spark, change):
+    """Cold, hot in chunks of several sizes, few partitions, small batches: the very same rows."""
+    cfg = ModelConfig(**({"horizon": 3, "lrate": 1e-6} | change))
+    points = made(spark, walk(seed=21, tracks=3, n=100) + walk(seed=22, tracks=6, n=20)[60:])
+    rows = lambda **layout: sorted(repr(tuple(r)) for r in forecast(points, cfg, piece_rows=16, **layout).collect())
+    want = rows()
+    for layout in ({"hot_rows": 40, "chunk_rows": 8}, {"hot_rows": 1, "chunk_rows": 32, "round_pieces": 1}, {"hot_rows": 90, "chunk_rows": 2, "round_pieces": 3}):
+        assert rows(**layout) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+    try:
+        assert rows() == want == rows(hot_rows=10, chunk_rows=16, round_pieces=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sweep_over_window_sizes_is_one_pass(spark):
+    """All window sizes at once give the rows of single jobs, bit by bit, cold and hot."""
+    base = ModelConfig(horizon=2)
+    grid = sweep_grid(base, windows=((4, 3), (6, 2), (10, 9)), rates=(1e-6,), variants=("arma_gd", "arima_ns", "arima_gd"))
+    points = made(spark, walk(seed=23, tracks=3, n=70))
+    rows = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    want = sorted(r for c in grid for r in rows(forecast(points, c, piece_rows=16)))
+    once = sweep(points, grid, piece_rows=16)
+    assert rows(once) == want
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert rows(sweep(points, grid, piece_rows=16, hot_rows=20, chunk_rows=16)) == want
 
 
 def test_hot_random_start_and_sweep(spark):
@@ -98,13 +131,13 @@ def test_growing_maps_fall_back_to_rounds(spark, monkeypatch):
     cfg = ModelConfig(variant="arma_gd", horizon=2, lrate=1e-3)  # diverges on headings
     points = made(spark, walk(seed=2, tracks=1, n=80))
     used = []
-    relay = models._relay
-    monkeypatch.setattr(models, "_relay", lambda *a: used.append(1) or relay(*a))
-    got = run(points, cfg, hot_rows=10, chunk_rows=16, round_chunks=2)
+    relay = models._Run._relay
+    monkeypatch.setattr(models._Run, "_relay", lambda *a: used.append(1) or relay(*a))
+    got = run(points, cfg, hot_rows=10, chunk_rows=16, piece_rows=16, round_pieces=2)
     assert used
     assert_same(got, run(points, cfg))
     used.clear()
-    run(points, cfg.with_(lrate=1e-6), hot_rows=10, chunk_rows=16)
+    run(points, cfg.with_(lrate=1e-6), hot_rows=10, chunk_rows=16, piece_rows=16)
     assert not used
 
 
@@ -119,7 +152,7 @@ def test_weights_carry_over_stretches_without_training(spark):
         points = made(spark, rows)
         want = forecasts(rows, cfg)
         assert_same(run(points, cfg), want)
-        assert_same(run(points, cfg, hot_rows=5, chunk_rows=4, round_chunks=1), want)
+        assert_same(run(points, cfg, hot_rows=5, chunk_rows=4, piece_rows=4, round_pieces=1), want)
 
 
 def edge_rows():
@@ -153,7 +186,7 @@ def test_late_points_in_arrival_order(spark, variant):
     want = forecasts(rows, cfg)
     points = made(spark, rows).repartition(3)
     assert_same(run(points, cfg), want)
-    assert_same(run(points, cfg, hot_rows=10, chunk_rows=8, round_chunks=2), want)
+    assert_same(run(points, cfg, hot_rows=10, chunk_rows=8, piece_rows=8, round_pieces=2), want)
     with pytest.raises(ValueError):
         forecast(points.drop("seq"), cfg)
 

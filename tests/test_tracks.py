@@ -9,7 +9,7 @@ from brute import resampled
 
 from movecast.functions.sampling import spline_values
 from movecast.operators.legs import track_legs
-from movecast.operators.resample import resample
+from movecast.operators.resample import resample, tridiagonal
 from movecast.operators.tracks import track_diff, track_parts, track_positions, track_segments
 
 POINT = "id int, timestamp bigint, longitude double, latitude double, speed double, heading double, seq bigint"
@@ -92,6 +92,44 @@ def test_long_segment_over_many_small_chunks(spark):
     assert collected(resample(points, 2500, 50_000, hot_rows=100, chunk_rows=16)) == want
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 4, 64])
+def test_hot_segment_with_uneven_steps_is_exact(spark, chunk):
+    """Steps that differ by a factor of a million, chunks of single knots, a last chunk of one knot."""
+    rnd, rows, ts = random.Random(chunk), [], T0
+    for k in range(129):
+        rows.append((1, ts, rnd.uniform(-1, 1), rnd.uniform(-1, 1), 0.0, 0.0))
+        ts += rnd.choice((1, 1_000, 1_000_000))
+    rows += [(2, T0 + 1000 * k, 1.0, 2.0, 0.0, 0.0) for k in range(2)] + [(3, T0 + 5 * k, 1.0 * k * k, 2.0, 0.0, 0.0) for k in range(3)]
+    points = made(spark, rows)
+    want = {}
+    for key in (1, 3):
+        knots = [(r[1], r[2], r[3], 0.0, 0.0) for r in rows if r[0] == key]
+        want |= {(key, p[0]): p[1:3] for p in resampled(knots, 250_000)}
+    got = {(r.id, r.timestamp): (r.longitude, r.latitude) for r in resample(points, 250_000, 10**9, hot_rows=1, chunk_rows=chunk).collect()}
+    cold = {(r.id, r.timestamp): (r.longitude, r.latitude) for r in resample(points, 250_000, 10**9).collect()}
+    assert got.keys() == cold.keys() and len(got) > 100
+    for k, v in got.items():
+        assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for a, b in zip(v, cold[k], strict=True))
+    assert got.keys() == want.keys()
+    for k, v in got.items():
+        assert all(math.isclose(a, b, rel_tol=1e-6, abs_tol=1e-6) for a, b in zip(v, want[k], strict=True))
+
+
+def test_tridiagonal_systems_of_all_sizes():
+    rng = np.random.default_rng(1)
+    size = np.array([0, 1, 2, 5, 0, 40, 3])
+    begin = np.cumsum(size) - size
+    n = int(size.sum())
+    lower, upper = rng.uniform(0, 1e6, n), rng.uniform(0, 1, n)
+    diag, rhs = 2 * (lower + upper), rng.normal(size=(2, n))
+    got = tridiagonal(lower, diag, upper, rhs, begin, size)
+    for b, m in zip(begin, size, strict=True):
+        if m:
+            at = slice(b, b + m)
+            full = np.diag(diag[at]) + np.diag(lower[at][1:], -1) + np.diag(upper[at][:-1], 1)
+            assert np.allclose(got[:, at].T, np.linalg.solve(full, rhs[:, at].T), rtol=1e-10, atol=1e-18)
+
+
 def test_spline_equals_library(spark):
     """commons-math ships with Spark."""
     x = [0.0, 1.0, 3.0, 4.0]
