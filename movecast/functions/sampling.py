@@ -62,9 +62,9 @@ def sampled_levels(history: pa.ListArray, irregular: np.ndarray, window: int, st
     """``sample`` of histories that come as lists, each sorted by time."""
     offsets, ts, series = _columns(history)
     count = np.diff(offsets)
-    width = window + 1
+    width = max(window + 1, int(count.max(initial=0)))
     at = np.maximum(offsets[1:, None] - width + np.arange(width), 0)
-    return sample(ts[at], series[:, at].transpose(1, 0, 2), np.minimum(count, width), irregular, window, step)
+    return sample(ts[at], series[:, at].transpose(1, 0, 2), count, irregular, window, step)
 
 
 def in_time_order(ts: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,15 +76,16 @@ def in_time_order(ts: np.ndarray, series: np.ndarray) -> tuple[np.ndarray, np.nd
 def sample(ts, series, count, irregular, window: int, step: int, sort: bool = False):
     """Last ``window + 1`` samples of each event: (rows, 4, window + 1), their count and the time of the last one.
 
-    ``ts`` (rows, window + 1) and ``series`` (rows, 4, window + 1) hold the last ``count`` visible points at their end. Events with
+    ``ts`` (rows, points) and ``series`` (rows, 4, points), of ``window + 1`` points or more, hold the ``count`` visible ones at their
+    end; an event off the grid is resampled from all of them. Events with
     only ``window`` points on the grid leave the first slot unused; the count says so. ``sort``: points came in any order.
     """
-    width = window + 1
-    levels = series.copy()
+    width, points = window + 1, ts.shape[1]
+    levels = series[:, :, points - width :].copy()
     base_ts = ts[:, -1].copy()
     for n in np.unique(count[irregular]):
         rows = np.flatnonzero(irregular & (count == n))
-        knots, values = ts[rows, width - n :], series[rows][:, :, width - n :]
+        knots, values = ts[rows, points - n :], series[rows][:, :, points - n :]
         if sort:
             knots, values = in_time_order(knots, values)
         start = knots[:, 0]
@@ -97,7 +98,7 @@ def sample(ts, series, count, irregular, window: int, step: int, sort: bool = Fa
         levels[rows, :2] = found
         levels[rows, 2:] = 0.0
         base_ts[rows] = start + last * step
-    return levels, np.where(irregular, width, count), base_ts
+    return levels, np.where(irregular, width, np.minimum(count, width)), base_ts
 
 
 def windows(levels: np.ndarray, count: np.ndarray, base_ts: np.ndarray, train: int, diff: bool) -> Windows:

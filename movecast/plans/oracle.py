@@ -61,6 +61,28 @@ def _unpivot(source: str, columns: dict[str, str], keep: str) -> str:
     )
 
 
+def batch_events_sql(cfg: ModelConfig, batch: int) -> str:
+    """CTEs from ``ev`` to ``be``: the last point of every batch sees all points of the batch and the last ones before it.
+
+    A resampled history sets the step counter to its length; any other batch raises it by one.
+    """
+    h, s = cfg.window, cfg.sampling
+    along = "(partition by id order by pos)"
+    return f""",
+off as (select *, count(*) over (partition by id) n, coalesce(sum(cast(dt <> {s} as integer)) over {along}, 0) n_off,
+    (pos + {batch - 1}) // {batch} batch, greatest(1, ((pos - 1) // {batch}) * {batch} + 1 - {h}) first_pos from ev),
+seen as (select a.* exclude (n_visible, first_ts, lo, hi, irregular, span_ok, apart, z_len, i), a.pos - a.first_pos + 1 n_visible,
+    b."timestamp" lo, a.n_off <> b.n_off irregular,
+    floor((a."timestamp" - b."timestamp")/{s}::double) + 1 steps,
+    (select count(distinct c."timestamp") from off c where c.id = a.id and c.pos between a.first_pos and a.pos) apart
+  from off a join off b on a.id = b.id and b.pos = a.first_pos where a.pos % {batch} = 0 or a.pos = a.n),
+zb as (select *, cast(case when not irregular then n_visible when steps > {h} and n_visible >= 3 and apart = n_visible
+    then steps else 0 end as bigint) z_len from seen),
+be as (select *, cast(case when irregular and z_len > 0 then z_len else batch
+    + coalesce(last_value(case when irregular and z_len > 0 then z_len - batch end ignore nulls)
+      over (partition by id order by pos rows between unbounded preceding and 1 preceding), 0) end as bigint) i from zb)"""
+
+
 def windows_sql(source: str, cfg: ModelConfig, batch: int = 0) -> str:
     """CTEs up to ``win``: per trainable event and attribute the series v1..vh, levels l1..lp and the observed value.
 
@@ -108,8 +130,9 @@ win as (select id, segment, {t} t, "timestamp" origin, "timestamp" base_ts, {i}
         )
 
     wide = ", ".join(f"{zero_or('lon', k)} o{k}, {zero_or('lat', k)} a{k}" for k in samples)
-    return f"""{events_sql(source, cfg)},
-tr as (select * from ev where z_len >= {h} and irregular),
+    ev = "be" if batch else "ev"
+    return f"""{events_sql(source, cfg)}{batch_events_sql(cfg, batch) if batch else ""},
+tr as (select * from {ev} where z_len >= {h} and irregular),
 kn as (select a.id, a.segment, a.pos, row_number() over (partition by a.id, a.segment, a.pos order by b."timestamp") k,
     a.n_visible n, cast(b."timestamp" - a.lo as double) x, b.longitude lon, b.latitude lat
   from tr a join ev b on a.id = b.id and a.segment = b.segment and b.pos between a.pos - a.n_visible + 1 and a.pos),
@@ -286,11 +309,11 @@ legs as (select id, "timestamp", "timestamp" - t0 dt_ms, {haversine("lat0", "lon
     {bearing("lat0", "lon0", "latitude", "longitude")} bearing_deg from pr where t0 is not null)"""
 
 
-def derived_sql(cfg: ModelConfig, batch: int = 0) -> str:
+def derived_sql(cfg: ModelConfig, batch: int = 0, source: str = "reg") -> str:
     """Forecasts with speed and heading from consecutive forecast positions."""
     along = "over (partition by id, segment, origin_timestamp order by step)"
     lat0, lon0, t0 = (f"lag({c}) {along}" for c in ("latitude", "longitude", '"timestamp"'))
-    return f"""with recursive {forecast_cte("reg", cfg, batch)},
+    return f"""with recursive {forecast_cte(source, cfg, batch)},
 pv as (select *, {lat0} lat0, {lon0} lon0, {t0} t0 from fc),
 mv as (select * exclude (speed, heading, error), case when step = 0 then speed else 3600000.0::double
       * {haversine("lat0", "lon0", "latitude", "longitude")} / (1852.0::double * ("timestamp" - t0)) end speed,
@@ -318,7 +341,7 @@ def label(cfg: ModelConfig, rate: str) -> str:
 
 def sql() -> dict[str, str]:
     from ..operators.evaluate import EVALUATED_HORIZONS
-    from .queries import ARRIVED, DERIVED, MICRO_BATCH, MICRO_BATCH_POINTS, PUBLISHED, PUBLISHED_GRID, RATE_TEXT, SCORED, SWEEP_CONFIGS, forecast_config
+    from .queries import ARRIVED, DERIVED, MICRO_BATCH_POINTS, MICRO_BATCHES, PUBLISHED, PUBLISHED_GRID, RATE_TEXT, SCORED, SWEEP_CONFIGS, forecast_config
 
     out: dict[str, str] = {}
     text = "concat_ws(',', user_id, epoch_us(ts)//1000, value, value + 1, value * 2, event_id % 360)"
@@ -420,7 +443,9 @@ select id, segment, "timestamp",
         out[f"forecast_{variant}_irregular"] = forecast_sql("raw", forecast_config(variant, irregular=True))
     out["forecast_wide_window"] = forecast_sql("reg", forecast_config("arima_ns").with_(window=6, train=3))
     out["forecast_derived_motion"] = derived_sql(DERIVED)
-    out["stream_micro_batch"] = derived_sql(MICRO_BATCH, MICRO_BATCH_POINTS)
+    for name, cfg in MICRO_BATCHES.items():
+        irregular = name.endswith("_irregular")
+        out[name] = derived_sql(cfg, MICRO_BATCH_POINTS, "raw" if irregular else "reg")
     out["forecast_arrival"] = forecast_sql("raw", ARRIVED)
     scored = f"{forecast_cte('reg', SCORED)}, {_actuals_join()}"
     run = label(SCORED, RATE_TEXT)

@@ -20,7 +20,7 @@ from ..operators.forecast import fit_weights, forecast, init_weights, one_step_b
 from ..operators.legs import track_legs
 from ..operators.resample import resample
 from ..operators.sweep import SWEEP_HORIZON, SWEEP_RATES, sweep, sweep_grid
-from ..operators.tracks import scratch_path, track_diff, track_history, track_positions, track_segments
+from ..operators.tracks import ENDLESS, scratch_path, track_diff, track_history, track_positions, track_segments
 from ..schema import ACCURACY, FORECAST_COLUMNS, POINT
 from ..sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
 from ..sources.sinks import stream_forecasts_to, write_accuracy, write_forecasts
@@ -31,8 +31,15 @@ SCORED = REGULAR.with_(variant="corr_arma_gd", path="events.csv")
 RATE_TEXT = "10E-6"  # the learning rate of SCORED as the label shows it
 DERIVED = REGULAR.with_(variant="arima_gd", motion="derived")
 #: Micro-batch jobs take one step for each batch of so many points of a track.
-MICRO_BATCH = REGULAR.with_(variant="arima_ns", motion="derived")
 MICRO_BATCH_POINTS = 16
+MICRO_BATCHES = {
+    "stream_micro_batch": REGULAR.with_(variant="arima_ns", motion="derived"),
+    "stream_micro_batch_arma_gd": REGULAR.with_(variant="arma_gd", motion="derived"),
+    "stream_micro_batch_arma_ns": REGULAR.with_(variant="arma_ns", motion="derived"),
+    "stream_micro_batch_arima_gd": REGULAR.with_(variant="arima_gd", motion="derived"),
+    # Off the grid a batch sets the step counter to the length of its resampled history. Gaps do not matter to these jobs.
+    "stream_micro_batch_arima_gd_irregular": RAW.with_(variant="arima_gd", horizon=4, motion="derived", gap_threshold=ENDLESS),
+}
 ARRIVED = RAW.with_(variant="arima_gd", horizon=4, order="arrival")
 PUBLISHED = SCORED.with_(horizon=max(EVALUATED_HORIZONS))
 #: A layout in which every track of the given tables is hot: chunks of 16 points, pieces of 16 events, rounds of two pieces.
@@ -257,19 +264,23 @@ def _arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forecast_out(forecast(points, ARRIVED))
 
 
-def _micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _micro_batches(cfg: ModelConfig, irregular: bool = False) -> Query:
     """A folder grows by some points of every track at a time; the stream goes on from its checkpoint and takes them."""
-    staged, source, out, state = (scratch_path(spark, n) for n in ("staged", "points", "forecasts", "state"))
-    points = track_positions(traj_regular(spark, sf_dir))
-    batch = ((F.col("pos") - 1) / MICRO_BATCH_POINTS).cast("int")
-    points.withColumn("batch", batch).drop("pos").repartition("batch", "id").write.partitionBy("batch").parquet(staged)
-    schema = points.drop("pos").schema
-    last = spark.read.schema("batch int").parquet(staged).agg(F.max("batch")).first()[0]
-    for number in range(0 if last is None else last + 1):
-        spark.read.schema(schema).parquet(f"{staged}/batch={number}").write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).parquet(source)
-        stream_forecasts_to(forecast_stream(stream, MICRO_BATCH), out, state, trigger=None).awaitTermination()
-    return _forecast_out(read_forecasts(spark, out).select(*FORECAST_COLUMNS))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        staged, source, out, state = (scratch_path(spark, n) for n in ("staged", "points", "forecasts", "state"))
+        points = track_positions(traj_raw(spark, sf_dir) if irregular else traj_regular(spark, sf_dir))
+        batch = ((F.col("pos") - 1) / MICRO_BATCH_POINTS).cast("int")
+        points.withColumn("batch", batch).drop("pos").repartition("batch", "id").write.partitionBy("batch").parquet(staged)
+        schema = points.drop("pos").schema
+        last = spark.read.schema("batch int").parquet(staged).agg(F.max("batch")).first()[0]
+        for number in range(0 if last is None else last + 1):
+            spark.read.schema(schema).parquet(f"{staged}/batch={number}").write.mode("append").parquet(source)
+            stream = spark.readStream.schema(schema).parquet(source)
+            stream_forecasts_to(forecast_stream(stream, cfg), out, state, trigger=None).awaitTermination()
+        return _forecast_out(read_forecasts(spark, out).select(*FORECAST_COLUMNS))
+
+    return query
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +323,7 @@ def queries() -> dict[str, Query]:
         "forecast_wide_window": _forecast(forecast_config("arima_ns").with_(window=6, train=3)),
         "forecast_derived_motion": _forecast(DERIVED),
         "forecast_arrival": _arrival,
-        "stream_micro_batch": _micro_batches,
+        **{name: _micro_batches(cfg, name.endswith("_irregular")) for name, cfg in MICRO_BATCHES.items()},
         "settings_label": _labels,
         "accuracy": _accuracy(),
         "horizon_accuracy": _accuracy(3),

@@ -203,4 +203,6 @@ def forecast_stream(
         .groupBy("id")
         .applyInPandasWithState(update, model_schema("forecast", False), _STATE, "append", timeout)
     )
-    return forecast_rows(runs, [cfg])
+    # pandas hands NaN on as null; a forecast that is not a number is flagged.
+    whole = {a: F.coalesce(a, F.lit(float("nan"))) for a in ATTRIBUTES} | {"error": F.coalesce("error", F.lit(True))}
+    return forecast_rows(runs, [cfg]).withColumns(whole)
