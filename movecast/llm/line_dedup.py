@@ -1,18 +1,21 @@
-"""Line dedup: repeated runs of lines, or content-defined chunks of lines.
+"""Line dedup by content-defined chunks of lines.
 
-``without_repeated_runs``: two adjacent lines that stand more than once in the table are kept where they come first (smallest
-doc_id, then place) and both removed elsewhere, so of every run of two lines or more that stands earlier no line is left. The
-bytes of both are compared with those of the first. Two lines that overlap their own first (a line three times in a row) are not
-removed for it. Single repeated lines stay, and so do two lines without any character but white space.
+A rolling hash over the hashes of two lines decides where chunks end: after a line where it is smaller than at the lines beside it. So a
+chunk has two lines or more (but at the ends of a text), a line put in or taken out changes the chunks beside it only, and a
+passage of several lines has the same chunks wherever it stands.
 
-``without_repeats`` sees less: it takes whole chunks only, as follows.
+``without_repeats`` takes out chunks: one of two lines or more that stands more than once in the table is kept where it comes
+first (smallest doc_id, then place) and removed elsewhere, after its bytes were compared with those of the first.
 
-A rolling hash over the hashes of three lines decides where a chunk ends (one place in four), so a line put in or taken out
-changes the chunks beside it only, and a passage of several lines has the same chunks wherever it stands. A chunk of two lines or
-more that stands more than once in the table is kept where it comes first (smallest doc_id, then place) and removed elsewhere,
-after its bytes were compared with those of the first. Single-line chunks and blank ones stay.
+``without_repeated_runs`` (the registered query) begins with the same chunks and goes on line by line: a repeated run may begin
+or end inside a chunk, or be shorter than one. All pairs of adjacent lines that are not inside a removed chunk are matched with
+where they stand first, their bytes compared, and both lines go where they stand again. So of every run of two lines or
+more that stands earlier no line is left. Pairs inside removed chunks are not looked at again: none of them can be the first of its
+kind, since the chunk's own first comes before. Two lines that overlap their own first (a line three times in a row) are not
+removed for it. Single repeated lines stay, and so do two lines without any character but white space.
 
-Only chunks whose hash may be repeated are shuffled with their bytes; a bit table of fixed size tells. DataFrame functions only.
+Only chunks and pairs whose hash may be repeated are shuffled with their bytes; a bit table of fixed size tells (it passes all where
+a corpus has many more repeated hashes than its 2**23 bits; results are the same). DataFrame functions only.
 
 A null text stays null; an empty one stays. A null doc_id comes after all others. Repeated rows with one doc_id and text keep
 one copy's chunks each where nothing smaller has them: equal documents with equal ids are one document. All columns are kept. An
@@ -28,9 +31,6 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Lines that a boundary looks at, and how many places one boundary is found in.
-WINDOW = 3
-ONE_IN = 4
 LEAST_LINES = 2
 #: The bit table has 2**WORD_BITS longs, 64 bits each.
 WORD_BITS = 17
@@ -40,14 +40,19 @@ LAST = 2**63 - 1
 def with_chunks(df: DataFrame, text: Column) -> DataFrame:
     """``df`` with ``chunks``, those of the text in order: structs (lines, n), whose lines joined by line feeds give it again.
 
-    A boundary follows line i if the hash of lines i - 2 to i says so; before the first lines stand none. Each step is a column
-    of its own, as a lambda would work out again, for each line, whatever expression it looks into. (So would the filter that
-    Spark puts below a plain explode; hence the outer one where chunks become rows. A text always has a chunk.)
+    A boundary follows line i if the hash of lines i - 1 and i is smaller than those of the lines before and after; the first line has
+    none. Each step is a column of its own, as a lambda would work out again, for each line, whatever expression it looks into. (So
+    would the filter that Spark puts below a plain explode; hence the outer one where chunks become rows. A text always has a chunk.)
     """
     lines = df.withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
-    hashed = lines.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(x)))
-    before = [lambda i, k=k: F.get("_hashes", i - k) for k in range(1, WINDOW)]
-    cut = F.transform("_hashes", lambda h, i: F.when((F.pmod(F.xxhash64(h, *[f(i) for f in before]), F.lit(ONE_IN)) == 0) | (i == F.size("_hashes") - 1), i))
+    hashed = lines.withColumn("_line", F.transform("_lines", lambda x: F.xxhash64(x)))
+    hashed = hashed.withColumn("_hashes", F.transform("_line", lambda h, i: F.when(i > 0, F.xxhash64(h, F.get("_line", i - 1)))))
+
+    def lowest(h: Column, i: Column) -> Column:
+        before, after = F.get("_hashes", i - 1), F.get("_hashes", i + 1)
+        return h.isNotNull() & (before.isNull() | (h < before)) & (after.isNull() | (h <= after))
+
+    cut = F.transform("_hashes", lambda h, i: F.when(lowest(h, i) | (i == F.size("_hashes") - 1), i))
     ended = hashed.withColumn("_ends", F.filter(cut, lambda i: i.isNotNull()))
     spans = F.transform("_ends", lambda end, k: F.struct((F.coalesce(F.get("_ends", k - 1), F.lit(-1)) + 1).alias("start"), end.alias("end")))
     spanned = ended.withColumn("_spans", spans)
@@ -56,17 +61,24 @@ def with_chunks(df: DataFrame, text: Column) -> DataFrame:
         lambda s: F.struct(
             F.array_join(F.slice("_lines", s["start"] + 1, s["end"] - s["start"] + 1), "\n").alias("lines"),
             (s["end"] - s["start"] + 1).alias("n"),
+            s["start"].alias("start"),
         ),
     )
-    return spanned.withColumn("chunks", made).drop("_lines", "_hashes", "_ends", "_spans")
+    return spanned.withColumn("chunks", made).drop("_lines", "_line", "_hashes", "_ends", "_spans")
+
+
+def _rank() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("rank")
+
+
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text", F.isnull("doc_id")).alias("key")
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    key = F.xxhash64("doc_id", "text", F.isnull("doc_id"))
-    keyed = docs.select(rank.alias("rank"), key.alias("key"), "text")
+    keyed = docs.select(_rank(), _key(), "text")
     rows = with_chunks(keyed, F.col("text")).select("rank", "key", F.posexplode_outer("chunks").alias("at", "chunk"))
-    rows = rows.select("rank", "key", "at", F.col("chunk.lines").alias("lines"), F.col("chunk.n").alias("n"), F.xxhash64("chunk.lines").alias("h"))
+    rows = rows.select("rank", "key", "at", "chunk.lines", "chunk.n", "chunk.start", F.xxhash64("chunk.lines").alias("h"))
     return rows.where((F.col("n") >= LEAST_LINES) & F.col("lines").rlike(r"\S"))
 
 
@@ -87,31 +99,69 @@ def _passing(rows: DataFrame, table: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(table), "word").where(F.expr("getbit(bits, bit)") == 1).drop("word", "bit", "bits")
 
 
-def _line_pairs(docs: DataFrame) -> DataFrame:
-    """(rank, key, at, lines, h) of each line but the first of a text, together with the one before it."""
-    rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
-    key = F.xxhash64("doc_id", "text", F.isnull("doc_id"))
-    split = docs.select(rank.alias("rank"), key.alias("key"), F.split(F.coalesce("text", F.lit("")), "\n").alias("_lines"))
-    pairs = F.transform("_lines", lambda x, i: F.when(i > 0, F.concat(F.get("_lines", i - 1), F.lit("\n"), x)))
-    rows = split.select("rank", "key", F.posexplode_outer(pairs).alias("at", "lines")).where(F.col("lines").rlike(r"\S"))
-    return rows.select("rank", "key", "at", "lines", F.xxhash64("lines").alias("h"))
+def _told(docs: DataFrame, lost: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, key) of the documents that are not in ``lost`` (key), and of those that may be: the first do not meet any others."""
+    table = durable(_bit_table(lost.select(F.xxhash64("key").alias("h"))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    seen = docs.select(row, _key()).withColumn("h", F.xxhash64("key"))
+    word, bit = _bit(F.col("h"))
+    told = seen.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word", "left")
+    hit = F.coalesce(F.expr("getbit(bits, bit)") == 1, F.lit(False))
+    return told.where(~hit).select("row", "key"), told.where(hit).select("row", "key")
+
+
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n").alias("_lines")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(rank, key, ats): the numbers of the chunks that each document loses."""
-    return _repeated(_exploded(docs))
+def _pair(i: Column) -> Column:
+    """Line i and the one before it."""
+    return F.concat(F.get("_lines", i - 1), F.lit("\n"), F.get("_lines", i))
 
 
-def repeated_pairs(docs: DataFrame) -> DataFrame:
+def _between(places: str, end: Column) -> Column:
+    """What stands between sorted places, from 1 up to ``end`` (exclusive)."""
+    bounds = F.concat(F.array(F.lit(0)), places)
+    after = F.concat(places, F.array(end))
+    some = F.transform(bounds, lambda a, k: F.when(F.get(after, k) > a + 1, F.sequence(a + 1, F.get(after, k) - 1)))
+    return F.flatten(F.filter(some, lambda x: x.isNotNull()))
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
     """(rank, key, ats): the second lines of the pairs of lines that each document loses."""
-    return _repeated(_line_pairs(docs), overlap=True)
+    docs = docs.select("doc_id", "text")
+    removed = durable(repeated_chunks(docs))
+    whole, hits = _told(docs, removed)
+    hits = hits.join(removed.drop("rank"), "key", "left").select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "spans")
+    # Pairs inside removed chunks, but blank ones; then all others, which go on line by line.
+    spans = F.sort_array(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    inside = hits.select(_rank(), _key(), _lines(F.col("text")), spans.alias("spans"))
+    inside = inside.withColumn("_inside", F.flatten(F.transform("spans", lambda s: F.sequence(s["start"] + 1, s["end"]))))
+    inside = inside.withColumn("_ats", F.filter("_inside", lambda i: _pair(i).rlike(r"\S")))
+    rest = inside.select("rank", "key", "_lines", _between("_inside", F.size("_lines")).alias("_ats"))
+    every = whole.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).select(_rank(), _key(), _lines(F.col("text")))
+    n = F.size("_lines") - 1
+    every = every.withColumn("_ats", F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
+    pairs = every.unionByName(rest)
+    pairs = pairs.withColumn("_pairs", F.transform("_ats", lambda i: F.struct(i.alias("at"), _pair(i).alias("lines"))))
+    rows = pairs.select("rank", "key", F.explode_outer("_pairs").alias("p")).select("rank", "key", "p.at", "p.lines").where(F.col("lines").rlike(r"\S"))
+    found = _repeated(rows.withColumn("h", F.xxhash64("lines")), overlap=True).groupBy("rank", "key").agg(F.collect_set("at").alias("ats"))
+    lost = inside.where(F.size("_ats") > 0).select("rank", "key", F.col("_ats").alias("ats")).distinct().unionByName(found)
+    return lost.groupBy("rank", "key").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
+
+
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(rank, key, ats, spans): the numbers of the chunks that each document loses, and their first and last lines."""
+    span = F.struct("start", (F.col("start") + F.col("n") - 1).alias("end"))
+    return _repeated(_exploded(docs)).groupBy("rank", "key").agg(F.collect_set("at").alias("ats"), F.collect_set(span).alias("spans"))
 
 
 def _repeated(found: DataFrame, overlap: bool = False) -> DataFrame:
+    """Rows of ``found`` (rank, key, at, lines, h and others) whose lines stand in an earlier one."""
     place = F.struct("rank", "key", "at")
     counted = found.groupBy("h").agg(F.count("*").alias("count"), F.min(place).alias("first")).where("count > 1")
     repeated = durable(counted.select("h", "first"))
-    shared = _passing(found.select("rank", "key", "at", "lines", "h"), durable(_bit_table(repeated)))
+    shared = _passing(found, durable(_bit_table(repeated)))
     first = F.col("f.first")
     same = (F.col("c.rank") == first["rank"]) & (F.col("c.key") == first["key"])
     is_first = same & (F.col("c.at") == first["at"])
@@ -120,20 +170,14 @@ def _repeated(found: DataFrame, overlap: bool = False) -> DataFrame:
     others = shared.alias("c").join(firsts.alias("f"), "h").where(~is_first & (F.col("lines") == F.col("original")))
     if overlap:
         others = others.where(~(same & (F.col("c.at") == first["at"] + 1)))
-    return others.groupBy("rank", "key").agg(F.collect_set("at").alias("ats"))
+    return others.select("c.*")
 
 
 def _taken_out(docs: DataFrame, repeated: DataFrame, cut: Callable[[DataFrame, Column], tuple[DataFrame, Column, Column]], count: str | None) -> DataFrame:
     """``docs`` without what ``repeated`` (rank, key, ats) names. ``cut`` gives rows, kept parts and number of lines taken out."""
     columns = docs.columns
     lost = durable(repeated)
-    table = durable(_bit_table(lost.select(F.xxhash64("key").alias("h"))))
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    key = F.xxhash64("doc_id", "text", F.isnull("doc_id"))
-    seen = docs.select(row.alias("row"), key.alias("key"), F.xxhash64(key).alias("h"))
-    word, bit = _bit(F.col("h"))
-    told = seen.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word", "left")
-    hit = F.coalesce(F.expr("getbit(bits, bit)") == 1, F.lit(False))
+    whole, hits = _told(docs, lost)
     text = F.col("row.text")
     rest = [F.col(f"row.`{c}`").alias(c) for c in columns if c != "text"]
 
@@ -141,11 +185,9 @@ def _taken_out(docs: DataFrame, repeated: DataFrame, cut: Callable[[DataFrame, C
         out = df.select(*rest, new.alias("text"), *([taken.cast("long").alias(count)] if count else []))
         return out.select(*[F.col(f"`{c}`") for c in columns], *([F.col(f"`{count}`")] if count else []))
 
-    whole = shaped(told.where(~hit), text, F.lit(0))
-    hits = told.where(hit).select("row", "key").join(lost.select("key", "ats"), "key", "left")
-    parts, kept, taken = cut(hits, text)
+    parts, kept, taken = cut(hits.join(lost.select("key", "ats"), "key", "left"), text)
     changed = shaped(parts, F.when(F.col("ats").isNull(), text).otherwise(F.array_join(kept, "\n")), taken)
-    return whole.unionByName(changed)
+    return shaped(whole, text, F.lit(0)).unionByName(changed)
 
 
 def without_repeats(docs: DataFrame, count: str | None = None) -> DataFrame:
@@ -175,7 +217,7 @@ def without_repeated_runs(docs: DataFrame, count: str | None = None) -> DataFram
         kept = split.withColumn("_kept", F.flatten(between))
         return kept, F.col("_kept"), F.size("_lines") - F.size("_kept")
 
-    return _taken_out(docs, repeated_pairs(docs), cut, count)
+    return _taken_out(docs, repeated_runs(docs), cut, count)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:

@@ -62,10 +62,12 @@ def everything(spark, docs, sf_dir):
         "op6": license_scan.license_digest(docs),
         "op7": chosen_path_join.classes(docs),
         "op8": ring_shards.shard_digest(docs),
-        "op9": line_dedup.line_digest(docs),
+        "op9": line_dedup.run_digest(docs),
+        "op9 chunks": line_dedup.line_digest(docs),
         "op10": secret_ledger.secret_digest(docs),
         "good": ordinal_quality.select_good(docs, labels),
-        "lines": line_dedup.without_repeats(docs),
+        "lines": line_dedup.without_repeated_runs(docs),
+        "chunks": line_dedup.without_repeats(docs),
         "one": chosen_path_join.keep_one(docs),
         "clean": simhash_decontamination.decontaminate(docs, items),
     }
@@ -80,7 +82,7 @@ def test_odd_rows(spark, odd, docs, sf_dir):
     for name, df in everything(spark, odd, sf_dir).items():
         n = len(df.collect())
         assert n == 8 if name not in ("op2", "good", "one") else n <= 8, name
-        if name in ("good", "lines", "one", "clean"):
+        if name in ("good", "lines", "chunks", "one", "clean"):
             assert df.columns == docs.columns
 
 
@@ -252,6 +254,31 @@ def test_repeated_runs_of_lines(spark, docs):
     assert [got[10**6 + i].n_removed for i in range(9)] == [0, 2, 0, 0, 0, 0, 0, 3, 2]
 
 
+def test_registered_line_dedup_goes_by_chunks(spark, docs, monkeypatch):
+    """Repeated passages of many lines go as chunks; only what stands beside them is matched line by line."""
+    passage = "\n".join(f"line {k} of the passage" for k in range(60))
+    rows = [(i, f"own {i}\nown {i} again\n{passage}\nend {i}") for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen = []
+    repeated = line_dedup._repeated
+    monkeypatch.setattr(line_dedup, "_repeated", lambda found, overlap=False: seen.append(found.count()) or repeated(found, overlap))
+    got = {r.doc_id: r.n_removed for r in line_dedup.run_digest(table).collect()}
+    assert got == {0: 0, 1: 60, 2: 60, 3: 60, 4: 60}
+    chunks, pairs = seen
+    assert 50 < chunks < 150 and pairs < 62 + 4 * 35  # without chunks: 310 pairs
+
+
+def test_odd_rows_of_repeated_runs(spark):
+    run = "a\nb\nc\nd"
+    rows = [(None, run), (None, f"x\n{run}"), (7, run), (7, run), (7, None), (3, ""), (None, None), (9, f"{run}\n\n\n{run}")]
+    table = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], SCHEMA)
+    out = line_dedup.without_repeated_runs(table)
+    assert out.columns == table.columns
+    got = sorted((repr(r.doc_id), repr(r.text)) for r in out.collect())
+    want = [(None, ""), (None, "x"), (7, run), (7, run), (7, None), (3, ""), (None, None), (9, "\n")]
+    assert got == sorted((repr(i), repr(t)) for i, t in want)
+
+
 def test_blank_lines_stay(spark):
     rows = [(i, "\n".join([f"{i}{k}" if k % 9 == 0 else "\t"[: k % 2] for k in range(200)])) for i in range(2)]
     table = spark.createDataFrame(rows, "doc_id bigint, text string")

@@ -11,7 +11,8 @@ SQL = oracle.sql()
 @pytest.fixture(scope="module")
 def db(sf_dir):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
     return con
 
 
