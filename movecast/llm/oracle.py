@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chosen_path_join import LIKENESS, SHINGLE
-from .license_scan import LEAST_COVER, NEAR as DRIFT, PHRASES, TEMPLATES
+from .license_scan import DRIFT, LEAST_LIKENESS, LEAST_VOTES, PHRASES, TEMPLATES
 from .minmax_dedup import PERCENT, SHINGLE as NEAR_SHINGLE
 
 #: op4: every 50 words of every document, looked up in full.
@@ -27,15 +27,20 @@ from words left join lost using (doc_id)
 
 
 def licenses() -> str:
-    """op6: phrases by the words that follow each place, templates by the pairs on each diagonal."""
-    both = [(*t, True) for t in PHRASES] + [(*t, False) for t in TEMPLATES]
-    listed = ", ".join(f"({k}, '{label}', string_split('{text}', ' '), {base})" for k, (label, text, base) in enumerate(both))
+    """op6: phrases by the words that follow each place, templates by the words of the spans that neighbouring diagonals have."""
+
+    def rows(texts, base: bool, first: int) -> list[str]:
+        known = lambda text: ", ".join(f"'{w}'" for w in dict.fromkeys(text.split()))
+        return [f"({first + k}, '{label}', string_split('{text}', ' '), [{known(text)}], {base})" for k, (label, text) in enumerate(texts)]
+
+    listed = ", ".join(rows(PHRASES, True, 0) + rows(TEMPLATES, False, len(PHRASES)))
+    letters = "array_to_string(list_transform({0}, lambda x: chr(coalesce(nullif(list_position(known, x), 0), 127)::int)), '')"
     return rf"""
 with words as (
   select doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
   from documents
-), templates(template, label, t, base) as (values {listed}
+), templates(template, label, t, known, base) as (values {listed}
 ), along as (
   select doc_id, unnest(w) as a, unnest(range(len(w))) as place from words
 ), pairs as (
@@ -43,26 +48,29 @@ with words as (
 ), wanted as (
   select template, len(t) - 1 as n, unnest(range(len(t) - 1)) as q, unnest(t[1 : len(t) - 1]) as a, unnest(t[2 :]) as b from templates
 ), diagonals as (
-  select doc_id, template, n, place - q as diagonal, list(distinct q) as ats
+  select doc_id, template, n, place - q as diagonal, count(*) as votes, min(place) as lo, max(place) as hi
   from pairs join wanted using (a, b) group by doc_id, template, n, place - q
-), opened as (
-  select *, coalesce(diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) > {DRIFT}, true)::int as opens from diagonals
 ), bands as (
-  select *, sum(opens) over (partition by doc_id, template order by diagonal) as band from opened
-), merged as (
-  select doc_id, template, len(list_distinct(flatten(list(ats)))) / any_value(n)::double as cover from bands group by doc_id, template, band
+  select doc_id, template, n, sum(votes) over near as total, min(lo) over near as start, max(hi) over near + 2 as stop
+  from diagonals where template >= {len(PHRASES)}
+  window near as (partition by doc_id, template order by diagonal range between current row and {DRIFT} following)
+), spans as (
+  select distinct doc_id, template, start, stop from bands where total >= {LEAST_VOTES} * n
+), verified as (
+  select doc_id, label, greatest(0.0, 1 - levenshtein({letters.format("w[start + 1 : stop]")}, {letters.format("t")}) / len(t)::double) as likeness
+  from spans join words using (doc_id) join templates using (template)
 ), found as (
-  select doc_id, max(cover) as score, list(distinct label) filter (where not base and cover >= {LEAST_COVER}) as more
-  from merged join templates using (template) group by doc_id
+  select doc_id, max(likeness) as score, list(distinct label) filter (where likeness >= {LEAST_LIKENESS}) as more from verified group by doc_id
 ), places as (
-  select doc_id, label, diagonal from diagonals join templates using (template) where base and len(ats) = n
+  select doc_id, label, diagonal from diagonals join templates using (template) where base and votes = n
 ), phrases as (
   select doc_id, count(*) as n_base, min(diagonal) as first_word, max(diagonal) as last_word, list(distinct label) as own
   from places group by doc_id
 )
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
   last_word::bigint as last_word, coalesce(array_to_string(list_sort(own), ','), '') as base_labels,
-  coalesce(array_to_string(list_sort(list_distinct(list_concat(own, more))), ','), '') as labels, coalesce(score, 0.0)::double as score
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(own, more))), ','), '') as labels,
+  case when n_base > 0 then 1.0 else coalesce(score, 0.0) end::double as score
 from words left join found using (doc_id) left join phrases using (doc_id)
 """
 

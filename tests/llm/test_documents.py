@@ -196,6 +196,34 @@ def test_licenses(docs, texts):
             assert r.labels == "mit,unlicense"
 
 
+def edit_likeness(a, b):
+    """1 less the edit distance over words, over the length of ``b``."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return max(0.0, 1 - row[-1] / len(b))
+
+
+def test_license_spans_are_verified(spark):
+    """Words of a template that stand scattered or out of order give nothing; edited templates give their likeness."""
+    full, mit = (next(t.split() for k, t in license_scan.TEMPLATES if k == "mit" and (len(t.split()) > 63) == long) for long in (True, False))
+    before, after = [f"b{k}" for k in range(9)], [f"a{k}" for k in range(9)]
+    spread = [x for a, b in zip(mit, mit[1:]) for x in (a, b, "filler")]
+    halves = [*mit[10:], *mit[:10]]
+    changed, shorter, longer = [*mit[:7], "changed", *mit[8:]], [*mit[:5], *mit[8:]], [*mit[:6], "put", "in", *mit[6:]]
+    broken = [x for k, w in enumerate(full) for x in ((w, "x") if k % 23 == 22 else (w,))]
+    rows = [spread, mit, changed, shorter, longer, full, broken, "the public license of the town".split(), halves, mit + ["between"] * 40 + mit]
+    docs = spark.createDataFrame([(k, " ".join(before + r + after)) for k, r in enumerate(rows)], "doc_id int, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.license_digest(docs).collect()}
+    assert got[0] == ("", 0.0) and got[7] == ("", 0.0) and got[8][0] == "" and got[8][1] <= 0.5
+    assert got[1] == ("mit", 1.0) == got[5] == got[9]
+    for k in (2, 3, 4):
+        assert got[k][0] == "mit" and abs(got[k][1] - edit_likeness(rows[k], mit)) < 1e-12
+    assert got[6][0] == "mit" and got[6][1] >= 0.9
+
+
 def test_shards(docs, texts):
     shards = collections.defaultdict(list)
     for r in ring_shards.shard_digest(docs).collect():
