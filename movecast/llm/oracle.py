@@ -118,11 +118,11 @@ def secrets() -> str:
         ("assign", rf"({names}){quote}\x20*[:=]\x20*{quote}([A-Za-z0-9+/_.=-]+)", "length(g) >= 6"),
         ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
         ("hex", "[0-9a-f]+", "length(m) >= 24"),
-        ("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "true"),
+        ("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[^-]|-{1,4}[^-])*-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:[ \t\r\n]+[A-Za-z0-9+/=]{16,})*)", "true"),
         ("hub", r"\bgh[pousr]_[A-Za-z0-9]{36,}", "true"),
         ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
         ("slack", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "true"),
-        ("login", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@[^\s/@]+", "true"),
+        ("login", r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:[^\s:/@]{3,}@[^\s/@]+", "true"),
     ]
     each = " union all ".join(
         f"select doc_id, {rank} as rank, '{kind}' as kind, start, start + length(m) as stop from ("

@@ -16,11 +16,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import BitTable, durable
+
 Found = Iterator[tuple[int, int]]
 
 # The patterns of the base kinds.
@@ -28,11 +31,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # all of a run, as it begins at the run's first character
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+#: The whole key: up to the END line, or, where that is missing, as far as lines of base64 follow.
+PEM = re.compile(
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+    r"(?:(?:[^-]|-{1,4}[^-])*-----END (?:[A-Z]+ )*PRIVATE KEY-----|(?:[ \t\r\n]+[A-Za-z0-9+/=]{16,})*)"
+)
 HUB = re.compile(r"\bgh[pousr]_[A-Za-z0-9]{36,}")
 JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 SLACK = re.compile(r"\bxox[abprs]-[A-Za-z0-9-]{10,}")
-LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@[^\s/@]+")
+LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s:/@]+:[^\s:/@]{3,}@[^\s/@]+")
 
 
 def _assign(text: str) -> Found:
@@ -59,11 +66,11 @@ RULES: dict[str, tuple[int, Callable[[str], Found]]] = {
     "assign": (1, _assign),
     "access": (1, _access),
     "hex": (1, lambda text: (m.span() for m in HEX.finditer(text))),
-    "pem": (1, _pattern(PEM, "PRIVATE KEY-----")),
+    "pem": (2, _pattern(PEM, "PRIVATE KEY-----")),
     "hub": (1, _pattern(HUB, "gh")),
     "jwt": (1, _pattern(JWT, "eyJ")),
     "slack": (1, _pattern(SLACK, "xox")),
-    "login": (1, _pattern(LOGIN, "://")),
+    "login": (2, _pattern(LOGIN, "://")),
 }
 BASE = ("assign", "access", "hex")
 LEDGER = "blob binary, rules array<string>, findings array<struct<rule:string,start:int,end:int>>"
@@ -96,14 +103,28 @@ def blob_of(text) -> F.Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def unseen(versions: DataFrame, ledger: str, rules: dict = RULES) -> DataFrame:
+    """(blob, text, todo) of each blob for which the ledger lacks rules. The ledger is asked with the blobs' addresses alone; only texts
+    that have to be scanned are shuffled (a bit table of fixed size may let a few others pass up to the join)."""
+    spark = versions.sparkSession
+    done = read_ledger(spark, ledger).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    wanted = F.array(*[F.lit(r) for r in rule_names(rules)])
+    texts = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    if done.isEmpty():
+        return texts.dropDuplicates(["blob"]).withColumn("todo", wanted)
+    todo = F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")
+    asked = durable(texts.select("blob").distinct().join(done, "blob", "left").select("blob", todo).where(F.size("todo") > 0))
+    table = spark.sparkContext.broadcast(BitTable.of(asked.select(F.xxhash64("blob").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may_be(h):
+        return h.__class__(table.value.has(h.to_numpy().view(np.uint64)))
+
+    return texts.where(may_be(F.xxhash64("blob"))).join(asked, "blob").dropDuplicates(["blob"])
+
+
 def scan(versions: DataFrame, ledger: str, rules: dict = RULES) -> None:
     """Scan the blobs of ``versions`` (column text) with the rules that the ledger hasn't for them, and add what is found."""
-    spark = versions.sparkSession
-    wanted = rule_names(rules)
-    seen = read_ledger(spark, ledger).select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"])
-    todo = F.array_except(F.array(*[F.lit(r) for r in wanted]), F.coalesce("seen", F.array().cast("array<string>")))
-    unseen = blobs.join(seen, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
     by_name = {f"{kind}@{version}": find for kind, (version, find) in rules.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +138,7 @@ def scan(versions: DataFrame, ledger: str, rules: dict = RULES) -> None:
                 [batch.column("blob"), batch.column("todo"), pa.array(out, kind)], names=["blob", "rules", "findings"]
             )
 
-    unseen.mapInArrow(find, LEDGER).write.mode("append").parquet(ledger)
+    unseen(versions, ledger, rules).mapInArrow(find, LEDGER).write.mode("append").parquet(ledger)
 
 
 def findings(versions: DataFrame, ledger: str, rules: dict = RULES) -> DataFrame:

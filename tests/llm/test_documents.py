@@ -438,6 +438,31 @@ def test_secrets(docs, texts):
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
 
 
+def test_whole_keys_and_long_passwords(spark):
+    """Private keys go with their body, with or without an END line; passwords of any length are found."""
+    body = "\n".join("AbCd0123+/" * 6 for _ in range(25))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    cut = f"-----BEGIN PRIVATE KEY-----\n{body}"
+    login = "postgres://user:" + "p" * 65 + "@host"
+    texts = [f"a {key} b", f"a {cut}\nand so on", f"see {login} there", f"{key}\n{key}", "-----BEGIN PRIVATE KEY-----"]
+    want = [
+        {f"pem:2:{2 + len(key)}"}, {f"pem:2:{2 + len(cut)}"}, {f"login:4:{4 + len(login)}"},
+        {f"pem:0:{len(key)}", f"pem:{len(key) + 1}:{2 * len(key) + 1}"}, {"pem:0:27"},
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in secret_ledger.secret_digest(docs).collect():
+        assert want[r.doc_id] <= set(r.spans.split(",")), r
+
+
+def test_ledger_is_asked_before_texts_move(spark, docs):
+    ledger = secret_ledger.new_ledger(spark)
+    some = docs.where("doc_id < 100")
+    secret_ledger.scan(some, ledger)
+    assert secret_ledger.unseen(some, ledger).collect() == []
+    more = {r.text for r in secret_ledger.unseen(docs, ledger).collect()}
+    assert more == {r.text or "" for r in docs.collect()} - {r.text or "" for r in some.collect()}
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     ledger = secret_ledger.new_ledger(spark)
     some = docs.where("doc_id < 100")
