@@ -484,7 +484,7 @@ select actuals, '{label(PUBLISHED, RATE_TEXT)}' settings, horizon, {stats} from
     out["sink_roundtrip"] = forecast_sql("reg", forecast_config("corr_arma_gd"))
     out["stream_forecast"] = forecast_sql("reg", forecast_config("corr_arima_gd"))
     out["stream_forecast_irregular"] = out["forecast_arima_gd_irregular"]
-    out["accuracy_stored"] = out["accuracy"]
+    out["accuracy_stored"] = out["accuracy_bucketed"] = out["accuracy"]
     out["track_history_hot"] = (
         f'with {ev} select id, "timestamp", segment, n_visible, first_ts, irregular, span_ok, z_len, i from ev'
     )

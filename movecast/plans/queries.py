@@ -23,7 +23,7 @@ from ..operators.sweep import SWEEP_HORIZON, SWEEP_RATES, sweep, sweep_grid
 from ..operators.tracks import ENDLESS, scratch_path, track_diff, track_history, track_positions, track_segments
 from ..schema import ACCURACY, FORECAST_COLUMNS, POINT
 from ..sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
-from ..sources.sinks import stream_forecasts_to, write_accuracy, write_forecasts
+from ..sources.sinks import append_bucketed, stream_forecasts_to, write_accuracy, write_forecasts
 from ..streaming.forecast_stream import forecast_stream
 from .inputs import RAW, REGULAR, actuals, epoch_ms, traj_raw, traj_regular
 
@@ -52,6 +52,9 @@ SWEEP_CONFIGS = [
     for r in (1e-6, 1e-7)
 ]
 
+#: Buckets of the stored tables that meet without a shuffle.
+BUCKETS = 8
+
 #: The published grid over tracks whose coordinates ask for lower rates.
 PUBLISHED_GRID = sweep_grid(REGULAR.with_(horizon=SWEEP_HORIZON), rates=[r * 1e-4 for r in SWEEP_RATES])
 
@@ -244,6 +247,19 @@ def _stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(ACCURACY).parquet(scores).withColumn("dist_lon_lat", _r("dist_lon_lat", 4))
 
 
+def _bucketed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of forecasts and true positions that are stored in buckets by (id, timestamp): the join has no shuffle."""
+    stored = {}
+    made = {"forecasts": forecast(traj_regular(spark, sf_dir), SCORED), "actuals": actuals(spark, sf_dir)}
+    for kind, rows in made.items():
+        path = scratch_path(spark, f"bucketed-{kind}")
+        stored[kind] = (name := path.rpartition("/")[2].replace("-", "_"))
+        append_bucketed(rows, name, path, kind, BUCKETS)
+    label = settings_label(SCORED, F.col("horizon"))
+    scored = score(spark.table(stored["forecasts"]), spark.table(stored["actuals"]), label)
+    return scored.withColumn("dist_lon_lat", _r("dist_lon_lat", 4))
+
+
 def _stream(cfg: ModelConfig, irregular: bool = False) -> Query:
     """The points are replayed as a file stream; the drained result equals the batch job."""
 
@@ -334,6 +350,7 @@ def queries() -> dict[str, Query]:
         "sweep_published": _sweep(PUBLISHED_GRID),
         "sink_roundtrip": _sinks,
         "accuracy_stored": _stored_accuracy,
+        "accuracy_bucketed": _bucketed_accuracy,
         "stream_forecast": _stream(forecast_config("corr_arima_gd")),
         "stream_forecast_irregular": _stream(forecast_config("arima_gd", irregular=True), irregular=True),
         "track_history_hot": _history("n_visible", "first_ts", "irregular", "span_ok", "z_len", "i", **HOT),

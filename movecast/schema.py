@@ -56,3 +56,6 @@ ACCURACY = T.StructType(
         T.StructField("altitude", T.DoubleType()),
     ]
 )
+
+#: Stored tables by kind: their columns, and those that are folders.
+STORED = {"forecasts": (FORECAST, ("variant", "horizon")), "actuals": (T.StructType(POINT.fields[:4]), ())}

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import POINT
+from ..schema import POINT, STORED
 
 
 def decode_points(df: DataFrame, fields: int = 6, value: str = "value", seq: str | None = None) -> DataFrame:
@@ -40,21 +38,32 @@ def read_points_csv(spark: SparkSession, path: str) -> DataFrame:
 def stream_points_csv(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The same files as a stream: a folder that is replayed a few files per micro-batch.
 
-    ``seq`` numbers the lines of a micro-batch as they stand in their file, so late points stay late. With one file per
-    trigger that is the arrival order; lines of several files keep their order within each.
+    ``seq`` orders lines as they arrived, however many files come together: files by the time and name by which the source
+    takes them, then the lines as they stand in their file. It is text of fixed width (time, name, block, line), so it sorts as such.
     """
     reader = spark.readStream.schema(POINT).option("header", True).option("mode", "FAILFAST")
     lines = reader.option("maxFilesPerTrigger", files_per_trigger).csv(path)
+    file = F.concat_ws(
+        "|",
+        F.format_string("%019d", F.unix_micros("_metadata.file_modification_time")),
+        F.col("_metadata.file_path"),
+        F.format_string("%019d", F.col("_metadata.file_block_start")),
+    )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in POINT.fields)
-    return lines.mapInArrow(_numbered, f"{schema}, seq bigint")
+    return lines.select(*POINT.fieldNames(), file.alias("file")).mapInArrow(_numbered, f"{schema}, seq string")
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with their number, by task and place: the splits of a file go to tasks in their order."""
-    at = TaskContext.get().partitionId() << 33
+    """Rows with the number of their line within the block of their file; a task reads one block after the other."""
+    last, count = None, 0
     for batch in batches:
-        yield batch.append_column("seq", pa.array(np.arange(at, at + batch.num_rows)))
-        at += batch.num_rows
+        files = batch.column("file").to_pylist()
+        seq = []
+        for file in files:
+            count = count + 1 if file == last else 0
+            last = file
+            seq.append(f"{file}|{count:019d}")
+        yield batch.drop_columns(["file"]).append_column("seq", pa.array(seq, pa.string()))
 
 
 def read_points_kafka(
@@ -71,6 +80,25 @@ def read_points_kafka(
     return decode_points(reader.load(), fields, seq="offset")
 
 
+def stored_table(spark: SparkSession, name: str, path: str, kind: str, buckets: int) -> DataFrame:
+    """A stored table of forecasts or actuals whose rows lie in buckets by (id, timestamp), made where it is missing.
+
+    The definition goes to the session's catalog, the rows stay under ``path``; with the same ``buckets`` any later session finds
+    them there. Two such tables of as many buckets meet in ``score`` without a shuffle.
+    """
+    columns, parts = STORED[kind]
+    quoted = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.fields)
+    partitioned = f"PARTITIONED BY ({', '.join(parts)}) " if parts else ""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({quoted}) USING parquet {partitioned}"
+        f"CLUSTERED BY (id, timestamp) SORTED BY (id, timestamp) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if parts and folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
 def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
     """Stored forecasts, by column name; filters on variant and horizon prune folders."""
     return spark.read.parquet(path)

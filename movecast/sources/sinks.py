@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schema import ACCURACY
+from .points import stored_table
 
 
 def write_forecasts(forecasts: DataFrame, path: str) -> None:
@@ -13,6 +14,13 @@ def write_forecasts(forecasts: DataFrame, path: str) -> None:
     forecasts.write.mode("append").partitionBy("variant", "horizon").parquet(path)
 
 
+def append_bucketed(rows: DataFrame, name: str, path: str, kind: str, buckets: int) -> None:
+    """Append forecasts or actuals to a bucketed table (``stored_table``). Rows go to their bucket's task first, so that an append
+    writes one file per bucket and folder, whatever the number of tasks before."""
+    table = stored_table(rows.sparkSession, name, path, kind, buckets)
+    rows.select(*table.columns).repartition(buckets, "id", "timestamp").write.insertInto(name)
+
+
 def write_accuracy(
     scored: DataFrame, path: str | None = None, *, jdbc_url: str | None = None, table: str = "accuracy_metrics",
     options: dict[str, str] | None = None,

@@ -12,9 +12,10 @@ from movecast.operators.evaluate import (
     settings_label,
 )
 from movecast.operators.forecast import forecast
+from movecast.plans.inputs import traj_regular
 from movecast.schema import ACCURACY, FORECAST, FORECAST_COLUMNS, POINT
-from movecast.sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
-from movecast.sources.sinks import write_accuracy, write_forecasts
+from movecast.sources.points import decode_points, read_actuals, read_forecasts, read_points_csv, stored_table
+from movecast.sources.sinks import append_bucketed, write_accuracy, write_forecasts
 
 T0 = 1_700_000_000_000
 
@@ -99,3 +100,25 @@ def test_readers_and_writers_want_one_target(spark):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, sf_dir, tmp_path):
+    """Two appends to each table, found again under another name; the join reads buckets as they lie."""
+    cfg = ModelConfig(variant="corr_arma_gd", horizon=4, lrate=1e-6)
+    points = traj_regular(spark, sf_dir)
+    rows, true = forecast(points, cfg), points.select("id", "timestamp", "longitude", "latitude")
+    for part in ("id % 2 = 0", "id % 2 = 1"):
+        append_bucketed(rows.where(part), "some_forecasts", str(tmp_path / "f"), "forecasts", 4)
+        append_bucketed(true.where(part), "some_actuals", str(tmp_path / "a"), "actuals", 4)
+    again = stored_table(spark, "forecasts_again", str(tmp_path / "f"), "forecasts", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = score(again, spark.table("some_actuals"), "x", horizon=2)
+        plan = stored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and "PartitionFilters: [isnotnull(horizon" in plan
+        want = sorted(map(repr, score(rows, true, "x", horizon=2).collect()))
+        assert want and sorted(map(repr, stored.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("some_forecasts", "some_actuals", "forecasts_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -1,5 +1,6 @@
 """Streams give what the batch jobs give."""
 
+import os
 import random
 import time
 
@@ -149,3 +150,23 @@ def test_csv_stream_keeps_the_order_of_lines(spark, tmp_path):
     stream = forecast_stream(stream_points_csv(spark, str(tmp_path / "in")), cfg)
     assert stream_forecasts_to(stream, out, state, trigger=None).awaitTermination(120)
     assert_same(stored(spark, out), forecasts(late, cfg))
+
+
+def test_lines_of_several_files_keep_the_files_order(spark, tmp_path):
+    """Files that come together in one micro-batch, named against the order of their times; late points stay late."""
+    rows = walk(seed=31, tracks=2, n=30)
+    rows.sort(key=lambda r: r[1])
+    for k in (8, 23, 41):
+        rows[k], rows[k + 3] = rows[k + 3], rows[k]
+    cfg = ModelConfig(variant="arma_ns", horizon=2, lrate=1e-6, order="arrival")
+    (tmp_path / "in").mkdir()
+    for k in range(4):
+        lines = ["id,timestamp,longitude,latitude,speed,heading", *(",".join(map(repr, r)) for r in rows[15 * k : 15 * k + 15])]
+        file = tmp_path / "in" / f"{9 - k}.csv"
+        file.write_text("\n".join(lines) + "\n")
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+    for files in (1, 3, 10):
+        out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+        stream = forecast_stream(stream_points_csv(spark, str(tmp_path / "in"), files), cfg)
+        assert stream_forecasts_to(stream, out, state, trigger=None).awaitTermination(120)
+        assert_same(stored(spark, out), forecasts(rows, cfg))
