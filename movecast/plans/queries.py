@@ -52,6 +52,7 @@ SWEEP_CONFIGS = [
     for r in (1e-6, 1e-7)
 ]
 
+DAY = 86_400_000
 #: Buckets of the stored tables that meet without a shuffle.
 BUCKETS = 8
 
@@ -299,6 +300,27 @@ def _micro_batches(cfg: ModelConfig, irregular: bool = False) -> Query:
     return query
 
 
+def _reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points arrive up to four days late, some at a time, and are put in time order; a last, much later point of another object lets
+    the stream take what it still holds."""
+    staged, source, out, state = (scratch_path(spark, n) for n in ("staged", "points", "forecasts", "state"))
+    points = traj_raw(spark, sf_dir)
+    schema = points.schema
+    late = points.withColumn("arrival", F.col("timestamp") + F.col("seq") % 5 * DAY)
+    first, last = late.agg(F.min("arrival"), F.max("arrival")).first()
+    if first is not None:
+        batch = ((F.col("arrival") - first) / ((last - first) // 4 + 1)).cast("int")
+        late.withColumn("batch", batch).drop("arrival").repartition("batch").write.partitionBy("batch").parquet(staged)
+    end = spark.createDataFrame([(-1, (last or 0) + 100 * DAY, 0.0, 0.0, 0.0, 0.0, -1)], "id int, timestamp bigint, longitude double, latitude double, speed double, heading double, seq bigint")
+    for number in range(5):
+        arrived = end if number == 4 or first is None else spark.read.schema(schema).parquet(f"{staged}/batch={number}")
+        arrived.select(*schema.fieldNames()).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ordered = forecast_stream(stream, RAW.with_(variant="arima_gd", horizon=4), reorder_ms=5 * DAY)
+        stream_forecasts_to(ordered, out, state, trigger=None).awaitTermination()
+    return _forecast_out(read_forecasts(spark, out).select(*FORECAST_COLUMNS))
+
+
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "points-csv")
     traj_raw(spark, sf_dir).select(*POINT.fieldNames()).write.option("header", True).csv(path)
@@ -352,6 +374,7 @@ def queries() -> dict[str, Query]:
         "accuracy_stored": _stored_accuracy,
         "accuracy_bucketed": _bucketed_accuracy,
         "stream_forecast": _stream(forecast_config("corr_arima_gd")),
+        "stream_forecast_reordered": _reordered,
         "stream_forecast_irregular": _stream(forecast_config("arima_gd", irregular=True), irregular=True),
         "track_history_hot": _history("n_visible", "first_ts", "irregular", "span_ok", "z_len", "i", **HOT),
         "track_legs_hot": _legs("dt_ms", "distance_m", "distance_units", **HOT),

@@ -30,6 +30,10 @@ _STATE = (
 )
 
 
+#: Points that wait for earlier ones, where a stream is put in time order.
+_PENDING = ", ".join(f"p_{c.strip()}" for c in _STATE.split(",")[:5])
+
+
 class _Object:
     """State of one object while its micro-batch is processed: its last points, its weights and its counters."""
 
@@ -38,7 +42,7 @@ class _Object:
         self.model = recurrence.Weights(cfg)
         self.ts, self.points = np.empty(0, np.int64), np.empty((0, 4))
         self.i, self.segment = 0, -1
-        if stored is not None:
+        if stored is not None and stored[-1] >= 0:
             ts, *columns, w, a, self.i, self.segment = stored
             self.ts, self.points = np.array(ts, np.int64), np.array(columns, float).T
             every = np.ones(1, dtype=bool)
@@ -56,8 +60,10 @@ class _Object:
         self.open_segment = segment
 
     def stored(self) -> tuple:
-        w, a = self.model.flat()
         columns = self.points.T.tolist()
+        if self.segment < 0:  # no point was taken yet
+            return (self.ts.tolist(), *columns, [], [], self.i, self.segment)
+        w, a = self.model.flat()
         return (self.ts.tolist(), *columns, w[0].tolist(), [] if a is None else a[0].tolist(), self.i, self.segment)
 
 
@@ -160,7 +166,7 @@ def _advance(obj: _Object, new_ts: np.ndarray, new_points: np.ndarray) -> pd.Dat
 
 
 def forecast_stream(
-    points: DataFrame, cfg: ModelConfig, idle_timeout_ms: int | None = None, late: str = "keep"
+    points: DataFrame, cfg: ModelConfig, idle_timeout_ms: int | None = None, late: str = "keep", reorder_ms: int | None = None
 ) -> DataFrame:
     """Forecast rows of a point stream.
 
@@ -168,6 +174,10 @@ def forecast_stream(
     threshold; 0 turns that off, which a drained replay (``availableNow``) needs: with a timeout there is always another
     batch to run. Newton and micro-batch jobs never forget. ``motion="derived"`` gives the micro-batch jobs, which take one
     step per object and micro-batch. ``late="drop"`` leaves out points older than the last one taken.
+
+    ``reorder_ms``: take points in time order. A point is held until the watermark, that many ms behind the latest point of the
+    stream, has passed it; one that comes after that is dropped. Points that are late by less give what the batch job gives. What
+    is held is taken when the watermark passes it, whether the object sends more or not; objects are never forgotten.
     """
     if late not in ("keep", "drop"):
         raise ValueError("late is 'keep' or 'drop'")
@@ -196,6 +206,11 @@ def forecast_stream(
         if not keep_idle:
             state.setTimeoutDuration(wait)
 
+    if reorder_ms is not None:
+        if cfg.motion == "derived":
+            raise ValueError("micro-batch jobs take points as they come")
+        return _rows(_in_time_order(points, cfg, reorder_ms, by), cfg)
+
     timeout = GroupStateTimeout.NoTimeout if keep_idle else GroupStateTimeout.ProcessingTimeTimeout
     columns = [F.col("id").cast("int").alias("id"), *names, *(["seq"] if by == "seq" else [])]
     runs = (
@@ -203,6 +218,41 @@ def forecast_stream(
         .groupBy("id")
         .applyInPandasWithState(update, model_schema("forecast", False), _STATE, "append", timeout)
     )
-    # pandas hands NaN on as null; a forecast that is not a number is flagged.
+    return _rows(runs, cfg)
+
+
+def _rows(runs: DataFrame, cfg: ModelConfig) -> DataFrame:
+    """Forecast rows. pandas hands NaN on as null; a forecast that is not a number is flagged."""
     whole = {a: F.coalesce(a, F.lit(float("nan"))) for a in ATTRIBUTES} | {"error": F.coalesce("error", F.lit(True))}
     return forecast_rows(runs, [cfg]).withColumns(whole)
+
+
+def _in_time_order(points: DataFrame, cfg: ModelConfig, reorder_ms: int, by: str) -> DataFrame:
+    """Forecast arrays of a stream whose points are held until the watermark has passed them."""
+    names = ["timestamp", *ATTRIBUTES]
+    order = list(dict.fromkeys(["timestamp", by]))
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else None
+        obj = _Object(cfg, int(key[0]), None if held is None else held[:9])
+        pending = [] if held is None else [pd.DataFrame(dict(zip(names, map(list, held[9:]), strict=True)))]
+        arrived = [b.sort_values(order, kind="stable")[names] for b in batches if len(b)]
+        waiting = pd.concat([p for p in (*pending, *arrived) if len(p)] or [pd.DataFrame({n: [] for n in names})])
+        waiting = waiting.sort_values("timestamp", kind="stable")
+        passed = waiting["timestamp"] <= state.getCurrentWatermarkMs()
+        now, later = waiting[passed], waiting[~passed]
+        if len(now):
+            out = _advance(obj, now["timestamp"].to_numpy(np.int64), now[list(ATTRIBUTES)].to_numpy(float))
+            if out is not None:
+                yield out
+        state.update((*obj.stored(), later["timestamp"].astype("int64").tolist(), *(later[a].astype(float).tolist() for a in ATTRIBUTES)))
+        if len(later):
+            state.setTimeoutTimestamp(int(later["timestamp"].iloc[0]))
+
+    columns = [F.col("id").cast("int").alias("id"), *names, *(["seq"] if by == "seq" else [])]
+    timed = points.select(*columns, F.timestamp_millis("timestamp").alias("event_time"))
+    return (
+        timed.withWatermark("event_time", f"{reorder_ms} milliseconds")
+        .groupBy("id")
+        .applyInPandasWithState(update, model_schema("forecast", False), f"{_STATE}, {_PENDING}", "append", GroupStateTimeout.EventTimeTimeout)
+    )

@@ -170,3 +170,23 @@ def test_lines_of_several_files_keep_the_files_order(spark, tmp_path):
         stream = forecast_stream(stream_points_csv(spark, str(tmp_path / "in"), files), cfg)
         assert stream_forecasts_to(stream, out, state, trigger=None).awaitTermination(120)
         assert_same(stored(spark, out), forecasts(rows, cfg))
+
+
+@pytest.mark.parametrize("variant", ["arima_gd", "corr_arma_ns"])
+def test_late_points_within_the_bound_give_the_batch_result(spark, tmp_path, variant):
+    rnd = random.Random(3)
+    rows = sorted(walk(seed=41, tracks=3, n=40), key=lambda r: r[1])
+    cfg = ModelConfig(variant=variant, horizon=2, lrate=1e-6)
+    arrivals = sorted(rows, key=lambda r: (r[1] + rnd.choice((0, 0, 9_000, 40_000)), r[0]))
+    assert arrivals != rows
+    size = -(-len(rows) // 4)
+    for k in range(4):
+        put(tmp_path / "in", f"{k}.csv", arrivals[k * size : (k + 1) * size], k * size)
+        os.utime(tmp_path / "in" / f"{k}.csv", (1_700_000_000 + k, 1_700_000_000 + k))
+    out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+    drain(spark, tmp_path / "in", cfg, out, state, reorder_ms=50_000)
+    put(tmp_path / "in", "4.csv", [(99, rows[-1][1] + 10**9, 0.0, 0.0, 0.0, 0.0)], len(rows))
+    drain(spark, tmp_path / "in", cfg, out, state, reorder_ms=50_000)
+    assert_same(stored(spark, out), forecasts(rows, cfg))
+    with pytest.raises(ValueError):
+        forecast_stream(spark.readStream.schema(POINT).csv(str(tmp_path / "in")), cfg.with_(variant="arima_gd", motion="derived"), reorder_ms=1)
