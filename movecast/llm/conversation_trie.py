@@ -17,7 +17,7 @@ of the ends take ids in order as text chunks, so one task streams a few large ro
 
 Turns are told apart by 128 bits of role and text. A null role or text is empty; a null turn comes first; rows with equal turn are
 ordered by a hash of role and text (so repeated rows are turns of their own, next to each other). Rows with a null conv_id
-belong to no conversation and are left out. Very long texts count as one turn. An empty table has no nodes, not even a root.
+belong to no conversation and are left out. Families of negative ids follow SQL: -5 % 100 is -5. Very long texts count as one turn. An empty table has no nodes, not even a root.
 """
 
 from __future__ import annotations

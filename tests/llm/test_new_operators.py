@@ -135,7 +135,7 @@ def plain_trie(rows):
     paths = {}
     for c in own:
         h = zlib.crc32(str(c).encode()) % 6
-        paths[c] = tuple(own.get(c - c % 100, [])[:h] + own[c][h:])
+        paths[c] = tuple(own.get(c - int(math.fmod(c, 100)), [])[:h] + own[c][h:])
     members, children = collections.defaultdict(list), collections.defaultdict(set)
     for c, p in paths.items():
         for d in range(len(p) + 1):
