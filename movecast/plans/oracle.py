@@ -483,6 +483,7 @@ select actuals, '{label(PUBLISHED, RATE_TEXT)}' settings, horizon, {stats} from
         out[name] = f"with {', '.join(cells)} {everything}"
     out["sink_roundtrip"] = forecast_sql("reg", forecast_config("corr_arma_gd"))
     out["stream_forecast"] = forecast_sql("reg", forecast_config("corr_arima_gd"))
+    out["stream_forecast_batches"] = out["forecast_arma_ns"]
     out["stream_forecast_irregular"] = out["stream_forecast_reordered"] = out["forecast_arima_gd_irregular"]
     out["accuracy_stored"] = out["accuracy_bucketed"] = out["accuracy"]
     out["track_history_hot"] = (

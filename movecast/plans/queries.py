@@ -23,7 +23,7 @@ from ..operators.sweep import SWEEP_HORIZON, SWEEP_RATES, sweep, sweep_grid
 from ..operators.tracks import ENDLESS, scratch_path, track_diff, track_history, track_positions, track_segments
 from ..schema import ACCURACY, FORECAST_COLUMNS, POINT
 from ..sources.points import decode_points, read_actuals, read_forecasts, read_points_csv
-from ..sources.sinks import append_bucketed, stream_forecasts_to, write_accuracy, write_forecasts
+from ..sources.sinks import append_bucketed, stream_batches_to, stream_forecasts_to, write_accuracy, write_forecasts
 from ..streaming.forecast_stream import forecast_stream
 from .inputs import RAW, REGULAR, actuals, epoch_ms, traj_raw, traj_regular
 
@@ -261,7 +261,7 @@ def _bucketed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("dist_lon_lat", _r("dist_lon_lat", 4))
 
 
-def _stream(cfg: ModelConfig, irregular: bool = False) -> Query:
+def _stream(cfg: ModelConfig, irregular: bool = False, sink: Callable = stream_forecasts_to) -> Query:
     """The points are replayed as a file stream; the drained result equals the batch job."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ def _stream(cfg: ModelConfig, irregular: bool = False) -> Query:
         points = traj_raw(spark, sf_dir) if irregular else traj_regular(spark, sf_dir)
         points.write.parquet(source)
         stream = spark.readStream.schema(points.schema).parquet(source)
-        stream_forecasts_to(forecast_stream(stream, cfg, idle_timeout_ms=0), out, state, trigger=None).awaitTermination()
+        sink(forecast_stream(stream, cfg, idle_timeout_ms=0), out, state, trigger=None).awaitTermination()
         return _forecast_out(read_forecasts(spark, out).select(*FORECAST_COLUMNS))
 
     return query
@@ -374,6 +374,7 @@ def queries() -> dict[str, Query]:
         "accuracy_stored": _stored_accuracy,
         "accuracy_bucketed": _bucketed_accuracy,
         "stream_forecast": _stream(forecast_config("corr_arima_gd")),
+        "stream_forecast_batches": _stream(forecast_config("arma_ns"), sink=stream_batches_to),
         "stream_forecast_reordered": _reordered,
         "stream_forecast_irregular": _stream(forecast_config("arima_gd", irregular=True), irregular=True),
         "track_history_hot": _history("n_visible", "first_ts", "irregular", "span_ok", "z_len", "i", **HOT),

@@ -51,3 +51,25 @@ def stream_forecasts_to(
     )
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
     return writer.start()
+
+
+def stream_batches_to(
+    forecasts: DataFrame, path: str, checkpoint: str, trigger: str | None = "1 second", files: int = 8
+) -> StreamingQuery:
+    """Start storing a forecast stream one folder per micro-batch (``batch=0``, ...), of at most ``files`` files per variant.
+
+    A micro-batch that is run again, after a failure, overwrites its own folder, so its rows are there once; one without rows
+    leaves none. ``read_forecasts`` reads all folders. ``trigger=None`` drains what is there and stops.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        rows = batch.persist()
+        try:
+            if not rows.isEmpty():
+                rows.repartition(files, "id").write.mode("overwrite").partitionBy("variant").parquet(f"{path}/batch={number}")
+        finally:
+            rows.unpersist()
+
+    writer = forecasts.writeStream.outputMode("append").foreachBatch(store).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
+    return writer.start()

@@ -12,7 +12,7 @@ from movecast.config import ModelConfig
 from movecast.operators.tracks import scratch_path
 from movecast.schema import FORECAST_COLUMNS
 from movecast.sources.points import stream_points_csv
-from movecast.sources.sinks import stream_forecasts_to
+from movecast.sources.sinks import stream_batches_to, stream_forecasts_to
 from movecast.streaming.forecast_stream import forecast_stream
 
 
@@ -190,3 +190,29 @@ def test_late_points_within_the_bound_give_the_batch_result(spark, tmp_path, var
     assert_same(stored(spark, out), forecasts(rows, cfg))
     with pytest.raises(ValueError):
         forecast_stream(spark.readStream.schema(POINT).csv(str(tmp_path / "in")), cfg.with_(variant="arima_gd", motion="derived"), reorder_ms=1)
+
+
+def test_a_batch_that_runs_again_leaves_its_rows_once(spark, tmp_path):
+    """The log forgets that the last micro-batch was done; a batch without forecasts leaves no folder."""
+    rows = [r for r in walk(seed=51, tracks=3, n=30)]
+    rows.sort(key=lambda r: r[1])
+    cfg = ModelConfig(variant="arma_ns", horizon=2, lrate=1e-6)
+    cuts = [0, 4, 40, len(rows)]  # the first four points forecast nothing
+    for k in range(3):
+        put(tmp_path / "in", f"{k}.csv", rows[cuts[k] : cuts[k + 1]], cuts[k])
+        os.utime(tmp_path / "in" / f"{k}.csv", (1_700_000_000 + k, 1_700_000_000 + k))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run_all():
+        stream = spark.readStream.schema(POINT).option("header", True).option("maxFilesPerTrigger", 1).csv(str(tmp_path / "in"))
+        assert stream_batches_to(forecast_stream(stream, cfg), out, state, trigger=None, files=2).awaitTermination(120)
+        return sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir())
+
+    folders = run_all()
+    assert folders == ["batch=1", "batch=2"]
+    assert_same(stored(spark, out), forecasts(rows, cfg))
+    for name in ("2", ".2.crc"):
+        (tmp_path / "state" / "commits" / name).unlink()
+    assert run_all() == folders
+    assert_same(stored(spark, out), forecasts(rows, cfg))
+    assert all(len(list((tmp_path / "out" / f).rglob("*.parquet"))) <= 2 for f in folders)
