@@ -92,19 +92,29 @@ class Front:
 
 
 class Histories:
-    """Last points of the live tracks. Points lie in one pool; each knows the place of the one before it (0: there is none)."""
+    """Last points of the live tracks. Points lie in one pool; each knows the place of the one before it (0: there is none).
+
+    The pool is cleared of points that no later row sees when it holds twice what the live tracks need, so its upkeep is in
+    proportion to the rows, however many tracks a partition has.
+    """
+
+    SLACK = 1 << 16  # points that the pool may hold besides
 
     def __init__(self, width: int):
         self.width = width
-        self.ts, self.values, self.back = np.zeros(1, np.int64), np.zeros((1, 4)), np.zeros(1, np.int64)
+        self.size = 1
+        self.ts, self.values, self.back = np.zeros(1024, np.int64), np.zeros((1024, 4)), np.zeros(1024, np.int64)
         self.last = np.empty(0, np.int64)  # newest point of each track that goes on from the round before
         self.now: list[np.ndarray] = []  # newest points of the tracks of this round
 
     def _add(self, ts: np.ndarray, values: np.ndarray) -> np.ndarray:
-        place = len(self.ts) + np.arange(len(ts))
-        self.ts, self.values = np.concatenate([self.ts, ts]), np.concatenate([self.values, values])
-        self.back = np.concatenate([self.back, np.zeros(len(ts), np.int64)])
-        return place
+        first, self.size = self.size, self.size + len(ts)
+        if self.size > len(self.ts):
+            more = max(self.size, 2 * len(self.ts)) - len(self.ts)
+            self.ts, self.back = (np.concatenate([v, np.zeros(more, np.int64)]) for v in (self.ts, self.back))
+            self.values = np.concatenate([self.values, np.zeros((more, 4))])
+        self.ts[first : self.size], self.values[first : self.size], self.back[first : self.size] = ts, values, 0
+        return np.arange(first, self.size)
 
     def take(self, batch: pa.RecordBatch, values: np.ndarray, steps: list[Round]) -> np.ndarray:
         """(rows, width) places of the points that each row sees, oldest first."""
@@ -141,16 +151,17 @@ class Histories:
         return out
 
     def shrink(self) -> None:
-        """Forget what no later row sees."""
+        """Forget what no later row sees, if that is most of the pool."""
         used = sum(map(len, self.now))
-        now = np.concatenate(self.now) if self.now else np.empty(0, np.int64)
-        waiting = self.last[used:] if len(self.last) else self.last
-        keep = self.width - 1
-        seen = self.seen(np.concatenate([waiting, now]), keep)
+        waiting, keep = self.last[used:], self.width - 1
+        if self.size <= 2 * keep * (len(waiting) + used) + self.SLACK:
+            return
+        seen = self.seen(np.concatenate([waiting, *self.now]), keep)
         slots = np.where(seen > 0, 1 + np.arange(seen.size).reshape(seen.shape), 0)
-        flat = seen.ravel()
-        self.ts, self.values = (np.concatenate([v[:1], v[flat]]) for v in (self.ts, self.values))
-        self.back = np.concatenate([np.zeros(1, np.int64), np.concatenate([np.zeros((len(seen), 1), np.int64), slots[:, :-1]], axis=1).ravel()])
+        flat = np.append(0, seen.ravel())
+        self.size = len(flat)
+        self.ts, self.values = self.ts[flat], self.values[flat]
+        self.back = np.append(0, np.concatenate([np.zeros((len(seen), 1), np.int64), slots[:, :-1]], axis=1).ravel())
         newest = slots[:, -1]
         self.last = np.concatenate([np.zeros(min(used, len(self.last)), np.int64), newest[: len(waiting)]])
         self.now = [newest[len(waiting) :]]

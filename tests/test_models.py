@@ -4,12 +4,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import Track, forecasts
 
-from movecast.config import VARIANTS, ModelConfig
+from movecast.config import ATTRIBUTES, VARIANTS, ModelConfig
 from movecast.functions.recurrence import forecasts as forecast_arrays
 from movecast.functions.recurrence import newton_step
+from movecast.functions.wavefront import Front, Histories
 from movecast.operators import models
 from movecast.operators.forecast import fit_weights, forecast, init_weights, one_step_backtest
 from movecast.operators.sweep import sweep, sweep_grid
@@ -100,6 +102,36 @@ def test_layout_changes_no_bit(spark, change):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("slack", [0, 1 << 16])
+@pytest.mark.parametrize("size", [1, 7, 64, 10_000])
+def test_rows_find_the_points_before_them(monkeypatch, slack, size):
+    """Tracks of all lengths in wavefront order, cut into batches anywhere; some bring points from before."""
+    monkeypatch.setattr(Histories, "SLACK", slack)
+    rnd, width = random.Random(size), 4
+    lengths = [rnd.choice((1, 2, 3, 9, 40)) for _ in range(60)]
+    before = [rnd.randrange(4) if k % 3 == 0 else 0 for k in range(60)]
+    rows = [(t, k) for t in range(1, 41) for k in range(60) if t <= lengths[k]]
+    point = lambda k, t: {"timestamp": 1000 * k + t, **{a: float(1000 * k + t + j) for j, a in enumerate(ATTRIBUTES)}}
+    table = [
+        point(k, t) | {"t": t, "more": t < lengths[k], "before": [point(k, t - n) for n in range(before[k], 0, -1)] if t == 1 and before[k] else None}
+        for t, k in rows
+    ]
+    kind = pa.list_(pa.struct([("timestamp", pa.int64()), *[(a, pa.float64()) for a in ATTRIBUTES]]))
+    front, history, at = Front(), Histories(width), 0
+    while at < len(rows):
+        part = table[at : at + size]
+        columns = {n: pa.array([r[n] for r in part], kind if n == "before" else None) for n in part[0]}
+        batch = pa.RecordBatch.from_pydict(columns)
+        values = np.stack([batch.column(a).to_numpy() for a in ATTRIBUTES], axis=1)
+        places = history.take(batch, values, front.rounds(batch.column("t").to_numpy(), batch.column("more").to_numpy(zero_copy_only=False)))
+        for (t, k), seen in zip(rows[at : at + size], places, strict=True):
+            want = [1000 * k + n for n in range(max(1 - before[k], t - width + 1), t + 1)]
+            assert history.ts[seen[seen > 0]].tolist() == want and (seen[: width - len(want)] == 0).all()
+            assert history.values[seen[seen > 0], 2].tolist() == [w + 2.0 for w in want]
+        history.shrink()
+        at += size
+
+
 def test_sweep_over_window_sizes_is_one_pass(spark):
     """All window sizes at once give the rows of single jobs, bit by bit, cold and hot."""
     base = ModelConfig(horizon=2)
