@@ -19,7 +19,7 @@ from movecast.plans.inputs import REGULAR, traj_regular
 from movecast.plans.queries import queries
 from movecast.shipping import ship
 
-REPEATS = 3
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 #: Events of the large run.
 LARGE = 4_000_000
 
