@@ -1,24 +1,25 @@
 """Shards by a consistent-hash ring with virtual nodes and bounded loads.
 
 Each shard owns many points of a ring; a document belongs to the first point clockwise of its own hash. A shard may hold at most
-(1 + slack) times the mean of bytes: what overflows it goes on clockwise to the next point of a shard that has room. So sizes
-are near equal, and a new shard moves little more than what it takes.
+(1 + slack) times the mean of documents: what overflows it goes on clockwise to the next point of a shard that has room. Without
+slack, counts are at most one apart.
 
-The ring has a fixed number of cells. Bytes are summed per cell (a table of fixed size), the overflow is worked out cell by cell
-in ring order, and a cell whose documents go to several shards is cut by running sums in the order of their hashes. Documents
-too large for that (over a hundredth of the mean: at most a hundred for each shard, whatever the table) are placed first, one by
-one, largest first. Only DataFrame functions touch the documents.
+The ring has a fixed number of cells. Documents are counted per cell (a table of fixed size), the overflow is worked out cell by
+cell in ring order, and a cell whose documents go to several shards is cut by their number in the order of their hashes. This is
+the only rule, whatever the sizes of documents and table. Only DataFrame functions touch the documents.
 
-Rows with a null doc_id hash as such and sit in one place of the ring; a null text has no bytes. Repeated rows are placed each.
-An empty table gives no rows.
+The hash is that of doc_id, bytes and checksum of the text together, so rows with a null or repeated doc_id lie all over the ring. Rows equal
+in these are counted before they are moved, take consecutive places and are told apart again at the end. A null text has no
+bytes. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -26,8 +27,8 @@ from .common import durable
 CELL_BITS = 14
 POINTS = 64
 ROW_BYTES = 16
-#: A document larger than the mean shard divided by this is placed by itself.
-LARGE = 100
+#: Equal rows that one task makes of their count.
+COPIES = 4096
 
 RESULT = "doc_id bigint, size bigint, text_crc32 bigint, shard int, slot bigint"
 
@@ -43,103 +44,74 @@ def ring(shards: int, points: int = POINTS, cells: int = 1 << CELL_BITS) -> tupl
     return [c for c, _, _ in owned], [s for _, s, _ in owned]
 
 
+def rooms(rows: int, shards: int, slack: float = 0.0) -> list[int]:
+    """Documents that each shard may hold: together at least all."""
+    if slack > 0:
+        return [math.ceil((1 + slack) * rows / shards)] * shards
+    return [rows // shards + (shard < rows % shards) for shard in range(shards)]
+
+
 class Loads:
-    """Room left on each shard, and the walk clockwise."""
-
-    def __init__(self, shards: int, room: float, points: int, cells: int) -> None:
-        self.room = [room] * shards
-        self.at, self.owner = ring(shards, points, cells)
-
-    def clockwise(self, cell: int):
-        first = bisect.bisect_left(self.at, cell)
-        seen = set()
-        for k in range(len(self.at)):
-            shard = self.owner[(first + k) % len(self.at)]
-            if shard not in seen:
-                seen.add(shard)
-                yield shard
-
-    def place_whole(self, cell: int, size: int) -> int:
-        """The first shard clockwise with room for all of it, else the one with the most room."""
-        for shard in self.clockwise(cell):
-            if self.room[shard] >= size:
-                break
-        else:
-            shard = max(range(len(self.room)), key=lambda s: (self.room[s], -s))
-        self.room[shard] -= size
-        return shard
-
-    def place_cell(self, cell: int, size: int) -> list[tuple[int, float, float]]:
-        """(shard, from, to) parts of a cell's bytes."""
-        parts, done = [], 0.0
-        for shard in self.clockwise(cell):
-            take = min(size - done, max(self.room[shard], 0.0))
+    """Documents on each shard, and the walk clockwise."""
+
+    def __init__(self, room: list[int], points: int = POINTS, cells: int = 1 << CELL_BITS) -> None:
+        self.room = room
+        self.held = [0] * len(room)
+        self.at, self.owner = ring(len(room), points, cells)
+
+    def place_cell(self, cell: int, rows: int) -> list[tuple[int, int, int, int]]:
+        """(shard, from, to, first slot) of the parts of a cell's documents. Cells must come in ring order."""
+        parts, done = [], 0
+        at = bisect.bisect_left(self.at, cell)
+        while done < rows:
+            shard = self.owner[at % len(self.at)]
+            at += 1
+            take = min(rows - done, self.room[shard] - self.held[shard])
             if take > 0:
-                parts.append((shard, done, done + take))
-                self.room[shard] -= take
+                parts.append((shard, done, done + take, self.held[shard]))
+                self.held[shard] += take
                 done += take
-            if done >= size:
-                break
-        if not parts:
-            parts.append((max(range(len(self.room)), key=lambda s: (self.room[s], -s)), 0.0, float(size)))
-        shard, begun, _ = parts[-1]
-        parts[-1] = (shard, begun, float("inf"))  # the sums of parts may fall short of the whole by rounding
         return parts
 
 
+def ring_hash() -> Column:
+    """Where a document lies on the ring, from ``doc_id``, ``size`` and ``text_crc32``."""
+    return F.xxhash64(F.lit("ring"), F.col("doc_id"), F.col("size"), F.col("text_crc32"))
+
+
 def shard_documents(docs: DataFrame, shards: int = 40, slack: float = 0.0, points: int = POINTS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) of each document."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    h = F.xxhash64(F.lit("ring"), F.col("doc_id").cast("bigint"))
-    digest = durable(
-        docs.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"),
-            (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            h.alias("h"),
-            F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int").alias("cell"),
-        )
+    digest = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
     )
-    total = digest.agg(F.sum("size")).first()[0]
-    if total is None:
+    own = ["doc_id", "size", "text_crc32"]
+    equal = digest.groupBy(*own).agg(F.count("*").alias("copies")).withColumn("h", ring_hash())
+    equal = durable(equal.withColumn("cell", F.shiftrightunsigned("h", 64 - CELL_BITS).cast("int")))
+    cells = equal.groupBy("cell").agg(F.sum("copies").alias("rows")).orderBy("cell").collect()  # 2**CELL_BITS rows at most
+    if not cells:
         return spark.createDataFrame([], RESULT)
-    mean = total / shards
-    loads = Loads(shards, mean * (1 + slack), points, 1 << CELL_BITS)
-
-    is_large = F.col("size") > mean / LARGE
-    large = []  # at most LARGE * shards rows, as together they have at most the total
-    for r in sorted(digest.where(is_large).collect(), key=lambda r: (-r["size"], r["h"], r["doc_id"] or 0, r["text_crc32"])):
-        large.append((r["doc_id"], r["size"], r["text_crc32"], loads.place_whole(r["cell"], r["size"])))
-    small = digest.where(~is_large)
-    parts = []
-    for r in small.groupBy("cell").agg(F.sum("size").alias("size")).orderBy("cell").collect():  # 2**CELL_BITS rows at most
-        parts += [(r["cell"], k, *p) for k, p in enumerate(loads.place_cell(r["cell"], r["size"]))]
-    number: dict[int, int] = {}
-    placed_large = []
-    for doc_id, size, crc, shard in large:
-        number[shard] = number.get(shard, -1) + 1
-        placed_large.append((doc_id, size, crc, shard, number[shard]))
-    result = spark.createDataFrame(placed_large, RESULT)
-    if not parts:
-        return result
-
-    table = F.broadcast(spark.createDataFrame(parts, "cell int, part int, shard int, begun double, ended double"))
-    order = Window.partitionBy("cell").orderBy("h", "doc_id", "text_crc32", "size")
-    running = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    cut = small.withColumn("middle", running).withColumn("nth", F.row_number().over(order))
-    placed = cut.join(table, "cell").where((F.col("middle") >= F.col("begun")) & (F.col("middle") < F.col("ended")))
-    placed = durable(placed.select("doc_id", "size", "text_crc32", "shard", "cell", "part", "nth"))
-    # Slots: documents placed by themselves, then the parts of cells in ring order, each in its order.
-    counts = placed.groupBy("shard", "cell", "part").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
-    before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
-    alone = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for s in range(shards) for x in (s, number.get(s, -1) + 1)]), F.col("shard")), F.lit(0))
-    offsets = counts.select("cell", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) + alone - F.col("first")).alias("offset"))
-    slotted = placed.join(F.broadcast(offsets), ["cell", "part"])
-    return result.unionByName(slotted.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("nth")).cast("long").alias("slot")))
+
+    loads = Loads(rooms(sum(r["rows"] for r in cells), shards, slack), points)
+    parts = [(r["cell"], *p) for r in cells for p in loads.place_cell(r["cell"], r["rows"])]  # a row for each cell, and for each shard that fills up
+    table = F.broadcast(spark.createDataFrame(parts, "cell int, shard int, begun bigint, ended bigint, slot bigint"))
+    order = Window.partitionBy("cell").orderBy("h", *own).rowsBetween(Window.unboundedPreceding, 0)
+    cut = equal.withColumn("to", F.sum("copies").over(order)).join(table, "cell").where("to > begun and to - copies < ended")
+    first, last = F.greatest(F.expr("to - copies"), F.col("begun")), F.least("to", "ended") - 1
+    shift = F.col("slot") - F.col("begun")
+    placed = durable(cut.select(*own, "shard", (first + shift).alias("first"), (last + shift).alias("last")))
+    # Copies beyond one task's share are dealt out before they are made.
+    many = placed.where(F.col("last") - F.col("first") >= COPIES)
+    many = many.withColumn("first", F.explode(F.sequence("first", "last", F.lit(COPIES)))).repartition(*own, "first")
+    many = many.withColumn("last", F.least("last", F.col("first") + (COPIES - 1)))
+    few = placed.where(F.col("last") - F.col("first") < COPIES)
+    return few.unionByName(many).select(*own, "shard", F.explode(F.sequence("first", "last")).alias("slot"))
 
 
 def shard_digest(docs: DataFrame, shards: int = 40) -> DataFrame:
     return shard_documents(docs, shards).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

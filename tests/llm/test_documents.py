@@ -23,6 +23,7 @@ from movecast.llm import (
     simhash_decontamination,
     substring_dedup,
 )
+from movecast.llm.common import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, rank string, h string, at int"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
@@ -224,17 +225,69 @@ def test_license_spans_are_verified(spark):
     assert got[6][0] == "mit" and got[6][1] >= 0.9
 
 
-def test_shards(docs, texts):
-    shards = collections.defaultdict(list)
+def plain_walk(rows, shards, slack=0.0):
+    """(shard, slot) of rows (cell, ...) in ring order: each goes to the first point clockwise whose shard has room."""
+    room, held = ring_shards.rooms(len(rows), shards, slack), [0] * shards
+    points = list(zip(*ring_shards.ring(shards), strict=True))
+    out = []
+    for cell, *_ in rows:
+        turn = [s for c, s in points if c >= cell] + [s for _, s in points]
+        shard = next(s for s in turn if held[s] < room[s])
+        out.append((shard, held[shard]))
+        held[shard] += 1
+    return out
+
+
+def walked(df, *more):
+    """Rows of ``df`` in ring order, with their cells."""
+    h = F.shiftrightunsigned(ring_shards.ring_hash(), 64 - ring_shards.CELL_BITS).alias("cell")
+    own = ["doc_id", "size", "text_crc32"]
+    return [tuple(r) for r in df.select(h, *own, *more, ring_shards.ring_hash().alias("h")).orderBy("cell", "h", *own, *more).drop("h").collect()]
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1])
+def test_shards(docs, odd, texts, slack):
     for r in ring_shards.shard_digest(docs).collect():
         raw = (texts[r.doc_id] or "").encode()
-        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "bytes")
-        shards[r.shard].append(r)
-    for rows in shards.values():
-        assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    many = docs.sparkSession.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a"), (F.col("id") % 97).cast("int")).alias("text"))
-    bytes_ = [r[0] for r in ring_shards.shard_digest(many).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
-    assert len(bytes_) == 40 and max(bytes_) <= 1.01 * min(bytes_)
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 16, zlib.crc32(raw), "rows")
+    # A third of the ids null, rows of every size, rows that are there many times (more than one task makes at once).
+    some = F.when(F.col("id") % 3 > 0, F.col("id"))
+    many = docs.sparkSession.range(3_000).select(some.alias("doc_id"), F.repeat(F.lit("a"), (F.col("id") * F.col("id") % 997).cast("int")).alias("text"))
+    same = docs.sparkSession.range(ring_shards.COPIES + 500).select(F.lit(5).alias("doc_id"), F.lit("again").alias("text"))
+    for table, shards in ((docs, 40), (odd, 3), (many, 40), (many.union(same), 7), (same, 1)):
+        got = walked(ring_shards.shard_documents(table, shards, slack), "shard", "slot")
+        want = plain_walk(got, shards, slack)
+        assert collections.Counter(zip([g[:4] for g in got], want, strict=True)) == collections.Counter((g[:4], g[4:]) for g in got)
+        counts = collections.Counter(s for s, _ in want)
+        assert slack or max(counts.values()) - min(counts.get(s, 0) for s in range(shards)) <= 1
+
+
+def test_one_shard_more_moves_few(spark):
+    many = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    before = ring_shards.shard_documents(many, 40, 0.25).select("doc_id", F.col("shard").alias("was"))
+    moved = before.join(ring_shards.shard_documents(many, 41, 0.25), "doc_id").where("was <> shard").count()
+    assert moved < 0.05 * 40_000
+
+
+@pytest.mark.parametrize("shape", ["chain", "ring", "stars", "random", "none"])
+def test_components(spark, shape):
+    rng = random.Random(4)
+    name = list(range(400))
+    rng.shuffle(name)
+    edges = {
+        "chain": [(name[k], name[k + 1]) for k in range(150)],
+        "ring": [(name[k], name[(k + 1) % 90]) for k in range(90)],
+        "stars": [(name[k % 5], name[k]) for k in range(5, 300)] + [(name[0], name[1])],
+        "random": [(rng.choice(name), rng.choice(name)) for _ in range(230)] * 2,
+        "none": [],
+    }[shape]
+    root = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert sorted(got) == sorted((x, root[x]) for x in linked)
 
 
 def test_lines(docs):
