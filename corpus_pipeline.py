@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from movecast.llm import best_fit_packing, chosen_path_join, line_dedup, ordinal_quality, simhash_decontamination
+from movecast.llm.common import release
 from movecast.llm.queries import vocabulary
 
 
@@ -62,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

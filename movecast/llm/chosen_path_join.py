@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, BitTable, components, durable, flat, lists, mix, owners, pieces, prefix_sums, rolling, spans, text_marks
+from .common import U64, BitTable, components, durable, flat, lists, mix, owners, pieces, prefix_sums, release, rolling, spans, text_marks
 from .simhash_decontamination import word_hashes
 
 SHINGLE = 5
@@ -291,6 +291,7 @@ def _classed(docs: DataFrame, likeness: float, recall: float) -> DataFrame:
 
     links = candidates(leaves(nodes, runs), nodes, samples)
     grouped = durable(components(links).withColumnRenamed("id", "sid"))
+    release(docs.sparkSession)
     sizes = grouped.groupBy("root").agg(F.count("*").alias("count"))
     wanted = durable(grouped.join(sizes, "root").join(nodes.select("sid", "rep", "t1", "t2"), "sid"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -34,6 +35,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files and checkpoints that nothing refers to any more: it learns of them when the driver's memory is
+    collected, which on a large heap may be long after a round has ended."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -178,33 +186,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, root) for each end of ``edges`` (a, b): root is the smallest id of its component.
 
     Each round points every node to the smallest id among its neighbours' pointers, keeps that as new edges, and so halves
-    distances (large star, then small star). Each round is written durably, so lost executors cost one round.
+    distances (large star, then small star), until each edge leads from a node to its root. Each round is written durably, so
+    lost executors cost one round.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs = durable(pairs)
     for _ in range(most_rounds):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = durable(large.where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
-        after = durable(small.distinct())
-        if _same(after, pairs):
+        if _all_stars(pairs):
             break
-        pairs = after
+        both = _exploded(pairs, ("a", "b"), ("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+        large = durable(pairs.join(low, "b").select("a", F.col("m").alias("b")))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = _exploded(large.join(low, "a"), ("b", "m"), ("a", "m"))
+        pairs = durable(small.where("a <> b").distinct())
+        del both, low, large, small
+        release(spark)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = after.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")
+    roots = pairs.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Equal sets of pairs, by count and two sums of hashes."""
+def _exploded(df: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """A row (a, b) of each of the named pairs of columns."""
+    made = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ends])
+    return df.select(F.explode(made).alias("e")).select("e.a", "e.b")
 
-    def digest(x: DataFrame) -> tuple:
-        h = F.xxhash64("a", "b")
-        return tuple(x.agg(F.count("*"), F.sum(F.shiftright(h, 20)), F.bit_xor(h)).first())
 
-    return digest(a) == digest(b)
+def _all_stars(pairs: DataFrame) -> bool:
+    """Whether each node has one lower neighbour at most, and none if it is a lower neighbour itself. ``pairs``: distinct, a > b."""
+    ends = pairs.withColumn("up", F.lit(1)).withColumn("no", F.lit(0))
+    nodes = _exploded(ends, ("a", "up"), ("b", "no")).groupBy("a").agg(F.sum("b").alias("lower"), F.min("b").alias("leaf"))
+    return nodes.where("lower > 1 or lower = 1 and leaf = 0").agg(F.count("*")).first()[0] == 0
