@@ -129,15 +129,20 @@ class _Run:
         ]
         return union_parts(frames)
 
+    def _whole_pieces(self, rows: DataFrame) -> DataFrame:
+        """Rows with their place in the piece. The window makes each piece lie in one task: a repartition below an Arrow task may be left
+        out after a join by the same keys, and the join may then be turned into one that does not keep pieces together."""
+        t = F.col("pos") - F.col("piece") * self.piece
+        n = F.count(F.lit(1)).over(Window.partitionBy(*_PIECE))
+        return rows.withColumns({"t": t, "more": t < n}).drop("pos")
+
     def _in_parallel(self, rows: DataFrame, pieces: DataFrame, cfg: ModelConfig) -> DataFrame:
         """All pieces at once, from the weights that the maps of the pieces before them lead to."""
-        t = F.col("pos") - F.col("piece") * self.piece
-        each = rows.join(pieces, _PIECE).withColumns({"t": t, "more": t < F.col("n")}).drop("pos", "n", "number")
-        each = each.repartition(*_PIECE)
-        folded = each.where("goes_on").sortWithinPartitions("t", *_PIECE).mapInArrow(wf.map_task(cfg, self.named), wf.MAP_SCHEMA)
+        on = rows.join(pieces.where("goes_on").select(*_PIECE), _PIECE)
+        folded = self._whole_pieces(on).sortWithinPartitions("t", *_PIECE).mapInArrow(wf.map_task(cfg, self.named), wf.MAP_SCHEMA)
         maps = durable(folded)
         wild = durable(maps.where(~(F.col("size") <= LARGEST_MAP)).select("id").distinct())
-        calm = None
+        each, calm = rows, None
         if wild.isEmpty():
             wild = None
         else:
@@ -147,7 +152,7 @@ class _Run:
         if cfg.vector_init == "random":
             maps = maps.withColumn("w0_0", F.when(F.col("t") == 1, random_start(cfg)))
         starts = maps.sortWithinPartitions("t", "id", "segment").mapInArrow(wf.carry_task(cfg), wf.CARRY_SCHEMA)
-        each = each.withColumn("goes_on", F.lit(False)).join(durable(starts), _PIECE, "left").repartition(*_PIECE)
+        each = self._whole_pieces(each.join(durable(starts), _PIECE, "left")).withColumn("goes_on", F.lit(False))
         out = self._learn(each, [cfg], tuple(_PIECE))
         if calm:
             out = out.unionByName(self._relay(rows.join(wild, "id", "left_semi"), pieces.join(wild, "id", "left_semi"), cfg))
@@ -161,12 +166,10 @@ class _Run:
         spark = rows.sparkSession
         stretch = F.expr(f"(number - 1) div {self.round_pieces}").cast("int")
         within = Window.partitionBy("id", "segment", "stretch")
-        pieces = pieces.withColumn("stretch", stretch).withColumns(
-            {"from": F.min("piece").over(within) * self.piece, "until": F.max(F.col("piece") * self.piece + F.col("n")).over(within)}
-        )
+        pieces = pieces.withColumn("stretch", stretch).withColumn("from", F.min("piece").over(within) * self.piece)
         staged, results, states = (scratch_path(spark, n) for n in ("stretches", "rounds", "weights"))
         each = rows.join(pieces.drop("n", "number"), _PIECE)
-        each = each.withColumns({"t": F.col("pos") - F.col("from"), "more": F.col("pos") < F.col("until")}).drop("pos", "piece", "from", "until")
+        each = each.withColumn("t", F.col("pos") - F.col("from")).drop("pos", "piece", "from")
         each.write.partitionBy("stretch").parquet(staged)
         kept = each.drop("stretch").schema
         schema = wf.model_schema(self.want, True)
@@ -177,7 +180,8 @@ class _Run:
                 known = spark.read.schema(_STATE).parquet(f"{states}/round={r - 1}")
                 known = known.withColumnsRenamed({"w": "w0_0", "a": "a0_0"})
                 batch = batch.join(known if cfg.newton else known.drop("a0_0"), ["id", "segment"], "left")
-            batch = batch.repartition("id", "segment")
+            ends = F.max("t").over(Window.partitionBy("id", "segment"))  # and tracks lie in one task each, whatever the join becomes
+            batch = batch.withColumn("more", F.col("t") < ends)
             self._learn(batch, [cfg], ("id", "segment"), state=True).write.parquet(f"{results}/round={r}")
             ended = spark.read.schema(schema).parquet(f"{results}/round={r}").where("last")
             newest = F.max_by(F.struct("segment", "w", "a"), "segment").alias("s")

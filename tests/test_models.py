@@ -83,6 +83,19 @@ def test_hot_tracks_equal_cold_ones(spark, variant):
     assert_same(run(points.drop("seq"), cfg, hot_rows=40, chunk_rows=8, piece_rows=8, round_pieces=4), want)
 
 
+@pytest.mark.parametrize("variant", ["arma_gd", "arima_ns"])
+def test_hot_pieces_stay_whole(spark, variant):
+    """A join that turns into a broadcast at run time, in many partitions, does not tear pieces apart."""
+    cfg = ModelConfig(variant=variant, horizon=2, lrate=1e-6)
+    points = made(spark, walk(seed=31, tracks=20, n=60))
+    want = run(points, cfg)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert_same(run(points, cfg, hot_rows=16, chunk_rows=16, piece_rows=16, round_pieces=2), want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize(
     "change",
     [{"variant": "corr_arima_gd"}, {"variant": "arima_gd", "vector_init": "random"}, {"variant": "arma_gd", "lrate": 1e-3}, {"variant": "corr_arma_ns"}],
