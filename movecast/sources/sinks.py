@@ -54,9 +54,10 @@ def stream_forecasts_to(
 
 
 def stream_batches_to(
-    forecasts: DataFrame, path: str, checkpoint: str, trigger: str | None = "1 second", files: int = 8
+    forecasts: DataFrame, path: str, checkpoint: str, trigger: str | None = "1 second", files: int = 8, file_rows: int = 1 << 20
 ) -> StreamingQuery:
-    """Start storing a forecast stream one folder per micro-batch (``batch=0``, ...), of at most ``files`` files per variant.
+    """Start storing a forecast stream one folder per micro-batch (``batch=0``, ...), of at most ``files`` files per variant, or of
+    as many as there are ``file_rows`` rows in it, so that no task grows with the micro-batch.
 
     A micro-batch that is run again, after a failure, overwrites its own folder, so its rows are there once; one without rows
     leaves none. ``read_forecasts`` reads all folders. ``trigger=None`` drains what is there and stops.
@@ -65,8 +66,8 @@ def stream_batches_to(
     def store(batch: DataFrame, number: int) -> None:
         rows = batch.persist()
         try:
-            if not rows.isEmpty():
-                rows.repartition(files, "id").write.mode("overwrite").partitionBy("variant").parquet(f"{path}/batch={number}")
+            if n := rows.count():
+                rows.repartition(max(files, -(-n // file_rows)), "id").write.mode("overwrite").partitionBy("variant").parquet(f"{path}/batch={number}")
         finally:
             rows.unpersist()
 

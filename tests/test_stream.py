@@ -216,3 +216,15 @@ def test_a_batch_that_runs_again_leaves_its_rows_once(spark, tmp_path):
     assert run_all() == folders
     assert_same(stored(spark, out), forecasts(rows, cfg))
     assert all(len(list((tmp_path / "out" / f).rglob("*.parquet"))) <= 2 for f in folders)
+
+
+def test_a_large_batch_goes_to_more_files(spark, tmp_path):
+    """No task stores more than its share of a micro-batch, however large that is."""
+    rows = walk(seed=52, tracks=12, n=20)
+    cfg = ModelConfig(variant="arma_ns", horizon=2, lrate=1e-6)
+    put(tmp_path / "in", "0.csv", rows)
+    stream = spark.readStream.schema(POINT).option("header", True).csv(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    assert stream_batches_to(forecast_stream(stream, cfg), out, state, trigger=None, files=2, file_rows=50).awaitTermination(120)
+    assert_same(stored(spark, out), forecasts(rows, cfg))
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) > 2
