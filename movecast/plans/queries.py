@@ -53,8 +53,9 @@ SWEEP_CONFIGS = [
 ]
 
 DAY = 86_400_000
-#: Buckets of the stored tables that meet without a shuffle.
+#: Buckets of the stored tables that meet without a shuffle: so many at least, and one for so many points, as a task joins a whole bucket.
 BUCKETS = 8
+BUCKET_POINTS = 250_000
 
 #: The published grid over tracks whose coordinates ask for lower rates.
 PUBLISHED_GRID = sweep_grid(REGULAR.with_(horizon=SWEEP_HORIZON), rates=[r * 1e-4 for r in SWEEP_RATES])
@@ -251,11 +252,12 @@ def _stored_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bucketed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of forecasts and true positions that are stored in buckets by (id, timestamp): the join has no shuffle."""
     stored = {}
+    buckets = max(BUCKETS, -(-traj_raw(spark, sf_dir).count() // BUCKET_POINTS))
     made = {"forecasts": forecast(traj_regular(spark, sf_dir), SCORED), "actuals": actuals(spark, sf_dir)}
     for kind, rows in made.items():
         path = scratch_path(spark, f"bucketed-{kind}")
         stored[kind] = (name := path.rpartition("/")[2].replace("-", "_"))
-        append_bucketed(rows, name, path, kind, BUCKETS)
+        append_bucketed(rows, name, path, kind, buckets)
     label = settings_label(SCORED, F.col("horizon"))
     scored = score(spark.table(stored["forecasts"]), spark.table(stored["actuals"]), label)
     return scored.withColumn("dist_lon_lat", _r("dist_lon_lat", 4))

@@ -12,6 +12,7 @@ from movecast.operators.evaluate import (
     settings_label,
 )
 from movecast.operators.forecast import forecast
+from movecast.plans import queries
 from movecast.plans.inputs import traj_regular
 from movecast.schema import ACCURACY, FORECAST, FORECAST_COLUMNS, POINT
 from movecast.sources.points import decode_points, read_actuals, read_forecasts, read_points_csv, stored_table
@@ -122,3 +123,19 @@ def test_bucketed_tables_meet_without_a_shuffle(spark, sf_dir, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("some_forecasts", "some_actuals", "forecasts_again"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_more_points_lie_in_more_buckets(spark, tmp_path, monkeypatch):
+    """A task joins a whole bucket, so buckets hold about as many points whatever the table."""
+    made = [(k, k % 7, float(k % 5)) for k in range(120)]
+    events = spark.createDataFrame(made, "event_id long, user_id long, value double").withColumns(
+        {"ts": F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, event_id)"), "props": F.concat(F.lit("k="), F.col("event_id"))}
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    keep = lambda rows, name, path, kind, buckets: seen.append(buckets) or append_bucketed(rows, name, path, kind, buckets)
+    monkeypatch.setattr(queries, "append_bucketed", keep)
+    few = sorted(map(repr, queries.queries()["accuracy_bucketed"](spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(queries, "BUCKET_POINTS", 10, raising=False)
+    assert few and sorted(map(repr, queries.queries()["accuracy_bucketed"](spark, str(tmp_path)).collect())) == few
+    assert seen == [8, 8, 12, 12]
