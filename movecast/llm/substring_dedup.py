@@ -8,8 +8,9 @@ first document (smallest doc_id) that has them, and only that document goes on f
 them. What matches merges into maximal repeats, which are removed everywhere but in that first document. Nothing is paired
 within a group of copies: each block or stretch meets one row.
 
-Bit tables of fixed size tell, where texts are read, which blocks and stretches are wanted; where these tables are full, more
-rows than needed travel and the result is the same.
+Bit tables of fixed size tell, where texts are read, which blocks and stretches are wanted. They pass every row that is needed: a
+block is left to the first document that has it only if the table of first owners, which holds all blocks with such anchors, rules
+this document out. Where these tables are full, more rows than needed travel and the result is the same.
 
 Words are runs without space, tab, line feed, vertical tab, form feed and carriage return, unchanged. A null text has none. A null
 doc_id comes after all others. Rows with equal doc_id are no source for each other, and each is judged by its own text. An empty
@@ -19,11 +20,12 @@ table gives no rows. Fingerprints have 64 bits; n different stretches have about
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, BitTable, durable, flat, owners, pieces, prefix_sums, rolling, spans, window_starts, word_hashes
@@ -97,7 +99,9 @@ def _owned(block: Column, rank: Column) -> Column:
 
 def extended(hashed: DataFrame, tables: tuple[BitTable, BitTable, BitTable], length: int, anchor: int) -> DataFrame:
     """(stretch, rank, mark, place) of each block that several documents have, and of each stretch of 50 words, of the first document
-    of its block, whose anchor has different blocks. ``place``: its start and number of words."""
+    of its block, whose anchor has different blocks. ``place``: its start and number of words.
+
+    ``tables``: blocks that several documents have, blocks of contested anchors with their first document, contested anchors."""
     sent = hashed.sparkSession.sparkContext.broadcast(tables)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +112,7 @@ def extended(hashed: DataFrame, tables: tuple[BitTable, BitTable, BitTable], len
             row = owners(offsets)[begin] if len(begin) else begin
             ranks = batch.column("rank").to_numpy()
             several = repeated.has(whole)
-            leads = ~several | firsts.has(whole ^ (ranks[row].view(np.uint64) << U64(64 - BLOCK_BITS)))
+            leads = firsts.has(whole ^ (ranks[row].view(np.uint64) << U64(64 - BLOCK_BITS)))
             open_ = np.flatnonzero(contested.has(anchors) & leads)
             block = np.repeat(open_, size[open_])
             step = np.arange(len(block)) - np.repeat(np.cumsum(size[open_]) - size[open_], size[open_])
@@ -125,21 +129,40 @@ def extended(hashed: DataFrame, tables: tuple[BitTable, BitTable, BitTable], len
     return hashed.mapInArrow(rows, "stretch bigint, rank bigint, mark bigint, place bigint")
 
 
+def _among(table: BitTable, spark: SparkSession) -> Callable:
+    """Column function: may the table hold this hash?"""
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def among(h):
+        return h.__class__(sent.value.has(h.to_numpy().view(np.uint64)))
+
+    return among
+
+
+def _tables(different: DataFrame) -> tuple[BitTable, BitTable, BitTable]:
+    """Tables of ``extended``, from the different blocks with their first and last document."""
+    of_anchor = different.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("first").alias("a"), F.max("last").alias("b"))
+    contested = BitTable.of(of_anchor.where("blocks > 1 and a < b"), "anchor", BLOCK_BITS)
+    may_differ = different.where(_among(contested, different.sparkSession)("anchor"))
+    return (
+        BitTable.of(different.where("first < last"), "block", BLOCK_BITS),
+        BitTable.of(may_differ.select(_owned(F.col("block"), F.col("first")).alias("h")), "h", BLOCK_BITS),
+        contested,
+    )
+
+
 def maximal_repeats(docs: DataFrame, length: int = WORDS, anchor: int = ANCHOR_WORDS) -> DataFrame:
     """(rank, mark, start, end) in words of each stretch, as long as it goes, that a document with a smaller id has in parts
     of at least ``length`` words."""
     hashed = _hashed(docs)
-    different = blocks(hashed, length, anchor)
-    several = durable(different.where("first < last").select("block", "first"))
-    of_anchor = different.groupBy("anchor").agg(F.count("*").alias("blocks"), F.min("first").alias("a"), F.max("last").alias("b"))
-    tables = (
-        BitTable.of(several, "block", BLOCK_BITS),
-        BitTable.of(several.select(_owned(F.col("block"), F.col("first")).alias("h")), "h", BLOCK_BITS),
-        BitTable.of(of_anchor.where("blocks > 1 and a < b"), "anchor", BLOCK_BITS),
-    )
+    different = blocks(hashed, length, anchor).persist(StorageLevel.DISK_ONLY)
+    tables = _tables(different)
+    different.unpersist()
     stretches = extended(hashed, tables, length, anchor)
-    first = stretches.groupBy("stretch").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last")
-    repeated = stretches.join(first.select("stretch", "first"), "stretch").where(F.col("rank") > F.col("first"))
+    first = durable(stretches.groupBy("stretch").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last"))
+    wanted = stretches.where(_among(BitTable.of(first, "stretch", BLOCK_BITS), docs.sparkSession)("stretch"))
+    repeated = wanted.join(first, "stretch").where(F.col("rank") > F.col("first"))
     per_doc = repeated.groupBy("rank", "mark").agg(F.collect_set("place").alias("places"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +220,10 @@ def remove_repeats(docs: DataFrame, length: int = WORDS, anchor: int = ANCHOR_WO
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     repeats = durable(maximal_repeats(docs, length, anchor))
     changed = BitTable.of(repeats.select(F.xxhash64("rank", "mark").alias("h")), "h", DOCUMENT_BITS)
-    table = docs.sparkSession.sparkContext.broadcast(changed)
     rank = F.coalesce("doc_id", F.lit(LAST))
     seen = docs.select("doc_id", "text", rank.alias("rank"), F.xxhash64("text").alias("mark")).withColumn("h", F.xxhash64("rank", "mark"))
 
-    @F.pandas_udf("boolean")
-    def may_change(h):
-        return h.__class__(table.value.has(h.to_numpy().view(np.uint64)))
-
+    may_change = _among(changed, docs.sparkSession)
     none = F.lit(None).cast("array<struct<start:int,end:int>>")
     whole = seen.where(~may_change("h")).select("doc_id", "text", none.alias("spans"))
     found = repeats.groupBy("rank", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))

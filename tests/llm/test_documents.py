@@ -548,3 +548,24 @@ def test_quality_on_held_out_documents(spark):
 def test_no_labels_keep_all(spark, docs, sf_dir):
     none = spark.read.parquet(f"{sf_dir}/labels.parquet").where("false")
     assert ordinal_quality.select_good(docs, none).count() == docs.count()
+
+
+def test_substrings_where_tables_are_full(spark, monkeypatch):
+    """Bit tables that pass nearly everything change no result: what is wanted is never left out."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_BITS", 8)
+    rnd = random.Random(17)
+    base = [[f"w{rnd.randrange(500)}" for _ in range(120)] for _ in range(30)]
+    rows = []
+    for doc_id in range(120):
+        source, cut = rnd.choice(base), rnd.randrange(60)
+        text = source[cut : cut + 12 + rnd.randrange(50)] + [f"x{doc_id}"] + rnd.choice(base)[: rnd.randrange(40)]
+        rows.append((doc_id, " ".join(text)))
+    firsts: dict[tuple, int] = {}
+    lost = {}
+    for doc_id, text in rows:
+        words = text.split(" ")
+        stretches = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        lost[doc_id] = len({i + k for i, s in enumerate(stretches) if firsts.setdefault(s, doc_id) < doc_id for k in range(8)})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(docs, length=8, anchor=3, texts=False)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == lost
