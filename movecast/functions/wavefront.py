@@ -268,16 +268,19 @@ def _train(batch, k: int, cfg: ModelConfig, model, seen: _Seen, steps, more, obs
             out["a"] = nothing if matrices is None else lists(recurrence.flat_matrix(matrices))
         if state:
             out["last"] = pa.array(np.zeros(n, bool))
+        if "truth" in batch.schema.names:
+            truth = batch.column("truth")
+            out["truth"] = truth if seen.whole else truth.take(pa.array(seen.use))
         yield pa.RecordBatch.from_pydict(out)
     if final:
         rows, w, a = zip(*final, strict=True)
         rows, w = np.concatenate(rows), np.concatenate(w, axis=1)
         out = _base(batch.take(pa.array(rows)), k)
-        names = [c.split()[0] for c in model_schema(want, True).split(", ")]
+        names = [c.split()[0] for c in model_schema(want, True, "truth" in batch.schema.names).split(", ")]
         out["w"] = lists(recurrence.flat_weights(w))
         out["a"] = lists(recurrence.flat_matrix(np.concatenate(a, axis=2))) if cfg.newton else pa.nulls(len(rows), pa.list_(pa.float64()))
         out["last"] = pa.array(np.ones(len(rows), bool))
-        fill = {"base_ts": pa.int64()}
+        fill = {"base_ts": pa.int64()} | {c: batch.schema.field(c).type for c in ("truth",) if c in names}
         out |= {c: pa.nulls(len(rows), fill.get(c, pa.list_(pa.float64()))) for c in names if c not in out}
         yield pa.RecordBatch.from_pydict({c: out[c] for c in names})
 
@@ -294,7 +297,11 @@ def _final(model, s: Round, ended: np.ndarray, piece: int) -> tuple[np.ndarray,
     return s.rows.start + ended, w, None if model.a is None else model.a[:, :, at]
 
 
-def model_schema(want: str, state: bool) -> str:
+#: True positions by time: those of all times for which an event is forecast.
+TRUTH = "map<bigint,array<struct<true_longitude:double,true_latitude:double>>>"
+
+
+def model_schema(want: str, state: bool, truth: bool = False) -> str:
     columns = ["id int", "segment bigint", "origin_timestamp bigint", "config int"]
     if want == "forecast":
         columns += ["base_ts bigint"] + [f"{a} array<double>" for a in ATTRIBUTES]
@@ -304,6 +311,8 @@ def model_schema(want: str, state: bool) -> str:
         columns += ["w array<double>", "a array<double>"]
     if state:
         columns.append("last boolean")
+    if truth:
+        columns.append(f"truth {TRUTH}")
     return ", ".join(columns)
 
 

@@ -29,30 +29,34 @@ def settings_label(cfg: ModelConfig, horizon: Column | None = None) -> Column:
     return F.concat(*parts)
 
 
-def score(forecasts: DataFrame, actuals: DataFrame, settings: Column | str, horizon: int | None = None) -> DataFrame:
+def score(
+    forecasts: DataFrame, actuals: DataFrame | None, settings: Column | str, horizon: int | None = None
+) -> DataFrame:
     """Great-circle error of every unflagged forecast that has a true position at its (id, timestamp).
 
-    An inner equi-join: several true positions give several rows, none gives none.
+    An inner equi-join: several true positions give several rows, none gives none. ``actuals`` is None where the forecasts were made
+    with the true positions (column ``truth``); these give the rows of the same join.
     """
     settings = F.lit(settings) if isinstance(settings, str) else settings
     rows = forecasts.where(~F.col("error"))
     if horizon is not None:
         rows = rows.where(F.col("horizon") == horizon)
-    truth = actuals.select(
-        "id",
-        "timestamp",
-        F.col("longitude").alias("true_longitude"),
-        F.col("latitude").alias("true_latitude"),
-        *[c for c in ("actuals",) if c in actuals.columns],
-    )
+    tables = [] if actuals is None else [c for c in ("actuals",) if c in actuals.columns]
+    if actuals is None:
+        pairs = rows.select(*[c for c in rows.columns if c != "truth"], F.inline("truth"))
+    else:
+        truth = actuals.select(
+            "id", "timestamp", F.col("longitude").alias("true_longitude"), F.col("latitude").alias("true_latitude"), *tables
+        )
+        pairs = rows.join(truth, ["id", "timestamp"])
     at = (F.col("latitude"), F.col("longitude"), F.col("true_latitude"), F.col("true_longitude"))
-    return rows.join(truth, ["id", "timestamp"]).select(
+    return pairs.select(
         settings.alias("settings"),
         F.col("timestamp").alias("prediction_timestamp"),
         "horizon",
         haversine_m(*at).alias("dist_lon_lat"),
         F.lit(0.0).alias("altitude"),
-        *[c for c in ("actuals",) if c in actuals.columns],
+        *tables,
     )
 
 

@@ -20,10 +20,17 @@ def forecast(points: DataFrame, cfg: ModelConfig, horizons: tuple[int, ...] | No
 
 
 def forecast_many(
-    points: DataFrame, configs: list[ModelConfig], horizons: tuple[int, ...] | None = None, **layout
+    points: DataFrame,
+    configs: list[ModelConfig],
+    horizons: tuple[int, ...] | None = None,
+    actuals: DataFrame | None = None,
+    **layout,
 ) -> DataFrame:
-    """Forecast rows of several configurations that share sampling, gap and order, in one pass over the points."""
-    return forecast_rows(run_models(points, configs, "forecast", **layout), configs, horizons)
+    """Forecast rows of several configurations that share sampling, gap and order, in one pass over the points.
+
+    With ``actuals`` each row brings the true positions at its (id, timestamp) along (``truth``, an array), for ``score``.
+    """
+    return forecast_rows(run_models(points, configs, "forecast", actuals, **layout), configs, horizons)
 
 
 def forecast_rows(runs: DataFrame, configs: list[ModelConfig], horizons: tuple[int, ...] | None = None) -> DataFrame:
@@ -58,7 +65,8 @@ def forecast_rows(runs: DataFrame, configs: list[ModelConfig], horizons: tuple[i
             shifted = F.concat(F.slice(name, 1, 1), F.slice(name, 1, F.size(name) - 1))
             runs = runs.withColumn(f"from_{name}", shifted)
             parts.append(f"from_{name}")
-    keep = ["id", "segment", "origin_timestamp", "base_ts", "job"]
+    truth = ["truth"] if "truth" in runs.columns else []
+    keep = ["id", "segment", "origin_timestamp", "base_ts", "job", *truth]
     if horizons is None:
         rows = runs.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("at", "p"))
     else:
@@ -73,9 +81,10 @@ def forecast_rows(runs: DataFrame, configs: list[ModelConfig], horizons: tuple[i
     rows = rows.withColumns({a: F.col("p")[a] for a in ATTRIBUTES})
     if derived:
         rows = _derived_motion(rows, sampling)
+    at = F.when(observed, F.col("origin_timestamp")).otherwise(ahead)
     return rows.select(
         "id",
-        F.when(observed, F.col("origin_timestamp")).otherwise(ahead).alias("timestamp"),
+        at.alias("timestamp"),
         *ATTRIBUTES,
         (~observed & speed_error(F.col("speed"), F.col("job.speed_threshold"))).alias("error"),
         F.col("at").cast("int").alias("horizon"),
@@ -84,7 +93,8 @@ def forecast_rows(runs: DataFrame, configs: list[ModelConfig], horizons: tuple[i
         "segment",
         F.col("job.variant").alias("variant"),
         F.col("job.config_id").alias("config_id"),
-    ).select(*FORECAST_COLUMNS)
+        *[F.try_element_at(c, at).alias(c) for c in truth],
+    ).select(*FORECAST_COLUMNS, *truth)
 
 
 def _derived_motion(rows: DataFrame, sampling: int) -> DataFrame:

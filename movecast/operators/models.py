@@ -51,23 +51,24 @@ def random_start(cfg: ModelConfig) -> Column:
     return F.array(*values)
 
 
-def run_models(points: DataFrame, configs: list[ModelConfig], want: str, **layout) -> DataFrame:
+def run_models(points: DataFrame, configs: list[ModelConfig], want: str, actuals: DataFrame | None = None, **layout) -> DataFrame:
     """One row per (configuration, trainable event) with what ``model_task`` returns for ``want``.
 
     ``piece_rows`` is part of the rule for the weights of gradient jobs; the other settings of ``layout`` do not change results.
+    With ``actuals`` a row has the true positions at the times of its forecasts too (``truth``, by time).
     """
     check_together(configs)
-    run = _Run(configs, want, layout.pop("piece_rows", PIECE_ROWS), layout.pop("round_pieces", ROUND_PIECES))
+    run = _Run(configs, want, layout.pop("piece_rows", PIECE_ROWS), layout.pop("round_pieces", ROUND_PIECES), actuals)
     return union_parts([run.hot(p) if p.chunked else run.cold(p) for p in track_parts(points, configs[0].order, **layout)])
 
 
 class _Run:
     """A pass of some configurations over the parts of the points."""
 
-    def __init__(self, configs: list[ModelConfig], want: str, piece: int, round_pieces: int):
+    def __init__(self, configs: list[ModelConfig], want: str, piece: int, round_pieces: int, actuals: DataFrame | None = None):
         if piece < 2:
             raise ValueError("piece_rows must be at least 2")
-        self.configs, self.want, self.piece, self.round_pieces = configs, want, piece, round_pieces
+        self.configs, self.want, self.piece, self.round_pieces, self.actuals = configs, want, piece, round_pieces, actuals
         self.windows = windows = tuple(sorted({c.window for c in configs}))
         self.named: Callable[[str, int], str] = lambda name, h: sized(name, h, windows)
 
@@ -79,8 +80,37 @@ class _Run:
             out += [F.col(irregular), (F.col(z) >= h).alias(trains), F.col(i).cast("bigint").alias(i)]
         return out
 
+    def _truth(self, df: DataFrame) -> list[str]:
+        return ["truth"] if "truth" in df.columns else []
+
+    def _with_truth(self, df: DataFrame) -> DataFrame:
+        """Events with the true positions of their id at all times they are forecast for, as the join of ``score`` finds them.
+
+        The truth is looked up once per event and time, for all configurations together, so forecasts need no join (nor a shuffle) later.
+        Cold tracks lie by id, and so do all rows here: only the true positions may have to move.
+        """
+        if self.actuals is None:
+            return df
+        step, wanted = F.lit(self.configs[0].sampling), []
+        for h in self.windows:
+            own = [c for c in self.configs if c.window == h]
+            base = F.col(self.named("base_ts", h))
+            times = F.sequence(base + step, base + step * max(c.horizon for c in own), step)
+            if any(c.from_observed for c in own):
+                times = F.concat(times, F.array("timestamp"))
+            wanted.append(F.when(F.col(self.named("z_len", h)) >= h, times).otherwise(F.array().cast("array<bigint>")))
+        keys = ["id", "timestamp", *[self.named(c, h) for h in self.windows for c in ("base_ts", "z_len")]]
+        times = df.select(*keys, F.array_distinct(F.concat(*wanted)).alias("times")).distinct()
+        places = F.struct(F.col("longitude").alias("true_longitude"), F.col("latitude").alias("true_latitude"))
+        true = self.actuals.groupBy("id", F.col("timestamp").alias("at")).agg(F.collect_list(places).alias("places"))
+        found = times.select(*keys, F.explode("times").alias("at")).join(true, ["id", "at"])
+        found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "places"))).alias("truth"))
+        return df.join(found, keys, "left")
+
     def cold(self, part: Part) -> DataFrame:
-        df, w = events(part, self.configs[0], windows=self.windows).df, part.window()
+        df, w = self._with_truth(events(part, self.configs[0], windows=self.windows).df), part.window()
+        if self.actuals is not None:  # along the numbers that the rows had when they were joined
+            w = Window.partitionBy("id").orderBy("segment", "pos")
 
         def goes_on(k: int) -> Column:
             return F.lead("segment", k).over(w).eqNullSafe(F.col("segment"))
@@ -89,7 +119,9 @@ class _Run:
         if not all(c.newton for c in self.configs):
             facts["goes_on"] = F.when((F.col("pos") - 1) % self.piece == 0, goes_on(self.piece)).otherwise(False)
         segment = F.col("segment").cast("bigint").alias("segment")
-        rows = df.withColumns(facts).select(*[segment if c == "segment" else c for c in _POINT], *self._sights(), F.col("pos").alias("t"), *facts)
+        rows = df.withColumns(facts).select(
+            *[segment if c == "segment" else c for c in _POINT], *self._sights(), F.col("pos").alias("t"), *facts, *self._truth(df)
+        )
         return self._learn(rows, self.configs, ("id", "segment"))
 
     def _learn(self, rows: DataFrame, configs: list[ModelConfig], keys: tuple[str, ...], state: bool = False) -> DataFrame:
@@ -106,17 +138,20 @@ class _Run:
         rows = rows.withColumns(starts) if starts else rows
         rows = rows.sortWithinPartitions("t", *keys)
         task = wf.model_task(configs, self.want, state, self.piece, self.named)
-        return rows.mapInArrow(task, wf.model_schema(self.want, state))
+        return rows.mapInArrow(task, self._schema(state))
+
+    def _schema(self, state: bool) -> str:
+        return wf.model_schema(self.want, state, self.actuals is not None)
 
     def hot(self, part: Part) -> DataFrame:
         cfg = self.configs[0]
         links = chunk_links(part, cfg, self.windows)
-        df = events(part, cfg, links, self.windows, history=True).df
+        df = self._with_truth(events(part, cfg, links, self.windows, history=True).df)
         place = F.col("pos") - 1
         before = F.when((place % self.piece == 0) & (F.size("history") > 1), F.slice("history", 1, F.size("history") - 1))
         rows = df.select(
             "id", F.col("segment").cast("bigint").alias("segment"), *_POINT[2:], *self._sights(), "pos",
-            F.expr(f"(pos - 1) div {self.piece}").alias("piece"), before.alias("before"),
+            F.expr(f"(pos - 1) div {self.piece}").alias("piece"), before.alias("before"), *self._truth(df),
         )
         rows = durable(rows)
         along = Window.partitionBy("id").orderBy("segment", "piece")
@@ -172,7 +207,7 @@ class _Run:
         each = each.withColumn("t", F.col("pos") - F.col("from")).drop("pos", "piece", "from")
         each.write.partitionBy("stretch").parquet(staged)
         kept = each.drop("stretch").schema
-        schema = wf.model_schema(self.want, True)
+        schema = self._schema(True)
         last = pieces.agg(F.max("stretch")).first()[0]
         for r in range(0 if last is None else last + 1):
             batch = spark.read.schema(kept).parquet(f"{staged}/stretch={r}")
@@ -186,9 +221,9 @@ class _Run:
             ended = spark.read.schema(schema).parquet(f"{results}/round={r}").where("last")
             newest = F.max_by(F.struct("segment", "w", "a"), "segment").alias("s")
             ended.groupBy("id").agg(newest).select("id", "s.*").write.parquet(f"{states}/round={r}")
-        columns = [c.split()[0] for c in wf.model_schema(self.want, False).split(", ")]
+        columns = [c.split()[0] for c in self._schema(False).split(", ")]
         if last is None:
-            return spark.createDataFrame([], wf.model_schema(self.want, False))
+            return spark.createDataFrame([], self._schema(False))
         return spark.read.schema(schema + ", round int").parquet(results).where("not last").select(*columns)
 
 

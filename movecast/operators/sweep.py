@@ -29,12 +29,13 @@ def sweep_grid(base: ModelConfig, windows=SWEEP_WINDOWS, rates=SWEEP_RATES, vari
     ]
 
 
-def sweep(points: DataFrame, configs: Iterable[ModelConfig], **layout) -> DataFrame:
+def sweep(points: DataFrame, configs: Iterable[ModelConfig], actuals: DataFrame | None = None, **layout) -> DataFrame:
     """Forecasts of every configuration, told apart by ``config_id``.
 
     Configurations with the same sampling, gap and order share one layout, one sort and one pass, whatever their windows: a task keeps the
     points of the largest window of each track, and smaller windows are the ends of it. Points are not multiplied by the number
-    of configurations.
+    of configurations. With ``actuals`` each forecast brings its true positions along (``truth``): they are looked up once per event, and
+    ``score`` has nothing to join, so forecasts, far more than the points, are not shuffled.
     """
     groups: dict[tuple, list[ModelConfig]] = {}
     for c in configs:
@@ -46,4 +47,4 @@ def sweep(points: DataFrame, configs: Iterable[ModelConfig], **layout) -> DataFr
         raise ValueError("config_id must be unique")
     rule = {k: layout.pop(k) for k in ("piece_rows", "round_pieces") if k in layout}
     parts = {order: track_parts(points, order, **layout) for order in {order for *_, order in groups}}
-    return union_parts([forecast_many(parts[key[-1]], group, **rule) for key, group in groups.items()])
+    return union_parts([forecast_many(parts[key[-1]], group, actuals=actuals, **rule) for key, group in groups.items()])

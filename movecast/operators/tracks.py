@@ -196,7 +196,7 @@ def events(
         column
         for h in windows
         for column in (
-            *[sized(c, h, windows) for c in ("n_visible", "first_ts", "irregular", "span_ok", "z_len")],
+            *[sized(c, h, windows) for c in ("n_visible", "first_ts", "irregular", "span_ok", "z_len", "base_ts")],
             (F.col("pos") + F.col(sized("grown", h, windows))).alias(sized("i", h, windows)),
         )
     ]
@@ -290,13 +290,17 @@ def _seen(df: DataFrame, h: int, named, cfg: ModelConfig, chunked: bool) -> Data
     df = df.withColumns(
         {named("first_ts"): F.get("times", F.size("times") - n), named("irregular"): irregular}
     ).withColumn(named("span_ok"), F.floor((ts - F.col(named("first_ts"))) / step) + 1 > h)
+    start = F.col(named("first_ts"))
     if cfg.order == "arrival":
-        span, apart = F.array_max(times) - F.array_min(times), distinct
+        start = F.array_min(times)
+        span, apart = F.array_max(times) - start, distinct
     else:
-        span = ts - F.col(named("first_ts"))
+        span = ts - start
     usable = F.col(named("span_ok")) & (n >= 3) & apart
     resampled = F.when(usable, F.floor(span / step) + 1).otherwise(0)
-    return df.withColumn(named("z_len"), F.when(F.col(named("irregular")), resampled).otherwise(n).cast("bigint"))
+    df = df.withColumn(named("z_len"), F.when(F.col(named("irregular")), resampled).otherwise(n).cast("bigint"))
+    last = start + (F.col(named("z_len")) - 1) * F.lit(cfg.sampling)  # time of the last sample
+    return df.withColumn(named("base_ts"), F.when(F.col(named("irregular")), last).otherwise(ts))
 
 
 def event_parts(points: DataFrame, cfg: ModelConfig, history: bool = False, **layout) -> list[Part]:

@@ -223,8 +223,8 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sweep(configs: list[ModelConfig]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        forecasts = sweep(traj_regular(spark, sf_dir), configs)
-        return _rounded(score_summary(score(forecasts, actuals(spark, sf_dir), F.col("config_id"))), 3)
+        forecasts = sweep(traj_regular(spark, sf_dir), configs, actuals(spark, sf_dir))
+        return _rounded(score_summary(score(forecasts, None, F.col("config_id"))), 3)
 
     return query
 

@@ -7,12 +7,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import Track, forecasts
+from pyspark.sql import functions as F
 
 from movecast.config import ATTRIBUTES, VARIANTS, ModelConfig
 from movecast.functions.recurrence import forecasts as forecast_arrays
 from movecast.functions.recurrence import newton_step
 from movecast.functions.wavefront import Front, Histories
 from movecast.operators import models
+from movecast.operators.evaluate import score
 from movecast.operators.forecast import fit_weights, forecast, init_weights, one_step_backtest
 from movecast.operators.sweep import sweep, sweep_grid
 from movecast.operators.tracks import track_history, track_segments
@@ -159,6 +161,27 @@ def test_sweep_over_window_sizes_is_one_pass(spark):
     assert rows(sweep(points, grid, piece_rows=16, hot_rows=20, chunk_rows=16)) == want
 
 
+@pytest.mark.parametrize("order", ["event", "arrival"])
+def test_swept_forecasts_bring_their_true_positions(spark, order):
+    """The rows of the join with the true positions, some of which are there twice or off the grid, without a shuffle of forecasts."""
+    rows = walk(seed=29, tracks=3, n=60)
+    if order == "arrival":
+        random.Random(1).shuffle(rows)
+        rows.sort(key=lambda r: r[1] // 30_000)
+    points = made(spark, rows)
+    actuals = points.select("id", "timestamp", "longitude", "latitude")
+    actuals = actuals.unionByName(actuals.where("seq % 5 = 0")).unionByName(actuals.withColumn("timestamp", F.col("timestamp") + 4000))
+    base = ModelConfig(horizon=3, order=order)
+    grid = sweep_grid(base, windows=((4, 3), (6, 2)), rates=(1e-6,), variants=("arma_gd", "arima_ns", "corr_arma_ns"))
+    scored = lambda df, true: sorted(repr(tuple(r)) for r in score(df, true, F.col("config_id")).collect())
+    want = scored(sweep(points, grid, piece_rows=16), actuals)
+    once = sweep(points, grid, actuals, piece_rows=16)
+    assert len(want) > 500 and scored(once, None) == want
+    plan = score(once, None, F.col("config_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.partition("MapInArrow")[0]
+    assert scored(sweep(points, grid, actuals, piece_rows=16, round_pieces=2, hot_rows=20, chunk_rows=16), None) == want
+
+
 def test_hot_random_start_and_sweep(spark):
     base = ModelConfig(horizon=2, vector_init="random", seed=3)
     points = made(spark, walk(seed=8, tracks=2, n=60))
