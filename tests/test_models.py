@@ -10,6 +10,7 @@ from brute import Track, forecasts
 from pyspark.sql import functions as F
 
 from movecast.config import ATTRIBUTES, VARIANTS, ModelConfig
+from movecast.functions import wavefront
 from movecast.functions.recurrence import forecasts as forecast_arrays
 from movecast.functions.recurrence import newton_step
 from movecast.functions.wavefront import Front, Histories
@@ -182,6 +183,14 @@ def test_swept_forecasts_bring_their_true_positions(spark, order):
     assert scored(sweep(points, grid, actuals, piece_rows=16, round_pieces=2, hot_rows=20, chunk_rows=16), None) == want
 
 
+def test_long_forecasts_take_short_stretches():
+    batch = pa.RecordBatch.from_pydict({"x": pa.array(range(10_000))})
+    for horizon in (1, 32, 1000):
+        cut = list(wavefront._stretches([batch, batch.slice(0, 0)], [ModelConfig(), ModelConfig(horizon=horizon)]))
+        assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([batch]))
+        assert all(0 < b.num_rows * 4 * max(horizon, 16) <= wavefront.BATCH_VALUES for b in cut)
+
+
 def test_hot_random_start_and_sweep(spark):
     base = ModelConfig(horizon=2, vector_init="random", seed=3)
     points = made(spark, walk(seed=8, tracks=2, n=60))
