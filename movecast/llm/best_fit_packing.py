@@ -26,8 +26,8 @@ from .common import durable
 LENGTH = 2048
 OPEN_BINS = 512
 PIECES_PER_TASK = 250_000
-#: Chunks whose ids a worker remembers; then it forgets them all.
-CACHE = 1_000_000
+#: Chunks whose ids a worker remembers (about 40 MB, held as long as the worker lives); then it forgets them all.
+CACHE = 1 << 18
 
 
 class ChunkIds:

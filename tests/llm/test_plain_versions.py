@@ -3,14 +3,16 @@
 import random
 import shutil
 import struct
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from movecast.llm import best_fit_packing, lz_fingerprints, ordinal_quality
+from movecast.llm import best_fit_packing, chosen_path_join, common, lz_fingerprints, ordinal_quality, queries
 
 # --- quality classifier
 
@@ -139,3 +141,20 @@ def test_pipeline_on_awkward_tables(spark, sf_dir, tmp_path, kind):
             places.setdefault(r.sequence_id, []).append((r.offset, r.length))
         assert got and all(sum(n for _, n in p) <= 2048 for p in places.values())
         assert {r.doc_id for r in got} <= {None, *range(6)}
+
+
+def test_workers_hold_little_of_a_large_batch():
+    """Numpy steps over the words of a batch take no more memory the larger it is, nor does the tokenizer's memory of chunks."""
+    words = pa.array([list(range(k, k + 400)) for k in range(2_000)], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([words], names=["words"])
+    common.POWERS.get(1 << 20)
+    tracemalloc.start()
+    for part in common.pieces(iter([batch]), "words"):
+        hashes, offsets = chosen_path_join.shingle_sets(*common.flat(part.column("words")))
+        assert len(chosen_path_join.set_prints(hashes, offsets)[0]) == part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6  # 800,000 words at once took 70 MB and more
+    ids = best_fit_packing.ChunkIds(queries.vocabulary())
+    ids.of(" ".join(f"{k}" for k in range(300_000)))
+    assert len(ids.known) <= 1 << 18
