@@ -2,8 +2,9 @@
 
 The state holds the last ``window`` points, the weights and the step counter, never the track. Points of one object are
 taken in arrival order: by ``seq`` when the stream has it (a file position, a Kafka offset), else by time within each
-micro-batch. A micro-batch of one object is held while it is put in order, so bound it with the source's rate limit
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+micro-batch. Objects are dealt by a hash of their id to ``GROUPS`` groups, whose states are stored together and whose
+micro-batch is laid out and learnt together, one numpy step for the next event of each object. A micro-batch of one group is held
+while it is put in order, so bound it with the source's rate limit (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
 
 from __future__ import annotations
@@ -24,60 +25,101 @@ from ..functions.sampling import sampled_levels, windows
 from ..functions.wavefront import model_schema
 from ..operators.forecast import forecast_rows
 
-_STATE = (
-    "ts array<bigint>, longitude array<double>, latitude array<double>, speed array<double>, heading array<double>, "
-    "w array<double>, a array<double>, i bigint, segment bigint"
-)
+#: Groups of objects. A stream keeps their number for as long as it goes on from its checkpoint.
+GROUPS = 2_048
+#: Stands for a null id, which is an object of its own; ids are ints.
+NO_ID = -(1 << 40)
+NEVER = np.iinfo(np.int64).max
+
+#: What is stored of the objects of a group, by rising id: numbers as bytes, ``ts`` and ``points`` object by object.
+_FIELDS = {
+    "ids": np.int64, "held": np.int64, "ts": np.int64, "points": np.float64, "w": np.float64, "a": np.float64,
+    "i": np.int64, "segment": np.int64, "due": np.int64,
+}
+_STATE = ", ".join(f"{name} binary" for name in _FIELDS)
+#: Points that wait for earlier ones, where a stream is put in time order.
+_PENDING = "p_ids binary, p_ts binary, p_points binary"
 
 
-#: Points that wait for earlier ones, where a stream is put in time order.
-_PENDING = ", ".join(f"p_{c.strip()}" for c in _STATE.split(",")[:5])
-
-
-class _Object:
-    """State of one object while its micro-batch is processed: its last points, its weights and its counters."""
-
-    def __init__(self, cfg: ModelConfig, key: int, stored: tuple | None):
-        self.cfg, self.key = cfg, key
-        self.model = recurrence.Weights(cfg)
-        self.ts, self.points = np.empty(0, np.int64), np.empty((0, 4))
-        self.i, self.segment = 0, -1
-        if stored is not None and stored[-1] >= 0:
-            ts, *columns, w, a, self.i, self.segment = stored
-            self.ts, self.points = np.array(ts, np.int64), np.array(columns, float).T
-            every = np.ones(1, dtype=bool)
-            self.model.open(1, (every, np.array(w)), (every, np.array(a)) if cfg.newton else None)
-        self.open_segment = self.segment
-
-    def open(self, segment: int) -> None:
-        """Start weights of a segment, unless it is the one whose weights are held."""
-        if segment == self.open_segment:
-            return
-        start = None
-        if self.cfg.vector_init == "random":
-            start = (np.ones(1, dtype=bool), recurrence.random_weights(self.cfg, self.key, segment))
-        self.model.open(1, start)
-        self.open_segment = segment
+class _Objects:
+    """Objects of one group while its micro-batch is processed, by rising id: their last points (``held`` of each), their weights and
+    counters, and when they are forgotten."""
+
+    def __init__(self, cfg: ModelConfig, stored: tuple | None = None):
+        self.cfg = cfg
+        for (name, kind), value in zip(_FIELDS.items(), stored or [b""] * len(_FIELDS), strict=True):
+            setattr(self, name, np.frombuffer(bytes(value), kind).copy())
+        n, p = len(self.ids), cfg.train
+        self.points, self.w = self.points.reshape(-1, 4), self.w.reshape(n, 4 * p)
+        self.a = self.a.reshape(n, 4 * p * p if cfg.newton else 0)
 
     def stored(self) -> tuple:
-        columns = self.points.T.tolist()
-        if self.segment < 0:  # no point was taken yet
-            return (self.ts.tolist(), *columns, [], [], self.i, self.segment)
-        w, a = self.model.flat()
-        return (self.ts.tolist(), *columns, w[0].tolist(), [] if a is None else a[0].tolist(), self.i, self.segment)
+        return tuple(getattr(self, name).tobytes() for name in _FIELDS)
+
+    def of(self, which: np.ndarray) -> _Objects:
+        out, rows = _Objects(self.cfg), np.repeat(which, self.held)
+        for name in _FIELDS:
+            setattr(out, name, getattr(self, name)[rows if name in ("ts", "points") else which])
+        return out
+
+    def merged(self, other: _Objects) -> _Objects:
+        """These objects and others."""
+        out, ids = _Objects(self.cfg), np.concatenate([self.ids, other.ids])
+        order = np.argsort(ids, kind="stable")
+        rows = np.argsort(np.repeat(ids, np.concatenate([self.held, other.held])), kind="stable")
+        for name in _FIELDS:
+            both = np.concatenate([getattr(self, name), getattr(other, name)])
+            setattr(out, name, both[rows if name in ("ts", "points") else order])
+        return out
+
+    def told(self, ids: pd.Series) -> tuple[_Objects, _Objects]:
+        """The objects of these ids, new ones too, and the others."""
+        known, found = np.isin(self.ids, ids), _Objects(self.cfg)
+        found.ids = np.setdiff1d(ids.to_numpy(np.int64), self.ids)
+        n = len(found.ids)
+        found.held, found.i, found.segment, found.due = (np.full(n, x) for x in (0, 0, -1, NEVER))
+        found.w, found.a = np.zeros((n, self.w.shape[1])), np.zeros((n, self.a.shape[1]))
+        return self.of(known).merged(found), self.of(~known)
+
+
+class _Model:
+    """Weights of the objects, with the segment that each one's are of."""
+
+    def __init__(self, objects: _Objects):
+        self.cfg, self.ids, self.segment = objects.cfg, objects.ids, objects.segment.copy()
+        self.weights = recurrence.Weights(self.cfg)
+        known = objects.segment >= 0
+        self.weights.open(len(known), (known, objects.w[known]), (known, objects.a[known]) if self.cfg.newton else None)
+
+    def open(self, at: np.ndarray, segment: np.ndarray) -> None:
+        """Start weights of these segments, but for objects whose weights are of them already."""
+        fresh = segment != self.segment[at]
+        at, segment = at[fresh], segment[fresh]
+        if not len(at):
+            return
+        start, w0 = recurrence.Weights(self.cfg), None
+        if self.cfg.vector_init == "random":
+            draws = [recurrence.random_weights(self.cfg, int(k), int(s)) for k, s in zip(self.ids[at], segment, strict=True)]
+            w0 = (np.ones(len(at), dtype=bool), np.array(draws))
+        start.open(len(at), w0)
+        self.weights.w[:, at] = start.w
+        if self.cfg.newton:
+            self.weights.a[:, :, at] = start.a
+        self.segment[at] = segment
 
 
 @dataclass
 class _Steps:
-    """Steps of one micro-batch over the held and the new points, which lie in arrival order."""
+    """Steps of one micro-batch over the held and the new points, which lie object by object, in arrival order."""
 
+    owner: np.ndarray  # the object of each step
     first: np.ndarray  # place of the oldest visible point of each step
     end: np.ndarray  # place after its newest one
     length: np.ndarray  # points of its fixed-step history; 0 where it cannot be sampled
     irregular: np.ndarray
     i: np.ndarray
     segment: np.ndarray
-    begun: int  # where the open segment begins among these points
+    begun: np.ndarray  # where the open segment begins among these points
 
 
 def _sampled_lengths(ts: np.ndarray, first: np.ndarray, end: np.ndarray, cfg: ModelConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -96,27 +138,31 @@ def _sampled_lengths(ts: np.ndarray, first: np.ndarray, end: np.ndarray, cfg: Mo
     return length, irregular
 
 
-def _per_point(obj: _Object, ts: np.ndarray, held: int) -> _Steps:
+def _per_point(objects: _Objects, ts: np.ndarray, owner: np.ndarray, new: np.ndarray) -> _Steps:
     """Steps of the stateful jobs: one per point; a gap starts the object afresh."""
-    end = np.arange(held, len(ts)) + 1
-    fresh = np.append(held == 0, np.diff(ts) > obj.cfg.gap_threshold)
-    fresh[1:held] = False
-    begun = np.maximum.accumulate(np.where(fresh, np.arange(len(ts)), 0))[held:]
-    first = np.maximum(end - 1 - obj.cfg.window, begun)
-    length, irregular = _sampled_lengths(ts, first, end, obj.cfg)
-    grown = np.cumsum(1 + np.where(irregular, length, 0))
-    inherited = np.cumsum(fresh[held:]) == 0
-    before = np.append(0, grown)[np.maximum(begun - held, 0)]
-    i = np.where(inherited, obj.i, -before) + grown
-    return _Steps(first, end, length, irregular, i, obj.segment + np.cumsum(fresh[held:]), int(begun[-1]))
-
-
-def _per_batch(obj: _Object, ts: np.ndarray, held: int) -> _Steps:
+    cfg, place, head = objects.cfg, np.arange(len(ts)), np.append(True, np.diff(owner) > 0)
+    fresh = new & np.where(head, objects.held[owner] == 0, np.append(False, np.diff(ts) > cfg.gap_threshold))
+    begun = np.maximum.accumulate(np.where(fresh | head, place, 0))[new]
+    end, owner = place[new] + 1, owner[new]
+    first = np.maximum(end - 1 - cfg.window, begun)
+    length, irregular = _sampled_lengths(ts, first, end, cfg)
+    # Running sums over the new points, less what they were before each object's first one or its open segment.
+    grown = np.append(0, np.cumsum(1 + np.where(irregular, length, 0)))
+    started = np.append(0, np.cumsum(fresh[new]))
+    own = np.searchsorted(owner, owner)
+    segments = started[1:] - started[own]
+    since = np.where(segments == 0, own, (np.cumsum(new) - 1)[begun])
+    i = np.where(segments == 0, objects.i[owner], 0) + grown[1:] - grown[since]
+    return _Steps(owner, first, end, length, irregular, i, objects.segment[owner] + segments, begun)
+
+
+def _per_batch(objects: _Objects, ts: np.ndarray, owner: np.ndarray, new: np.ndarray) -> _Steps:
     """Steps of the micro-batch jobs: all new points join the history at once; gaps do not matter."""
-    first, end = np.array([0]), np.array([len(ts)])
-    length, irregular = _sampled_lengths(ts, first, end, obj.cfg)
-    i = np.where(irregular & (length > 0), length, obj.i + 1)
-    return _Steps(first, end, length, irregular, i, np.array([obj.segment + (held == 0)]), 0)
+    every = np.arange(len(objects.ids))
+    first, end = np.searchsorted(owner, every), np.searchsorted(owner, every, "right")
+    length, irregular = _sampled_lengths(ts, first, end, objects.cfg)
+    i = np.where(irregular & (length > 0), length, objects.i + 1)
+    return _Steps(every, first, end, length, irregular, i, objects.segment + (objects.held == 0), first)
 
 
 def _histories(ts: np.ndarray, points: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.ListArray:
@@ -130,43 +176,79 @@ def _histories(ts: np.ndarray, points: np.ndarray, first: np.ndarray, end: np.nd
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["timestamp", *ATTRIBUTES]))
 
 
-def _advance(obj: _Object, new_ts: np.ndarray, new_points: np.ndarray) -> pd.DataFrame | None:
-    """Train on the points of one micro-batch; forecast arrays of its trainable steps.
+def _samples(ts: np.ndarray, points: np.ndarray, steps: _Steps, use: np.ndarray, cfg: ModelConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sampled_levels`` of these steps. Those that see about as many points go together, as all are padded to the most."""
+    first, end = steps.first[use], steps.end[use]
+    levels, count, base_ts = np.empty((len(use), 4, cfg.window + 1)), np.empty(len(use), np.int64), np.empty(len(use), np.int64)
+    width = np.ceil(np.log2(np.maximum(end - first, cfg.window + 1)))
+    for size in np.unique(width):
+        rows = np.flatnonzero(width == size)
+        history = _histories(ts, points, first[rows], end[rows])
+        levels[rows], count[rows], base_ts[rows] = sampled_levels(history, steps.irregular[use][rows], cfg.window, cfg.sampling)
+    return levels, count, base_ts
+
 
-    Only the weight recurrence goes step by step; histories, samples and forecasts are made for all steps at once.
+def _advance(objects: _Objects, new: pd.DataFrame) -> pd.DataFrame | None:
+    """Train on the points of one micro-batch, some of each object, by rising id; forecast arrays of its trainable steps.
+
+    Only the weight recurrence goes step by step, for all objects together; histories, samples and forecasts are made at once.
     """
-    cfg, held = obj.cfg, len(obj.ts)
-    ts, points = np.concatenate([obj.ts, new_ts]), np.concatenate([obj.points, new_points])
-    steps = (_per_batch if cfg.motion == "derived" else _per_point)(obj, ts, held)
-    kept = max(steps.begun, len(ts) - cfg.window)
-    obj.ts, obj.points = ts[kept:], points[kept:]
-    obj.i, obj.segment = int(steps.i[-1]), int(steps.segment[-1])
+    cfg, every = objects.cfg, np.arange(len(objects.ids))
+    owner = np.concatenate([np.repeat(every, objects.held), np.searchsorted(objects.ids, new["id"].to_numpy(np.int64))])
+    order = np.argsort(owner, kind="stable")
+    ts = np.concatenate([objects.ts, new["timestamp"].to_numpy(np.int64)])[order]
+    points = np.concatenate([objects.points, new[list(ATTRIBUTES)].to_numpy(float)])[order]
+    owner, arrived = owner[order], order >= len(objects.ts)
+    steps = (_per_batch if cfg.motion == "derived" else _per_point)(objects, ts, owner, arrived)
+    model = _Model(objects)
     use = np.flatnonzero(steps.length >= cfg.window)
     out = None
     if len(use):
-        end, segment = steps.end[use], steps.segment[use]
-        history = _histories(ts, points, steps.first[use], end)
+        nth = np.arange(len(use)) - np.searchsorted(steps.owner[use], steps.owner[use])
+        use = use[np.argsort(nth, kind="stable")]  # the first step of each object, then the second of each, ...
+        rounds = np.append(0, np.cumsum(np.bincount(nth)))
+        at, end, segment = steps.owner[use], steps.end[use], steps.segment[use]
         with np.errstate(all="ignore"):
-            sampled = sampled_levels(history, steps.irregular[use], cfg.window, cfg.sampling)
-            inputs = windows(*sampled, cfg.train, cfg.diff)
+            inputs = windows(*_samples(ts, points, steps, use, cfg), cfg.train, cfg.diff)
             series = recurrence.Series(inputs.values, steps.i[use], cfg.train)
             predicted = np.empty((cfg.window - cfg.train, len(use), 4))
             weights = np.empty((cfg.train, len(use), 4))
-            for r in range(len(use)):
-                obj.open(int(segment[r]))
-                obj.model.learn(slice(0, 1), series, slice(r, r + 1), predicted)
-                weights[:, r] = obj.model.w[:, 0]
+            for start, stop in zip(rounds[:-1], rounds[1:], strict=True):
+                rows = slice(start, stop)
+                model.open(at[rows], segment[rows])
+                model.weights.learn(at[rows], series, rows, predicted)
+                weights[:, rows] = model.weights.w[:, at[rows]]
             mean = (predicted - np.stack(series.targets)).cumsum(axis=0)[-1] / len(predicted)
             path = recurrence.forecasts(cfg, weights, inputs.values, inputs.levels, points[end - 1], mean)
-        columns = [[obj.key] * len(use), segment, ts[end - 1], [0] * len(use), inputs.base_ts, *(list(path[:, k]) for k in range(4))]
+        ids = objects.ids[at]
+        ids = pd.arrays.IntegerArray(np.where(ids == NO_ID, 0, ids).astype(np.int32), ids == NO_ID)
+        columns = [ids, segment, ts[end - 1], [0] * len(use), inputs.base_ts, *(list(path[:, k]) for k in range(4))]
         names = [c.split()[0] for c in model_schema("forecast", False).split(", ")]
         out = pd.DataFrame(dict(zip(names, columns, strict=True)))
-    obj.open(obj.segment)
+    last, ends = np.searchsorted(steps.owner, every, "right") - 1, np.searchsorted(owner, every, "right")
+    objects.i, objects.segment = steps.i[last], steps.segment[last]
+    model.open(every, objects.segment)
+    objects.w, a = model.weights.flat()
+    objects.a = objects.a if a is None else a
+    kept = np.maximum(steps.begun[last], ends - cfg.window)
+    stay = np.arange(len(ts)) >= kept[owner]
+    objects.ts, objects.points, objects.held = ts[stay], points[stay], ends - kept
     return out
 
 
+def _not_late(objects: _Objects, new: pd.DataFrame) -> pd.DataFrame:
+    """The new points that are not older than one of their object before them."""
+    at = np.searchsorted(objects.ids, new["id"].to_numpy(np.int64))
+    before, some = np.full(len(objects.ids), np.iinfo(np.int64).min), objects.held > 0
+    before[some] = objects.ts[np.cumsum(objects.held)[some] - 1]
+    latest = np.maximum(new.groupby("id")["timestamp"].cummax().to_numpy(), before[at])
+    past = np.where(np.append(True, np.diff(at) > 0), before[at], np.append(0, latest[:-1]))
+    return new[new["timestamp"].to_numpy() >= past]
+
+
 def forecast_stream(
-    points: DataFrame, cfg: ModelConfig, idle_timeout_ms: int | None = None, late: str = "keep", reorder_ms: int | None = None
+    points: DataFrame, cfg: ModelConfig, idle_timeout_ms: int | None = None, late: str = "keep", reorder_ms: int | None = None,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Forecast rows of a point stream.
 
@@ -178,6 +260,9 @@ def forecast_stream(
     ``reorder_ms``: take points in time order. A point is held until the watermark, that many ms behind the latest point of the
     stream, has passed it; one that comes after that is dropped. Points that are late by less give what the batch job gives. What
     is held is taken when the watermark passes it, whether the object sends more or not; objects are never forgotten.
+
+    ``groups``: objects are stored and processed in so many groups. It changes no results, but must not change between runs from
+    one checkpoint.
     """
     if late not in ("keep", "drop"):
         raise ValueError("late is 'keep' or 'drop'")
@@ -186,73 +271,90 @@ def forecast_stream(
         raise ValueError("order='arrival' needs a `seq` column that numbers the arrivals")
     keep_idle = cfg.newton or cfg.motion == "derived" or idle_timeout_ms == 0
     wait = cfg.gap_threshold if idle_timeout_ms is None else idle_timeout_ms
-    names = ["timestamp", *ATTRIBUTES]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs()
+        objects = _Objects(cfg, state.get if state.exists else None)
         if state.hasTimedOut:
+            objects = objects.of(objects.due >= now)
+        else:
+            new = pd.concat(list(batches)).sort_values(["id", by], kind="stable")
+            active, others = objects.told(new["id"])
+            if late == "drop":
+                new = _not_late(active, new)
+            taking, waiting = active.told(new["id"])
+            if len(new):
+                out = _advance(taking, new)
+                if out is not None:
+                    yield out
+            active = taking.merged(waiting)
+            active.due = np.full(len(active.ids), NEVER if keep_idle else now + wait)
+            objects = active.merged(others.of(others.due >= now))
+        if not len(objects.ids):
             state.remove()
             return
-        new = pd.concat(list(batches)).sort_values(by, kind="stable")
-        obj = _Object(cfg, int(key[0]), state.get if state.exists else None)
-        if late == "drop":
-            last = obj.ts[-1] if len(obj.ts) else new["timestamp"].min()
-            past = new["timestamp"].cummax().clip(lower=last).shift(fill_value=last)
-            new = new[new["timestamp"] >= past]
-        if len(new):
-            out = _advance(obj, new["timestamp"].to_numpy(np.int64), new[list(ATTRIBUTES)].to_numpy(float))
-            state.update(obj.stored())
-            if out is not None:
-                yield out
+        state.update(objects.stored())
         if not keep_idle:
-            state.setTimeoutDuration(wait)
+            state.setTimeoutDuration(max(1, int(objects.due.min()) - now))
 
     if reorder_ms is not None:
         if cfg.motion == "derived":
             raise ValueError("micro-batch jobs take points as they come")
-        return _rows(_in_time_order(points, cfg, reorder_ms, by), cfg)
+        return _rows(_in_time_order(points, cfg, reorder_ms, by, groups), cfg)
 
     timeout = GroupStateTimeout.NoTimeout if keep_idle else GroupStateTimeout.ProcessingTimeTimeout
-    columns = [F.col("id").cast("int").alias("id"), *names, *(["seq"] if by == "seq" else [])]
     runs = (
-        points.select(*columns)
-        .groupBy("id")
+        points.select(*_columns(by, groups))
+        .groupBy("group")
         .applyInPandasWithState(update, model_schema("forecast", False), _STATE, "append", timeout)
     )
     return _rows(runs, cfg)
 
 
+def _columns(by: str, groups: int) -> list:
+    """What the stateful operator reads of a point, and the group of its object."""
+    id_, group = F.col("id").cast("int"), F.pmod(F.xxhash64(F.col("id").cast("int")), F.lit(groups)).cast("int")
+    return [F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("id"), group.alias("group"), "timestamp", *ATTRIBUTES, *(["seq"] if by == "seq" else [])]
+
+
 def _rows(runs: DataFrame, cfg: ModelConfig) -> DataFrame:
     """Forecast rows. pandas hands NaN on as null; a forecast that is not a number is flagged."""
     whole = {a: F.coalesce(a, F.lit(float("nan"))) for a in ATTRIBUTES} | {"error": F.coalesce("error", F.lit(True))}
     return forecast_rows(runs, [cfg]).withColumns(whole)
 
 
-def _in_time_order(points: DataFrame, cfg: ModelConfig, reorder_ms: int, by: str) -> DataFrame:
+def _in_time_order(points: DataFrame, cfg: ModelConfig, reorder_ms: int, by: str, groups: int) -> DataFrame:
     """Forecast arrays of a stream whose points are held until the watermark has passed them."""
-    names = ["timestamp", *ATTRIBUTES]
-    order = list(dict.fromkeys(["timestamp", by]))
+    names = ["id", "timestamp", *ATTRIBUTES]
+    order = list(dict.fromkeys(["id", "timestamp", by]))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
-        obj = _Object(cfg, int(key[0]), None if held is None else held[:9])
-        pending = [] if held is None else [pd.DataFrame(dict(zip(names, map(list, held[9:]), strict=True)))]
-        arrived = [b.sort_values(order, kind="stable")[names] for b in batches if len(b)]
-        waiting = pd.concat([p for p in (*pending, *arrived) if len(p)] or [pd.DataFrame({n: [] for n in names})])
-        waiting = waiting.sort_values("timestamp", kind="stable")
+        fields = len(_FIELDS)
+        objects = _Objects(cfg, None if held is None else held[:fields])
+        ids, ts, rows = (np.frombuffer(bytes(x), kind) for x, kind in zip([b""] * 3 if held is None else held[fields:], (np.int64, np.int64, float), strict=True))
+        pending = pd.DataFrame({"id": ids, "timestamp": ts, **dict(zip(ATTRIBUTES, rows.reshape(-1, 4).T, strict=True))})
+        arrived = [b for b in batches if len(b)]
+        if arrived:
+            new = pd.concat(arrived).sort_values(order, kind="stable")[names]
+            pending = pd.concat([pending, new]) if len(pending) else new
+        waiting = pending.sort_values(["id", "timestamp"], kind="stable")
         passed = waiting["timestamp"] <= state.getCurrentWatermarkMs()
         now, later = waiting[passed], waiting[~passed]
         if len(now):
-            out = _advance(obj, now["timestamp"].to_numpy(np.int64), now[list(ATTRIBUTES)].to_numpy(float))
+            active, others = objects.told(now["id"])
+            out = _advance(active, now)
+            objects = active.merged(others)
             if out is not None:
                 yield out
-        state.update((*obj.stored(), later["timestamp"].astype("int64").tolist(), *(later[a].astype(float).tolist() for a in ATTRIBUTES)))
+        columns = (later["id"].astype("int64"), later["timestamp"].astype("int64"), later[list(ATTRIBUTES)].astype(float))
+        state.update((*objects.stored(), *(np.ascontiguousarray(c.to_numpy()).tobytes() for c in columns)))
         if len(later):
-            state.setTimeoutTimestamp(int(later["timestamp"].iloc[0]))
+            state.setTimeoutTimestamp(int(later["timestamp"].min()))
 
-    columns = [F.col("id").cast("int").alias("id"), *names, *(["seq"] if by == "seq" else [])]
-    timed = points.select(*columns, F.timestamp_millis("timestamp").alias("event_time"))
+    timed = points.select(*_columns(by, groups), F.timestamp_millis("timestamp").alias("event_time"))
     return (
         timed.withWatermark("event_time", f"{reorder_ms} milliseconds")
-        .groupBy("id")
+        .groupBy("group")
         .applyInPandasWithState(update, model_schema("forecast", False), f"{_STATE}, {_PENDING}", "append", GroupStateTimeout.EventTimeTimeout)
     )

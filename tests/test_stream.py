@@ -228,3 +228,43 @@ def test_a_large_batch_goes_to_more_files(spark, tmp_path):
     assert stream_batches_to(forecast_stream(stream, cfg), out, state, trigger=None, files=2, file_rows=50).awaitTermination(120)
     assert_same(stored(spark, out), forecasts(rows, cfg))
     assert len(list((tmp_path / "out").rglob("*.parquet"))) > 2
+
+
+@pytest.mark.parametrize("variant", ["arima_gd", "corr_arma_ns"])
+def test_objects_of_a_group_go_together(spark, tmp_path, variant):
+    """One call of Python for many objects, with gaps, new and silent ones among them, gives what each gives alone."""
+    rows = sorted(walk(seed=61, tracks=9, n=30), key=lambda r: r[1])
+    rows = [r for k, r in enumerate(rows) if not (r[0] == 3 and k < 100 or r[0] == 5 and 80 < k < 190)]
+    cfg = ModelConfig(variant=variant, horizon=2, lrate=1e-6, vector_init="random", seed=4)
+    size = -(-len(rows) // 3)
+    for k in range(3):
+        put(tmp_path / "in", f"{k}.csv", rows[k * size : (k + 1) * size], k * size)
+        os.utime(tmp_path / "in" / f"{k}.csv", (1_700_000_000 + k, 1_700_000_000 + k))
+    points = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], POINT)
+    want = run(points, cfg)
+    for groups in (1, 4):
+        out, state = scratch_path(spark, "out"), scratch_path(spark, "state")
+        drain(spark, tmp_path / "in", cfg, out, state, idle_timeout_ms=0, groups=groups)
+        assert_same(stored(spark, out), want)
+
+
+def test_each_object_of_a_group_is_forgotten_by_itself(spark, tmp_path):
+    cfg = ModelConfig(variant="arma_gd", horizon=2)
+    rows = {k: [(k, T0 + 4000 * n, 1.0 + n, 2.0, 3.0, 4.0) for n in range(12)] for k in (1, 2)}
+    put(tmp_path / "in", "0.csv", rows[1][:6] + rows[2][:6])
+    stream = spark.readStream.schema(POINT).option("header", True).csv(str(tmp_path / "in"))
+    out, state = str(tmp_path / "out"), scratch_path(spark, "state")
+    query = stream_forecasts_to(forecast_stream(stream, cfg, idle_timeout_ms=12_000, groups=1), out, state, "200 milliseconds")
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline and not list((tmp_path / "out").rglob("*.parquet")):
+            time.sleep(0.2)
+        for n in range(6, 9):  # object 2 goes on, object 1 is silent
+            time.sleep(6)
+            put(tmp_path / "in", f"{n}.csv", rows[2][n : n + 1], n)
+        put(tmp_path / "in", "9.csv", rows[1][6:9], 20)
+        time.sleep(6)
+    finally:
+        query.stop()
+    origins = [(r.id, (r.origin_timestamp - T0) // 4000) for r in spark.read.parquet(out).collect()]
+    assert sorted(origins) == [(1, 3), (1, 4), (1, 5), *[(2, n) for n in range(3, 9)]]
