@@ -254,14 +254,15 @@ def test_each_object_of_a_group_is_forgotten_by_itself(spark, tmp_path):
     put(tmp_path / "in", "0.csv", rows[1][:6] + rows[2][:6])
     stream = spark.readStream.schema(POINT).option("header", True).csv(str(tmp_path / "in"))
     out, state = str(tmp_path / "out"), scratch_path(spark, "state")
-    query = stream_forecasts_to(forecast_stream(stream, cfg, idle_timeout_ms=12_000, groups=1), out, state, "200 milliseconds")
+    query = stream_forecasts_to(forecast_stream(stream, cfg, idle_timeout_ms=20_000, groups=1), out, state, "200 milliseconds")
     try:
         deadline = time.time() + 60
         while time.time() < deadline and not list((tmp_path / "out").rglob("*.parquet")):
             time.sleep(0.2)
         for n in range(6, 9):  # object 2 goes on, object 1 is silent
-            time.sleep(6)
+            time.sleep(4 if n == 6 else 6)
             put(tmp_path / "in", f"{n}.csv", rows[2][n : n + 1], n)
+        time.sleep(9)
         put(tmp_path / "in", "9.csv", rows[1][6:9], 20)
         time.sleep(6)
     finally:
