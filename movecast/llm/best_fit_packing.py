@@ -12,7 +12,9 @@ A null text counts as empty and packs as the single id 0. An empty table gives n
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,21 +28,22 @@ from .common import durable
 LENGTH = 2048
 OPEN_BINS = 512
 PIECES_PER_TASK = 250_000
-#: Chunks whose ids a worker remembers (about 40 MB, held as long as the worker lives); then it forgets them all.
+#: Chunks whose ids a worker remembers (about 40 MB, held as long as the worker lives), a newer and an older half.
 CACHE = 1 << 18
+#: New chunks that are split and merged by one call at most.
+TOGETHER = 1 << 14
 
 
 class ChunkIds:
     """Ids of a text, by its chunks between spaces and line feeds.
 
     The vocabulary's normaliser and splitter never look across white space, so the ids of a text are those of its chunks in
-    turn. Most chunks return; their ids (little-endian 32-bit) are remembered. A new chunk of Latin letters is split and
-    merged with the same merge ranks by a byte-pair encoder; any other, also one that may hold a special token's string, goes
-    through the tokenizer itself.
+    turn. Most chunks return; their ids (little-endian 32-bit) are remembered. The new chunks of Latin letters of a text are split
+    and merged together, with the same merge ranks, by a byte-pair encoder; any other, also one that may hold a special token's
+    string, goes through the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str) -> None:
-        import regex
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -58,26 +61,47 @@ class ChunkIds:
         # glued to the last byte first, and the space alone never stays.
         ranks.setdefault(b" ", max(ranks.values()) + 1)
         self.encoder = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        self.plain = regex.compile(r"[\x21-\x7e\xa1-\xff]+").fullmatch
+        letters, digits = r"a-zªµºß-öø-ÿ", r"0-9²³¹¼-¾"  # those among the plain characters, in lower case
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+|\n").findall
+        self.plain = re.compile(r"[\n\x21-\x7e\xa1-\xff]*").fullmatch
+        self.between = ranks[b"\n "]
         self.known: dict[str, bytes] = {"": b""}
-
-    def new(self, chunk: str) -> bytes:
-        if self.plain(chunk) and "<|" not in chunk:
-            words = self.split(chunk.lower())
-            ids = self.encoder.encode_ordinary(" ".join(words) + " ") if words else []
-        else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        got = np.array(ids, "<u4").tobytes()
-        if len(self.known) >= CACHE:
-            self.known = {"": b""}
-        self.known[chunk] = got
+        self.older: dict[str, bytes] = {}
+
+    def words(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks of Latin letters, by one call. No chunk has a line feed, so the id of one between two chunks is in none of them."""
+        joined = " ".join(self.split("\n".join(chunks).lower()))
+        ids = np.array(self.encoder.encode_ordinary(joined + " "), "<u4")
+        ends = 4 * np.append(np.flatnonzero(ids == self.between), len(ids))
+        whole, begin, got = ids.tobytes(), 0, []
+        for end in ends.tolist():
+            got.append(whole[begin:end])
+            begin = end + 4
         return got
 
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of chunks that are not in the newer half."""
+        new = chunks.difference(self.older)
+        self.known.update((c, self.older[c]) for c in chunks.difference(new))
+        joined, other = "\n".join(new), []
+        if not self.plain(joined) or "<|" in joined:
+            other = [c for c in new if not self.plain(c) or "<|" in c]
+        plain = list(new.difference(other))
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            self.known.update(zip(some, self.words(some), strict=True))
+        for chunk in other:
+            self.known[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
     def of(self, text: str) -> bytes:
-        get = self.known.get
-        found = [(chunk, get(chunk)) for chunk in text.replace("\n", " ").split(" ")]
-        return b"".join([self.new(c) if ids is None else ids for c, ids in found])
+        chunks = text.replace("\n", " ").split(" ")
+        missing = set(chunks).difference(self.known)
+        if missing:
+            self.learn(missing)
+        ids = b"".join(map(self.known.__getitem__, chunks))
+        if len(self.known) > CACHE // 2:
+            self.known, self.older = {"": b""}, dict(itertools.islice(self.known.items(), CACHE // 2))
+        return ids
 
 
 def _byte_letters() -> dict[int, str]:

@@ -158,3 +158,36 @@ def test_workers_hold_little_of_a_large_batch():
     ids = best_fit_packing.ChunkIds(queries.vocabulary())
     ids.of(" ".join(f"{k}" for k in range(300_000)))
     assert len(ids.known) <= 1 << 18
+
+
+def test_new_chunks_are_encoded_together_and_frequent_ones_stay(monkeypatch):
+    """One call for the new chunks of a text, and chunks that return are not forgotten with the others."""
+    monkeypatch.setattr(best_fit_packing, "CACHE", 64)
+    ids, seen = best_fit_packing.ChunkIds(queries.vocabulary()), []
+
+    class Counted:
+        def __init__(self, encoder):
+            self.encoder = encoder
+
+        def encode_ordinary(self, text):
+            seen.append(text)
+            return self.encoder.encode_ordinary(text)
+
+    ids.encoder = Counted(ids.encoder)
+    texts = [" ".join(["Again", *(f"x{k}Y'll-{n}" for n in range(20))]) for k in range(50)]
+    got = [ids.of(text) for text in texts]
+    assert len(seen) <= 50  # one for each chunk before: 1,001 and more
+    assert sum("again" in text.split() for text in seen) == 1
+    assert len(ids.known) + len(ids.older) <= 64 + 21
+    for text, found in zip(texts, got, strict=True):
+        assert list(np.frombuffer(found, "<u4")) == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_every_plain_letter_is_split_as_the_tokenizer_does():
+    ids = best_fit_packing.ChunkIds(queries.vocabulary())
+    plain = [*map(chr, range(0x21, 0x7F)), *map(chr, range(0xA1, 0x100))]
+    texts = [c + d for c in plain for d in ("", "a", "1", "'LL", "\u00b2", "\u00aa-")]
+    texts += ["<|endoftext|> <|", "\u201cna\u00efve\u201d ab\u00c9\n\n\tc\u00a0d", "\n", ""]
+    texts.append(" ".join(texts))
+    for text in texts:
+        assert list(np.frombuffer(ids.of(text), "<u4")) == ids.tokenizer.encode(text, add_special_tokens=False).ids, text
