@@ -8,7 +8,7 @@ rule for all tracks, so results do not depend, to the last bit, on how points ar
 * hot tracks - gradient jobs fold the maps of all pieces in parallel, run them in order (one small row per piece), and replay all
   pieces in parallel from the weights they start with;
 * Newton jobs are not affine: they go round by round (as do the objects of gradient jobs whose maps grow too large),
-  a bounded stretch of every hot track at a time, handing the stored weights on.
+  a bounded stretch of every hot track at a time, handing the stored weights on. Rows are stored by round, with no join.
 
 Rows hold one point each. What a window sees besides it is found in the task, from the rows of the same track before it; only the first
 row of a hot piece brings the points before the piece along.
@@ -17,9 +17,11 @@ row of a hot piece brings the points before the piece along.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import ATTRIBUTES, ModelConfig
 from ..functions import wavefront as wf
@@ -69,6 +71,7 @@ class _Run:
         if piece < 2:
             raise ValueError("piece_rows must be at least 2")
         self.configs, self.want, self.piece, self.round_pieces, self.actuals = configs, want, piece, round_pieces, actuals
+        self.stretch = piece * round_pieces
         self.windows = windows = tuple(sorted({c.window for c in configs}))
         self.named: Callable[[str, int], str] = lambda name, h: sized(name, h, windows)
 
@@ -147,19 +150,23 @@ class _Run:
         cfg = self.configs[0]
         links = chunk_links(part, cfg, self.windows)
         df = self._with_truth(events(part, cfg, links, self.windows, history=True).df)
-        place = F.col("pos") - 1
-        before = F.when((place % self.piece == 0) & (F.size("history") > 1), F.slice("history", 1, F.size("history") - 1))
+        begins = ((F.col("pos") - 1) % self.piece == 0) | ((F.col("nth") - 1) % self.stretch == 0)
+        before = F.when(begins & (F.size("history") > 1), F.slice("history", 1, F.size("history") - 1))
         rows = df.select(
-            "id", F.col("segment").cast("bigint").alias("segment"), *_POINT[2:], *self._sights(), "pos",
+            "id", F.col("segment").cast("bigint").alias("segment"), *_POINT[2:], *self._sights(), "pos", "nth",
             F.expr(f"(pos - 1) div {self.piece}").alias("piece"), before.alias("before"), *self._truth(df),
         )
-        rows = durable(rows)
-        along = Window.partitionBy("id").orderBy("segment", "piece")
-        pieces = rows.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n"))
-        facts = {"number": F.row_number().over(along), "goes_on": F.lead("segment").over(along).eqNullSafe(F.col("segment"))}
-        pieces = durable(pieces.withColumns(facts))
+        if not all(c.newton for c in self.configs):
+            rows = durable(rows)
+            along = Window.partitionBy("id").orderBy("segment", "piece")
+            pieces = rows.groupBy(*_PIECE).agg(F.count(F.lit(1)).alias("n"))
+            facts = {"number": F.row_number().over(along), "goes_on": F.lead("segment").over(along).eqNullSafe(F.col("segment"))}
+            pieces = durable(pieces.withColumns(facts))
+        if any(c.newton for c in self.configs):
+            staged = self._by_rows(rows)
+        rows = rows.drop("nth")
         frames = [
-            (self._relay(rows, pieces, c) if c.newton else self._in_parallel(rows, pieces, c)).withColumn("config", F.lit(k))
+            (self._relay(staged, c) if c.newton else self._in_parallel(rows, pieces, c)).withColumn("config", F.lit(k))
             for k, c in enumerate(self.configs)
         ]
         return union_parts(frames)
@@ -190,41 +197,80 @@ class _Run:
         each = self._whole_pieces(each.join(durable(starts), _PIECE, "left")).withColumn("goes_on", F.lit(False))
         out = self._learn(each, [cfg], tuple(_PIECE))
         if calm:
-            out = out.unionByName(self._relay(rows.join(wild, "id", "left_semi"), pieces.join(wild, "id", "left_semi"), cfg))
+            staged = self._by_pieces(rows.join(wild, "id", "left_semi"), pieces.join(wild, "id", "left_semi"))
+            out = out.unionByName(self._relay(staged, cfg))
         return out
 
-    def _relay(self, rows: DataFrame, pieces: DataFrame, cfg: ModelConfig) -> DataFrame:
-        """Round by round over stretches of ``round_pieces`` pieces per track.
-
-        Each round is stored before the next one starts, and hands on one row per track: the weights of its last segment.
-        """
-        spark = rows.sparkSession
+    def _by_pieces(self, rows: DataFrame, pieces: DataFrame) -> _Staged:
+        """Rows by stretches of ``round_pieces`` pieces of a track."""
         stretch = F.expr(f"(number - 1) div {self.round_pieces}").cast("int")
         within = Window.partitionBy("id", "segment", "stretch")
         pieces = pieces.withColumn("stretch", stretch).withColumn("from", F.min("piece").over(within) * self.piece)
-        staged, results, states = (scratch_path(spark, n) for n in ("stretches", "rounds", "weights"))
         each = rows.join(pieces.drop("n", "number"), _PIECE)
-        each = each.withColumn("t", F.col("pos") - F.col("from")).drop("pos", "piece", "from")
-        each.write.partitionBy("stretch").parquet(staged)
-        kept = each.drop("stretch").schema
+        return _Staged.write(each.withColumn("t", F.col("pos") - F.col("from")).drop("pos", "piece", "from"))
+
+    def _by_rows(self, rows: DataFrame) -> _Staged:
+        """Rows by stretches of as many rows of a track as ``round_pieces`` whole pieces have. Newton steps need no whole pieces, so a
+        row's stretch and its place there follow from its place along the track, and nothing is joined."""
+        place = F.col("nth").cast("bigint") - 1
+        rows = rows.withColumns(
+            {
+                "stretch": F.expr(f"(nth - 1) div {self.stretch}").cast("int"),
+                "t": F.least(F.col("pos").cast("bigint"), place % self.stretch + 1),
+            }
+        )
+        return _Staged.write(rows.withColumn("before", F.when(F.col("t") == 1, F.col("before"))).drop("pos", "piece", "nth"))
+
+    def _relay(self, staged: _Staged, cfg: ModelConfig) -> DataFrame:
+        """Round by round over the stretches.
+
+        Each round is stored before the next one starts, and hands on one row per track: the weights of its last segment. These rows
+        come to the next round as row 0 of their tracks, so the weights lie in one row of a track and no other.
+        """
+        spark = staged.spark
+        results, states = (scratch_path(spark, n) for n in ("rounds", "weights"))
         schema = self._schema(True)
-        last = pieces.agg(F.max("stretch")).first()[0]
-        for r in range(0 if last is None else last + 1):
-            batch = spark.read.schema(kept).parquet(f"{staged}/stretch={r}")
+        along = Window.partitionBy("id", "segment").orderBy("t")
+        starts = ["w0_0", "a0_0"] if cfg.newton else ["w0_0"]
+        for r in range(staged.rounds):
+            batch = staged.read(r)
             if r > 0:
                 known = spark.read.schema(_STATE).parquet(f"{states}/round={r - 1}")
-                known = known.withColumnsRenamed({"w": "w0_0", "a": "a0_0"})
-                batch = batch.join(known if cfg.newton else known.drop("a0_0"), ["id", "segment"], "left")
-            ends = F.max("t").over(Window.partitionBy("id", "segment"))  # and tracks lie in one task each, whatever the join becomes
-            batch = batch.withColumn("more", F.col("t") < ends)
-            self._learn(batch, [cfg], ("id", "segment"), state=True).write.parquet(f"{results}/round={r}")
+                known = known.select("id", "segment", F.lit(0).cast("bigint").alias("t"), *[F.col(c[0]).alias(c) for c in starts])
+                batch = batch.withColumn("t", F.col("t").cast("bigint")).unionByName(known, allowMissingColumns=True)
+                batch = batch.withColumns({c: F.lag(c).over(along) for c in starts})
+            ends = F.max("t").over(Window.partitionBy("id", "segment"))  # and tracks lie in one task each
+            batch = batch.withColumn("more", F.col("t") < ends).where("t > 0")
+            learnt = self._learn(batch, [cfg], ("id", "segment"), state=True)
+            learnt.write.option("parquet.enable.dictionary", "false").parquet(f"{results}/round={r}")  # forecasts hardly repeat
             ended = spark.read.schema(schema).parquet(f"{results}/round={r}").where("last")
             newest = F.max_by(F.struct("segment", "w", "a"), "segment").alias("s")
             ended.groupBy("id").agg(newest).select("id", "s.*").write.parquet(f"{states}/round={r}")
         columns = [c.split()[0] for c in self._schema(False).split(", ")]
-        if last is None:
+        if not staged.rounds:
             return spark.createDataFrame([], self._schema(False))
         return spark.read.schema(schema + ", round int").parquet(results).where("not last").select(*columns)
 
 
+@dataclass(frozen=True)
+class _Staged:
+    """Rows of hot tracks, stored by the round that learns them."""
+
+    spark: SparkSession
+    path: str
+    schema: StructType
+    rounds: int
+
+    @staticmethod
+    def write(rows: DataFrame) -> _Staged:
+        spark = rows.sparkSession
+        path = scratch_path(spark, "stretches")
+        rows.write.partitionBy("stretch").parquet(path)
+        last = spark.read.schema(rows.schema).parquet(path).agg(F.max("stretch")).first()[0]
+        return _Staged(spark, path, rows.drop("stretch").schema, 0 if last is None else last + 1)
+
+    def read(self, r: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/stretch={r}")
+
+
 _STATE = "id int, segment bigint, w array<double>, a array<double>"

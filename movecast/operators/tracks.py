@@ -87,14 +87,18 @@ def track_parts(
         raise ValueError("chunk_rows must be a power of two")
     by = _order(points, order)
     points = points.select(F.col("id").cast("int").alias("id"), *_point_columns(points)[1:])
-    hot = points.groupBy("id").count().where(F.col("count") > hot_rows).select("id")
-    if hot.isEmpty():
+    sizes = points.groupBy("id").count()
+    is_hot = F.col("id").isNotNull() & (F.col("count") > hot_rows)
+    n_hot, n_cold = sizes.agg(F.count_if(is_hot), F.count_if(~is_hot)).first()
+    if not n_hot:
         return [Part(points, ("id",), by)]
-    hot = durable(hot)
-    if hot.count() <= BROADCAST_IDS:
-        hot = F.broadcast(hot)
-    cold = points.join(hot, "id", "left_anti")
-    heavy = points.join(hot, "id", "left_semi")
+    cold, heavy = points.where(F.lit(False)), points  # where all tracks are hot, points need not be told apart
+    if n_cold:
+        hot = durable(sizes.where(is_hot).select("id"))
+        if n_hot <= BROADCAST_IDS:
+            hot = F.broadcast(hot)
+        cold = points.join(hot, "id", "left_anti")
+        heavy = points.join(hot, "id", "left_semi")
     if "seq" not in points.columns:  # equal points stay apart in the range partitioning
         heavy = heavy.withColumn("seq", F.monotonically_increasing_id())
         by_heavy = (*by, "seq")
@@ -156,13 +160,13 @@ def chunk_links(part: Part, cfg: ModelConfig, windows: tuple[int, ...] | None =
     rows = _within(part.with_df(part.df.join(halos, ["id", "chunk"])), cfg, windows)
     grown = [sized("grown", h, windows) for h in windows]
     last = F.max_by(F.struct("segment", "pos", *grown), "rn")
-    ends = rows.groupBy("id", "chunk").agg(last.alias("end")).select("id", "chunk", "end.*")
+    ends = rows.groupBy("id", "chunk").agg(last.alias("end"), F.max("rn").alias("rows")).select("id", "chunk", "rows", "end.*")
     upto = Window.partitionBy("id").orderBy("chunk")
-    ends = ends.withColumn("segment_end", F.sum("segment").over(upto))
+    ends = ends.withColumns({f"{c}_end": F.sum(c).over(upto) for c in ("segment", "rows")})
     same = Window.partitionBy("id", "segment_end").orderBy("chunk")
     ends = ends.withColumns({f"{c}_end": F.sum(c).over(same) for c in ("pos", *grown)})
     before = {
-        f"{c}_before": F.coalesce(F.lag(f"{c}_end").over(upto), F.lit(0)) for c in ("segment", "pos", *grown)
+        f"{c}_before": F.coalesce(F.lag(f"{c}_end").over(upto), F.lit(0)) for c in ("segment", "rows", "pos", *grown)
     }
     return durable(halos.join(ends.select("id", "chunk", *[v.alias(k) for k, v in before.items()]), ["id", "chunk"]))
 
@@ -177,7 +181,8 @@ def events(
     """Every point with its segment and, for each window size, what is visible and the step counter (see ``track_history``).
 
     ``windows``: sizes to look at in one go; the columns of several sizes end in the size. ``history`` adds the visible points of
-    the largest size, oldest first as they came; only jobs that need them as an array ask for it.
+    the largest size, oldest first as they came; only jobs that need them as an array ask for it. Chunked parts have the place of the
+    point along its whole track, too (``nth``, from 1).
     """
     windows = windows or (cfg.window,)
     if not part.chunked:
@@ -189,7 +194,7 @@ def events(
         grown = [sized("grown", h, windows) for h in windows]
         df = df.withColumns(
             {c: F.col(c) + F.when(still_open, F.col(f"{c}_before")).otherwise(0) for c in ("pos", *grown)}
-            | {"segment": F.col("segment") + F.col("segment_before")}
+            | {"segment": F.col("segment") + F.col("segment_before"), "nth": F.col("rn") + F.col("rows_before")}
         )
     keep = [c for c in part.df.columns if c not in POINT_COLUMNS]
     looks = [
@@ -200,7 +205,7 @@ def events(
             (F.col("pos") + F.col(sized("grown", h, windows))).alias(sized("i", h, windows)),
         )
     ]
-    more = ["history"] if history else []
+    more = [*(["nth"] if part.chunked else []), *(["history"] if history else [])]
     return part.with_df(df.select(*keep, *POINT_COLUMNS, "segment", "pos", "prior", *looks, *more))
 
 
@@ -218,7 +223,7 @@ def _within(part: Part, cfg: ModelConfig, windows: tuple[int, ...], history: boo
         }
     )
     if history:
-        df = df.withColumn("recent", F.collect_list(point).over(w.rowsBetween(-most, 0)))
+        df = df.withColumn("recent", F.array(*[F.lag(point, k).over(w) for k in range(most, 0, -1)], point))
     if part.chunked:  # only the first points of a chunk look back into its halo
         first, last = F.col("rn") == 1, F.get("halo", F.size("halo") - 1)
         near = F.col("rn") <= most
@@ -231,7 +236,7 @@ def _within(part: Part, cfg: ModelConfig, windows: tuple[int, ...], history: boo
             }
         )
         if history:
-            df = df.withColumn("recent", F.when(near, F.concat("halo", "recent")).otherwise(F.col("recent")))
+            df = df.withColumn("recent", F.when(near, F.concat("halo", F.slice("recent", -F.col("rn"), F.col("rn")))).otherwise(F.col("recent")))
         df = df.drop("halo")
     dt = ts - F.col("previous")
     df = df.withColumn("fresh", F.coalesce((dt > gap).cast("int"), F.lit(0)))

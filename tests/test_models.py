@@ -232,6 +232,29 @@ def test_weights_carry_over_stretches_without_training(spark):
         assert_same(run(points, cfg, hot_rows=5, chunk_rows=4, piece_rows=4, round_pieces=1), want)
 
 
+@pytest.mark.parametrize("window", [4, 6])
+def test_newton_rounds_follow_the_rows_of_a_track(spark, monkeypatch, window):
+    """Many short segments take as many rounds as their rows ask for, and rows meet neither their pieces nor the weights in a join."""
+    rows, ts = [], T0
+    for k in range(192):
+        ts += 4000 if k % 7 else 10_000_000
+        rows.append((1 + (k > 150), ts, 10 + 0.001 * k * (k % 5), 50.0 + k % 3, 1.0 + k % 3, 10.0))
+    cfg = ModelConfig(variant="arima_ns", window=window, horizon=3, lrate=1e-6)
+    plans, learn = [], models._Run._learn
+
+    def watched(self, batch, configs, keys, state=False):
+        if state:
+            plans.append(batch._jdf.queryExecution().optimizedPlan().toString())
+        return learn(self, batch, configs, keys, state)
+
+    points = made(spark, rows)
+    want = run(points, cfg)
+    monkeypatch.setattr(models._Run, "_learn", watched)
+    assert_same(run(points, cfg, hot_rows=10, chunk_rows=8, piece_rows=16, round_pieces=2), want)
+    assert len(plans) == 5  # 151 rows by 32; one for two segments before
+    assert not any("Join" in plan for plan in plans)
+
+
 def edge_rows():
     s = 4000
     rows = [(1, T0 + k * s, 1.0 + k, 2.0, 3.0, 4.0) for k in range(8)]

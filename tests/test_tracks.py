@@ -44,6 +44,12 @@ def test_chunks_hold_consecutive_points(spark):
     assert max(r["count"] for r in sizes) <= 16 and sum(r["count"] for r in sizes) == 200
 
 
+def test_points_are_not_told_apart_where_all_tracks_are_hot(spark):
+    cold, hot = track_parts(made(spark, jittered(tracks=2, n=100)), hot_rows=50, chunk_rows=16)
+    assert "LocalRelation" in cold.df._jdf.queryExecution().optimizedPlan().toString()
+    assert (cold.df.count(), hot.df.count()) == (0, 200)
+
+
 def test_one_object_of_equal_points_is_split(spark):
     points = made(spark, [(1, T0, 1.0, 1.0, 1.0, 1.0)] * 500).drop("seq").repartition(4)
     (_, hot) = track_parts(points, hot_rows=100, chunk_rows=32)
