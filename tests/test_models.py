@@ -183,6 +183,46 @@ def test_swept_forecasts_bring_their_true_positions(spark, order):
     assert scored(sweep(points, grid, actuals, piece_rows=16, round_pieces=2, hot_rows=20, chunk_rows=16), None) == want
 
 
+@pytest.mark.parametrize("order", ["event", "arrival"])
+def test_true_positions_with_nulls_repeats_and_short_gaps(spark, order):
+    """Forecasts that reach into later segments, events at the same time, true positions without id, time or place; small batches."""
+    rows = walk(seed=31, tracks=2, n=30) + [(7, T0 + 4000 * k, 1.0 + k, 2.0, 3.0, 4.0) for k in (*range(8), 7, *range(12, 22), *range(40, 46))]
+    rows += [(8, 4000 * k, 1.0 + k, 2.0, 3.0, 4.0) for k in range(-9, 9)]
+    if order == "arrival":
+        random.Random(2).shuffle(rows)
+        rows.sort(key=lambda r: r[1] // 14_000)
+    points = made(spark, rows)
+    actuals = points.select("id", "timestamp", "longitude", "latitude")
+    odd = [(None, T0, 1.0, 2.0), (7, None, 1.0, 2.0), (7, T0 + 28_000, None, 2.0), (7, T0 + 36_000, 1.0, None), (7, T0 + 36_001, 1.0, 2.0), (9, T0, 1.0, 2.0)]
+    actuals = actuals.unionByName(spark.createDataFrame(odd, actuals.schema)).unionByName(actuals.where("id = 8"))
+    base = ModelConfig(horizon=7, order=order, gap_threshold=12_000)
+    grid = sweep_grid(base, windows=((4, 3), (6, 2)), rates=(1e-6,), variants=("arima_gd", "corr_arma_ns"))
+    grid += [base.with_(variant="arima_ns", horizon=3, motion="derived", config_id="derived"), base.with_(horizon=11, config_id="long")]
+    scored = lambda df, true: sorted(repr(tuple(r)) for r in score(df, true, F.col("config_id")).collect())
+    want = scored(sweep(points, grid, piece_rows=16), actuals)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert len(want) > 300 and scored(sweep(points, grid, actuals, piece_rows=16), None) == want
+        assert scored(sweep(points, grid, actuals, piece_rows=8, round_pieces=2, hot_rows=20, chunk_rows=16), None) == scored(
+            sweep(points, grid, piece_rows=8), actuals
+        )
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_true_positions_come_once_along_a_track(spark, monkeypatch):
+    """Rows are not multiplied by the steps of the forecasts, before the model task or in it."""
+    points = made(spark, [(key, T0 + 4000 * k, 1.0, 2.0, 3.0, 4.0) for key in range(2) for k in range(200)])
+    grid = sweep_grid(ModelConfig(horizon=32), windows=((4, 3), (6, 5)), rates=(1e-6,), variants=("arma_gd", "arima_ns"))
+    given = []
+    monkeypatch.setattr(models._Run, "_learn", lambda run, rows, *rest: given.append(rows) or rows)
+    models.run_models(points, grid, "forecast", points.select("id", "timestamp", "longitude", "latitude"))
+    rows = given[0].where("ahead IS NOT NULL")
+    assert rows.count() == 400 and rows.selectExpr("sum(size(ahead))").first()[0] == 2 * (200 - 4)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_long_forecasts_take_short_stretches():
     batch = pa.RecordBatch.from_pydict({"x": pa.array(range(10_000))})
     for horizon in (1, 32, 1000):
